@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, token_lengths, url_rules
+from . import decision_list, decontaminate, line_spread, token_lengths, url_rules
 from .common import cut, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -24,6 +24,24 @@ URL_RULES = [
 ]
 
 
+#: Of twenty sites, those on which a line makes it boilerplate.
+MIN_SITES = 10
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_spread.remove_boilerplate(docs, MIN_SITES).select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = token_lengths.length_histogram(
         table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN
@@ -65,9 +83,50 @@ FROM parts p LEFT JOIN fits f USING (page_id)
 """
 
 
+OP2_SQL = """
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s + 1 : s + least(len(w), 10)], ' ') AS gram
+  FROM item_words, unnest(range(0, greatest(len(w) - 10, 0) + 1)) t(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM item_windows),
+doc_grams AS (
+  SELECT doc_id, z.n, s AS pos, array_to_string(w[s + 1 : s + z.n], ' ') AS gram
+  FROM doc_words, sizes z, unnest(range(0, greatest(len(w) - z.n + 1, 0))) t(s)),
+hits AS (SELECT doc_id, item_id, pos, d.n FROM doc_grams d JOIN item_windows i ON d.n = i.n AND d.gram = i.gram),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(pos, pos + n)) t(p) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP7_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM documents),
+worded AS (SELECT * FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+wide AS (SELECT line, min(struct_pack(doc_id := doc_id, pos := pos)) AS first FROM worded
+         GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '-')) >= {MIN_SITES}),
+gone AS (SELECT doc_id, pos FROM worded JOIN wide USING (line) WHERE struct_pack(doc_id := doc_id, pos := pos) <> first),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(length(k.text) AS BIGINT) AS kept_chars, sha256(k.text) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op5_quality_rules, op9_url_filter)}
+    return {f.__name__: f for f in (op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
