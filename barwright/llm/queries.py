@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, line_spread, token_lengths, url_rules
+from . import decision_list, decontaminate, line_spread, near_dup, token_lengths, url_rules
 from .common import cut, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -28,6 +28,10 @@ URL_RULES = [
 MIN_SITES = 10
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link_documents(table(spark, sf_dir, "documents"), width=2)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -125,7 +129,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
