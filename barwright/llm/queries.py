@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, line_spread, near_dup, token_lengths, url_rules
-from .common import cut, table
+from . import decision_list, decontaminate, line_spread, near_dup, sentpiece, token_lengths, url_rules
+from .common import cut, small_batches, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -61,6 +61,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    small_batches(spark, 1000, 8)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sentpiece.encode(F.col("text"), model).alias("ids"))
+    return docs.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
+        F.replace("text", F.lit("\u2581"), F.lit(" ")).eqNullSafe(sentpiece.decode(F.col("ids"), model)).alias("round_trip"),
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.filter_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -129,7 +139,7 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op9_url_filter)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op8_sentencepiece, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
