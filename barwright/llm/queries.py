@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, line_spread, near_dup, sentpiece, token_lengths, url_rules
+from . import decision_list, decontaminate, line_spread, near_dup, sentpiece, suffix_lm, token_lengths, url_rules
 from .common import cut, small_batches, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -138,8 +138,12 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op8_sentencepiece, op9_url_filter)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
