@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, line_spread, near_dup, sentpiece, suffix_lm, token_lengths, url_rules
+from . import decision_list, decontaminate, line_spread, near_dup, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules
 from .common import cut, small_batches, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -39,6 +39,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).alias("low"), (F.col("toxic") == 1).alias("toxic"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return site_bayes.classify(docs, targets, ["low", "toxic"], F.col("source"), F.col("lang"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_spread.remove_boilerplate(docs, MIN_SITES).select(
@@ -143,7 +149,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
