@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, line_spread, near_dup, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules
+from . import decision_list, decontaminate, line_spread, near_dup, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules
 from .common import cut, small_batches, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -52,6 +52,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = token_lengths.length_histogram(
         table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN
@@ -149,7 +157,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_repeated_passages, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score)}
 
 
 def oracle_sql() -> dict[str, str]:
