@@ -322,13 +322,21 @@ def load(model: str) -> Pieces:
     return Pieces(model)
 
 
-def encode(text: Column, model: str) -> Column:
-    """array<int> of piece ids."""
+def encode(text: Column, model: str, keep: bool = True) -> Column:
+    """array<int> of piece ids.
+
+    With ``keep`` a worker process remembers encoded chunks from task to task
+    (some 300 MB at most); without, only within a task.
+    """
 
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pieces = load(model)
         for texts in batches:
             yield pd.Series(pieces.encode(texts.tolist()), dtype=object)
+        if not keep and hasattr(pieces, "known"):
+            del pieces.known, pieces.flat, pieces.spot, pieces.many
+            pieces.slot_key, pieces.slot_ok = None, None
+            load.cache_clear()
 
     return F.pandas_udf(make, "array<int>")(text)
 

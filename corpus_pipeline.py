@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
     small_batches(spark, 1000, 8)
-    df = docs.select("doc_id", "lang", "source", "text", sentpiece.encode(F.col("text"), model).alias("ids"))
+    df = docs.select("doc_id", "lang", "source", "text", sentpiece.encode(F.col("text"), model, keep=False).alias("ids"))
     back = sentpiece.decode(F.col("ids"), model)
     same = F.replace("text", F.lit("▁"), F.lit(" ")).eqNullSafe(back)
     return df.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
