@@ -34,7 +34,7 @@ _BLANK = "▁"
 _CHUNK = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
 _STEP = 3  # characters of 21 bits in a search key
 #: Chunks that a worker keeps encoded, and characters indexed at once.
-MAX_KNOWN, BATCH_CHARS = 600_000, 1 << 20
+MAX_KNOWN, BATCH_CHARS = 600_000, 1 << 19
 
 
 def _codes(text: str) -> np.ndarray:
@@ -335,8 +335,6 @@ def encode(text: Column, model: str, keep: bool = True) -> Column:
             yield pd.Series(pieces.encode(texts.tolist()), dtype=object)
         if not keep and hasattr(pieces, "known"):
             del pieces.known, pieces.flat, pieces.spot, pieces.many
-            pieces.slot_key, pieces.slot_ok = None, None
-            load.cache_clear()
 
     return F.pandas_udf(make, "array<int>")(text)
 
