@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -22,8 +22,13 @@ def query(f: Query) -> Query:
     return f
 
 
+def rnd(c: Column | str, digits: int) -> Column:
+    """Rounded, without a sign on zero."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in cols})
+    return df.withColumns({c: rnd(c, digits) for c in cols})
 
 
 def market(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> replay.Market:
@@ -73,7 +78,7 @@ def horizon_return(spark, d):
 @query
 def ema20(spark, d):
     df = indicators.ema(tables.brand_bars(spark, d), 20, "ema20")
-    return df.select("symbol", "i", F.round(F.col("ema20") / F.col("close"), 6).alias("ema20_rel"))
+    return df.select("symbol", "i", rnd(F.col("ema20") / F.col("close"), 6).alias("ema20_rel"))
 
 
 @query
@@ -84,13 +89,13 @@ def rsi14(spark, d):
 @query
 def macd(spark, d):
     df = indicators.macd(tables.brand_bars(spark, d))
-    return df.select("symbol", "i", *(F.round(F.col(c) / F.col("close"), 5).alias(f"{c}_rel") for c in ("macd_line", "macd_signal", "macd_hist")))
+    return df.select("symbol", "i", *(rnd(F.col(c) / F.col("close"), 5).alias(f"{c}_rel") for c in ("macd_line", "macd_signal", "macd_hist")))
 
 
 @query
 def atr14(spark, d):
     df = indicators.atr(tables.brand_bars(spark, d))
-    return df.select("symbol", "i", F.round(F.col("tr") / F.col("close"), 6).alias("tr_rel"), F.round(F.col("atr") / F.col("close"), 6).alias("atr_rel"))
+    return df.select("symbol", "i", rnd(F.col("tr") / F.col("close"), 6).alias("tr_rel"), rnd(F.col("atr") / F.col("close"), 6).alias("atr_rel"))
 
 
 @query
@@ -106,8 +111,8 @@ def obv(spark, d):
 @query
 def indicator_set(spark, d):
     df = indicators.compute(tables.brand_bars(spark, d))
-    rel = [F.round(F.col(c) / F.col("close"), 5).alias(f"{c}_rel") for c in ("macd_hist", "ema20", "ema50", "ema200", "atr")]
-    return df.select("symbol", "i", *rel, *(F.round(c, 4).alias(c) for c in ("rsi", "adx", "plus_di", "minus_di")))
+    rel = [rnd(F.col(c) / F.col("close"), 5).alias(f"{c}_rel") for c in ("macd_hist", "ema20", "ema50", "ema200", "atr")]
+    return df.select("symbol", "i", *rel, *(rnd(c, 4).alias(c) for c in ("rsi", "adx", "plus_di", "minus_di")))
 
 
 @query
@@ -214,24 +219,24 @@ def score_reasons(spark, d):
 @query
 def entry_plan(spark, d):
     df = trades.entry_plan(indicators.compute(tables.brand_bars(spark, d)))
-    return df.select("symbol", "i", F.round(F.col("limit_price") / F.col("close"), 6).alias("limit_rel"))
+    return df.select("symbol", "i", rnd(F.col("limit_price") / F.col("close"), 6).alias("limit_rel"))
 
 
 @query
 def entry_fill(spark, d):
     df = trades.entry_fill(indicators.compute(tables.brand_bars(spark, d)), Config())
-    return df.select("symbol", "i", F.round(F.col("entry_px") / F.col("close"), 6).alias("entry_rel"), "entry_off")
+    return df.select("symbol", "i", rnd(F.col("entry_px") / F.col("close"), 6).alias("entry_rel"), "entry_off")
 
 
 @query
 def trade_plan(spark, d):
     df = market(spark, d).keep().planned
     cols = [f"{s}_{c}" for s in ("long", "short") for c in ("stop", "target")]
-    return df.select("symbol", "i", *(F.round(F.col(c) / F.col("entry_px"), 5).alias(c) for c in cols))
+    return df.select("symbol", "i", *(rnd(F.col(c) / F.col("entry_px"), 5).alias(c) for c in cols))
 
 
 def _exits(df: DataFrame) -> DataFrame:
-    return df.select("symbol", "i", "outcome", F.col("bars_held").cast("int").alias("bars_held"), F.round("ret", 6).alias("ret"))
+    return df.select("symbol", "i", "outcome", F.col("bars_held").cast("int").alias("bars_held"), rnd("ret", 6).alias("ret"))
 
 
 @query
@@ -257,7 +262,7 @@ def exit_breakeven(spark, d):
 @query
 def first_stop(spark, d):
     df = market(spark, d).keep().planned
-    return df.select("symbol", "i", F.round(trades.first_stop(F.col("limit_price"), F.col("long_stop"), F.col("atr"), 5.0) / F.col("close"), 5).alias("first_stop_rel"))
+    return df.select("symbol", "i", rnd(trades.first_stop(F.col("limit_price"), F.col("long_stop"), F.col("atr"), 5.0) / F.col("close"), 5).alias("first_stop_rel"))
 
 
 # --- replay ---------------------------------------------------------------------
@@ -274,7 +279,7 @@ def replayed(spark, d) -> tuple[replay.Market, DataFrame]:
 @query
 def wf(spark, d):
     _, w = replayed(spark, d)
-    return w.select("symbol", "i", "bull_score", "bear_score", F.round("long_ret", 6).alias("long_ret"), "long_bars", "long_outcome", F.round("short_ret", 6).alias("short_ret"), "short_bars", "short_outcome", F.round("future_return", 6).alias("future_return"))
+    return w.select("symbol", "i", "bull_score", "bear_score", rnd("long_ret", 6).alias("long_ret"), "long_bars", "long_outcome", rnd("short_ret", 6).alias("short_ret"), "short_bars", "short_outcome", rnd("future_return", 6).alias("future_return"))
 
 
 @query
@@ -384,7 +389,7 @@ def buy_hold(spark, d):
 
 @query
 def equal_weight_bh(spark, d):
-    return performance.equal_weight(tables.brand_bars(spark, d)).select("bar", "ts", F.round("curve", 6).alias("curve"))
+    return performance.equal_weight(tables.brand_bars(spark, d)).select("bar", "ts", rnd("curve", 6).alias("curve"))
 
 
 @query
@@ -414,7 +419,7 @@ def _dimension(spark, d) -> DataFrame:
 
 @query
 def cost_model(spark, d):
-    return _dimension(spark, d).withColumn("cost", F.round(stats.round_trip_cost(F.col("symbol"), F.col("etf")), 9))
+    return _dimension(spark, d).withColumn("cost", rnd(stats.round_trip_cost(F.col("symbol"), F.col("etf")), 9))
 
 
 @query
@@ -426,7 +431,7 @@ def exit_policy_lookup(spark, d):
 @query
 def wilson(spark, d):
     o = tables.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("wins"))
-    return o.withColumn("lower", F.round(stats.wilson_lower(F.col("wins"), F.col("n")), 9))
+    return o.withColumn("lower", rnd(stats.wilson_lower(F.col("wins"), F.col("n")), 9))
 
 
 @query
@@ -463,7 +468,7 @@ def _positions(bars: DataFrame) -> DataFrame:
 def positions_track(spark, d):
     ind = indicators.compute(tables.brand_bars(spark, d)).persist()
     t = tracking.track_positions(_positions(ind), ind)
-    return t.select("symbol", "n_bars", "locked_in", "breached", *(F.round(F.col(c) / F.col("entry_price"), 5).alias(f"{c}_rel") for c in ("peak", "last", "stop")), F.round("unrealized", 6).alias("unrealized"), F.round("unrealized_r", 4).alias("unrealized_r"))
+    return t.select("symbol", "n_bars", "locked_in", "breached", *(rnd(F.col(c) / F.col("entry_price"), 5).alias(f"{c}_rel") for c in ("peak", "last", "stop")), rnd("unrealized", 6).alias("unrealized"), rnd("unrealized_r", 4).alias("unrealized_r"))
 
 
 @query

@@ -319,6 +319,8 @@ def _assemble(final: str) -> str:
                 need(PARTS[name], name)
                 placed.setdefault(name, PARTS[name])
 
+    # Without a sign on zero, as in the catalogue.
+    final = re.sub(r"round\((.+?), (\d+)\) AS", r"(round(\1, \2) + 0) AS", final, flags=re.S)
     need(final)
     final = final.replace("events_table", "events")
     if not placed:
