@@ -394,17 +394,17 @@ def equal_weight_bh(spark, d):
 
 @query
 def corr_pairs(spark, d):
-    return rounded(performance.correlations(tables.brand_bars(spark, d), 1500, 30), 6, "rho")
+    return rounded(performance.correlations(tables.event_bars(spark, d), 252, 30), 6, "rho")
 
 
 @query
 def n_eff(spark, d):
-    return rounded(performance.effective_number(performance.correlations(tables.brand_bars(spark, d), 1500, 30)), 6, "mean_rho", "n_eff", "ratio")
+    return rounded(performance.effective_number(performance.correlations(tables.event_bars(spark, d), 252, 30)), 6, "mean_rho", "n_eff", "ratio")
 
 
 @query
 def high_corr_pairs(spark, d):
-    p = performance.correlations(tables.brand_bars(spark, d), 1500, 30)
+    p = performance.correlations(tables.event_bars(spark, d), 252, 30)
     return rounded(p.orderBy(F.desc("rho"), "a", "b").limit(5), 6, "rho")
 
 

@@ -55,7 +55,7 @@ PARTS: dict[str, str] = {
         SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY CASE WHEN kind = 'high' THEN price ELSE -price END DESC, seq DESC) AS rn FROM (
           SELECT *, sum(turn) OVER (PARTITION BY symbol ORDER BY seq) AS run FROM (
             SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY symbol ORDER BY seq) = kind THEN 0 ELSE 1 END AS turn FROM raw_swings))) WHERE rn = 1)""",
-    "events": """
+    "breaks": """
       SELECT *, CASE WHEN lag(side) OVER w IS NULL OR lag(side) OVER w = side THEN 'BOS' ELSE 'CHoCH' END AS type FROM (
         SELECT s.symbol, min(b.i) AS i, arg_min(b.close, b.i) AS price, CASE WHEN s.kind = 'high' THEN 'bullish' ELSE 'bearish' END AS side,
                s.price AS broken_level, s.i AS broken_i
@@ -66,7 +66,7 @@ PARTS: dict[str, str] = {
     "obs0": """
       SELECT symbol, start_i, side, min(event_i) AS event_i, any_value(top) AS top, any_value(bottom) AS bottom FROM (
         SELECT e.symbol, e.i AS event_i, e.side, max(b.i) AS start_i, arg_max(b.high, b.i) AS top, arg_max(b.low, b.i) AS bottom
-        FROM events e JOIN bars b ON b.symbol = e.symbol AND b.i >= e.broken_i AND b.i < e.i
+        FROM breaks e JOIN bars b ON b.symbol = e.symbol AND b.i >= e.broken_i AND b.i < e.i
           AND CASE WHEN e.side = 'bullish' THEN b.close < b.open ELSE b.close > b.open END
         GROUP BY e.symbol, e.i, e.side) GROUP BY symbol, start_i, side""",
     "obs": """
@@ -121,7 +121,7 @@ PARTS: dict[str, str] = {
         ON o.symbol = r.symbol AND o.end_i <= r.i AND coalesce(o.filled_i, 1000000000) > r.i AND rmin <= o.top AND rmax >= o.bottom GROUP BY ALL) g ON g.symbol = r.symbol AND g.i = r.i
       LEFT JOIN (SELECT r.symbol, r.i, max(CAST(kind = 'EQL' AND close > price AS INTEGER)) AS bull, max(CAST(kind = 'EQH' AND close < price AS INTEGER)) AS bear
         FROM recent r JOIN pools p ON p.symbol = r.symbol AND p.swept_i BETWEEN r.i - 2 AND r.i GROUP BY ALL) s ON s.symbol = r.symbol AND s.i = r.i
-      ASOF LEFT JOIN events e ON e.symbol = r.symbol AND e.i <= r.i""",
+      ASOF LEFT JOIN breaks e ON e.symbol = r.symbol AND e.i <= r.i""",
     "scores": """
       SELECT symbol, i, CAST(15 * bull_zone + 15 * bull_order_block + 10 * bull_fvg + 15 * bull_choch + 8 * bull_bos + 7 * bull_sweep + 5 * (bull_rsi + bull_macd + bull_ema_stack + bull_adx_di) AS INTEGER) AS bull_score,
              CAST(15 * bear_zone + 15 * bear_order_block + 10 * bear_fvg + 15 * bear_choch + 8 * bear_bos + 7 * bear_sweep + 5 * (bear_rsi + bear_macd + bear_ema_stack + bear_adx_di) AS INTEGER) AS bear_score
@@ -195,13 +195,18 @@ PARTS["picks"] = """
          coalesce(ok.n, best.n) AS n, coalesce(ok.expectancy, best.expectancy) AS expectancy, coalesce(ok.lb, best.lb) AS expectancy_lb
   FROM (SELECT symbol, side, arg_min(s, threshold) FILTER (n >= 30 AND expectancy_lb > 0) AS ok, arg_max(s, expectancy_lb) FILTER (n >= 30 AND expectancy_lb IS NOT NULL) AS best
     FROM (SELECT *, {'threshold': threshold, 'n': n, 'expectancy': expectancy, 'lb': expectancy_lb} AS s FROM sweep WHERE threshold >= 0) GROUP BY symbol, side)"""
+PARTS["event_bars"] = """
+  SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, CAST(row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('hour', ts)) - 1 AS INTEGER) AS i,
+        first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
+        FROM events GROUP BY event_type, date_trunc('hour', ts)"""
+PARTS["event_rets"] = "SELECT symbol, ts, i, close / lag(close) OVER (PARTITION BY symbol ORDER BY i) - 1 AS ret FROM event_bars QUALIFY ret IS NOT NULL"
 PARTS["rets"] = "SELECT symbol, ts, i, close / lag(close) OVER (PARTITION BY symbol ORDER BY i) - 1 AS ret FROM bars QUALIFY ret IS NOT NULL"
 PARTS["pairs"] = """
   SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS rho FROM common a JOIN common b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY ALL"""
 PARTS["common"] = """
   SELECT * FROM lately WHERE ts IN (SELECT ts FROM lately GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM lately))"""
 PARTS["lately"] = """
-  SELECT symbol, ts, ret FROM rets QUALIFY count(*) OVER (PARTITION BY symbol) >= 30 AND row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 1500"""
+  SELECT symbol, ts, ret FROM event_rets QUALIFY count(*) OVER (PARTITION BY symbol) >= 30 AND row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 252"""
 PARTS["barriers"] = """
   SELECT symbol, i, CASE WHEN js IS NOT NULL AND (jw IS NULL OR js <= jw) THEN 'stop' WHEN jw IS NOT NULL THEN 'target' ELSE 'timeout' END AS outcome FROM (
     SELECT e.symbol, e.i, min(CASE WHEN b.low <= e.close - 1.5::DOUBLE * e.atr THEN b.i END) AS js, min(CASE WHEN b.high >= e.close + 2 * (1.5::DOUBLE * e.atr) THEN b.i END) AS jw
@@ -216,9 +221,7 @@ PARTS["positions"] = """
 #: The queries proper.
 FINAL: dict[str, str] = {
     "bars_daily": "SELECT * FROM bars",
-    "bars_hourly": """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, CAST(row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('hour', ts)) - 1 AS INTEGER) AS i,
-        first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
-        FROM events_table GROUP BY event_type, date_trunc('hour', ts)""",
+    "bars_hourly": "SELECT * FROM event_bars",
     "bars_resample": "SELECT symbol, CAST(date_trunc('month', ts) AS TIMESTAMP) AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume FROM bars GROUP BY symbol, date_trunc('month', ts)",
     "calendar_union": "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar FROM (SELECT DISTINCT ts FROM bars)",
     "returns_daily": "SELECT symbol, ts, i, round(ret, 9) AS ret FROM rets",
@@ -236,8 +239,8 @@ FINAL: dict[str, str] = {
     "dist_to_discount": "SELECT symbol, i, CASE WHEN count(*) OVER w = 50 THEN round((close - (max(high) OVER w + min(low) OVER w) / 2) / nullif(max(high) OVER w - min(low) OVER w, 0), 6) END AS dist_to_discount FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)",
     "swings_raw": "SELECT symbol, i, kind, price, conf_i FROM raw_swings",
     "swing_labels": "SELECT symbol, i, kind, price, conf_i, label FROM swings",
-    "structure_events": "SELECT symbol, i, price, type, side, broken_level, broken_i FROM events",
-    "structure_counts": "SELECT symbol, side, type, count(*) AS n FROM events GROUP BY ALL",
+    "structure_events": "SELECT symbol, i, price, type, side, broken_level, broken_i FROM breaks",
+    "structure_counts": "SELECT symbol, side, type, count(*) AS n FROM breaks GROUP BY ALL",
     "order_blocks": "SELECT * FROM obs",
     "price_gaps": """SELECT g.symbol, g.start_i, g.end_i, g.side, g.top, g.bottom, min(b.i) AS filled_i FROM (SELECT * FROM gaps0 WHERE (top - bottom) / ref >= 0.5) g
         LEFT JOIN bars b ON b.symbol = g.symbol AND b.i > g.end_i AND CASE WHEN g.side = 'bullish' THEN b.low <= g.top ELSE b.high >= g.bottom END GROUP BY g.symbol, g.start_i, g.end_i, g.side, g.top, g.bottom""",
@@ -283,7 +286,7 @@ FINAL: dict[str, str] = {
         FROM (SELECT c_custkey, (c_custkey % 70 + 10) / 100::DOUBLE AS budget FROM customer)""",
     "wilson": f"SELECT o_custkey, n, wins, round({_wilson(1.96, '(wins / n)', 'n')}, 9) AS lower FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS wins FROM orders GROUP BY o_custkey)",
     "barrier_exhaustive": "SELECT symbol, wins, n, round(timeout_rate, 6) AS timeout_rate FROM barrier_stats",
-    "kelly_sizing": f"""SELECT symbol, wins, n, round(timeout_rate, 6) AS timeout_rate, round(p, 6) AS p_lower, CASE WHEN n >= 100 THEN round(k, 6) END AS kelly_full,
+    "kelly_sizing": f"""SELECT symbol, wins, n, round(timeout_rate, 6) AS timeout_rate, round(p, 6) AS p_lower, round(CASE WHEN n >= 100 THEN k END, 6) AS kelly_full,
         round(CASE WHEN n < 100 OR p <= 1 / 3::DOUBLE OR p IS NULL THEN 0 ELSE least(k / 4, 0.2::DOUBLE) END, 6) AS fraction,
         CASE WHEN n < 100 THEN 'few_samples' WHEN p <= 1 / 3::DOUBLE THEN 'below_break_even' WHEN k / 4 > 0.2 THEN 'capped' ELSE 'kelly' END AS reason
         FROM (SELECT *, greatest((p * 2 - (1 - p)) / 2, 0) AS k FROM (SELECT *, CASE WHEN n > 0 THEN {_wilson(1.96, '(wins / n)', 'n')} END AS p FROM barrier_stats))""",
@@ -322,7 +325,6 @@ def _assemble(final: str) -> str:
     # Without a sign on zero, as in the catalogue.
     final = re.sub(r"round\((.+?), (\d+)\) AS", r"(round(\1, \2) + 0) AS", final, flags=re.S)
     need(final)
-    final = final.replace("events_table", "events")
     if not placed:
         return final
     lead = ",\n".join(f"{n} AS ({t})" for n, t in placed.items())
