@@ -17,7 +17,7 @@ from barwright.llm import (
     decision_list, decontaminate, line_spread, near_dup, queries, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules,
 )
 from barwright.llm.common import cut
-from barwright.llm.components import components
+from barwright.llm.components import components, join_components
 
 MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, rule string, n long, kept int"
@@ -68,7 +68,7 @@ def shingles(t, width):
     return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("width,near,region", [(2, (1, 24), 512), (5, (1,), 4)])
+@pytest.mark.parametrize("width,near,region", [(2, (1, 4), 512), (5, (1,), 4)])
 def test_near_duplicates_equal_brute_force(spark, texts, width, near, region):
     got = {r.doc_id: r for r in near_dup.link_documents(docs_of(spark, texts), width, near=near, region=region).collect()}
     sets = [shingles(t, width) for t in texts]
@@ -89,6 +89,19 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 300), (None, 4)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {i: 0 for i in range(201)} | {300: 300, 500: 300}
+    more = join_components(components(links), spark.createDataFrame([(77, 500), (600, 601)], "u long, v long"))
+    assert {r.node: r.component for r in more.collect()} == {i: 0 for i in range(201)} | {300: 0, 500: 0, 600: 600, 601: 600}
+
+
+def test_components_of_random_links(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    low = list(range(300))
+    for _ in range(300):
+        for u, v in links:
+            low[u] = low[v] = min(low[u], low[v])
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {x: low[x] for u, v in links if u != v for x in (u, v)}
 
 
 # --- 2 ------------------------------------------------------------------------
