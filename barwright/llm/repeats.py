@@ -36,7 +36,7 @@ from .common import small_batches
 from .run_index import RunIndex
 
 #: Text bytes behind one chunk of documents and one bucket of minimizers.
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 _SLAB = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
@@ -149,6 +149,7 @@ def _covered(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.nd
     g_low = pd.Series(low).groupby(group).transform("min").to_numpy()
     g_size = pd.Series(group).groupby(group).transform("size").to_numpy()
     ask = np.flatnonzero((g_size > 1) & (low > g_low))
+    ask = ask[np.argsort(group[ask], kind="stable")]  # strings that a group's texts share are then asked for once
     if len(ask):
         within = np.flatnonzero(g_size > 1)
         index = RunIndex([bytes(t) for t in texts[within]], low[within], length)
@@ -160,9 +161,9 @@ def _covered(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.nd
         earliest = np.empty(len(which), np.int64)
         for a in range(0, len(which), 100_000):
             s = slice(a, a + 100_000)
-            strings = rows[which[s, None], offset[s, None] + np.arange(length)]
+            strings = rows[which[s, None], offset[s, None] + np.arange(length - 1, -1, -1)]  # last byte first
             distinct, back = np.unique(np.ascontiguousarray(strings).view(f"S{length}").ravel(), return_inverse=True)
-            lo, hi, _ = index.match(np.frombuffer(distinct.tobytes(), np.uint8).reshape(len(distinct), length))
+            lo, hi, _ = index.match(np.frombuffer(distinct.tobytes(), np.uint8).reshape(len(distinct), length)[:, ::-1])
             earliest[s] = index.earliest(lo, hi)[back]
         hit = earliest < low[ask][which]
         begin = hit & ~(np.append(False, hit[:-1]) & np.append(False, which[1:] == which[:-1]))

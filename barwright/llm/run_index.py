@@ -64,24 +64,41 @@ class RunIndex:
         return np.where(own, inside, 0), run
 
     def match(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For rows of equally long strings that occur: first and last row of each range, and the position of its first row."""
+        """For rows of equally long strings that occur: first and last row of each range, and the position of its first row.
+
+        A string's search ends as soon as one row is left: it occurs once.
+        Rows that are in order from their last byte backwards share their
+        first steps, which keeps what they read close together.
+        """
         many, length = strings.shape
-        lo, hi = np.zeros(many, np.int64), np.full(many, self.n, np.int64)
-        at = np.zeros(many, np.int64)
+        lo, hi, at = np.zeros(many, np.int64), np.full(many, self.n, np.int64), np.zeros(many, np.int64)
+        live = np.arange(many)
         for k in range(length - 1, -1, -1):
-            c = strings[:, k].astype(np.int64)
-            a, run = self._rank(c, lo)
-            b, _ = self._rank(c, hi)
+            c, low = strings[live, k].astype(np.int64), lo[live]
+            by_key = np.argsort(c * (self.n + 1) + low)  # look-ups in order are several times quicker
+            live, c, low = live[by_key], c[by_key], low[by_key]
+            high = hi[live]
+            a, run = self._rank(c, low)
+            b, _ = self._rank(c, high)
             # The first row with c in the range: the range's own first row, or the start of the next run of c.
             r = np.maximum(run, 0)
-            same = (run >= self.char_runs[c]) & (lo < self.run_first[r] + self.run_size[r]) & (lo > self.run_first[r])
+            same = (run >= self.char_runs[c]) & (low < self.run_first[r] + self.run_size[r]) & (low > self.run_first[r])
             following = np.minimum(run + 1, len(self.run_sample) - 1)
-            at = np.where(same, at, self.run_sample[following]) - 1
-            lo, hi = self.char_rows[c] + a, self.char_rows[c] + b
+            at[live] = np.where(same, at[live], self.run_sample[following]) - 1
+            lo[live], hi[live] = self.char_rows[c] + a, self.char_rows[c] + b
+            live = live[hi[live] - lo[live] > 1]
+            if not len(live):
+                break
         return lo, hi, at
 
     def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Lowest owner in each range; ranges of equally long strings are equal or apart."""
+        """Lowest owner in each range, the highest number for a range of one row; ranges of equally long strings are equal or apart."""
+        out, several = np.full(len(lo), np.iinfo(np.int64).max), np.flatnonzero(hi - lo > 1)
+        if len(several):
+            out[several] = self._lowest(lo[several], hi[several])
+        return out
+
+    def _lowest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         starts, back = np.unique(lo, return_inverse=True)
         ends = np.zeros(len(starts), np.int64)
         ends[back] = hi
