@@ -150,12 +150,10 @@ def random_entries(bars: DataFrame, draws: int, seed: int, warmup: int, holding:
     n = bars.groupBy("symbol").agg(F.max("i").alias("_n"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for s, last in zip(b["symbol"], b["_n"], strict=True):
-            rng = np.random.default_rng([seed, *s.encode()])
-            if last + 1 - holding - 2 > warmup:
-                out.append(pd.DataFrame({"symbol": s, "draw": np.arange(draws), "i": rng.integers(warmup, last + 1 - holding - 2, draws)}))
-        return pd.concat(out) if out else pd.DataFrame({"symbol": [], "draw": [], "i": []})
+        symbol, end = b["symbol"].iloc[0], int(b["_n"].iloc[0]) + 1 - holding - 2
+        k = draws if end > warmup else 0
+        drawn = np.random.default_rng([seed, *symbol.encode()]).integers(warmup, max(end, warmup + 1), k)
+        return pd.DataFrame({"symbol": np.full(k, symbol, object), "draw": np.arange(k), "i": drawn})
 
     return n.groupBy("symbol").applyInPandas(run, "symbol string, draw int, i int")
 
