@@ -5,17 +5,20 @@ lowered; with fewer words, the whole sequence is one shingle.  Documents with
 equal sets meet by fingerprint.  Of the different sets, each has a signature
 of minima, and each tree of the forest sorts the signatures from another
 place on, as a cyclic order.  Neighbours in a sorted order with the longest
-common prefixes are candidates.  A region (the signatures with a common
-prefix of ``min_depth`` minima) with more than ``region`` members is divided
-by one more minimum, as often as needed up to the label's depth, and what is
-still larger into chunks that are linked by their first members.
+common prefixes are candidates.  For near neighbours, a region (the signatures with
+a common prefix of ``min_depth`` minima) with more than ``region`` members is
+divided by one more minimum, as often as needed up to the label's depth, and
+what is still larger into chunks that are linked by their first members.
 
 Candidates are compared by their full sets: linked if
 100 * intersection >= 100 * similarity * union.  Where a region still holds
 members of different components, more distant neighbours are compared,
-until the neighbourhood covers the region; so no pair of a region is lost to
-the number of neighbours, only pairs that share a region in none of the
-trees (about 1 in 5000 at a similarity of exactly 0.8).
+until the neighbourhood covers the region.  Members of crowded regions, those
+that had to be divided, are instead joined on the rare shingles of their full
+sets (see prefix_join), which finds all their links.  So no pair of a region
+of ``min_depth`` minima is lost, however many members it has, only pairs that
+share such a region in none of the trees (about 1 in 5000 at a similarity of
+exactly 0.8).
 
 Null and empty texts have empty sets and are linked with nothing.  Rows with
 a null doc_id are returned with a null component, kept.  Rows that share a
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .components import components, join_components
+from .prefix_join import pairs_apart
 
 MINIMA = 64
 #: Candidates' ids (8 bytes each) up to which they are broadcast.
@@ -128,7 +132,7 @@ def set_links(a: Column, b: Column, percent: int) -> Column:
 
 
 class Forest:
-    """Regions of the sorted signature orders: tree, region, label, node, n."""
+    """Regions of the sorted signature orders: tree, region, label, node, n; crowded ones are divided."""
 
     def __init__(self, nodes: DataFrame, trees: int = 16, min_depth: int = 4, max_depth: int = 8, region: int = 512):
         self.region = region
@@ -142,7 +146,10 @@ class Forest:
         while True:
             size = rows.groupBy("tree", "region").count().where("count > 1")
             dense = cut(rows.join(size, ["tree", "region"]), "forest")
+            dense = dense.withColumn("crowded", F.lit(depth > min_depth) | (F.col("count") > region))
             settled.append(dense.where(F.col("count") <= region))
+            if depth == min_depth:
+                self.crowded = cut(dense.where("crowded").select("node").distinct(), "crowded")
             rows = dense.where(F.col("count") > region)
             if rows.isEmpty():
                 break
@@ -150,7 +157,7 @@ class Forest:
                 settled.append(rows)
                 break
             depth += 1
-            rows = rows.drop("count").withColumn("region", F.substring("label", 1, 4 * depth))
+            rows = rows.drop("count", "crowded").withColumn("region", F.substring("label", 1, 4 * depth))
         chunk = F.when(F.col("count") > region, F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / region))).otherwise(0)
         out = settled[0]
         for x in settled[1:]:
@@ -202,7 +209,10 @@ def link_documents(
     found = components(confirmed(forest.neighbours(near[0])))
     for k, n in enumerate((*near[1:], region)):
         # Regions larger than the neighbourhood so far that hold more than one component.
-        open_rows = forest.rows.where(F.col("count") > near[k] + 1).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # Crowded ones get only near neighbours here: the exact join below takes all of their members.
+        rows = forest.rows.where(F.col("count") > near[k] + 1)
+        rows = rows if n in near else rows.where("NOT crowded")
+        open_rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = open_rows.groupBy("tree", "region", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         rest = cut(open_rows.join(mixed.select("tree", "region", "chunk"), ["tree", "region", "chunk"], "left_semi"), "mixed")
         if rest.isEmpty():
@@ -212,6 +222,9 @@ def link_documents(
         if more.isEmpty():
             continue
         found = join_components(found, more)
+    if not forest.crowded.isEmpty():
+        members = full.join(forest.crowded, "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        found = join_components(found, confirmed(pairs_apart(cut(members, "members"), percent)))
     labels = sets.select("fingerprint", "node").join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
     out = meta.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint").join(labels, "fingerprint", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -85,6 +85,25 @@ def test_near_duplicates_equal_brute_force(spark, texts, width, near, region):
     assert all(got[i].n_shingles == len(sets[i]) and got[i].kept == (low[i] == i) for i in got)
 
 
+def test_crowded_regions_lose_no_links(spark):
+    """Many small components that share most minima of one template, in regions far over the limit."""
+    rng = random.Random(8)
+    made = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = made(151), []
+    for _ in range(100):
+        own = made(20)
+        texts += [" ".join(template + own + made(19)) for _ in range(2)]
+    rng.shuffle(texts)
+    sets = [shingles(t, 2) for t in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 80 * len(a | b)]
+    low = list(range(len(texts)))
+    for i, j in links:
+        low[i] = low[j]
+    assert len(links) == 100
+    got = {r.doc_id: r.component_id for r in near_dup.link_documents(docs_of(spark, texts), 2, region=4).collect()}
+    assert [got[i] for i in range(len(texts))] == low
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 300), (None, 4)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
