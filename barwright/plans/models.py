@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
@@ -42,7 +44,8 @@ def _assembled(rows: DataFrame) -> DataFrame:
 def gated_probability(ind: DataFrame, horizon: int = 5, folds: int = 5, least_rows: int = 80, least_share: float = 0.08, least_auc: float = 0.55) -> DataFrame:
     """Pooled model of all symbols: probability of a rise at each symbol's last bar, null unless its out-of-sample AUC is good enough.
 
-    Folds are blocks of time; each is judged by a model of the blocks before.
+    Folds are blocks of time; each is judged by a model of the blocks before, and
+    the AUC is the mean over the folds that hold both classes.
     """
     rows = labels(features(ind), horizon).dropna(subset=list(FEATURES))
     n = F.count("*").over(Window.partitionBy("symbol"))
@@ -53,12 +56,17 @@ def gated_probability(ind: DataFrame, horizon: int = 5, folds: int = 5, least_ro
     none = last.select("symbol", "i", F.lit(None).cast("double").alias("prob_up"), F.lit(None).cast("double").alias("auc"), F.lit(total).alias("trained_rows"))
     if not total or total < least_rows or min(ones, total - ones) / total < least_share:
         return none
-    model = lambda: GBTClassifier(featuresCol="x", labelCol="label", maxIter=20, maxDepth=2, stepSize=0.1, seed=42)
-    judge, aucs = BinaryClassificationEvaluator(labelCol="label"), []
-    for k in (folds,):  # the last block; earlier ones tell the same at several times the cost
-        train, test = rows.where(F.col("fold") < k), rows.where(F.col("fold") == k)
-        if min(test.select("label").distinct().count(), train.select("label").distinct().count()) == 2:
-            aucs.append(judge.evaluate(model().fit(train).transform(test)))
+    model = lambda: GBTClassifier(featuresCol="x", labelCol="label", maxIter=120, maxDepth=2, stepSize=0.05, seed=42)
+    judge = BinaryClassificationEvaluator(labelCol="label")
+    held = {(r["fold"], r["label"]) for r in rows.select("fold", "label").distinct().collect()}  # two for each fold
+    both = lambda ks: len({y for f, y in held if f in ks}) == 2
+    able = [k for k in range(1, folds + 1) if both((k,)) and both(range(k))]
+
+    def fold_auc(k: int) -> float:
+        return judge.evaluate(model().fit(rows.where(F.col("fold") < k)).transform(rows.where(F.col("fold") == k)))
+
+    with ThreadPoolExecutor(folds) as pool:  # the folds don't depend on each other
+        aucs = list(pool.map(fold_auc, able))
     auc = float(np.mean(aucs)) if aucs else None
     if auc is None or auc < least_auc:
         return none.withColumn("auc", F.lit(auc).cast("double"))

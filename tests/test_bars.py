@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from barwright.functions import recur, stats
 from barwright.operators import asof, bars as B, indicators, performance, replay, structure, tracking, trades
-from barwright.plans import report
+from barwright.plans import catalogue, models, report
 from barwright.plans.config import Config
 from barwright.sources import sinks, tables
 
@@ -220,3 +220,14 @@ def test_markers_stay_in_chart(b):
     t = b.where("i IN (10, 250)").select("symbol", F.col("i").alias("entry_i"), (F.col("i") + 500).alias("exit_i"), F.lit(None).cast("double").alias("entry_px"), F.lit(None).cast("double").alias("exit_px"), F.lit(0.1).alias("ret"))
     m = report.trade_markers(t, b).collect()
     assert {r.entry_i for r in m} == {250} and {r.exit_i for r in m} == {299} and all(r.entry_px is not None for r in m)
+
+
+def test_gate_averages_all_folds(spark, sf, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    made, judged, real = [], [], models.BinaryClassificationEvaluator.evaluate
+    monkeypatch.setattr(models, "GBTClassifier", lambda **how: made.append(how) or LogisticRegression(featuresCol="x", labelCol="label", maxIter=3))
+    monkeypatch.setattr(models.BinaryClassificationEvaluator, "evaluate", lambda self, df: judged.append((df.first().fold, real(self, df))) or judged[-1][1])
+    got = models.gated_probability(indicators.compute(tables.brand_bars(spark, sf)), least_auc=0.0).collect()
+    assert sorted(k for k, _ in judged) == [1, 2, 3, 4, 5] and abs(got[0].auc - sum(a for _, a in judged) / 5) < 1e-9
+    assert all((how["maxIter"], how["stepSize"]) == (120, 0.05) for how in made)
