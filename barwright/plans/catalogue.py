@@ -508,7 +508,7 @@ def ml_labels(spark, d):
 
 @query
 def ml_gate(spark, d):
-    return models.gated_probability(indicators.compute(tables.brand_bars(spark, d)).where("symbol LIKE '%1'"), horizon=5)
+    return models.gated_probability(indicators.compute(tables.brand_bars(spark, d)), horizon=5)
 
 
 @query

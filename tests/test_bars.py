@@ -222,6 +222,13 @@ def test_markers_stay_in_chart(b):
     assert {r.entry_i for r in m} == {250} and {r.exit_i for r in m} == {299} and all(r.entry_px is not None for r in m)
 
 
+def test_gate_takes_every_symbol(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "gated_probability", lambda ind, **_: seen.append(ind.select("symbol").distinct().count()))
+    catalogue.QUERIES["ml_gate"](spark, sf)
+    assert seen == [tables.brand_bars(spark, sf).select("symbol").distinct().count()]
+
+
 def test_gate_averages_all_folds(spark, sf, monkeypatch):
     from pyspark.ml.classification import LogisticRegression
 
