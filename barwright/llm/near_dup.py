@@ -12,11 +12,10 @@ what is still larger into chunks that are linked by their first members.
 
 Candidates are compared by their full sets: linked if
 100 * intersection >= 100 * similarity * union.  Where a region still holds
-members of different components, more distant neighbours are compared,
-until the neighbourhood covers the region.  Members of crowded regions, those
-that had to be divided, are instead joined on the rare shingles of their full
-sets (see prefix_join), which finds all their links.  So no pair of a region
-of ``min_depth`` minima is lost, however many members it has, only pairs that
+members of different components after that, and in all regions that had to be
+divided, the members are joined on the rare shingles of their full sets (see
+prefix_join), which finds all their links.  So no pair of a region of
+``min_depth`` minima is lost, however many members it has, only pairs that
 share such a region in none of the trees (about 1 in 5000 at a similarity of
 exactly 0.8).
 
@@ -207,23 +206,25 @@ def link_documents(
         return both.select("u", "v", set_links(F.col("a"), F.col("b"), percent).alias("ok")).where("ok").select("u", "v")
 
     found = components(confirmed(forest.neighbours(near[0])))
-    for k, n in enumerate((*near[1:], region)):
-        # Regions larger than the neighbourhood so far that hold more than one component.
-        # Crowded ones get only near neighbours here: the exact join below takes all of their members.
-        rows = forest.rows.where(F.col("count") > near[k] + 1)
-        rows = rows if n in near else rows.where("NOT crowded")
-        open_rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = open_rows.groupBy("tree", "region", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        rest = cut(open_rows.join(mixed.select("tree", "region", "chunk"), ["tree", "region", "chunk"], "left_semi"), "mixed")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Rows of chunks that hold more than one component so far."""
+        rows = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        of = rows.groupBy("tree", "region", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return cut(rows.join(of.select("tree", "region", "chunk"), ["tree", "region", "chunk"], "left_semi"), "mixed")
+
+    for k, n in enumerate(near[1:]):
+        rest = mixed(forest.rows.where(F.col("count") > near[k] + 1))
         if rest.isEmpty():
             break
-        apart = _apart(forest, rest, n)
-        more = cut(confirmed(apart), "confirmed")
-        if more.isEmpty():
-            continue
-        found = join_components(found, more)
-    if not forest.crowded.isEmpty():
-        members = full.join(forest.crowded, "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        more = cut(confirmed(_apart(forest, rest, n)), "confirmed")
+        if not more.isEmpty():
+            found = join_components(found, more)
+    # Regions larger than the neighbourhood so far: all links between their members, also across what crowded ones were divided into.
+    rest = mixed(forest.rows.where((F.col("count") > near[-1] + 1) & ~F.col("crowded"))).select("node")
+    left = cut(rest.unionByName(forest.crowded).distinct(), "left")
+    if not left.isEmpty():
+        members = full.join(left, "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         found = join_components(found, confirmed(pairs_apart(cut(members, "members"), percent)))
     labels = sets.select("fingerprint", "node").join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
     out = meta.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint").join(labels, "fingerprint", "left")
