@@ -78,11 +78,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
     small_batches(spark, 1000, 8)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", sentpiece.encode(F.col("text"), model).alias("ids"))
-    return docs.select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
-        F.replace("text", F.lit("\u2581"), F.lit(" ")).eqNullSafe(sentpiece.decode(F.col("ids"), model)).alias("round_trip"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", sentpiece.encode_checked(F.col("text"), model).alias("e"))
+    return docs.select("doc_id", F.size("e.ids").cast("long").alias("n_pieces"), F.xxhash64("e.ids").alias("ids_hash"), "e.round_trip")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

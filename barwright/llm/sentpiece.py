@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding by suffix-array matching (operator 8).
 
-For a model of the BPE kind whose pieces hold blanks only at their start, a
-text falls into chunks (blanks, then other characters) that are encoded on
+Two characters that stand side by side in no piece never end up in one piece,
+so a text falls into chunks between such characters, which are encoded on
 their own.  The chunks of a batch not yet known are joined into one text and
 its suffixes sorted as far as the longest piece; every piece is found by
 binary search as a range of suffixes; the ranges' members are edges (start,
-end, piece), sorted by end and relaxed from left to right.
+end, piece), sorted by end and relaxed from left to right.  A chunk longer
+than a batch is indexed a window at a time, and relaxing goes on across the
+windows' borders.
 
 The sum of scores doesn't decide in a BPE model, so relaxing asks instead
 whether the merges, done in order of score, would leave the edge's piece
@@ -15,13 +17,14 @@ gives.  Characters that no piece has become one byte piece for each byte.
 
 Null texts have null ids, empty ones no ids.  Ties in the merge order go to
 the left.  A literal U+2581 is decoded as a blank, as the format has it; all
-other texts come back unchanged.  Repeated rows are encoded alike, and other
-columns are not touched.
+other texts come back unchanged.  Very long texts take some bytes a character
+beyond the text itself, whether or not they can be cut.  Repeated rows are
+encoded alike, empty tables give empty tables, and as everything here is a
+column expression, other columns can't clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,10 +34,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = "▁"
-_CHUNK = re.compile(f"{_BLANK}*[^{_BLANK}]+|{_BLANK}+")
 _STEP = 3  # characters of 21 bits in a search key
-#: Chunks that a worker keeps encoded, and characters indexed at once.
-MAX_KNOWN, BATCH_CHARS = 600_000, 1 << 19
+#: Characters of the chunks that a task keeps encoded (some 25 bytes each), the longest such chunk, and characters indexed at once.
+KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 20, 64, 1 << 16
 
 
 def _codes(text: str) -> np.ndarray:
@@ -68,15 +70,29 @@ class Pieces:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 usable.append(i)
                 self.out[i] = p.replace(_BLANK, " ").encode()
-        inside = [text[i] for i in usable if _BLANK in text[i].lstrip(_BLANK)]
-        if inside:
-            raise ValueError(f"pieces with inner blanks: {inside[:3]}")
+        self._borders([text[i] for i in usable])
         self.ids = np.array(usable, np.int32)
         self.length = np.array([len(text[i]) for i in usable], np.int64)
         self.codes = [_codes(text[i]) for i in usable]
         self.longest = int(self.length.max())
         self._merges(text, [m.get_score(i) for i in range(n)], usable, n)
 
+    def _borders(self, pieces: list[str]) -> None:
+        """Classes of characters, and which classes stand side by side in a piece: others never meet in one."""
+        usual = sorted({c for p in pieces for c in p if ord(c) < 0x250} | {_BLANK})
+        self.kind = np.zeros(0x110000, np.int16)  # 0: in no piece
+        self.kind[[ord(c) for p in pieces for c in p]] = 1  # 1: all others
+        self.kind[[ord(c) for c in usual]] = np.arange(2, len(usual) + 2)
+        self.kinds = len(usual) + 2
+        self.meet = np.zeros(self.kinds * self.kinds, bool)
+        for p in pieces:
+            k = self.kind[_codes(p)].astype(np.int64)
+            self.meet[k[:-1] * self.kinds + k[1:]] = True
+
+    def _cuts(self, codes: np.ndarray) -> np.ndarray:
+        k = self.kind[codes].astype(np.int32)
+        return np.flatnonzero(~self.meet[k[:-1] * self.kinds + k[1:]]) + 1
+
     def _merges(self, text: list[str], score: list[float], usable: list[int], n: int) -> None:
         """rank: order of merging (0: single characters); parts: the two pieces last merged; joined: all pairs that may merge."""
         order = sorted((i for i in usable if len(text[i]) > 1), key=lambda i: (-score[i], len(text[i]), i))
@@ -218,52 +234,65 @@ class Pieces:
                 self._keys.append((np.array(low, np.int64), np.array(high, np.int64)))
         return self._keys
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """Ids of each chunk, blanks given as U+2581."""
-        size = np.array([len(c) for c in chunks], np.int64)
-        codes = _codes("".join(chunks))
-        first = np.cumsum(size) - size
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and id of every occurrence of a piece; id -1 for a character that no piece is, which stands for its bytes."""
         order, key = self._suffixes(codes)
         lo, hi = self._ranges(order, key)
         many = np.maximum(hi - lo, 0)
         piece = np.repeat(np.arange(len(many)), many)
-        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-        start = order[at]
-        end = start + self.length[piece]
-        chunk = np.repeat(np.arange(len(chunks)), size)
-        inside = end <= first[chunk[start]] + size[chunk[start]]  # suffixes run on into the next chunk
-        start, end, piece = start[inside], end[inside], piece[inside]
-        # Characters without a piece of their own: an edge that stands for their bytes.
+        start = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+        size = self.length[piece]
         known = np.zeros(len(codes), bool)
-        known[start[self.length[piece] == 1]] = True
+        known[start[size == 1]] = True
         lone = np.flatnonzero(~known)
-        start, end = np.concatenate([start, lone]), np.concatenate([end, lone + 1])
-        ident = np.concatenate([self.ids[piece].astype(np.int64), np.full(len(lone), -1, np.int64)])
-        rel = end - first[chunk[start]]
-        by_end = np.lexsort((start, rel))
-        start, end, ident, rel = start[by_end], end[by_end], ident[by_end], rel[by_end]
-        last = np.full(len(codes) + 1, -2, np.int64)  # piece that ends at a position; -2: none yet
-        begun = np.full(len(codes) + 1, -1, np.int64)
-        borders = np.flatnonzero(np.diff(rel, prepend=-1))
-        for a, b in zip(borders, np.append(borders[1:], len(rel)), strict=True):
-            s, e, p = start[a:b], end[a:b], ident[a:b]
-            fresh = s == first[chunk[s]]
+        return (
+            np.concatenate([start, lone]), np.concatenate([size, np.ones(len(lone), np.int64)]),
+            np.concatenate([self.ids[piece], np.full(len(lone), -1, np.int32)]),
+        )
+
+    def _relax(self, start: np.ndarray, end: np.ndarray, ident: np.ndarray, level: np.ndarray, first: np.ndarray, last: np.ndarray, begun: np.ndarray) -> None:
+        """Goes through the edges by ``level`` (their ends); first: whether an edge starts its chunk.  Fills last and begun, the piece that ends at a position and its length."""
+        by_end = np.lexsort((start, level))
+        start, end, ident, level, first = start[by_end], end[by_end], ident[by_end], level[by_end], first[by_end]
+        borders = np.flatnonzero(np.diff(level, prepend=-1))
+        for a, b in zip(borders.tolist(), [*borders[1:].tolist(), len(level)], strict=True):
+            s, e, p, fresh = start[a:b], end[a:b], ident[a:b], first[a:b]
             before = np.where(fresh, -1, last[s])
             ok = fresh | (before > -2)
             # Nothing merges with a character that has no piece.
             test = np.flatnonzero(ok & ~fresh & (before >= 0) & (p >= 0))
-            ok[test] = self.stay_apart(before[test], p[test])
-            last[e[ok]], begun[e[ok]] = p[ok], s[ok]
-        return self._paths(codes, chunks, first, size, last, begun)
+            ok[test] = self.stay_apart(before[test].astype(np.int64), p[test].astype(np.int64))
+            last[e[ok]], begun[e[ok]] = p[ok], (e - s)[ok]
 
-    def _paths(self, codes, chunks, first, size, last, begun) -> list[np.ndarray]:
+    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
+        """Ids of each chunk, blanks given as U+2581."""
+        size = np.array([len(c) for c in chunks], np.int64)
+        codes = _codes("".join(chunks))
+        first = np.cumsum(size) - size
+        last, begun = np.full(len(codes) + 1, -2, np.int32), np.zeros(len(codes) + 1, np.int32)
+        if len(chunks) == 1 and len(codes) > BATCH_CHARS:
+            for w in range(0, len(codes), BATCH_CHARS):
+                start, length, ident = self._edges(codes[w : w + BATCH_CHARS + self.longest])
+                own = (start < BATCH_CHARS) & (w + start + length <= len(codes))
+                start, end = w + start[own], w + (start + length)[own]
+                self._relax(start, end, ident[own], end, start == 0, last, begun)
+        else:
+            chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), size)
+            start, length, ident = self._edges(codes)
+            end, of = start + length, chunk[start]
+            inside = end <= first[of] + size[of]  # suffixes run on into the next chunk
+            start, end, ident, of = start[inside], end[inside], ident[inside], of[inside]
+            self._relax(start, end, ident, end - first[of], start == first[of], last, begun)
+        return self._paths(codes, first, size, last, begun)
+
+    def _paths(self, codes, first, size, last, begun) -> list[np.ndarray]:
         """Follows all chunks' edges back from their ends at once."""
         used = np.zeros(len(codes) + 1, bool)
         at = (first + size)[size > 0]
         floor = first[size > 0]
         while len(at):
             used[at] = True
-            at = begun[at]
+            at = at - begun[at]
             go = at > floor
             at, floor = at[go], floor[go]
         ends = np.flatnonzero(used)
@@ -277,44 +306,72 @@ class Pieces:
         for k, x in zip(lone.tolist(), raw, strict=True):
             flat[spot[k] : spot[k] + len(x)] = self.byte_id[list(x)]
         bounds = np.append(spot, len(flat))[np.searchsorted(ends, first + size, side="right")]
-        return np.split(flat.astype(np.int32), bounds[:-1])
+        return np.split(flat, bounds[:-1])
 
     # --- texts -----------------------------------------------------------
 
+    def encoder(self) -> "Encoder":
+        return Encoder(self)
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """Ids of each text; chunks met before in this process aren't indexed again."""
-        if not hasattr(self, "known") or len(self.known) > MAX_KNOWN:
-            self.known: dict[str, int] = {}
-            self.flat, self.spot, self.many = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        cut = [_CHUNK.findall(_BLANK + t.replace(" ", _BLANK)) if t else [] for t in texts]
-        fresh = list(dict.fromkeys(c for cs in cut for c in cs if c not in self.known))
+        return Encoder(self).encode(texts)
+
+    def decode(self, ids) -> str:
+        return text_of(ids, self.out)
+
+
+class Encoder:
+    """Encodes texts; short chunks met before aren't indexed again."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, np.ndarray] = {}
+        self.chars = 0
+
+    def _add(self, fresh: list[str], into: dict[str, np.ndarray]) -> None:
         at = 0
         while at < len(fresh):
             to, chars = at, 0
             while to < len(fresh) and (to == at or chars + len(fresh[to]) <= BATCH_CHARS):
                 chars += len(fresh[to])
                 to += 1
-            found = self.encode_chunks(fresh[at:to])
-            many = np.array([len(x) for x in found], np.int64)
-            self.spot = np.concatenate([self.spot, len(self.flat) + np.cumsum(many) - many])
-            self.many = np.concatenate([self.many, many])
-            self.flat = np.concatenate([self.flat, *found])
-            for c in fresh[at:to]:
-                self.known[c] = len(self.known)
+            into.update(zip(fresh[at:to], self.pieces.encode_chunks(fresh[at:to]), strict=True))
             at = to
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         out: list[np.ndarray | None] = []
-        for t, cs in zip(texts, cut, strict=True):
-            if t is None:
-                out.append(None)
-                continue
-            k = np.fromiter((self.known[c] for c in cs), np.int64, len(cs))
-            many = self.many[k]
-            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            out.append(self.flat[np.repeat(self.spot[k], many) + step])
+        at = 0
+        while at < len(texts):
+            to, chars = at, 0
+            while to < len(texts) and (to == at or chars + len(texts[to] or "") <= 16 * BATCH_CHARS):
+                chars += len(texts[to] or "")
+                to += 1
+            out += self._some(texts[at:to])
+            at = to
         return out
 
-    def decode(self, ids) -> str:
-        return b"".join([self.out[i] for i in ids]).decode("utf-8", "replace")[1:]
+    def _some(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        whole = [_BLANK + t.replace(" ", _BLANK) if t else "" for t in texts]
+        text = "".join(whole)
+        starts = np.cumsum([0] + [len(t) for t in whole])
+        bounds = np.unique(np.concatenate([self.pieces._cuts(_codes(text)), starts])) if text else starts[:1]
+        ends = bounds.tolist()
+        cut = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        if self.chars > KNOWN_CHARS:
+            self._forget()
+        fresh = [c for c in dict.fromkeys(cut) if c not in self.known]
+        short = [c for c in fresh if len(c) <= KNOWN_LENGTH]
+        self._add(short, self.known)
+        self.chars += sum(map(len, short))
+        long: dict[str, np.ndarray] = {}
+        self._add([c for c in fresh if len(c) > KNOWN_LENGTH], long)
+        found = [self.known[c] if c in self.known else long[c] for c in cut]
+        borders = np.searchsorted(bounds, starts).tolist()
+        none = np.zeros(0, np.int32)
+        return [None if t is None else np.concatenate([none, *found[a:b]]) for t, a, b in zip(texts, borders, borders[1:], strict=False)]
 
 
 @cache
@@ -322,27 +379,49 @@ def load(model: str) -> Pieces:
     return Pieces(model)
 
 
-def encode(text: Column, model: str, keep: bool = True) -> Column:
-    """array<int> of piece ids.
+@cache
+def outputs(model: str) -> list[bytes]:
+    """What each piece decodes to."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=model)
+    silent = lambda i: m.is_control(i) or m.is_unknown(i) or m.is_unused(i)
+    piece = lambda i: bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(_BLANK, " ").encode()
+    return [b"" if silent(i) else piece(i) for i in range(m.vocab_size())]
+
+
+def text_of(ids, out: list[bytes]) -> str:
+    return b"".join([out[i] for i in ids]).decode("utf-8", "replace")[1:]
 
-    With ``keep`` a worker process remembers encoded chunks from task to task
-    (some 300 MB at most); without, only within a task.
-    """
+
+def encode(text: Column, model: str) -> Column:
+    """array<int> of piece ids."""
 
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = load(model)
+        encoder = Encoder(load(model))
         for texts in batches:
-            yield pd.Series(pieces.encode(texts.tolist()), dtype=object)
-        if not keep and hasattr(pieces, "known"):
-            del pieces.known, pieces.flat, pieces.spot, pieces.many
+            yield pd.Series(encoder.encode(texts.tolist()), dtype=object)
 
     return F.pandas_udf(make, "array<int>")(text)
 
 
 def decode(ids: Column, model: str) -> Column:
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        pieces = load(model)
+        out = outputs(model)
         for rows in batches:
-            yield pd.Series([None if r is None else pieces.decode(r.tolist()) for r in rows], dtype=object)
+            yield pd.Series([None if r is None else text_of(r.tolist(), out) for r in rows], dtype=object)
 
     return F.pandas_udf(make, "string")(ids)
+
+
+def encode_checked(text: Column, model: str) -> Column:
+    """Struct of ids and round_trip: whether they decode to the text, blanks for U+2581.  One Python worker does both."""
+
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, out = Encoder(load(model)), outputs(model)
+        for texts in batches:
+            ids = encoder.encode(texts.tolist())
+            same = [t is None if i is None else text_of(i.tolist(), out) == t.replace(_BLANK, " ") for t, i in zip(texts, ids, strict=True)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
+
+    return F.pandas_udf(make, "ids array<int>, round_trip boolean")(text)

@@ -255,9 +255,13 @@ def test_line_removal_keeps_the_first(spark):
 # --- 8 ------------------------------------------------------------------------
 
 
-def test_pieces_equal_library_and_come_back(texts):
+@pytest.mark.parametrize("batch,known", [(1 << 16, 1 << 20), (64, 300)])
+def test_pieces_equal_library_and_come_back(texts, batch, known, monkeypatch):
     import sentencepiece
 
+    monkeypatch.setattr(sentpiece, "BATCH_CHARS", batch)
+    monkeypatch.setattr(sentpiece, "KNOWN_CHARS", known)
+
     lib, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), sentpiece.load(MODEL)
     rng = random.Random(5)
     every = [*texts, "", "  a", "a   b ", "\n\n", "漢字 \U0001F600", "▁x ▁", " " * 41, "=" * 70, "ab" * 3000, "".join(rng.choice("ab ehtin▁.=é漢\t") for _ in range(5000))]
