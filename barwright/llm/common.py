@@ -24,11 +24,15 @@ def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder name under the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder is taken.
+    Only where that is unset and everything runs on this machine a temporary
+    folder is taken; on a cluster it must be set.
     """
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.barwright.scratch", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.barwright.scratch", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -46,13 +50,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that ``cut`` made, once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def bounded(df: DataFrame, limit: int) -> DataFrame:
+    """Marks a table for broadcast if counting shows that it is small; otherwise its join shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Two 64-bit hashes of id and text, never null: rows that share a doc_id are told apart by their texts."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(text, F.lit(1), doc_id).alias("b"))
+
+
+def without(docs: DataFrame, gone: DataFrame, limit: int = 200_000) -> DataFrame:
+    """docs less the rows whose row_key is in ``gone`` (24 bytes each; broadcast up to ``limit`` of them)."""
+    gone = cut(gone.select(F.col("row_key").alias("_barwright_key")), "gone")
+    keep = docs.join(bounded(gone, limit), row_key(docs["doc_id"], docs["text"]) == F.col("_barwright_key"), "left_anti")
+    return keep.select(*docs.columns)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -11,10 +11,13 @@ those where the rarest terms stand within some words of their places.
 Words are runs of 0-9, a-z and anything beyond ASCII, after A-Z are lowered.
 Null and empty texts have no words.  Items of fewer words than a window, but
 not none, are one window; items without words or with a null id match
-nothing.  Repeated items count once.  Documents are told apart by a hash of
-id and text, so null and repeated ids do no harm (a clash of hashes only
-brings a place to compare, where the words then differ).  Empty tables on
-either side give no matches.
+nothing.  Repeated items count once.  Documents are told apart by hashes of
+id and text (row_key), so null and repeated ids do no harm (a clash of hashes
+only brings a place to compare, where the words then differ).  Ties between
+equally rare terms go to the earlier in the alphabet, then the earlier in the
+item.  A very long text is one row with its words and its own places.  Empty
+tables on either side give no matches.  Only doc_id, item_id and text are
+read; other columns can't clash.
 
 Only DataFrame functions are used.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, bounded, cut, row_key, without
 
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms or offsets of the benchmark (some 50 bytes each) up to which a side is broadcast.
@@ -36,11 +39,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), "")
 
 
-def _bounded(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
-    """Marks a table for broadcast if counting shows that it is small; otherwise the join shuffles."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def item_windows(items: DataFrame, width: int) -> DataFrame:
     """item_id, item_key, item_words, size of the window, starts."""
     df = (
@@ -60,7 +58,7 @@ class PositionalIndex:
         self.items = cut(item_windows(items, width), "items")
         self.anchors, self.windows = self._choose(rarest)
         terms = self.anchors.select("term").distinct()
-        posted = self.docs.select("_k", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(_bounded(terms), "term")
+        posted = self.docs.select("_k", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(bounded(terms, MAX_BROADCAST), "term")
         self.postings = cut(posted, "postings")
 
     def term_counts(self) -> DataFrame:
@@ -93,26 +91,26 @@ class PositionalIndex:
 
     def candidate_places(self) -> DataFrame:
         """_k, item_key, place (of the item's word 0, in the document), starts whose rarest terms all meet there."""
-        moved = self.postings.join(_bounded(self.anchors), "term").select("_k", "item_key", (F.col("pos") - F.col("offset")).alias("place"), "offset")
+        moved = self.postings.join(bounded(self.anchors, MAX_BROADCAST), "term").select("_k", "item_key", (F.col("pos") - F.col("offset")).alias("place"), "offset")
         met = moved.groupBy("_k", "item_key", "place").agg(F.collect_set("offset").alias("have"))
         needs = self.windows.groupBy("item_key").agg(F.collect_list(F.struct("start", "needs")).alias("needs"))
         starts = F.expr("transform(filter(needs, w -> size(array_except(w.needs, have)) = 0), w -> w.start)")
         # The least that any window of the item needs keeps most single hits from the join's result.
-        return met.join(_bounded(needs), "item_key").select("_k", "item_key", "place", starts.alias("starts")).where(F.size("starts") > 0)
+        return met.join(bounded(needs, MAX_BROADCAST), "item_key").select("_k", "item_key", "place", starts.alias("starts")).where(F.size("starts") > 0)
 
     def phrase_places(self) -> DataFrame:
-        """A row for each document: doc_id, n_words, places (item_id, first word, size of each exact occurrence)."""
+        """A row for each document: doc_id, row_key, n_words, places (item_id, first word, size of each exact occurrence)."""
         items = self.items.select("item_key", "item_id", "item_words", "size")
         found = (
-            self.candidate_places().join(_bounded(items), "item_key")
+            self.candidate_places().join(bounded(items, MAX_BROADCAST), "item_key")
             .groupBy("_k").agg(F.collect_list(F.struct("item_id", "item_words", "size", "place", "starts")).alias("_found"))
         )
-        df = self.docs.join(found, "_k", "left").select("doc_id", "_found", words(F.col("text")).alias("_w"))
+        df = self.docs.join(found, "_k", "left").select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "_found", words(F.col("text")).alias("_w"))
         exact = F.expr("""
             flatten(transform(_found, f -> transform(
                 filter(f.starts, s -> f.place + s >= 0 AND slice(_w, f.place + s + 1, f.size) = slice(f.item_words, s + 1, f.size)),
                 s -> named_struct('item_id', f.item_id, 'first', f.place + s, 'size', f.size))))""")
-        return df.select("doc_id", F.size("_w").cast("long").alias("n_words"), F.when(F.col("_found").isNotNull(), exact).alias("places"))
+        return df.select("doc_id", "row_key", F.size("_w").cast("long").alias("n_words"), F.when(F.col("_found").isNotNull(), exact).alias("places"))
 
     def proximity_places(self, slop: int) -> DataFrame:
         """_k, doc_id, item_id, start: windows whose rarest terms all stand within ``slop`` words of their places.
@@ -123,7 +121,7 @@ class PositionalIndex:
         size = slop + 1
         ranks = self.windows.select("item_key", "start", F.size("needs").alias("n_needs"), F.posexplode("needs").alias("rank", "offset"))
         terms = ranks.join(self.anchors, ["item_key", "offset"])
-        near = self.postings.join(_bounded(terms), "term").withColumn("place", F.col("pos") - F.col("offset"))
+        near = self.postings.join(bounded(terms, MAX_BROADCAST), "term").withColumn("place", F.col("pos") - F.col("offset"))
         block = F.floor(F.col("place") / size)
         first = near.where("rank = 0").select("_k", "item_key", "start", "n_needs", F.col("place").alias("p0"), block.alias("b"))
         other = near.where("rank > 0").select("_k", "item_key", "start", "rank", F.col("place").alias("p1"), F.explode(F.array(block - 1, block, block + 1)).alias("b"))
@@ -141,15 +139,20 @@ class PositionalIndex:
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, rarest: int = 2) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids, contaminated: a row for each row of docs."""
+    """doc_id, n_words, n_hit, n_items, item_ids, contaminated, row_key: a row for each row of docs."""
     df = PositionalIndex(docs, items, width, rarest).phrase_places()
     inside = "flatten(transform(places, p -> sequence(p.first, p.first + p.size - 1)))"
     none = F.array().cast("array<string>")
     df = df.select(
-        "doc_id", "n_words",
+        "doc_id", "row_key", "n_words",
         F.coalesce(F.expr(f"size(array_distinct({inside}))"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.expr("array_sort(array_distinct(transform(places, p -> string(p.item_id))))"), none).alias("item_ids"),
     )
     return df.select(
-        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated")
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"), "row_key"
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, **how) -> DataFrame:
+    """docs without those that hold a window of an item."""
+    return without(docs, contamination(docs, items, width, **how).where("contaminated"))

@@ -17,12 +17,15 @@ divided, the members are joined on the rare shingles of their full sets (see
 prefix_join), which finds all their links.  So no pair of a region of
 ``min_depth`` minima is lost, however many members it has, only pairs that
 share such a region in none of the trees (about 1 in 5000 at a similarity of
-exactly 0.8).
+exactly 0.8).  Shingles are compared as 64-bit hashes of their words' hashes.
 
 Null and empty texts have empty sets and are linked with nothing.  Rows with
 a null doc_id are returned with a null component, kept.  Rows that share a
-doc_id count as one document.  Empty tables give empty tables.  Only doc_id
-and text are read; other columns can't clash.
+doc_id are told apart by their texts: each gets its own text's component, and
+``row_key`` names it.  Repeated rows are equal in all of this.  Ties between
+neighbours go to the lower doc_id.  Very long texts have long sets, which are
+held one at a time.  Empty tables give empty tables.  Only doc_id and text
+are read; other columns can't clash.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from . import prefix_join
+from .common import cut, row_key, small_batches, without
 from .components import components, join_components
-from .prefix_join import pairs_apart
 
 MINIMA = 64
 #: Candidates' ids (8 bytes each) up to which they are broadcast.
@@ -72,7 +75,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
         for k in range(1, width):
             at = _mix(at * _M1 + h[k : n - width + 1 + k] * _M2 + np.uint64(k))
         yield np.unique(at)
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
 
 
@@ -182,9 +185,9 @@ class Forest:
 def link_documents(
     docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 16, region: int = 512, near: tuple[int, ...] = (1, 4)
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
+    """doc_id, n_shingles, component_id, kept, row_key: a row for each row of docs."""
     small_batches(docs.sparkSession, 1000)
-    made = docs.select("doc_id", sketches(F.col("text"), width).alias("s")).select("doc_id", "s.*")
+    made = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), sketches(F.col("text"), width).alias("s")).select("doc_id", "row_key", "s.*")
     meta = cut(made, "sketches")
     usable = meta.where("n > 0 AND doc_id IS NOT NULL")
     sets = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"))
@@ -225,12 +228,18 @@ def link_documents(
     left = cut(rest.unionByName(forest.crowded).distinct(), "left")
     if not left.isEmpty():
         members = full.join(left, "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        found = join_components(found, confirmed(pairs_apart(cut(members, "members"), percent)))
-    labels = sets.select("fingerprint", "node").join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component"))
-    out = meta.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint").join(labels, "fingerprint", "left")
+        found = join_components(found, confirmed(prefix_join.pairs_apart(cut(members, "members"), percent)))
+    labels = cut(nodes.select("fingerprint", "node").join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component")), "by-text")
+    # A join of two written tables, so that Spark can split a fingerprint that very many documents share.
+    out = meta.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint", "row_key").join(labels, "fingerprint", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), component))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "row_key")
+
+
+def drop_copies(docs: DataFrame, width: int = 5, percent: int = 80, **how) -> DataFrame:
+    """docs without those of which a near copy of lower doc_id stays."""
+    return without(docs, link_documents(docs, width, percent, **how).where("NOT kept"))
 
 
 def _apart(forest: Forest, rest: DataFrame, n: int) -> DataFrame:

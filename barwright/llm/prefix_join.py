@@ -8,8 +8,10 @@ table of counts by hash, whose size doesn't depend on the input; any order is
 right, as long as it is the same for all sets.
 
 A shingle whose holders all belong to one component gives no pairs.  Holders
-of a frequent shingle are dealt into blocks, and each two blocks meet under a
-key of their own, so that no pair is left out and no task gets all of them.
+of a frequent shingle are dealt into blocks, those of its largest component
+apart from the others, and each two blocks that may hold different components
+meet under a key of their own.  So no pair is left out, no task gets all
+holders, and the members of one large component aren't copied for each other.
 """
 
 from __future__ import annotations
@@ -80,11 +82,20 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 def pairs_apart(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs u < v of different components that may be similar enough; none that is is missing."""
     rows = cut(prefixes(sets, percent), "prefixes")
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("_m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi")
-    blocks = F.ceil(F.col("_m") / BLOCK)
-    rows = rows.join(shared.select("shingle", blocks.alias("_b")), "shingle").withColumn("_s", F.pmod(F.xxhash64("node"), F.col("_b")))
-    rows = rows.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)))
-    rows = cut(rows.withColumns({"_x": F.least("_s", "_t"), "_y": F.greatest("_s", "_t")}).drop("_t", "_b"), "blocks")
+    by = rows.groupBy("shingle", "component").agg(F.count("*").alias("_n"))
+    shared = by.groupBy("shingle").agg(F.sum("_n").alias("_m"), F.count("*").alias("_c"), F.max(F.struct("_n", "component")).alias("_top")).where("_c > 1")
+    one = F.col("_m") <= BLOCK
+    blocks = lambda n: F.when(one, 0).otherwise(F.ceil(n / BLOCK)).cast("long")
+    shared = shared.select("shingle", F.col("_top.component").alias("_of"), blocks(F.col("_m") - F.col("_top._n")).alias("_rest"), blocks(F.col("_top._n")).alias("_big"))
+    shared = cut(shared, "shared")  # both sides are then written tables, whose hot keys Spark can split
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    top = (F.col("component") == F.col("_of")) & (F.col("_big") > 0)
+    rows = rows.join(shared, "shingle").withColumns({
+        "_s": F.when(top, F.col("_rest") + deal(F.col("_big"))).otherwise(deal(F.col("_rest"))),  # the largest component's blocks come last
+        "_to": F.greatest(F.when(top, F.col("_rest")).otherwise(F.col("_rest") + F.col("_big")), F.lit(1)),
+    })
+    rows = rows.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_to") - 1)))
+    rows = cut(rows.withColumns({"_x": F.least("_s", "_t"), "_y": F.greatest("_s", "_t")}).drop("_t", "_to", "_rest", "_big", "_of"), "blocks")
     a = rows.where("_s = _x").select("shingle", "_x", "_y", *(F.col(c).alias(f"{c}1") for c in ("node", "n", "place", "component")))
     b = rows.where("_s = _y").select("shingle", "_x", "_y", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "place", "component")))
     most = F.least(F.col("n1") - F.col("place1"), F.col("n2") - F.col("place2"))  # overlap from the shared shingle on

@@ -29,7 +29,7 @@ MIN_SITES = 10
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.link_documents(table(spark, sf_dir, "documents"), width=2)
+    return near_dup.link_documents(table(spark, sf_dir, "documents"), width=2).drop("row_key")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,42 @@ def test_crowded_regions_lose_no_links(spark):
     assert [got[i] for i in range(len(texts))] == low
 
 
+def test_large_component_and_small_ones_meet(spark, monkeypatch):
+    """One template with hundreds of near copies in one component, and others just under or over the limit from it."""
+    monkeypatch.setattr(near_dup.prefix_join, "BLOCK", 16)
+    rng = random.Random(12)
+    made = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = made(120), []
+    for k in range(160):
+        w = list(template)
+        for at in rng.sample(range(120), 2 if k < 110 else rng.randrange(4, 16)):
+            w[at] = made(1)[0]
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    sets = [shingles(t, 2) for t in texts]
+    low = list(range(len(texts)))
+    for _ in range(len(texts)):
+        before = list(low)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            break
+    got = {r.doc_id: r.component_id for r in near_dup.link_documents(docs_of(spark, texts), 2, region=32).collect()}
+    assert [got[i] for i in range(len(texts))] == low and 5 < len(set(low)) < 80
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    rows = [(5, "a b c d e f"), (5, "g h i j k l"), (3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((repr(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in near_dup.link_documents(d, 2).collect())
+    assert got == sorted([("5", 5, 3, False), ("5", 5, 5, True), ("3", 5, 3, True), ("3", 5, 3, True), ("None", 5, None, True), ("8", 0, 8, True)])
+    assert sorted(map(repr, near_dup.drop_copies(d, 2).collect())) == sorted(map(repr, d.where("NOT (doc_id = 5 AND text LIKE 'a%') OR doc_id IS NULL OR text IS NULL").collect()))
+    items = spark.createDataFrame([(1, "g h i")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(d, items).count() == 5
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 300), (None, 4)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
