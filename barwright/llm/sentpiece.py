@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 _BLANK = "▁"
 _STEP = 3  # characters of 21 bits in a search key
 #: Characters of the chunks that a task keeps encoded (some 25 bytes each), the longest such chunk, and characters indexed at once.
-KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 20, 64, 1 << 16
+KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 22, 64, 1 << 17
 
 
 def _codes(text: str) -> np.ndarray:
@@ -89,9 +89,10 @@ class Pieces:
             k = self.kind[_codes(p)].astype(np.int64)
             self.meet[k[:-1] * self.kinds + k[1:]] = True
 
-    def _cuts(self, codes: np.ndarray) -> np.ndarray:
+    def starts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether no piece can reach across the border before each character."""
         k = self.kind[codes].astype(np.int32)
-        return np.flatnonzero(~self.meet[k[:-1] * self.kinds + k[1:]]) + 1
+        return np.append(True, ~self.meet[k[:-1] * self.kinds + k[1:]])
 
     def _merges(self, text: list[str], score: list[float], usable: list[int], n: int) -> None:
         """rank: order of merging (0: single characters); parts: the two pieces last merged; joined: all pairs that may merge."""
@@ -357,18 +358,21 @@ class Encoder:
         whole = [_BLANK + t.replace(" ", _BLANK) if t else "" for t in texts]
         text = "".join(whole)
         starts = np.cumsum([0] + [len(t) for t in whole])
-        bounds = np.unique(np.concatenate([self.pieces._cuts(_codes(text)), starts])) if text else starts[:1]
+        begins = np.append(self.pieces.starts(_codes(text)), True) if text else np.ones(1, bool)
+        begins[starts] = True
+        bounds = np.flatnonzero(begins)
         ends = bounds.tolist()
-        cut = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         if self.chars > KNOWN_CHARS:
             self._forget()
-        fresh = [c for c in dict.fromkeys(cut) if c not in self.known]
-        short = [c for c in fresh if len(c) <= KNOWN_LENGTH]
+        cut = [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        found = list(map(self.known.get, cut))
+        fresh = {c for c, f in zip(cut, found, strict=True) if f is None}
+        short, long = [c for c in fresh if len(c) <= KNOWN_LENGTH], {}
         self._add(short, self.known)
-        self.chars += sum(map(len, short))
-        long: dict[str, np.ndarray] = {}
         self._add([c for c in fresh if len(c) > KNOWN_LENGTH], long)
-        found = [self.known[c] if c in self.known else long[c] for c in cut]
+        self.chars += sum(map(len, short))
+        if fresh:
+            found = [f if f is not None else self.known[c] if c in self.known else long[c] for c, f in zip(cut, found, strict=True)]
         borders = np.searchsorted(bounds, starts).tolist()
         none = np.zeros(0, np.int32)
         return [None if t is None else np.concatenate([none, *found[a:b]]) for t, a, b in zip(texts, borders, borders[1:], strict=False)]
