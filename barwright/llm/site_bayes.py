@@ -14,8 +14,10 @@ statistics.  Null texts have no words; a null host or path is a site of its
 own.  Unlabelled and null-labelled rows don't train, repeated labels of a
 document count once by their highest value, repeated rows each count for
 their site.  Without both classes of a target its evidence is 0 and the
-prior decides.  Empty tables give empty tables.  Only doc_id, text and the
-site columns are read.
+prior decides.  Ties in the order of labelled documents go by hash of id and
+text.  A very long text is read whole, one text at a time.  Empty tables give
+empty tables.  Only doc_id, text and the site columns are read; others can't
+clash.
 """
 
 from __future__ import annotations
@@ -96,46 +98,75 @@ class _Finder(dict):
         return found
 
     def of(self, text: bytes | None) -> list[int]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         words, levels = parts(text)
         return sorted({i for w in words for i in self[w]}.union(i for x in levels for i in self[x]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Weights and offset of a ridge-penalised logistic regression, by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x), x.dtype)])
-    w, penalty = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
+def _logistic(row: np.ndarray, col: np.ndarray, shape: tuple[int, int], y: np.ndarray, ridge: float, steps: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Weights and offset of a ridge-penalised logistic regression on 0/1 features given as (row, col), by limited-memory quasi-Newton steps."""
+    n, k = shape
+    penalty = np.append(np.full(k, ridge), 1e-6)
+    order = np.argsort(col, kind="stable")
+    by_col, starts = row[order], np.searchsorted(col[order], np.arange(k))  # every column has a row
+    first = np.searchsorted(row, np.arange(n))
+    full = np.flatnonzero(np.append(first[1:], len(row)) > first)
+
+    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.full(n, w[-1])
+        if len(full):
+            z[full] += np.add.reduceat(w[col], first[full])
+        off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        slope = np.append(np.add.reduceat(off[by_col], starts), off.sum()) + penalty * w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum()), slope
+
+    w = np.append(np.zeros(k), np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    scale = 1 / (np.append(np.bincount(col, minlength=k), n) * y.mean() * (1 - y.mean()) + penalty)  # the curvature's diagonal at the start
+    now, slope = value(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + penalty * w
-        curve = (x * (p * (1 - p))[:, None].astype(x.dtype)).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        w -= step
-        if np.abs(step).max() < 1e-4:
+        step, kept = -slope, []
+        for s, g in reversed(past):
+            kept.append((s @ step) / (s @ g))
+            step = step - kept[-1] * g
+        step = step * scale
+        for (s, g), a in zip(past, reversed(kept), strict=True):
+            step = step + (a - (g @ step) / (s @ g)) * s
+        size, down = 1.0, float(slope @ step)
+        while (found := value(w + size * step))[0] > now + 1e-4 * size * down and size > 1e-6:
+            size /= 2
+        s, g = size * step, found[1] - slope
+        if found[0] > now or now - found[0] < 1e-6 * max(abs(now), 1):
             break
+        w, now, slope = w + s, *found
+        if s @ g > 1e-12:
+            past = [*past[1 - memory :], (s, g)]
     return w[:-1], float(w[-1])
 
 
 def learn_evidence(
-    docs: DataFrame, targets: DataFrame, names: list[str], max_labelled: int = 20_000, max_features: int = 256,
+    docs: DataFrame, targets: DataFrame, names: list[str], max_labelled: int = 20_000,
     z: float = 4.0, least_share: float = 0.02, least: int = 5, ridge: float = 1.0,
 ) -> Evidence:
     """Chooses features by how far their counts in a class are from chance, then weighs them by logistic regression.
 
     Trains on at most ``max_labelled`` labelled documents, those of the
-    lowest hashed ids, and at most ``max_features`` features; what comes to
-    the driver is bounded by the two.  ``targets`` has doc_id and a 0/1
-    column for each name.  A feature must be in ``least_share`` of the smaller
+    lowest hashed ids.  A feature must be in ``least_share`` of the smaller
     class's documents, so that the words of one text and its copies don't
-    pass for signs of the class.
+    pass for signs of the class; every feature that passes is used.  What
+    comes to the driver is those documents' passing features as numbers, which
+    ``max_labelled`` bounds: some tens of MB.  ``targets`` has doc_id and a
+    0/1 column for each name.
     """
     small_batches(docs.sparkSession)
     sample = (
         targets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.max(F.col(t).cast("int")).alias(t) for t in names))
         .dropna(subset=names).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").select("text", *names)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+    # Repeated rows of a labelled document count towards the bound, too.
+    rows = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_labelled).select("text", *names), "labelled")
     k = len(names)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,18 +195,17 @@ def learn_evidence(
         if 0 < pos < total:
             often = n >= max(least, least_share * min(pos, total - pos))
             test = F.greatest(test, F.when(often & (n < total), F.abs(F.col(t) - n * p) / F.sqrt(n * (p * (1 - p)))).otherwise(0.0))
-    chosen = counts.where("key != 0").withColumn("_z", test).where(F.col("_z") >= z).orderBy(F.desc("_z"), "key").limit(max_features)
+    chosen = counts.where("key != 0").withColumn("_z", test).where(F.col("_z") >= z).orderBy("key")
     keys = np.array([r["key"] for r in chosen.select("key").collect()], np.int64)
     found = Evidence(keys, np.zeros((len(keys), k)), np.zeros(k), np.log((positives + 1) / (total - positives + 1)))
-    held = rows.select(*names, _present(F.col("text"), found).alias("_at")).limit(2 * max_labelled).toPandas()
-    x = np.zeros((len(held), len(keys)), np.float32)
-    for i, at in enumerate(held["_at"]):
-        x[i, np.asarray(at, np.int64)] = 1
+    held = rows.select(*names, _present(F.col("text"), found).alias("_at")).toPandas()
+    col = np.concatenate([np.zeros(0, np.int64), *held["_at"]]).astype(np.int64)
+    row = np.repeat(np.arange(len(held)), [len(x) for x in held["_at"]])
     weights, offset = np.zeros((len(keys), k)), found.prior.copy()
     for j, t in enumerate(names):
         y = held[t].to_numpy(float)
         if len(keys) and 0 < y.sum() < len(y):
-            weights[:, j], offset[j] = _logistic(x, y, ridge)
+            weights[:, j], offset[j] = _logistic(row, col, (len(held), len(keys)), y, ridge)
     return Evidence(keys, weights, offset, found.prior)
 
 

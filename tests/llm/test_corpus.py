@@ -262,6 +262,54 @@ def test_rules_are_learned_and_spare_the_good():
     assert decision_list.learn_rules(x, np.zeros(3000, bool), names) == []
 
 
+def test_logistic_equals_newton():
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 12)) < 0.3
+    x[:, 0] |= ~x.any(axis=0)[0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ rng.normal(size=12) - 0.5)))).astype(float)
+    w = np.zeros(13)
+    full = np.column_stack([x, np.ones(400)])
+    penalty = np.append(np.full(12, 1.0), 1e-6)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-full @ w))
+        w -= np.linalg.solve((full.T * (p * (1 - p))) @ full + np.diag(penalty), full.T @ (p - y) + penalty * w)
+    row, col = np.nonzero(x)
+    got, offset = site_bayes._logistic(row, col, x.shape, y, 1.0)
+    assert np.abs(np.append(got, offset) - w).max() < 0.02
+
+
+def test_site_bayes_equals_plain_python(spark):
+    """Rates and probabilities from the evidence that the operator returns."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["calm", "tree", "vile" if i % 7 == 0 else "road"]) for _ in range(20)), f"s{rng.randrange(4)}" if i % 50 else None, rng.choice(["en", "de", None])) for i in range(400)]
+    labels = [(i, i % 7 == 0) for i in range(0, 400, 2)]
+    out = site_bayes.classify(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), spark.createDataFrame(labels, "doc_id long, low boolean"), ["low"], F.col("source"), F.col("lang")).toPandas().set_index("doc_id").sort_index()
+    low = sum(b for _, b in labels)
+    prior = math.log((low + 1) / (200 - low + 1))
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    first = {i: sig(out.evidence_low[i] + prior) for i in out.index}
+    sums, n = collections.Counter(), collections.Counter()
+    for i, _, h, p in rows:
+        for key in ((h,), (h, p), ()):
+            sums[key] += first[i]
+            n[key] += 1
+    every = (sums[()] + 1) / (n[()] + 2)
+
+    def strength(keys, mean):
+        spread = sum(n[k] * (sums[k] / n[k] - mean(k)) ** 2 for k in keys)
+        noise = sum(mean(k) * (1 - mean(k)) for k in keys)
+        return 1e6 if spread <= noise else min(max(noise / len(keys) / ((spread - noise) / sum(n[k] for k in keys)) - 1, 1.0), 1e6)
+
+    outer = strength([k for k in n if len(k) == 1], lambda k: every)
+    inner = strength([k for k in n if len(k) == 2], lambda k: sums[k[:1]] / n[k[:1]])
+    for i, _, h, p in rows:
+        host = (sums[(h,)] - first[i] + outer * every) / (n[(h,)] - 1 + outer)
+        path = min(max((sums[(h, p)] - first[i] + inner * host) / (n[(h, p)] - 1 + inner), 1e-6), 1 - 1e-6)
+        want = sig(out.evidence_low[i] + math.log(path / (1 - path)))
+        assert abs(out.host_rate_low[i] - host) < 1e-6 and abs(out.path_rate_low[i] - path) < 1e-6 and abs(out.p_low[i] - want) < 1e-6
+        assert bool(out.kept[i]) == (want < 0.5)
+
+
 def test_site_bayes_shrinks_sparse_sites_and_finds_words(spark):
     rng = random.Random(1)
     rows, labels = [], []
