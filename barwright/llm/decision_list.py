@@ -12,8 +12,10 @@ base_failed true.  Ties between thresholds go to the earlier statistic, then
 the lower threshold.  Repeated rows are judged alike, labels repeated for a
 document count once by their lowest value, unlabelled and null-labelled
 documents don't train, and without labelled rows of both classes the list is
-empty and only the base rule rejects.  Columns of the input named like an
-output column are replaced.
+empty and only the base rule rejects.  Empty tables give empty tables, and a
+very long text is counted whole, one text at a time.  Columns of the input
+named like an output column are replaced (``keep_good`` adds none); others
+pass unchanged, as long as none is called _barwright_stats.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
+RESERVED = "_barwright_stats"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_digits", "n_punct", "n_distinct_words", "n_lines")
 STATS_SCHEMA = ", ".join(f"{c} long" for c in COUNTS)
 _UP, _LOW, _DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -89,24 +92,20 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def _share(a: str, b: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-
-
-
-
-def features() -> dict[str, Column]:
+def features(s: Column) -> dict[str, Column]:
+    """What rules may test, from a struct of COUNTS."""
+    share = lambda a, b: F.coalesce(F.try_divide(s[a].cast("double"), s[b].cast("double")), F.lit(0.0))
     return {
-        "n_words": F.col("n_words").cast("double"),
-        "mean_word": _share("word_chars", "n_words"),
-        "symbol_share": _share("n_symbols", "word_chars"),
-        "dup_line_share": _share("n_dup_lines", "n_lines"),
-        "repeat_share": _share("n_repeat_words", "n_words"),
-        "upper_share": _share("n_upper", "n_letters"),
-        "digit_share": _share("n_digits", "word_chars"),
-        "punct_share": _share("n_punct", "word_chars"),
-        "distinct_share": _share("n_distinct_words", "n_words"),
-        "line_words": _share("n_words", "n_lines"),
+        "n_words": s["n_words"].cast("double"),
+        "mean_word": share("word_chars", "n_words"),
+        "symbol_share": share("n_symbols", "word_chars"),
+        "dup_line_share": share("n_dup_lines", "n_lines"),
+        "repeat_share": share("n_repeat_words", "n_words"),
+        "upper_share": share("n_upper", "n_letters"),
+        "digit_share": share("n_digits", "word_chars"),
+        "punct_share": share("n_punct", "word_chars"),
+        "distinct_share": share("n_distinct_words", "n_words"),
+        "line_words": share("n_words", "n_lines"),
     }
 
 
@@ -117,8 +116,8 @@ class Rule:
     terms: tuple[tuple[str, str, float], ...]
     precision: float
 
-    def column(self) -> Column:
-        cols, out = features(), F.lit(True)
+    def column(self, s: Column) -> Column:
+        cols, out = features(s), F.lit(True)
         for name, op, t in self.terms:
             out = out & (cols[name] > t if op == ">" else cols[name] <= t)
         return out
@@ -127,11 +126,11 @@ class Rule:
         return " and ".join(f"{n} {o} {t:.6g}" for n, o, t in self.terms)
 
 
-def verdict(rules: list[Rule]) -> Column:
-    """Number of the first rule that fires, from 1; 0 if none does."""
+def verdict(rules: list[Rule], s: Column) -> Column:
+    """From a struct of COUNTS, the number of the first rule that fires, from 1; 0 if none does."""
     out = F.when(F.lit(False), F.lit(0))
     for k, r in enumerate(rules, 1):
-        out = out.when(r.column(), F.lit(k))
+        out = out.when(r.column(s), F.lit(k))
     return out.otherwise(F.lit(0))
 
 
@@ -215,10 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how) -
         .groupBy("doc_id").agg(F.min("quality").alias("_quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     )
-    named = features()
+    named = features(F.col("s"))
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "_quality", text_stats(F.col("text")).alias("s")).select("doc_id", "_quality", "s.*")
+        .select("doc_id", "_quality", text_stats(F.col("text")).alias("s"))
         .select("doc_id", "_quality", *(c.alias(f"f_{n}") for n, c in named.items()))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).toPandas()
     )
@@ -226,13 +225,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, **how) -
     return learn_rules(x, rows["_quality"].to_numpy() == 0, list(named), **how)
 
 
-def with_quality(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """Adds COUNTS, base_failed, rule_no (0: none) and kept."""
+def _judged(docs: DataFrame, rules: list[Rule], text: str) -> tuple[DataFrame, Column, Column]:
+    """docs with a struct of COUNTS in a reserved column, base_failed and rule_no."""
     small_batches(docs.sparkSession)
     # A Python result that several columns use must be made once: the counts are read from one struct.
-    df = docs.withColumn("_s", text_stats(F.col(text)))
-    df = df.withColumns({c: F.col(f"_s.{c}") for c in COUNTS}).drop("_s")
-    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    return df.withColumns({"base_failed": failed, "rule_no": verdict(rules)}).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("rule_no") == 0)
-    )
+    df, s = docs.withColumn(RESERVED, text_stats(F.col(text))), F.col(RESERVED)
+    return df, base_failed(s["n_words"], s["n_repeat_words"]), verdict(rules, s)
+
+
+def with_quality(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """Adds COUNTS, base_failed, rule_no (0: none) and kept."""
+    df, failed, number = _judged(docs, rules, text)
+    made = {c: F.col(RESERVED)[c] for c in COUNTS} | {"base_failed": failed, "rule_no": number, "kept": ~failed & (number == 0)}
+    return df.withColumns(made).drop(RESERVED)
+
+
+def keep_good(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of docs that with_quality would keep, with docs' own columns."""
+    df, failed, number = _judged(docs, rules, text)
+    return df.where(~failed & (number == 0)).drop(RESERVED)

@@ -10,9 +10,11 @@ Lines are cut at newlines and compared as they are.  Lines without a word
 are never boilerplate and stay.  A null text has no lines and stays null; a
 null site counts as one site of its own.  Repeated rows share their keys and
 are treated alike; documents with equal ids but different texts are kept
-apart by a second key over id and text.  Empty tables give empty tables.
-Other columns pass unchanged, but for n_lines and n_removed, which are
-replaced if ``docs`` has them.
+apart by keys over id and text.  Of a line's occurrences with equal ids the
+one of the lower key is first.  A very long text is cut as one row.  Empty
+tables give empty tables.  Other columns pass unchanged, but for n_lines and
+n_removed, which are replaced if ``docs`` has them (``without_boilerplate``
+adds neither); names that begin with _barwright_ are reserved.
 
 Only DataFrame functions are used.
 """
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key
 
 #: A word is a run of anything but the six ASCII blanks.
 _WORD = r"[^\x20\x09-\x0D]"
@@ -33,14 +35,15 @@ SALTS = 32
 
 def doc_keys(text: Column, doc_id: Column) -> list[Column]:
     """Two hashes of id and text, never null."""
-    return [F.xxhash64(doc_id, text).alias("_k1"), F.xxhash64(text, F.lit(1), doc_id).alias("_k2")]
+    key = row_key(doc_id, text)
+    return [key["a"].alias("_barwright_a"), key["b"].alias("_barwright_b")]
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
     site_key = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("-"))
     lines = docs.select("doc_id", site_key.alias("_site"), *doc_keys(F.col("text"), F.col("doc_id")), F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
     return lines.where(F.col("_line").rlike(_WORD)).select(
-        F.unhex(F.md5("_line")).alias("line_key"), "_site", F.struct("doc_id", "_k1", "_k2", F.col("_pos")).alias("_at")
+        F.unhex(F.md5("_line")).alias("line_key"), "_site", F.struct("doc_id", "_barwright_a", "_barwright_b", F.col("_pos")).alias("_at")
     )
 
 
@@ -83,20 +86,29 @@ def remove_boilerplate(docs: DataFrame, min_sites: int, site: str = "source", lg
         salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = lines.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(SALTS)).cast("int")).join(salted, ["line_key", "_salt"])
     at = found.where(~F.col("_at").eqNullSafe(F.col("first"))).select(
-        F.col("_at._k1").alias("_k1"), F.col("_at._k2").alias("_k2"), F.col("_at._pos").alias("_pos")
+        F.col("_at._barwright_a"), F.col("_at._barwright_b"), F.col("_at._pos")
     )
-    cuts = at.groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_cut"))
-    df = docs.select("*", *doc_keys(F.col("text"), F.col("doc_id"))).join(cuts, ["_k1", "_k2"], "left")
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_cut"))
+    cuts = at.groupBy("_barwright_a", "_barwright_b").agg(F.collect_set("_pos").alias("_barwright_cut"))
+    df = docs.select("*", *doc_keys(F.col("text"), F.col("doc_id"))).join(cuts, ["_barwright_a", "_barwright_b"], "left")
+    parts, gone = F.split("text", "\n"), F.col("_barwright_cut")
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
     # transform() gets the lines as an argument, so they are cut once for each text.
-    kept = F.expr("array_join(transform(_left, i -> _parts[i]), '\n')")
+    kept = F.expr("array_join(transform(_barwright_left, i -> _barwright_parts[i]), '\n')")
     df = df.withColumns({
-        "_parts": F.when(F.col("_cut").isNotNull(), parts),
-        "_left": F.when(F.col("_cut").isNotNull(), left),
+        "_barwright_parts": F.when(gone.isNotNull(), parts),
+        "_barwright_left": F.when(gone.isNotNull(), left),
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1).cast("long"),
     })
-    return df.withColumns({
-        "text": F.when(F.col("_cut").isNotNull(), kept).otherwise(F.col("text")),
-        "n_removed": F.coalesce(F.size("_cut"), F.lit(0)).cast("long"),
-    }).drop("_k1", "_k2", "_cut", "_parts", "_left")
+    df = df.withColumns({
+        "text": F.when(gone.isNotNull(), kept).otherwise(F.col("text")),
+        "n_removed": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+    })
+    return df.drop(*(f"_barwright_{c}" for c in ("a", "b", "cut", "parts", "left")))
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int, **how) -> DataFrame:
+    """docs with its own columns, less those lines and less the documents of which no word is left."""
+    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_barwright_row")
+    left = remove_boilerplate(docs.select("doc_id", "text", "source", held), min_sites, **how)
+    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
+    return left.select(*(F.col("text") if c == "text" else F.col("_barwright_row")[c].alias(c) for c in docs.columns))

@@ -9,9 +9,11 @@ leading path segments) instead, which gives the same rows.
 
 Null urls and urls without ``://`` have an empty host and path, which only a
 rule with an empty host would fit; there are none, so they get the default
-verdict and a null rule.  Repeated urls are judged alike, an empty table
-gives an empty table, and other columns pass unchanged unless named host,
-path, rule or verdict: those are replaced.
+verdict and a null rule.  Very long urls are walked whole, repeated ones are
+judged alike, an empty table gives an empty table, and other columns pass
+unchanged unless named host, path, rule or verdict: those are replaced.
+The name _barwright_rule is reserved.  Of equally long rules the one with
+more host labels wins, of equal ones block.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ def _by_trie(df: DataFrame, rules: list[Rule]) -> DataFrame:
                 dtype=object,
             )
 
-    return df.withColumn("_r", judge("host", "path"))
+    return df.withColumn("_barwright_rule", judge("host", "path"))
 
 
 def _by_join(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -140,7 +142,7 @@ def _by_join(df: DataFrame, rules: list[Rule]) -> DataFrame:
         keys.join(listed, ["_h", "_lead"])
         .where(F.expr("startswith(path, _p)"))
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct("rule", "verdict"), rank).alias("_r"))
+        .agg(F.max_by(F.struct("rule", "verdict"), rank).alias("_barwright_rule"))
     )
     return df.join(found, ["host", "path"], "left")
 
@@ -152,5 +154,5 @@ def filter_urls(
     df = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     df = _by_trie(df, rules) if len(rules) <= max_broadcast_rules else _by_join(df, rules)
     return df.withColumns(
-        {"rule": F.col("_r.rule"), "verdict": F.coalesce(F.col("_r.verdict"), F.lit(default))}
-    ).drop("_r")
+        {"rule": F.col("_barwright_rule.rule"), "verdict": F.coalesce(F.col("_barwright_rule.verdict"), F.lit(default))}
+    ).drop("_barwright_rule")
