@@ -10,17 +10,23 @@ at any size of the corpus:
 
 1. chunks send the minimizers they have to the buckets, each once;
 2. buckets answer which ones more than one document has;
-3. chunks send the stretches of text around those;
-4. buckets keep equal stretches once, with the lowest document; where a
-   minimizer has stretches that differ, a run-compressed index of them is
-   built and the strings inside are matched against it from their ends,
-   which gives each string's lowest document;
+3. chunks send the stretches of text around those, each different one once
+   with its lowest document (copies within the chunk are settled by that);
+4. buckets index the different stretches of all chunks as a run-compressed
+   Burrows-Wheeler transform with a sampled position a run, and follow those
+   that aren't the lowest document's through it, which marks each place where
+   a lower document has ``length`` bytes;
 5. chunks cut out what is covered.
 
+Stretches are told apart by 128 bits of hashes, strings by their bytes.  A
+stretch is at most two strings long, and a passage that very many documents
+share is one stretch of each chunk, however often it occurs there.
+
 Null texts are empty; texts shorter than a string are unchanged.  Ids that
 are equal aren't lower than each other, and a null id counts as higher than
-all others.  Repeated rows are treated alike.  Empty tables give empty
-tables.  Only doc_id and text are read.
+all others.  Repeated rows are treated alike.  A very long text is one row of
+its chunk and hashed a slab at a time.  Empty tables give empty tables.  Only
+doc_id and text are read; other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 from .run_index import RunIndex
 
 #: Text bytes behind one chunk of documents and one bucket of minimizers.
@@ -40,6 +46,7 @@ CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 _SLAB = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _B, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _POS = np.uint64((1 << 28) - 1)
 
 
@@ -71,6 +78,15 @@ def _window_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
 
 
+def _stretch_hashes(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of x[start:end], by sums up to each byte."""
+    n = len(x)
+    up = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _B)))
+    down = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _INVERSE)))
+    sums = np.append(np.uint64(0), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * down[:-1]))
+    return (sums[end] - sums[start]) * up[start]
+
+
 def minimizers(texts: list[bytes], length: int, k: int):
     """Yields slabs: (first text, bytes, hashes, first start, last start, text number), a row for each stretch of strings with one minimizer."""
     at = 0
@@ -126,60 +142,57 @@ def _stretches(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     return x[at].tobytes()
 
 
-def _covered(hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _firsts(keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of stretches: order by (key, hash), where a different one begins in it, and each different one's lowest id."""
+    order = np.lexsort((hashes, keys))
+    k, h = keys[order], hashes[order]
+    begin = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (h[1:] != h[:-1]))) if len(k) else np.zeros(0, np.int64)
+    return order, begin, np.minimum.reduceat(ids[order], begin) if len(k) else ids[:0]
+
+
+def _covered(keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's stretches: number, first and last covered start (relative) of each covered run."""
-    width = int(sizes.max()) + 1
-    # Zero bytes end strings here, so they are moved to a byte that UTF-8 never has.
-    data = np.where(data == 0, np.uint8(255), data)
-    first = np.cumsum(sizes) - sizes
-    grid = np.zeros((len(sizes), width), np.uint8)
-    col = np.arange(width)
-    inside = col < sizes[:, None]
-    grid[inside] = data
-    del first
-    texts, same = np.unique(np.ascontiguousarray(grid).view(f"S{width}").ravel(), return_inverse=True)
-    low = np.full(len(texts), _LAST)
-    np.minimum.at(low, same, ids)
-    later = np.flatnonzero(ids > low[same])
+    order, begin, low = _firsts(keys, hashes, ids)
+    one = order[begin]  # a stretch of each kind
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(order)))
+    later = np.flatnonzero(ids > low[kind])  # a lower document has the whole stretch
     out_n, out_a, out_b = [later], [np.zeros(len(later), np.int64)], [sizes[later] - length]
-    # Stretches that an earlier document has as they are need nothing more; the others, once each.
-    rep = np.zeros(len(texts), np.int64)
-    rep[same] = np.arange(len(same))
-    group = hashes[rep]
-    g_low = pd.Series(low).groupby(group).transform("min").to_numpy()
-    g_size = pd.Series(group).groupby(group).transform("size").to_numpy()
-    ask = np.flatnonzero((g_size > 1) & (low > g_low))
-    ask = ask[np.argsort(group[ask], kind="stable")]  # strings that a group's texts share are then asked for once
-    if len(ask):
-        within = np.flatnonzero(g_size > 1)
-        index = RunIndex([bytes(t) for t in texts[within]], low[within], length)
-        t_size = np.char.str_len(texts[ask]).astype(np.int64)
-        many = t_size - length + 1
-        which = np.repeat(np.arange(len(ask)), many)
-        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        rows = grid[rep[ask]]
-        earliest = np.empty(len(which), np.int64)
-        for a in range(0, len(which), 100_000):
-            s = slice(a, a + 100_000)
-            strings = rows[which[s, None], offset[s, None] + np.arange(length - 1, -1, -1)]  # last byte first
-            distinct, back = np.unique(np.ascontiguousarray(strings).view(f"S{length}").ravel(), return_inverse=True)
-            lo, hi, _ = index.match(np.frombuffer(distinct.tobytes(), np.uint8).reshape(len(distinct), length)[:, ::-1])
-            earliest[s] = index.earliest(lo, hi)[back]
-        hit = earliest < low[ask][which]
-        begin = hit & ~(np.append(False, hit[:-1]) & np.append(False, which[1:] == which[:-1]))
-        end = hit & ~(np.append(hit[1:], False) & np.append(which[1:] == which[:-1], False))
-        a, b = np.flatnonzero(begin), np.flatnonzero(end)
-        # A text's runs go to all its stretches in its lowest document.
-        firsts = np.flatnonzero(ids == low[same])
-        of_text = pd.DataFrame({"t": same[firsts], "n": firsts})
-        runs = pd.DataFrame({"t": ask[which[a]], "a": offset[a], "b": offset[b]})
-        more = runs.merge(of_text, on="t")
-        out_n, out_a, out_b = out_n + [more["n"].to_numpy()], out_a + [more["a"].to_numpy()], out_b + [more["b"].to_numpy()]
+    # All kinds, each with a zero byte behind it; zero bytes inside are moved to one that UTF-8 never has.
+    size = sizes[one] + 1
+    to = np.cumsum(size)
+    text = np.zeros(to[-1], np.uint8)
+    inside = np.ones(len(text), bool)
+    inside[to - 1] = False
+    first = np.cumsum(sizes) - sizes
+    piece = data[np.repeat(first[one] - (np.cumsum(sizes[one]) - sizes[one]), sizes[one]) + np.arange(sizes[one].sum())]
+    text[inside] = np.where(piece == 0, np.uint8(255), piece)
+    index = RunIndex(text, size, low, length)
+    group = keys[one]
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    lowest = np.repeat(np.minimum.reduceat(low, starts), np.diff(starts, append=len(group)))
+    ask = np.flatnonzero(low > lowest)  # nothing covers the lowest document's own
+    hit = np.zeros((len(ask), 1), bool) if not len(ask) else index.stream(ask)
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    which, a = np.nonzero(edge == 1)
+    b = np.nonzero(edge == -1)[1] - 1
+    # They hold for the stretch in all chunks where its lowest document is.
+    firsts = np.flatnonzero(ids == low[kind])
+    runs = pd.DataFrame({"kind": ask[which], "a": a, "b": b}).merge(pd.DataFrame({"kind": kind[firsts], "n": firsts}), on="kind")
+    out_n, out_a, out_b = out_n + [runs["n"].to_numpy()], out_a + [runs["a"].to_numpy()], out_b + [runs["b"].to_numpy()]
     return np.concatenate(out_n), np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _joined(t: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs by text and start, those that touch put together; ends ascend with starts."""
+    begin = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (a[1:] > z[:-1]))) if len(t) else np.zeros(0, np.int64)
+    return t[begin], a[begin], z[np.append(begin[1:], len(t)) - 1] if len(t) else z
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of each removed run) and kept (the other bytes) for each row of docs."""
+    if length < 8:
+        raise ValueError("strings have 8 bytes or more")
     small_batches(docs.sparkSession)
     k = gram or length // 2 + 1
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -193,69 +206,102 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
         if not found:
             return pd.DataFrame({"bucket": [], "chunk": [], "once": [], "often": []})
         h, t = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-        ids = b["order"].to_numpy()[t]
-        order = np.lexsort((ids, h))
-        h, ids = h[order], ids[order]
+        order = np.argsort(h)
+        h, ids = h[order], b["order"].to_numpy()[t[order]]
         first = np.append(True, h[1:] != h[:-1])
-        number = np.cumsum(first) - 1
-        several = np.zeros(number[-1] + 1, bool)
-        several[number[1:][(ids[1:] != ids[:-1]) & ~first[1:]]] = True
+        begin = np.flatnonzero(first)
+        several = np.minimum.reduceat(ids, begin) < np.maximum.reduceat(ids, begin)
         bucket, bits = _split(h[first], buckets)
         out = [(n, chunk, _bytes(x[~m]), _bytes(x[m])) for n, _, (x, m) in _by_bucket(bucket, bits, several)]
         return pd.DataFrame(out, columns=["bucket", "chunk", "once", "often"])
 
     def answer(b: pd.DataFrame) -> pd.DataFrame:
         parts = [(c, np.frombuffer(o, u4), np.frombuffer(m, u4)) for c, o, m in zip(b["chunk"], b["once"], b["often"], strict=True)]
-        every = np.sort(np.concatenate([np.unique(np.concatenate(p[1:])) for p in parts]))
+        every = np.sort(np.concatenate([x for p in parts for x in p[1:]]))
         shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *(p[2] for p in parts)]))
         out = []
         for c, o, m in parts:
-            has = np.intersect1d(np.concatenate([o, m]), shared)
-            if len(has):
-                out.append((int(c), int(b["bucket"].iloc[0]), _bytes(has)))
+            if len(shared):
+                has = np.concatenate([o[shared[np.minimum(np.searchsorted(shared, o), len(shared) - 1)] == o], m])
+                if len(has):
+                    out.append((int(c), int(b["bucket"].iloc[0]), _bytes(has)))
         return pd.DataFrame(out, columns=["chunk", "bucket", "shared"])
 
     def send(b: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """A row for each bucket with what it needs, and one for the chunk itself (bucket -1) with where it has it."""
         if not len(b) or not len(asked):
             return pd.DataFrame({"bucket": [], "chunk": [], "meta": [], "data": []})
         chunk, (b, texts) = int(b["chunk"].iloc[0]), _chunk(b)
         want = np.sort(np.concatenate([(np.int64(n) << 32) | np.frombuffer(s, u4).astype(np.int64) for n, s in zip(asked["bucket"], asked["shared"], strict=True)]))
-        ids = b["order"].to_numpy()
+        order_of = b["order"].to_numpy()
         begun = np.cumsum([0] + [len(t) for t in texts])
-        kept, pieces = [], []
+        kept = []
         for at, x, h, s0, s1, t in minimizers(texts, length, k):
             bucket, bits = _split(h, buckets)
             key = (bucket << 32) | bits.astype(np.int64)
             ok = want[np.minimum(np.searchsorted(want, key), len(want) - 1)] == key
-            base = begun[t[ok]] - begun[at]
-            size = s1[ok] - s0[ok] + length
-            kept.append((bucket[ok], bits[ok], t[ok], s0[ok] - base, size))
-            pieces.append(_stretches(x, s0[ok], size))
-        bucket, bits, t, start, size = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else [np.zeros(0, np.int64)] * 5
-        data, first = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
-        out = []
-        for n, at, (h, tt, st, sz) in _by_bucket(bucket, bits, t, start, size):
-            meta = np.concatenate([ids[tt], h.astype(np.int64), tt, st, sz]).astype("<i8")
-            out.append((n, chunk, zlib.compress(meta.tobytes(), 1), zlib.compress(_stretches(data, first[at], sz), 1)))
+            t, s0, s1 = t[ok], s0[ok], s1[ok]
+            with np.errstate(over="ignore"):
+                stretch = _stretch_hashes(x, s0, s1 + length)
+            kept.append((key[ok], stretch, t, s0 - (begun[t] - begun[at]), s1 - s0 + length))
+        key, stretch, t, start, size = (np.concatenate(c) for c in zip(*kept, strict=True))
+        if not len(key):
+            return pd.DataFrame({"bucket": [], "chunk": [], "meta": [], "data": []})
+        ids = order_of[t]
+        order, begin, low = _firsts(key, stretch, ids)
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(order)))
+        one = order[begin]
+        copy = ids > low[kind]
+        gone = _joined(t[copy], start[copy], (start + size)[copy])
+        first = np.flatnonzero(~copy)
+        bucket, number = np.unique(key[one] >> 32, return_counts=True)
+        own = [np.array([len(bucket), len(first), len(gone[0])]), bucket, number, kind[first], t[first], start[first], *gone]
+        out = [(-1, chunk, zlib.compress(_bytes(np.concatenate(own).astype("<i8")), 1), None)]
+        whole = np.frombuffer(b"".join(texts), np.uint8)
+        at = begun[t[one]] + start[one]
+        to = np.cumsum(number)
+        for n, a, z in zip(bucket.tolist(), (to - number).tolist(), to.tolist(), strict=True):
+            r = one[a:z]
+            meta = np.concatenate([low[a:z], key[r], stretch[r].view(np.int64), size[r]]).astype("<i8")
+            out.append((n, chunk, zlib.compress(_bytes(meta), 1), zlib.compress(_stretches(whole, at[a:z], size[r]), 1)))
         return pd.DataFrame(out, columns=["bucket", "chunk", "meta", "data"])
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        metas = [np.frombuffer(zlib.decompress(m), "<i8").reshape(5, -1) for m in b["meta"]]
-        ids, h, t, start, size = np.concatenate(metas, axis=1)
-        chunk = np.repeat(b["chunk"].to_numpy(np.int64), [m.shape[1] for m in metas])
+        """For each chunk, runs in its different stretches for this bucket."""
+        metas = [np.frombuffer(zlib.decompress(m), "<i8").reshape(4, -1) for m in b["meta"]]
+        many = np.array([m.shape[1] for m in metas])
+        ids, key, stretch, size = np.concatenate(metas, axis=1)
         data = np.frombuffer(b"".join(zlib.decompress(x) for x in b["data"]), np.uint8)
-        n, first, last = _covered(h, ids, size, data, length)
+        row = np.repeat(np.arange(len(b)), many)
+        n, first, last = _covered(key, stretch, ids, size, data, length)
+        own = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         out = []
-        for c, _, (tt, a, z) in _by_bucket(chunk[n], t[n], start[n] + first, start[n] + last + length):
-            out.append((c, zlib.compress(np.concatenate([tt, a, z]).astype("<i8").tobytes(), 1)))
-        return pd.DataFrame(out, columns=["chunk", "runs"])
+        for r, _, (i, a, z) in _by_bucket(row[n], own[n], first, last + length):
+            out.append((int(b["chunk"].iloc[r]), int(b["bucket"].iloc[r]), zlib.compress(_bytes(np.concatenate([i, a, z]).astype("<i8")), 1)))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "runs"])
 
     def cut_out(b: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         if not len(b):
             return pd.DataFrame({"doc_id": [], "n_bytes": [], "spans": [], "kept": []})
         b, texts = _chunk(b)
-        parts = [np.frombuffer(zlib.decompress(r), "<i8").reshape(3, -1) for r in runs["runs"]]
-        t, a, z = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
+        parts = [np.zeros((3, 0), np.int64)]
+        for own in runs.loc[runs["bucket"] == -1, "runs"]:  # one, if the chunk shares anything
+            own = np.frombuffer(zlib.decompress(own), "<i8")
+            (n, f, g), own = own[:3], own[3:]
+            bucket, number, own = own[:n], own[n : 2 * n], own[2 * n :]
+            kind, t, start = own[: 3 * f].reshape(3, -1)
+            parts.append(own[3 * f :].reshape(3, g))
+            base = dict(zip(bucket.tolist(), (np.cumsum(number) - number).tolist(), strict=True))
+            found = [
+                np.frombuffer(zlib.decompress(r), "<i8").reshape(3, -1) + np.array([[base[n]], [0], [0]])
+                for n, r in zip(runs["bucket"], runs["runs"], strict=True) if n >= 0
+            ]
+            if found:
+                of, a, z = np.concatenate(found, axis=1)
+                m = pd.DataFrame({"kind": of, "a": a, "z": z}).merge(pd.DataFrame({"kind": kind, "t": t, "start": start}), on="kind")
+                parts.append(np.stack([m["t"], m["start"] + m["a"], m["start"] + m["z"]]))
+        t, a, z = np.concatenate(parts, axis=1)
         order = np.argsort(t, kind="stable")
         t, a, z = t[order], a[order], z[order]
         bounds = np.searchsorted(t, np.arange(len(texts) + 1))
@@ -276,7 +322,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
 
     offered = rows.groupBy("chunk").applyInPandas(offer, "bucket long, chunk long, once binary, often binary")
     shared = offered.groupBy("bucket").applyInPandas(answer, "chunk long, bucket long, shared binary")
-    sent = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(send, "bucket long, chunk long, meta binary, data binary")
-    runs = sent.groupBy("bucket").applyInPandas(compare, "chunk long, runs binary")
+    sent = cut(rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(send, "bucket long, chunk long, meta binary, data binary"), "stretches")
+    runs = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(compare, "chunk long, bucket long, runs binary")
+    runs = runs.unionByName(sent.where("bucket < 0").select("chunk", "bucket", F.col("meta").alias("runs")))
     out = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     return rows.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInPandas(cut_out, out)

@@ -1,4 +1,4 @@
-"""Run-compressed Burrows-Wheeler index of a repetitive collection, in one task's memory."""
+"""Run-length index of a repetitive collection of short strings, in one task's memory."""
 
 from __future__ import annotations
 
@@ -8,103 +8,83 @@ _PACK = 7  # bytes in a 63-bit key
 
 
 class RunIndex:
-    """Counts and earliest owners of strings of up to ``depth`` bytes.
+    """Run-compressed Burrows-Wheeler transform that answers which document has a string of ``length`` bytes first.
 
-    The transform is kept as its runs: first row, character, and for each
-    character the rows before it; at the runs' first rows the text position
-    is sampled.  A string is matched from its last byte to its first; a row
-    range shrinks with each byte, and the position of the range's first row
-    follows from the samples.
+    Rows are the suffixes of all strings in order, each up to its string's
+    end, equal ones by the string's number.  A run is a stretch of rows with
+    one preceding byte whose suffixes share their first ``length`` bytes (or
+    are shorter than that).  It keeps its first row, where that row's
+    preceding byte leads to, and a sampled text position: that of the string
+    of lowest owner among all rows that share those bytes.
     """
 
-    def __init__(self, texts: list[bytes], owners: np.ndarray, depth: int):
-        """texts hold no zero byte; owners: a number for each, of which matches report the lowest."""
-        text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        n = len(text)
-        order = self._sorted(text, depth)
+    def __init__(self, text: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int):
+        """text: the strings' bytes, none 0, each followed by a 0; size: their lengths, with the 0; owner: a number for each, ascending or not."""
+        n, self.length, self.owner, self.size = len(text), length, owner, size - 1
+        self.start = np.cumsum(size) - size
+        string = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        left = (self.start + size)[string] - np.arange(n)  # bytes to the string's end, with the 0
+        order, same = self._sorted(text, left, int(size.max()), length)
+        border = np.append(True, ~same)
         before = text[order - 1]
-        first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-        size = np.diff(first, append=n)
-        by_char = np.lexsort((first, before[first]))
-        char = before[first][by_char].astype(np.int64)
-        self.n, self.text = n, text
-        self.run_first, self.run_size = first[by_char], size[by_char]
-        self.run_key = char * (n + 1) + self.run_first
-        total = np.cumsum(self.run_size) - self.run_size
-        self.char_runs = np.searchsorted(char, np.arange(257))
-        self.run_before = total - total[np.minimum(self.char_runs[char], len(total) - 1)]
-        self.run_sample = order[self.run_first]
-        self.char_rows = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=256))])
-        sizes = np.array([len(t) + 1 for t in texts])
-        self.owner = np.repeat(owners, sizes)[order]
+        self.run_first = np.flatnonzero(border | np.append(True, before[1:] != before[:-1]))
+        run_size = np.diff(self.run_first, append=n)
+        char = before[self.run_first]
+        by_char = np.argsort(char, kind="stable")
+        self.leads = np.empty(len(char), np.int64)
+        self.leads[by_char] = np.cumsum(run_size[by_char]) - run_size[by_char]  # rows start with 0 bytes, then 1s ..., so counts before are rows
+        # The sample: in each stretch of rows that share ``length`` bytes, where the lowest owner has them.
+        begin = np.flatnonzero(border)
+        by = self.owner[string[order]]
+        low = np.minimum.reduceat(by, begin)
+        group = np.cumsum(border) - 1
+        first = np.flatnonzero(by == low[group])
+        at = np.zeros(len(begin), np.int64)
+        at[group[first][::-1]] = order[first][::-1]
+        self.sample = at[group[self.run_first]]
 
     @staticmethod
-    def _sorted(text: np.ndarray, depth: int) -> np.ndarray:
-        """Positions in order of their next bytes, as far as ``depth`` needs."""
+    def _sorted(text: np.ndarray, left: np.ndarray, longest: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in order of the bytes to their string's end, and whether neighbours share ``length`` bytes."""
         n = len(text)
-        padded = np.concatenate([text.astype(np.int64), np.zeros(_PACK, np.int64)])
+        padded = np.concatenate([text.astype(np.int64), np.zeros(max(_PACK, length), np.int64)])
         key = np.zeros(n, np.int64)
         for k in range(_PACK):
-            key = (key << 8) | padded[k : n + k]
-        distinct, rank = np.unique(key, return_inverse=True)
-        width = _PACK
-        while width < depth and len(distinct) < n:
+            key = (key << 8) | np.where(left > k, padded[k : n + k], 0)
+        rank = np.unique(key, return_inverse=True)[1]
+        width, at_length = _PACK, None
+        while width < longest:
+            if width <= length < 2 * width:  # two overlapping ranks tell strings of ``length`` bytes apart
+                after = np.concatenate([rank, np.zeros(length, np.int64)])[length - width : length - width + n]
+                at_length = rank * np.int64(n + 1) + after
             after = np.zeros(n, np.int64)
             after[: max(n - width, 0)] = rank[width:] + 1
-            distinct, rank = np.unique(rank * np.int64(n + 1) + after, return_inverse=True)
+            after[left <= width] = 0
+            rank = np.unique(rank * np.int64(n + 1) + after, return_inverse=True)[1]
             width *= 2
-        return np.argsort(rank, kind="stable")
-
-    def _rank(self, char: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each char stands before the row in the transform, and the number of its last run that starts there."""
-        run = np.searchsorted(self.run_key, char * (self.n + 1) + row, side="left") - 1
-        own = run >= self.char_runs[char]
-        at = np.maximum(run, 0)
-        inside = self.run_before[at] + np.minimum(row - self.run_first[at], self.run_size[at])
-        return np.where(own, inside, 0), run
+        order = np.argsort(rank, kind="stable")
+        if at_length is None:
+            at_length = rank
+        at_length = np.where(left > length, at_length, -1 - np.arange(n))[order]
+        return order, at_length[1:] == at_length[:-1]
 
-    def match(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For rows of equally long strings that occur: first and last row of each range, and the position of its first row.
+    def stream(self, strings: np.ndarray) -> np.ndarray:
+        """Whether lower owners have them too, for the ``length`` bytes from each place of the given strings (numbers).
 
-        A string's search ends as soon as one row is left: it occurs once.
-        Rows that are in order from their last byte backwards share their
-        first steps, which keeps what they read close together.
+        Each string is followed from its end to its start, a byte a step: a
+        row's run tells where the row of one byte more is, and its sample
+        where a match of ``length`` bytes stands first.  Result: a row for
+        each string, a column for each start.
         """
-        many, length = strings.shape
-        lo, hi, at = np.zeros(many, np.int64), np.full(many, self.n, np.int64), np.zeros(many, np.int64)
-        live = np.arange(many)
-        for k in range(length - 1, -1, -1):
-            c, low = strings[live, k].astype(np.int64), lo[live]
-            by_key = np.argsort(c * (self.n + 1) + low)  # look-ups in order are several times quicker
-            live, c, low = live[by_key], c[by_key], low[by_key]
-            high = hi[live]
-            a, run = self._rank(c, low)
-            b, _ = self._rank(c, high)
-            # The first row with c in the range: the range's own first row, or the start of the next run of c.
-            r = np.maximum(run, 0)
-            same = (run >= self.char_runs[c]) & (low < self.run_first[r] + self.run_size[r]) & (low > self.run_first[r])
-            following = np.minimum(run + 1, len(self.run_sample) - 1)
-            at[live] = np.where(same, at[live], self.run_sample[following]) - 1
-            lo[live], hi[live] = self.char_rows[c] + a, self.char_rows[c] + b
-            live = live[hi[live] - lo[live] > 1]
-            if not len(live):
-                break
-        return lo, hi, at
-
-    def earliest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Lowest owner in each range, the highest number for a range of one row; ranges of equally long strings are equal or apart."""
-        out, several = np.full(len(lo), np.iinfo(np.int64).max), np.flatnonzero(hi - lo > 1)
-        if len(several):
-            out[several] = self._lowest(lo[several], hi[several])
-        return out
-
-    def _lowest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        starts, back = np.unique(lo, return_inverse=True)
-        ends = np.zeros(len(starts), np.int64)
-        ends[back] = hi
-        bounds = np.column_stack([starts, np.minimum(ends, self.n - 1)]).ravel()
-        low = np.minimum.reduceat(self.owner, bounds)[::2]
-        last = ends == self.n  # a range up to the last row has no row beyond it to stop at
-        if last.any():
-            low[last] = [self.owner[s:].min() for s in starts[last]]
-        return low[back]
+        size = self.size[strings]
+        found = np.zeros((len(strings), max(int(size.max()) - self.length + 1, 0) if len(strings) else 0), bool)
+        live, row = np.arange(len(strings)), strings.astype(np.int64)  # the rows of the ends come first, in the strings' order
+        for k in range(int(size.max()) + 1 if len(strings) else 0):
+            run = np.searchsorted(self.run_first, row, side="right") - 1
+            if k >= self.length:
+                source = np.searchsorted(self.start, self.sample[run], side="right") - 1
+                found[live, size[live] - k] = self.owner[source] < self.owner[strings[live]]
+            go = size[live] > k
+            live, row, run = live[go], row[go], run[go]
+            row = self.leads[run] + row - self.run_first[run]
+        return found
