@@ -6,8 +6,13 @@ learned quality rules reject go; boilerplate lines go, and documents of
 which nothing is left; of near copies the one with the lowest id stays;
 documents with benchmark passages go; the rest is encoded.
 
-Rows with a null doc_id pass the near-duplicate stage; null texts fail the
-quality rules, so later stages don't see them.
+A document with a null text fails the quality rules, so later stages don't
+see it.  Rows with a null doc_id are no one's copy and pass the near-duplicate
+stage.  Rows that share a doc_id are told apart by their texts, and repeated
+rows are treated alike: all go or all stay.  Very long texts pass whole.
+Extra columns pass unchanged up to the last stage, whatever they are called;
+only names that begin with _barwright_ are reserved.  Empty tables give empty
+tables.
 """
 
 from __future__ import annotations
@@ -21,33 +26,26 @@ from barwright.llm.queries import MIN_SITES, TOKENIZERS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rules = decision_list.fit(docs, table(spark, sf_dir, "labels"))
-    return decision_list.with_quality(docs, rules).where("kept").select(*docs.columns)
+    return decision_list.keep_good(docs, decision_list.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_spread.remove_boilerplate(docs, MIN_SITES)
-    left = left.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    left = line_spread.without_boilerplate(docs, MIN_SITES)
+    return left.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_dup.link_documents(docs, width=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return near_dup.drop_copies(docs, width=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
     small_batches(spark, 1000, 8)
-    df = docs.select("doc_id", "lang", "source", "text", sentpiece.encode(F.col("text"), model, keep=False).alias("ids"))
-    back = sentpiece.decode(F.col("ids"), model)
-    same = F.replace("text", F.lit("▁"), F.lit(" ")).eqNullSafe(back)
-    return df.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    made = docs.select("doc_id", "lang", "source", sentpiece.encode_checked(F.col("text"), f"{TOKENIZERS}/piece_bpe_32k.model").alias("e"))
+    return made.select("doc_id", "lang", "source", "e.ids", F.size("e.ids").cast("long").alias("n_pieces"), "e.round_trip")
 
 
 STAGES = [
