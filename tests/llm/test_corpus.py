@@ -379,32 +379,68 @@ def test_urls(spark):
 # --- 10 -----------------------------------------------------------------------
 
 
-def test_scores(spark, texts):
+def plain_tree(train, n_total, n_distinct, c, p):
+    """Nodes by context: probabilities of kept words and the factor for others; by the definition, without numbers or levels."""
+    many, size = collections.Counter(), collections.Counter()
+    for t in train:
+        for at in range(len(t)):
+            for d in range(1, p.depth + 1):
+                if at >= d:
+                    size[tuple(t[at - d : at])] += 1
+                    many[tuple(t[at - d : at]), t[at]] += 1
+    base = lambda w: (c[w] + 0.5) / (n_total + 0.5 * (n_distinct + 1))
+    able = {k for k in size if size[k] >= p.least_context and all(c[w] >= max(p.least_word, p.least_context) for w in k[-1:]) and all(c[w] >= p.least_word for w in k)}
+    nodes = {}
+
+    def prob(context, w):
+        for d in range(len(context), 0, -1):
+            if (k := context[-d:]) in nodes:
+                kept, other = nodes[k]
+                return kept[w] if w in kept else other * prob(k[1:], w)
+        return base(w)
+
+    for k in sorted(able, key=len):
+        follow = {w: n for (q, w), n in many.items() if q == k and n >= p.least_pair and c[w] >= p.least_word}
+        if not follow:
+            continue
+        q = {w: prob(k[1:], w) for w in follow}
+        own = {w: max(n - p.discount, 0) / size[k] for w, n in follow.items()}
+        gone = max(1 - sum(n / size[k] for n in follow.values()), 0)
+        rest = 1 - min(sum(q.values()), 1 - 1e-12)
+        kl = sum(n / size[k] * math.log(n / size[k] / q[w]) for w, n in follow.items()) + (gone * math.log(gone / rest) if gone > 0 else 0)
+        if kl >= p.divergence and size[k] * kl >= p.evidence * len(follow):
+            nodes[k] = own, max(1 - sum(own.values()), 1e-12) / rest
+    return prob, nodes
+
+
+@pytest.mark.parametrize("how", [{}, {"max_words": 5, "max_pairs": 7}])
+def test_scores_equal_a_plain_walk(spark, texts, how):
     rng = random.Random(2)
-    every = texts + [" ".join(w for _ in range(60) for w in (("in", "the", "end") if rng.random() < 0.5 else ("of", "a", "day"))) for _ in range(40)] + ["", None]
-    out = {r.doc_id: r for r in suffix_lm.score_documents(docs_of(spark, every), word_share=0.0, context_share=1e-3, next_share=1e-4, pair_share=1e-4).collect()}
+    every = texts + [" ".join(w for _ in range(60) for w in (("in", "the", "end") if rng.random() < 0.5 else ("of", "a", "the", "day"))) for _ in range(40)] + ["", None]
+    for _ in range(30):  # here a word depends on the third one before it
+        w = [rng.choice("pqr") for _ in range(3)]
+        for _ in range(60):
+            w.append(w[-3] if rng.random() < 0.9 else rng.choice("pqr"))
+        every.append(" ".join(w))
+    how = {"least_word": 8, "least_context": 20, "least_pair": 4, "depth": 3} | how
+    out = {r.doc_id: r for r in suffix_lm.score_documents(docs_of(spark, every), **how).collect()}
     tokens = {i: (t or "").encode().lower().split() + [b" end"] for i, t in enumerate(every)}
-    c = collections.Counter(w for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
+    prob, nodes = plain_tree(train, n, v, c, suffix_lm.Plan(**how))
+    assert {len(k) for k in nodes} == {1, 2, 3}
     for i, t in tokens.items():
         want = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
         assert (out[i].n_tokens, out[i].n_known, out[i].train_tokens) == (len(t), sum(c[w] > 0 for w in t), n) and abs(out[i].base_score - want) < 1e-6
         assert out[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 1)
+        walked = sum(math.log10(prob(tuple(t[max(k - 3, 0) : k]), w)) for k, w in enumerate(t))
+        assert abs(out[i].score - walked) < 1e-6, i
     held = [r for r in out.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-
-
-def test_tree_sums_to_one():
-    count = np.array([50, 30, 20])
-    t = suffix_lm.SuffixTree(np.array([1, 2, 3]), count, 100, 3)
-    import pandas as pd
-
-    level = suffix_lm._grow(t, 1, pd.DataFrame({"key": [0], "n": [50]}), pd.DataFrame({"key": [1, 2], "n": [40, 8]}), {"discount": 0.75, "divergence": 0.0, "evidence": 0.0})
-    t.levels.append(level)
-    ids = np.array([0, 0, 0, 1, 0, 2, 0, -1])
-    base = np.where(ids >= 0, t.log_count(count[ids]), t.log_count(np.zeros(1))[0])
-    p = 10 ** t.log_p(ids, np.array([2, 2, 2, 2]), base)[1::2]
-    assert abs(p.sum() - 1) < 1e-9
+    for k in list(nodes)[::7]:
+        vocabulary = [*c, b"never seen"]
+        assert abs(sum(prob(k, w) for w in vocabulary) - 1) < 1e-9
 
 
 # --- all ----------------------------------------------------------------------
