@@ -12,10 +12,10 @@ at any size of the corpus:
 2. buckets answer which ones more than one document has;
 3. chunks send the stretches of text around those, each different one once
    with its lowest document (copies within the chunk are settled by that);
-4. buckets index the different stretches of all chunks as a run-compressed
-   Burrows-Wheeler transform with a sampled position a run, and follow those
-   that aren't the lowest document's through it, which marks each place where
-   a lower document has ``length`` bytes;
+4. buckets index the different stretches that share a minimizer as a
+   run-compressed Burrows-Wheeler transform with a sampled position a run, and
+   follow those that aren't the lowest document's through it, which marks each
+   place where a lower document has ``length`` bytes;
 5. chunks cut out what is covered.
 
 Stretches are told apart by 128 bits of hashes, strings by their bytes.  A
@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import small_batches
 from .run_index import RunIndex
 
 #: Text bytes behind one chunk of documents and one bucket of minimizers.
@@ -153,11 +153,19 @@ def _firsts(keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.n
 def _covered(keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's stretches: number, first and last covered start (relative) of each covered run."""
     order, begin, low = _firsts(keys, hashes, ids)
-    one = order[begin]  # a stretch of each kind
     kind = np.empty(len(order), np.int64)
     kind[order] = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(order)))
     later = np.flatnonzero(ids > low[kind])  # a lower document has the whole stretch
     out_n, out_a, out_b = [later], [np.zeros(len(later), np.int64)], [sizes[later] - length]
+    # A kind that is alone with its minimizer has no other to share strings with.
+    group = keys[order[begin]]
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    times = np.diff(starts, append=len(group))
+    lowest = np.repeat(np.minimum.reduceat(low, starts), times)
+    among = np.flatnonzero(np.repeat(times, times) > 1)
+    if not len(among):
+        return later, out_a[0], out_b[0]
+    one = order[begin[among]]  # a stretch of each kind
     # All kinds, each with a zero byte behind it; zero bytes inside are moved to one that UTF-8 never has.
     size = sizes[one] + 1
     to = np.cumsum(size)
@@ -167,18 +175,15 @@ def _covered(keys: np.ndarray, hashes: np.ndarray, ids: np.ndarray, sizes: np.nd
     first = np.cumsum(sizes) - sizes
     piece = data[np.repeat(first[one] - (np.cumsum(sizes[one]) - sizes[one]), sizes[one]) + np.arange(sizes[one].sum())]
     text[inside] = np.where(piece == 0, np.uint8(255), piece)
-    index = RunIndex(text, size, low, length)
-    group = keys[one]
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    lowest = np.repeat(np.minimum.reduceat(low, starts), np.diff(starts, append=len(group)))
-    ask = np.flatnonzero(low > lowest)  # nothing covers the lowest document's own
-    hit = np.zeros((len(ask), 1), bool) if not len(ask) else index.stream(ask)
+    index = RunIndex(text, size, low[among], length)
+    ask = np.flatnonzero(low[among] > lowest[among])  # nothing covers the lowest document's own
+    hit = index.stream(ask)
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     which, a = np.nonzero(edge == 1)
     b = np.nonzero(edge == -1)[1] - 1
     # They hold for the stretch in all chunks where its lowest document is.
     firsts = np.flatnonzero(ids == low[kind])
-    runs = pd.DataFrame({"kind": ask[which], "a": a, "b": b}).merge(pd.DataFrame({"kind": kind[firsts], "n": firsts}), on="kind")
+    runs = pd.DataFrame({"kind": among[ask[which]], "a": a, "b": b}).merge(pd.DataFrame({"kind": kind[firsts], "n": firsts}), on="kind")
     out_n, out_a, out_b = out_n + [runs["n"].to_numpy()], out_a + [runs["a"].to_numpy()], out_b + [runs["b"].to_numpy()]
     return np.concatenate(out_n), np.concatenate(out_a), np.concatenate(out_b)
 
@@ -191,8 +196,8 @@ def _joined(t: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of each removed run) and kept (the other bytes) for each row of docs."""
-    if length < 8:
-        raise ValueError("strings have 8 bytes or more")
+    if length < 16:
+        raise ValueError("strings have 16 bytes or more")
     small_batches(docs.sparkSession)
     k = gram or length // 2 + 1
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -228,7 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
         return pd.DataFrame(out, columns=["chunk", "bucket", "shared"])
 
     def send(b: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """A row for each bucket with what it needs, and one for the chunk itself (bucket -1) with where it has it."""
+        """A row for each bucket with what it needs, and one for the chunk itself (a bucket under 0) with where it has it."""
         if not len(b) or not len(asked):
             return pd.DataFrame({"bucket": [], "chunk": [], "meta": [], "data": []})
         chunk, (b, texts) = int(b["chunk"].iloc[0]), _chunk(b)
@@ -257,22 +262,28 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
         first = np.flatnonzero(~copy)
         bucket, number = np.unique(key[one] >> 32, return_counts=True)
         own = [np.array([len(bucket), len(first), len(gone[0])]), bucket, number, kind[first], t[first], start[first], *gone]
-        out = [(-1, chunk, zlib.compress(_bytes(np.concatenate(own).astype("<i8")), 1), None)]
+        out = [(-1 - chunk, chunk, zlib.compress(_bytes(np.concatenate(own).astype("<i8")), 1), None)]
         whole = np.frombuffer(b"".join(texts), np.uint8)
         at = begun[t[one]] + start[one]
         to = np.cumsum(number)
         for n, a, z in zip(bucket.tolist(), (to - number).tolist(), to.tolist(), strict=True):
             r = one[a:z]
-            meta = np.concatenate([low[a:z], key[r], stretch[r].view(np.int64), size[r]]).astype("<i8")
-            out.append((n, chunk, zlib.compress(_bytes(meta), 1), zlib.compress(_stretches(whole, at[a:z], size[r]), 1)))
+            meta = low[a:z].astype("<i8").tobytes() + size[r].astype("<u2").tobytes() + key[r].astype(u4).tobytes()
+            out.append((n, chunk, zlib.compress(meta, 1), zlib.compress(_stretches(whole, at[a:z], size[r]), 1)))
         return pd.DataFrame(out, columns=["bucket", "chunk", "meta", "data"])
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
         """For each chunk, runs in its different stretches for this bucket."""
-        metas = [np.frombuffer(zlib.decompress(m), "<i8").reshape(4, -1) for m in b["meta"]]
-        many = np.array([m.shape[1] for m in metas])
-        ids, key, stretch, size = np.concatenate(metas, axis=1)
+        if b["bucket"].iloc[0] < 0:
+            return b.rename(columns={"meta": "runs"})[["chunk", "bucket", "runs"]]
+        metas = [zlib.decompress(m) for m in b["meta"]]
+        many = np.array([len(m) // 14 for m in metas])
+        part = lambda kind, a, z: np.concatenate([np.frombuffer(m[a * n : z * n], kind) for m, n in zip(metas, many, strict=True)]).astype(np.int64)
+        ids, size, key = part("<i8", 0, 8), part("<u2", 8, 10), part(u4, 10, 14)
         data = np.frombuffer(b"".join(zlib.decompress(x) for x in b["data"]), np.uint8)
+        to = np.cumsum(size)
+        with np.errstate(over="ignore"):
+            stretch = _stretch_hashes(data, to - size, to)
         row = np.repeat(np.arange(len(b)), many)
         n, first, last = _covered(key, stretch, ids, size, data, length)
         own = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
@@ -286,7 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
             return pd.DataFrame({"doc_id": [], "n_bytes": [], "spans": [], "kept": []})
         b, texts = _chunk(b)
         parts = [np.zeros((3, 0), np.int64)]
-        for own in runs.loc[runs["bucket"] == -1, "runs"]:  # one, if the chunk shares anything
+        for own in runs.loc[runs["bucket"] < 0, "runs"]:  # one, if the chunk shares anything
             own = np.frombuffer(zlib.decompress(own), "<i8")
             (n, f, g), own = own[:3], own[3:]
             bucket, number, own = own[:n], own[n : 2 * n], own[2 * n :]
@@ -322,8 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
 
     offered = rows.groupBy("chunk").applyInPandas(offer, "bucket long, chunk long, once binary, often binary")
     shared = offered.groupBy("bucket").applyInPandas(answer, "chunk long, bucket long, shared binary")
-    sent = cut(rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(send, "bucket long, chunk long, meta binary, data binary"), "stretches")
-    runs = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(compare, "chunk long, bucket long, runs binary")
-    runs = runs.unionByName(sent.where("bucket < 0").select("chunk", "bucket", F.col("meta").alias("runs")))
+    sent = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(send, "bucket long, chunk long, meta binary, data binary")
+    runs = sent.groupBy("bucket").applyInPandas(compare, "chunk long, bucket long, runs binary")
     out = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     return rows.groupBy("chunk").cogroup(runs.groupBy("chunk")).applyInPandas(cut_out, out)

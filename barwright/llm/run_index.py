@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_PACK = 7  # bytes in a 63-bit key
-
 
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform that answers which document has a string of ``length`` bytes first.
@@ -47,24 +45,34 @@ class RunIndex:
     def _sorted(text: np.ndarray, left: np.ndarray, longest: int, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions in order of the bytes to their string's end, and whether neighbours share ``length`` bytes."""
         n = len(text)
-        padded = np.concatenate([text.astype(np.int64), np.zeros(max(_PACK, length), np.int64)])
+        used = np.flatnonzero(np.bincount(text, minlength=256))
+        bits = 7 if len(used) <= 128 else 8
+        code = np.zeros(256, np.int64)
+        code[used] = np.arange(len(used))
+        width = 63 // bits
+        padded = np.concatenate([code[text], np.zeros(width, np.int64)])
         key = np.zeros(n, np.int64)
-        for k in range(_PACK):
-            key = (key << 8) | np.where(left > k, padded[k : n + k], 0)
-        rank = np.unique(key, return_inverse=True)[1]
-        width, at_length = _PACK, None
+        for k in range(width):
+            key = (key << bits) | np.where(left > k, padded[k : n + k], 0)
+        at_length = None
         while width < longest:
-            if width <= length < 2 * width:  # two overlapping ranks tell strings of ``length`` bytes apart
-                after = np.concatenate([rank, np.zeros(length, np.int64)])[length - width : length - width + n]
-                at_length = rank * np.int64(n + 1) + after
-            after = np.zeros(n, np.int64)
-            after[: max(n - width, 0)] = rank[width:] + 1
-            after[left <= width] = 0
-            rank = np.unique(rank * np.int64(n + 1) + after, return_inverse=True)[1]
-            width *= 2
-        order = np.argsort(rank, kind="stable")
-        if at_length is None:
-            at_length = rank
+            rank = np.unique(key, return_inverse=True)[1]
+
+            def behind(k: int, rank=rank) -> np.ndarray:
+                """Ranks of what is k bytes on, 0 beyond the string's end."""
+                out = np.zeros(n, np.int64)
+                out[: max(n - k, 0)] = rank[k:] + 1
+                out[left <= k] = 0
+                return out
+
+            three = int(rank.max()) + 2 < 1 << 21  # ranks of 21 bits
+            if at_length is None and width * (3 if three else 2) >= length:
+                at_length = rank * np.int64(n + 2) + behind(length - width)
+                if three and 2 * width < length:
+                    at_length = (rank << 42) | (behind(width) << 21) | behind(length - width)
+            key = (rank << 42) | (behind(width) << 21) | behind(2 * width) if three else rank * np.int64(n + 2) + behind(width)
+            width *= 3 if three else 2
+        order = np.argsort(key, kind="stable")
         at_length = np.where(left > length, at_length, -1 - np.arange(n))[order]
         return order, at_length[1:] == at_length[:-1]
 
