@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,11 +13,13 @@ from .bars import by_symbol, calendar, returns
 
 
 def equity_curve(trades: DataFrame) -> DataFrame:
-    """Running product of 1 + ret over a symbol's trades in order; step 0 is 1."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("i", "ret"))), lambda s: s["ret"])
-    first = F.array(F.lit(1.0))
-    curve = F.aggregate(steps, first, lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) * (1 + r))))
-    return trades.groupBy("symbol", "side").agg(curve.alias("c")).select("symbol", "side", F.posexplode("c").alias("step", "equity"))
+    """Running product of 1 + ret over a symbol's trades in order; step 0 is 1.  trades: symbol, side, i, ret (after cost)."""
+    w = Window.partitionBy("symbol", "side").orderBy("i")
+    steps = trades.select(
+        "symbol", "side", F.row_number().over(w).alias("step"),
+        F.product(1 + F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("equity"),
+    )
+    return steps.unionByName(trades.select("symbol", "side").distinct().select("symbol", "side", F.lit(0).alias("step"), F.lit(1.0).alias("equity")))
 
 
 def max_drawdown(curve: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -37,9 +41,10 @@ def buy_and_hold(bars: DataFrame, start: int, bars_per_year: int = 252) -> DataF
 
 
 def summarize(trades: DataFrame, evaluated: DataFrame, bench: DataFrame, bars_per_year: int = 252) -> DataFrame:
-    """By symbol and side: trades, years, return, growth, drawdown, time in market and Calmar ratios.
+    """By symbol and side: trades, years, return, growth, drawdown, time in market and Calmar ratios, for longs beside holding.
 
-    evaluated: symbol, n_bars; bench: as from buy_and_hold.
+    trades: returns after cost; evaluated: symbol, n_bars; bench: as from
+    buy_and_hold.  Shorts have nothing to be held against.
     """
     curve = equity_curve(trades)
     down = max_drawdown(curve, ["symbol", "side"], "step", "equity")
@@ -47,13 +52,16 @@ def summarize(trades: DataFrame, evaluated: DataFrame, bench: DataFrame, bars_pe
     hold = trades.groupBy("symbol", "side").agg(F.sum("bars").alias("_hold"))
     years = F.col("n_bars") / bars_per_year
     df = total.join(down, ["symbol", "side"]).join(hold, ["symbol", "side"]).join(evaluated, "symbol")
+    b = bench.select("symbol", F.lit("bull").alias("side"), F.col("total_return").alias("bh_return"), F.col("max_drawdown").alias("bh_drawdown"))
+    df = df.join(b, ["symbol", "side"], "left").withColumn("bh_cagr", cagr(F.col("bh_return"), years))
     df = df.select(
         "symbol", "side", "n_trades", F.round(years, 2).alias("years"), (F.col("n_trades") / years).alias("trades_per_year"), "total_return",
         cagr(F.col("total_return"), years).alias("cagr"), "max_drawdown", (F.col("_hold") / F.col("n_bars")).alias("time_in_market"),
+        "bh_return", "bh_cagr", "bh_drawdown", (F.col("total_return") > F.col("bh_return")).alias("beats_bh"), (F.col("total_return") - F.col("bh_return")).alias("excess_vs_bh"),
     )
-    b = bench.select("symbol", F.col("total_return").alias("bh_return"), F.col("cagr").alias("bh_cagr"), F.col("max_drawdown").alias("bh_drawdown"))
-    calmar = lambda c, d: F.when(F.col(d) > 0, F.col(c) / F.col(d))
-    return df.join(b, "symbol", "left").withColumns({"calmar": calmar("cagr", "max_drawdown"), "bh_calmar": calmar("bh_cagr", "bh_drawdown")})
+    calmar = lambda c, d: F.when(F.col("bh_return").isNotNull() & (F.col(d) > 0), F.col(c) / F.col(d))
+    df = df.withColumns({"calmar": calmar("cagr", "max_drawdown"), "bh_calmar": calmar("bh_cagr", "bh_drawdown")})
+    return df.withColumn("beats_bh_by_calmar", F.col("calmar") > F.col("bh_calmar"))
 
 
 def equal_weight(bars: DataFrame) -> DataFrame:
@@ -70,71 +78,118 @@ def correlations(bars: DataFrame, lookback: int = 252, least: int = 30) -> DataF
     r = returns(bars)
     w = Window.partitionBy("symbol")
     r = r.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(F.desc("i")))}).where((F.col("_n") >= least) & (F.col("_k") <= lookback))
-    symbols = r.agg(F.count_distinct("symbol").alias("_all"))
-    shared = r.groupBy("ts").agg(F.count("*").alias("_m")).crossJoin(F.broadcast(symbols)).where("_m = _all").select("ts")
+    symbols = r.agg(F.count_distinct("symbol").alias("_all"))  # one row
+    shared = r.groupBy("ts").agg(F.count("*").alias("_m")).join(F.broadcast(symbols), F.col("_m") == F.col("_all")).select("ts")
     r = r.join(shared, "ts").select("symbol", "ts", "ret")
     a, b = r.select(F.col("symbol").alias("a"), "ts", F.col("ret").alias("x")), r.select(F.col("symbol").alias("b"), "ts", F.col("ret").alias("y"))
     return a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("rho"))
 
 
-def effective_number(pairs: DataFrame) -> DataFrame:
-    """n_symbols, mean_rho, n_eff = n^2 / sum of the whole matrix; null if that isn't positive."""
-    symbols = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct().agg(F.count("*").alias("n_symbols"))
-    total = pairs.agg(F.sum("rho").alias("_s"), F.avg("rho").alias("mean_rho"))
+def _among(pairs: DataFrame, symbols: DataFrame | None) -> DataFrame:
+    if symbols is None:
+        return pairs
+    s = symbols.select("symbol").distinct()
+    return pairs.join(s.withColumnRenamed("symbol", "a"), "a", "left_semi").join(s.withColumnRenamed("symbol", "b"), "b", "left_semi").select("a", "b", "rho")
+
+
+def effective_number(measured: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: n_symbols, mean_rho, n_eff and ratio of the measured symbols (column symbol).
+
+    n_eff is n^2 over the sum of the whole correlation matrix, null if that
+    isn't positive; of fewer than two symbols it is their number.
+    """
+    n = measured.select("symbol").distinct().agg(F.count("*").alias("n_symbols"))
+    total = _among(pairs, measured).agg(F.coalesce(F.sum("rho"), F.lit(0.0)).alias("_s"), F.avg("rho").alias("mean_rho"))
     whole = F.col("n_symbols") + 2 * F.col("_s")
-    n2 = F.col("n_symbols") * F.col("n_symbols")
-    return symbols.crossJoin(total).select("n_symbols", "mean_rho", F.when(whole > 0, n2 / whole).alias("n_eff")).withColumn("ratio", F.col("n_symbols") / F.col("n_eff"))
+    eff = F.when(F.col("n_symbols") < 2, F.col("n_symbols").cast("double")).when(whole > 0, F.col("n_symbols") * F.col("n_symbols") / whole)
+    out = n.join(F.broadcast(total)).select("n_symbols", "mean_rho", eff.alias("n_eff"))  # a row on either side
+    return out.withColumn("ratio", F.when(F.col("n_symbols") >= 2, F.col("n_symbols") / F.col("n_eff")))
 
 
-def concentration_band(n_signals: Column, n_eff: Column) -> Column:
-    ratio = n_signals / n_eff
+def concentration_band(ratio: Column) -> Column:
     return F.when(ratio >= 2.5, "high").when(ratio >= 1.6, "medium").otherwise("low")
 
 
-def simulate_portfolio(signals: DataFrame, prices: DataFrame, max_positions: tuple[int, ...] = (10, 20), equal_slots: bool = False) -> DataFrame:
+def signal_concentration(signals: DataFrame, measured: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row on today's signals (column symbol): how many, how many with a correlation, and how many independent ones they amount to.
+
+    measured: the symbols that ``pairs`` was computed over.  The band is null
+    for fewer than two measured signals.
+    """
+    own = signals.select("symbol").distinct()
+    seen = own.join(measured.select("symbol").distinct(), "symbol", "left_semi")
+    out = effective_number(seen, pairs).withColumnRenamed("n_symbols", "n_measured")
+    out = out.join(F.broadcast(own.agg(F.count("*").alias("n_signals"))))
+    return out.withColumn("band", F.when((F.col("n_measured") >= 2) & F.col("n_eff").isNotNull(), concentration_band(F.col("ratio"))))
+
+
+def high_pairs(pairs: DataFrame, threshold: float = 0.6, symbols: DataFrame | None = None) -> DataFrame:
+    """Pairs that correlate by ``threshold`` or more: two ways to hold much the same."""
+    return _among(pairs, symbols).where(F.col("rho") >= threshold)
+
+
+def slot_fills(signals: DataFrame, days: DataFrame, max_positions: tuple[int, ...], equal_slots: bool = False) -> DataFrame:
+    """Which signals get a slot: slots, symbol, bar, exit_bar, ret, capital.
+
+    signals: symbol, ts, score, ret (after cost), bars.  Of a day's signals
+    the best as many as there are slots can matter: those held already take a
+    slot each.  A scenario's fills follow from one another, so one task goes
+    through those signals; only five numbers of each reach it, and no prices.
+    """
+    scenarios = signals.sparkSession.createDataFrame([(int(n),) for n in max_positions], "slots int")
+    best = F.row_number().over(Window.partitionBy("bar").orderBy(F.desc("score"), "symbol"))
+    ranked = signals.join(days, "ts").withColumn("rank", best).where(F.col("rank") <= max(max_positions))
+    s = ranked.join(F.broadcast(scenarios), F.col("rank") <= F.col("slots"))
+    s = s.select("slots", "symbol", "bar", "rank", "ret", F.greatest(F.col("bars"), F.lit(1)).cast("int").alias("hold"))
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        slots, b = key[0], b.sort_values(["bar", "rank"], ignore_index=True)
+        due: list[tuple[int, float]] = []  # heap of exit bars with what comes back
+        until: dict[str, int] = {}
+        money, out = 1.0, []
+        for symbol, bar, ret, hold in zip(b["symbol"], b["bar"].tolist(), b["ret"].tolist(), b["hold"].tolist(), strict=True):
+            while due and due[0][0] <= bar:
+                money += heapq.heappop(due)[1]
+            if len(due) < slots and until.get(symbol, -1) <= bar:
+                stake = money / (slots - len(due)) if equal_slots else money / slots
+                if stake <= 0:
+                    continue
+                money -= stake
+                until[symbol] = bar + hold
+                heapq.heappush(due, (bar + hold, stake * (1 + ret)))
+                out.append((slots, symbol, bar, bar + hold, ret, stake))
+        return pd.DataFrame(out, columns=["slots", "symbol", "bar", "exit_bar", "ret", "capital"])
+
+    return s.groupBy("slots").applyInPandas(run, "slots int, symbol string, bar int, exit_bar int, ret double, capital double")
+
+
+def simulate_portfolio(signals: DataFrame, prices: DataFrame, max_positions: tuple[int, ...] = (10, 20), equal_slots: bool = False, side: str = "bull") -> DataFrame:
     """Equity by calendar bar for each number of slots: exits, then entries by score, then valuation at the close.
 
-    signals: symbol, ts, score, ret (after cost), bars.  Capital is one
-    state that every bar depends on, so each scenario is walked by one task;
-    it holds the signals and the closes of the symbols, not ticks.  A free
-    slot gets capital / max_positions of what is left, or with
-    ``equal_slots`` of what all slots hold.
+    A free slot gets capital / max_positions of what is left, or with
+    ``equal_slots`` of what all slots hold.  Positions are valued by their
+    closes where there are any, else at what they cost; on the last bar all
+    are settled.  Only the fills are sequential; cash and values are sums by
+    bar over them.
     """
     days = calendar(signals.select("ts").unionByName(prices.select("ts")).distinct())
-    s = signals.groupBy("ts").agg(F.collect_list(F.struct("score", "symbol", "ret", "bars")).alias("signals"))
-    p = prices.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "close"))).alias("closes"))
-    path = days.join(s, "ts", "left").join(p, "ts", "left").crossJoin(signals.sparkSession.createDataFrame([(int(n),) for n in max_positions], "slots int"))
-
-    def walk(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        slots, cash, open_, out = key[0], 1.0, [], []
-        b = b.sort_values("bar", ignore_index=True)
-        for k, (ts, sig, closes) in enumerate(zip(b["ts"], b["signals"], b["closes"], strict=True)):
-            closes = dict(closes) if closes is not None else {}
-            still = []
-            for o in open_:
-                if o["exit"] <= k:
-                    cash += o["cap"] * (1 + o["ret"])
-                else:
-                    still.append(o)
-            open_ = still
-            held = {o["symbol"] for o in open_}
-            for x in sorted(sig if sig is not None else [], key=lambda x: (-x["score"], x["symbol"])):
-                if len(open_) >= slots:
-                    break
-                if x["symbol"] in held:
-                    continue
-                cap = cash / (slots - len(open_)) if equal_slots else cash / slots
-                cash -= cap
-                open_.append({"symbol": x["symbol"], "exit": k + max(int(x["bars"]), 1), "ret": x["ret"], "cap": cap, "px": closes.get(x["symbol"])})
-                held.add(x["symbol"])
-            worth = sum(o["cap"] * (closes[o["symbol"]] / o["px"] if o["px"] and o["symbol"] in closes else 1.0) for o in open_)
-            out.append((slots, k, ts, cash + worth, len(open_)))
-        if out:
-            end = cash + sum(o["cap"] * (1 + o["ret"]) for o in open_)
-            out[-1] = (*out[-1][:3], end, out[-1][4])
-        return pd.DataFrame(out, columns=["slots", "bar", "ts", "equity", "n_open"])
-
-    return path.groupBy("slots").applyInPandas(walk, "slots int, bar int, ts timestamp_ntz, equity double, n_open int")
+    fills = slot_fills(signals, days, max_positions, equal_slots).persist()
+    end = days.agg(F.max("bar").alias("_last"))
+    px = prices.join(days, "ts").select("symbol", "bar", "close")
+    own = fills.join(px.select("symbol", "bar", F.col("close").alias("_entry")), ["symbol", "bar"], "left").join(F.broadcast(end))
+    back = F.col("capital") * (1 + F.col("ret"))
+    moves = fills.select("slots", "bar", (-F.col("capital")).alias("m")).unionByName(
+        own.select("slots", F.least("exit_bar", "_last").alias("bar"), back.alias("m"))
+    ).groupBy("slots", "bar").agg(F.sum("m").alias("_m"))
+    held = own.select("slots", "symbol", "capital", "_entry", F.explode(F.sequence(F.col("bar"), F.least(F.col("exit_bar") - 1, F.col("_last")))).alias("bar"), "_last")
+    sign = 1 if side == "bull" else -1
+    moved = F.when(F.col("_entry") > 0, sign * (F.col("close") / F.col("_entry") - 1))
+    worth = F.when(F.col("bar") < F.col("_last"), F.col("capital") * (1 + F.coalesce(moved, F.lit(0.0)))).otherwise(0.0)
+    values = held.join(px, ["symbol", "bar"], "left").groupBy("slots", "bar").agg(F.sum(worth).alias("_v"), F.count("*").alias("n_open"))
+    scenarios = signals.sparkSession.createDataFrame([(int(n),) for n in max_positions], "slots int")
+    path = days.join(F.broadcast(scenarios)).join(moves, ["slots", "bar"], "left").join(values, ["slots", "bar"], "left")
+    cash = 1 + F.sum(F.coalesce("_m", F.lit(0.0))).over(Window.partitionBy("slots").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0))
+    return path.select("slots", "bar", "ts", (cash + F.coalesce("_v", F.lit(0.0))).alias("equity"), F.coalesce("n_open", F.lit(0)).cast("int").alias("n_open"))
 
 
 def portfolio_stats(equity: DataFrame, bars_per_year: int = 252) -> DataFrame:

@@ -84,40 +84,37 @@ class Market:
         )
 
 
-def select_non_overlapping(signals: DataFrame, keys: list[str], order: str = "i", hold: str = "bars") -> DataFrame:
-    """Signals taken one after the other: the next not before the last one's final bar.
-
-    Sequential within ``keys``, so each group is walked by one task; groups
-    are (symbol, side, threshold) and hold a symbol's bars at most.
+def _free_signals(at: np.ndarray, hold: np.ndarray) -> np.ndarray:
+    """Of signals in order, those met by going on from each to the first after its last bar."""
+    after, out, k = np.searchsorted(at, at + np.maximum(hold, 1)).tolist(), [], 0
+    while k < len(after):
+        out.append(k)
+        k = after[k]
+    return np.array(out, np.int64)
+
+
+def one_at_a_time(signals: DataFrame, keys: list[str], thresholds: tuple[int, ...] | None = None) -> DataFrame:
+    """Signals taken one after the other, the next not before the last one's final bar; needs i and bars.
+
+    The chain of a group (a symbol's signals of one side) goes from trade to
+    trade in one task.  With ``thresholds`` each of them has a chain of its
+    own over the signals that score as much, and the result a column
+    threshold.
     """
     fields = signals.schema.fields
     names = [f.name for f in fields]
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["threshold int"] * bool(thresholds)
 
-    def walk(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(order, ignore_index=True)
-        at, end = b[order].to_numpy(np.int64), b[order].to_numpy(np.int64) + b[hold].to_numpy(np.int64) - 1
-        taken, busy = np.zeros(len(b), bool), -1
-        for k in range(len(b)):
-            if at[k] > busy:
-                taken[k], busy = True, end[k]
-        return b.loc[taken, names]
-
-    return signals.groupBy(*keys).applyInPandas(walk, signals.schema)
-
-
-def folded_non_overlapping(signals: DataFrame, keys: list[str]) -> DataFrame:
-    """The same by a fold over the sorted signals of a group, without Python; needs i and bars."""
-    steps = F.array_sort(F.collect_list(F.struct("i", "bars")))
-    first = F.struct(F.lit(-1).cast("int").alias("busy"), F.array().cast("array<int>").alias("taken"))
-
-    def step(acc, s):
-        free = s["i"] > acc["busy"]
-        return F.struct(
-            F.when(free, s["i"] + s["bars"] - 1).otherwise(acc["busy"]).cast("int").alias("busy"),
-            F.when(free, F.concat(acc["taken"], F.array(s["i"].cast("int")))).otherwise(acc["taken"]).alias("taken"),
-        )
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("i", ignore_index=True)[names]
+        parts = []
+        for t in thresholds or (None,):
+            own = b if t is None else b[b["score"] >= t]
+            took = own.iloc[_free_signals(own["i"].to_numpy(np.int64), own["bars"].to_numpy(np.int64))]
+            parts.append(took if t is None else took.assign(threshold=np.int32(t)))
+        return pd.concat(parts)
 
-    return signals.groupBy(*keys).agg(F.aggregate(steps, first, step, lambda a: a["taken"]).alias("t")).select(*keys, F.explode("t").alias("i"))
+    return signals.groupBy(*keys).applyInPandas(run, ", ".join(types))
 
 
 def sides(wf: DataFrame) -> DataFrame:
@@ -129,9 +126,8 @@ def sides(wf: DataFrame) -> DataFrame:
 
 def taken_trades(wf: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     """Non-overlapping trades of every symbol, side and threshold; threshold -1 takes every bar."""
-    at = F.explode(F.filter(F.array(F.lit(-1), *(F.lit(t) for t in thresholds)), lambda t: F.col("score") >= t))
-    signals = sides(wf).select("symbol", "side", "i", "ts", "entry_off", "score", "ret", "bars", "r", "outcome", at.alias("threshold"))
-    return select_non_overlapping(signals, ["symbol", "side", "threshold"])
+    signals = sides(wf).select("symbol", "side", "i", "ts", "entry_off", "score", "ret", "bars", "r", "outcome")
+    return one_at_a_time(signals, ["symbol", "side"], (-1, *thresholds))
 
 
 def summary_columns(ret: Column, cost: Column, z: float) -> list[Column]:
@@ -173,7 +169,7 @@ def base_rate(taken: DataFrame, costs: DataFrame, cfg: Config) -> DataFrame:
 def recommend(stats: DataFrame, cfg: Config) -> DataFrame:
     """By symbol and side: lowest threshold whose bound is over 0, else that of the best bound, else the default."""
     able = (F.col("n") >= cfg.min_trades) & F.col("expectancy_lb").isNotNull()
-    row = F.struct("threshold", "n", "expectancy", "expectancy_lb")
+    row = F.struct("threshold", "n", "expectancy", "expectancy_lb", "excess_expectancy")
     r = stats.groupBy("symbol", "side").agg(
         F.min_by(row, F.when(able & (F.col("expectancy_lb") > 0), F.col("threshold"))).alias("_ok"),
         F.max_by(row, F.when(able, F.struct("expectancy_lb", (-F.col("threshold")).alias("t")))).alias("_best"),
@@ -182,7 +178,7 @@ def recommend(stats: DataFrame, cfg: Config) -> DataFrame:
     return r.select(
         "symbol", "side", F.coalesce(pick.getField("threshold"), F.lit(cfg.default_threshold)).alias("threshold"),
         F.when(F.col("_ok").isNotNull(), "ok").when(F.col("_best").isNotNull(), "no_edge").otherwise("insufficient_data").alias("confidence"),
-        pick.getField("n").alias("n"), pick.getField("expectancy").alias("expectancy"), pick.getField("expectancy_lb").alias("expectancy_lb"),
+        *(pick.getField(c).alias(c) for c in ("n", "expectancy", "expectancy_lb", "excess_expectancy")),
     )
 
 

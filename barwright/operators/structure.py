@@ -6,7 +6,9 @@ at (null: not yet), so that any earlier view is a filter on the two.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import by_symbol
@@ -52,17 +54,20 @@ def swings(bars: DataFrame, n: int = 3, causal: bool = False) -> DataFrame:
 
 def structure_events(bars: DataFrame, sw: DataFrame) -> DataFrame:
     """First close beyond each swing while it is the latest of its kind; BOS with the trend, CHoCH against it."""
-    reign = Window.partitionBy("symbol", "kind").orderBy("seq")
-    levels = sw.withColumn("until", F.lead("conf_i").over(reign)).select(
-        "symbol", "kind", F.col("price").alias("broken_level"), F.col("i").alias("broken_i"), "conf_i", "until"
-    )
-    b = bars.select("symbol", "i", "close")
-    # A level reigns until the next of its kind is known, so the ranges of one kind don't overlap.
-    hit = b.join(levels, "symbol").where(
-        (F.col("i") >= F.col("conf_i")) & (F.col("until").isNull() | (F.col("i") < F.col("until")))
-        & F.when(F.col("kind") == "high", F.col("close") > F.col("broken_level")).otherwise(F.col("close") < F.col("broken_level"))
+    # A level reigns until the next of its kind is known, so at each bar the last one known is the one to break.
+    w = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    known = sw.groupBy("symbol", F.col("conf_i").alias("i")).agg(*(
+        F.max(F.when(F.col("kind") == k, F.struct("seq", F.col("price").alias("broken_level"), F.col("i").alias("broken_i")))).alias(f"_{k}") for k in ("high", "low")
+    ))
+    df = bars.select("symbol", "i", "close").join(known, ["symbol", "i"], "left").withColumns({c: F.last(c, True).over(w) for c in ("_high", "_low")})
+    broken = F.array_compact(F.array(
+        F.when(F.col("close") > F.col("_high.broken_level"), F.struct(F.lit("high").alias("kind"), F.col("_high").alias("l"))),
+        F.when(F.col("close") < F.col("_low.broken_level"), F.struct(F.lit("low").alias("kind"), F.col("_low").alias("l"))),
+    ))
+    hit = df.select("symbol", "i", "close", F.explode(broken).alias("x"))
+    first = hit.groupBy("symbol", F.col("x.kind").alias("kind"), F.col("x.l.broken_i").alias("broken_i"), F.col("x.l.broken_level").alias("broken_level")).agg(
+        F.min(F.struct("i", "close")).alias("e")
     )
-    first = hit.groupBy("symbol", "kind", "broken_i", "broken_level").agg(F.min(F.struct("i", "close")).alias("e"))
     ev = first.select(
         "symbol", F.col("e.i").alias("i"), F.col("e.close").alias("price"),
         F.when(F.col("kind") == "high", "bullish").otherwise("bearish").alias("side"), "broken_level", "broken_i",
@@ -73,28 +78,76 @@ def structure_events(bars: DataFrame, sw: DataFrame) -> DataFrame:
 
 def order_blocks(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Last bar of the opposite colour between the broken swing and the break; mitigated at the first later touch."""
-    b = bars.select("symbol", F.col("i").alias("k"), "open", "high", "low", "close")
-    e = events.select("symbol", F.col("i").alias("event_i"), "side", "broken_i")
-    against = F.when(F.col("side") == "bullish", F.col("close") < F.col("open")).otherwise(F.col("close") > F.col("open"))
-    legs = e.join(b, "symbol").where((F.col("k") >= F.col("broken_i")) & (F.col("k") < F.col("event_i")) & against)
-    last = legs.groupBy("symbol", "event_i", "side").agg(F.max(F.struct("k", "high", "low")).alias("o"))
+    w = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+    me = F.struct(F.col("i").alias("k"), "high", "low")
+    df = bars.select(
+        "symbol", F.col("i").alias("event_i"),
+        F.last(F.when(F.col("close") < F.col("open"), me), True).over(w).alias("_fell"), F.last(F.when(F.col("close") > F.col("open"), me), True).over(w).alias("_rose"),
+    )
+    e = events.select("symbol", F.col("i").alias("event_i"), "side", "broken_i").join(df, ["symbol", "event_i"])
+    last = e.withColumn("o", F.when(F.col("side") == "bullish", F.col("_fell")).otherwise(F.col("_rose"))).where(F.col("o.k") >= F.col("broken_i"))
     zones = last.groupBy("symbol", F.col("o.k").alias("start_i"), "side").agg(F.min(F.struct("event_i", "o")).alias("f")).select(
         "symbol", "start_i", "side", F.col("f.event_i").alias("event_i"), F.col("f.o.high").alias("top"), F.col("f.o.low").alias("bottom")
     )
-    touch = (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom"))
-    return first_touch(zones, b, "event_i", touch, "mitigated_i")
+    return first_touch(zones, bars, "event_i", F.col("top"), F.col("bottom"), "mitigated_i")
+
 
+class _Firsts:
+    """First place from a start on where values are at or under a bound, by minima over stretches of 1, 2, 4 ... values."""
 
-def first_touch(objects: DataFrame, b: DataFrame, known: str, touch, out: str) -> DataFrame:
-    """Adds the first bar k after ``known`` that fulfils ``touch``; null if none does."""
-    keys = objects.columns
-    hits = objects.join(b, "symbol").where((F.col("k") > F.col(known)) & touch).groupBy(*keys).agg(F.min("k").alias(out))
-    left = objects.alias("x")
-    same = [F.col(f"x.{c}") == F.col(f"h.{c}") for c in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    return left.join(hits.alias("h"), cond, "left").select("x.*", out)
+    def __init__(self, x: np.ndarray):
+        self.n, self.low = len(x), [x]
+        while 2 ** len(self.low) <= self.n:
+            half = 2 ** (len(self.low) - 1)
+            self.low.append(np.minimum(self.low[-1][:-half], self.low[-1][half:]))
+
+    def at(self, start: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """n where there is none.  Whole stretches over the bound are stepped over, the longest first."""
+        k = start.copy()
+        for level in reversed(range(len(self.low))):
+            low = self.low[level]
+            inside = k < len(low)
+            over = inside & (low[np.where(inside, k, 0)] > bound)
+            k = np.where(over, k + 2**level, k)
+        return k
+
+
+def first_touch(objects: DataFrame, bars: DataFrame, known: str, top: Column, bottom: Column, out: str, strict: bool = False) -> DataFrame:
+    """Adds the first bar after ``known`` whose low is at or under ``top`` and whose high is at or over ``bottom``; null if none is.
+
+    A bound of null doesn't count; with ``strict`` bars must go beyond them.  A symbol's objects look their bars up in
+    trees of minima, so the cost follows the bars and the objects, not their
+    product.
+    """
+    fields = objects.schema.fields
+    names = [f.name for f in fields]
+    asked = objects.select("*", top.alias("_top"), bottom.alias("_bottom"))
+
+    def run(o: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("i")
+        i, n = b["i"].to_numpy(np.int64), len(b)
+        found = np.full(len(o), -1, np.int64)
+        if n and len(o):
+            low, high = _Firsts(b["low"].to_numpy(float)), _Firsts(-b["high"].to_numpy(float))
+            t = o["_top"].to_numpy(float)
+            t, m = np.where(np.isnan(t), np.inf, t), o["_bottom"].to_numpy(float)
+            m = np.where(np.isnan(m), np.inf, -m)
+            if strict:
+                t, m = np.nextafter(t, -np.inf), np.nextafter(m, -np.inf)
+            k = np.searchsorted(i, o[known].to_numpy(np.int64), side="right")
+            while True:  # to the next bar that is low enough, then to the next that is high enough, until they agree
+                a = low.at(k, t)
+                z = high.at(a, m)
+                if (a == z).all():
+                    break
+                k = z
+            found = np.where(a < n, i[np.minimum(a, n - 1)], -1)
+        o = o[names].assign(**{out: pd.array(found, "Int32")})
+        return o.assign(**{out: o[out].where(o[out] >= 0)})
+
+    types = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + [f"{out} int"])
+    b = bars.select(F.col("symbol").alias("of"), "i", "high", "low")  # a name of its own, as objects derive from the same bars
+    return asked.groupBy("symbol").cogroup(b.groupBy("of")).applyInPandas(run, types)
 
 
 def price_gaps(ind: DataFrame, min_share: float = 0.0, min_atr: float = 0.5) -> DataFrame:
@@ -114,9 +167,8 @@ def price_gaps(ind: DataFrame, min_share: float = 0.0, min_atr: float = 0.5) ->
         df = df.where(size / F.col("_ref") >= min_share)
     if min_atr > 0:
         df = df.where((F.col("atr") <= 0) | (size / F.col("atr") >= min_atr))
-    b = ind.select("symbol", F.col("i").alias("k"), "high", "low")
-    touch = F.when(F.col("side") == "bullish", F.col("low") <= F.col("top")).otherwise(F.col("high") >= F.col("bottom"))
-    return first_touch(df.drop("_ref", "atr"), b, "end_i", touch, "filled_i")
+    bull = F.col("side") == "bullish"
+    return first_touch(df.drop("_ref", "atr"), ind, "end_i", F.when(bull, F.col("top")), F.when(~bull, F.col("bottom")), "filled_i")
 
 
 def liquidity_pools(bars: DataFrame, sw: DataFrame, tolerance: float = 0.0015) -> DataFrame:
@@ -129,9 +181,7 @@ def liquidity_pools(bars: DataFrame, sw: DataFrame, tolerance: float = 0.0015) -
         "symbol", "a_i", F.col("n.b_i").alias("b_i"), mean.alias("price"), F.when(F.col("kind") == "high", "EQH").otherwise("EQL").alias("kind"),
         F.greatest("conf_i", "n.cb").alias("conf_i"),
     )
-    b = bars.select("symbol", F.col("i").alias("k"), "high", "low")
-    pierced = F.when(F.col("kind") == "EQH", F.col("high") > F.col("price")).otherwise(F.col("low") < F.col("price"))
-    return first_touch(pools, b, "conf_i", pierced, "swept_i")
+    return first_touch(pools, bars, "conf_i", F.when(F.col("kind") == "EQL", F.col("price")), F.when(F.col("kind") == "EQH", F.col("price")), "swept_i", strict=True)
 
 
 def zones(bars: DataFrame, sw: DataFrame) -> DataFrame:

@@ -21,9 +21,18 @@ def track_positions(positions: DataFrame, ind: DataFrame, mult: float = 5.0) ->
     stop = F.when(F.col("atr") > 0, F.greatest(first, F.col("peak") - mult * F.col("atr"))).otherwise(first)
     risk = F.col("entry_price") - first
     return t.select(
-        "symbol", "entry_ts", "entry_price", "n_bars", "peak", "last", stop.alias("stop"), (stop > F.col("entry_price")).alias("locked_in"),
-        (F.col("last") <= stop).alias("breached"), (F.col("last") / F.col("entry_price") - 1).alias("unrealized"),
-        F.when(risk > 0, (F.col("last") - F.col("entry_price")) / risk).alias("unrealized_r"),
+        "symbol", "entry_ts", "entry_price", "n_bars", "peak", "last", first.alias("initial_stop"), stop.alias("stop"),
+        (stop >= F.col("entry_price")).alias("locked_in"), (F.col("last") <= stop).alias("breached"),
+        (F.col("last") / F.col("entry_price") - 1).alias("unrealized"), F.when(risk > 0, (F.col("last") - F.col("entry_price")) / risk).alias("unrealized_r"),
+        F.when(F.col("last") > 0, (F.col("last") - stop) / F.col("last")).alias("stop_distance"),
+    )
+
+
+def position_kpis(tracked: DataFrame) -> DataFrame:
+    """One row: how many positions, how many can no longer lose, how many are through their stop, mean result and nearest stop."""
+    return tracked.agg(
+        F.count("*").alias("n_positions"), F.count_if("locked_in").alias("n_locked_in"), F.count_if("breached").alias("n_breached"),
+        F.avg("unrealized").alias("mean_unrealized"), F.avg("unrealized_r").alias("mean_unrealized_r"), F.min("stop_distance").alias("nearest_stop"),
     )
 
 

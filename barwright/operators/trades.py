@@ -60,6 +60,8 @@ def plans(filled: DataFrame, obs: DataFrame, pools: DataFrame, cfg: Config) -> D
         near = F.col(base) - sign * cfg.stop_buffer_atr * atr
         stop = F.when((near - entry) * sign < 0, near).otherwise(entry - sign * cfg.atr_stop_mult * atr)
         stop = F.coalesce(stop, entry - sign * cfg.atr_stop_mult * atr)
+        if cfg.stop_risk_scale != 1.0:
+            stop = entry - cfg.stop_risk_scale * (entry - stop)
         risk = (entry - stop) * sign
         rr = (F.col(pool) - entry) * sign / risk
         far = entry + sign * cfg.fallback_target_r * risk

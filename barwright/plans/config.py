@@ -24,6 +24,7 @@ class Config:
     bars_per_year: int = 252
     stop_buffer_atr: float = 0.25
     atr_stop_mult: float = 1.5
+    stop_risk_scale: float = 1.0
     fallback_target_r: float = 2.0
     min_rr: float = 0.5
     max_rr: float = 10.0

@@ -13,10 +13,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import indicators
+from ..operators import indicators, trades
 from ..operators.bars import by_symbol
 
-FEATURES = ("rsi", "macd_hist_rel", "adx", "di_diff", "ema20_gap", "ema50_gap", "trend_align", "atr_pct", "volume_z", "dist_to_discount")
+FEATURES = ("rsi", "macd_hist", "adx", "di_diff", "ema20_gap", "ema50_gap", "trend_align", "atr_pct", "volume_z", "dist_to_discount")
 COMPONENTS = ("zone", "order_block", "fvg", "choch", "bos", "sweep", "rsi", "macd", "ema_stack", "adx_di")
 
 
@@ -24,10 +24,10 @@ def features(ind: DataFrame) -> DataFrame:
     """Ten features of each bar of an indicator table; null until their windows are full."""
     df = indicators.range_position(indicators.rolling(ind, "volume").withColumnRenamed("z", "volume_z").drop("mean", "std"))
     c = F.col
-    align = F.signum(c("ema20") - c("ema50")) + F.signum(c("ema50") - c("ema200"))
+    above = lambda a, b: F.when(c(a) > c(b), 1.0).otherwise(-1.0)  # noqa: E731  equal averages count as falling
     return df.withColumns({
-        "macd_hist_rel": c("macd_hist") / c("close"), "di_diff": c("plus_di") - c("minus_di"), "ema20_gap": c("close") / c("ema20") - 1,
-        "ema50_gap": c("close") / c("ema50") - 1, "trend_align": align, "atr_pct": c("atr") / c("close"),
+        "di_diff": c("plus_di") - c("minus_di"), "ema20_gap": (c("close") - c("ema20")) / c("close"), "ema50_gap": (c("close") - c("ema50")) / c("close"),
+        "trend_align": above("ema20", "ema50") + above("ema50", "ema200"), "atr_pct": c("atr") / c("close"),
     })
 
 
@@ -71,13 +71,19 @@ def gated_probability(ind: DataFrame, horizon: int = 5, folds: int = 5, least_ro
     if auc is None or auc < least_auc:
         return none.withColumn("auc", F.lit(auc).cast("double"))
     p = model().fit(rows).transform(rows.join(last, ["symbol", "i"], "left_semi")).select("symbol", "i", vector_to_array("probability")[1].alias("prob_up"))
+    p = last.select("symbol", "i").join(p, ["symbol", "i"], "left")  # a symbol whose last bar lacks a feature has no probability
     return p.withColumns({"auc": F.lit(auc), "trained_rows": F.lit(total)})
 
 
-def component_matrix(m, wf: DataFrame) -> DataFrame:
-    """Bull components and the outcome of the long trade at each replayed bar."""
+def component_matrix(m) -> DataFrame:
+    """Bull components and the outcome of a long trade entered at the close, at each bar that has a plan and a horizon ahead of it."""
+    cfg = m.cfg
+    at_close = m.ind.withColumns({"entry_px": F.col("close"), "entry_off": F.lit(-1)})
+    out = trades.outcomes(trades.plans(at_close, m.order_blocks, m.pools, cfg), cfg).where("long_stop IS NOT NULL")
+    last = m.bars.groupBy("symbol").agg(F.max("i").alias("_last"))
+    out = out.join(F.broadcast(last), "symbol").where((F.col("i") >= max(cfg.warmup, 30)) & (F.col("i") <= F.col("_last") - cfg.horizon))
     c = m.scores.select("symbol", "i", *(F.col(f"bull_{n}").cast("double").alias(f"c_{n}") for n in COMPONENTS))
-    return c.join(wf.select("symbol", "i", F.col("long_ret").alias("ret"), F.col("long_bars").alias("bars")), ["symbol", "i"])
+    return c.join(out.select("symbol", "i", F.col("long_ret").alias("ret"), F.col("long_bars").alias("bars")), ["symbol", "i"])
 
 
 def embargo_split(rows: DataFrame, train_share: float = 0.6, embargo: int = 20) -> DataFrame:

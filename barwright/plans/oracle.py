@@ -188,25 +188,30 @@ _COST = "0.00023::DOUBLE"
 PARTS["sweep"] = f"""
   SELECT *, {_wilson(_Z, 'win_rate', 'n')} AS win_rate_lb, CASE WHEN n > 1 THEN expectancy - {_Z}::DOUBLE * sd / sqrt(n) END AS expectancy_lb FROM (
     SELECT symbol, side, threshold, count(*) AS n, count(*) FILTER (net > 0) AS wins, avg(CAST(net > 0 AS INTEGER)) AS win_rate, avg(net) AS expectancy,
-           coalesce(avg(net) FILTER (net > 0), 0) AS avg_win, coalesce(avg(net) FILTER (net <= 0), 0) AS avg_loss, avg(bars) AS avg_bars_held, avg(r) AS avg_r, stddev_samp(net) AS sd
+           coalesce(avg(net) FILTER (net > 0), 0) AS avg_win, coalesce(avg(net) FILTER (net <= 0), 0) AS avg_loss, coalesce(sum(net) FILTER (net > 0), 0) AS gain,
+           abs(coalesce(sum(net) FILTER (net <= 0), 0)) AS loss, avg(bars) AS avg_bars_held, avg(r) AS avg_r, stddev_samp(net) AS sd
     FROM (SELECT *, ret - {_COST} AS net FROM trades) GROUP BY symbol, side, threshold)"""
 PARTS["picks"] = """
-  SELECT symbol, side, coalesce(ok.threshold, best.threshold, 50) AS threshold, CASE WHEN ok IS NOT NULL THEN 'ok' WHEN best IS NOT NULL THEN 'no_edge' ELSE 'insufficient_data' END AS confidence,
+  SELECT symbol, side, coalesce(ok.excess, best.excess) AS excess_expectancy, coalesce(ok.threshold, best.threshold, 50) AS threshold, CASE WHEN ok IS NOT NULL THEN 'ok' WHEN best IS NOT NULL THEN 'no_edge' ELSE 'insufficient_data' END AS confidence,
          coalesce(ok.n, best.n) AS n, coalesce(ok.expectancy, best.expectancy) AS expectancy, coalesce(ok.lb, best.lb) AS expectancy_lb
   FROM (SELECT symbol, side, arg_min(s, threshold) FILTER (n >= 30 AND expectancy_lb > 0) AS ok, arg_max(s, expectancy_lb) FILTER (n >= 30 AND expectancy_lb IS NOT NULL) AS best
-    FROM (SELECT *, {'threshold': threshold, 'n': n, 'expectancy': expectancy, 'lb': expectancy_lb} AS s FROM sweep WHERE threshold >= 0) GROUP BY symbol, side)"""
+    FROM (SELECT s.*, {'threshold': s.threshold, 'n': s.n, 'expectancy': s.expectancy, 'lb': s.expectancy_lb, 'excess': s.expectancy - b.expectancy} AS s
+      FROM sweep s LEFT JOIN (SELECT * FROM sweep WHERE threshold = -1) b ON s.symbol = b.symbol AND s.side = b.side WHERE s.threshold >= 0) GROUP BY symbol, side)"""
 PARTS["event_bars"] = """
   SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, CAST(row_number() OVER (PARTITION BY event_type ORDER BY date_trunc('hour', ts)) - 1 AS INTEGER) AS i,
         first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume
         FROM events GROUP BY event_type, date_trunc('hour', ts)"""
-PARTS["event_rets"] = "SELECT symbol, ts, i, close / lag(close) OVER (PARTITION BY symbol ORDER BY i) - 1 AS ret FROM event_bars QUALIFY ret IS NOT NULL"
+PARTS["week_bars"] = """
+  SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, close FROM (
+    SELECT symbol, date_trunc('week', ts) AS ts, arg_max(close, bars.ts) AS close FROM bars GROUP BY symbol, date_trunc('week', ts))"""
+PARTS["week_rets"] = "SELECT symbol, ts, i, close / lag(close) OVER (PARTITION BY symbol ORDER BY i) - 1 AS ret FROM week_bars QUALIFY ret IS NOT NULL"
 PARTS["rets"] = "SELECT symbol, ts, i, close / lag(close) OVER (PARTITION BY symbol ORDER BY i) - 1 AS ret FROM bars QUALIFY ret IS NOT NULL"
 PARTS["pairs"] = """
   SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS rho FROM common a JOIN common b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY ALL"""
 PARTS["common"] = """
   SELECT * FROM lately WHERE ts IN (SELECT ts FROM lately GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM lately))"""
 PARTS["lately"] = """
-  SELECT symbol, ts, ret FROM event_rets QUALIFY count(*) OVER (PARTITION BY symbol) >= 30 AND row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 252"""
+  SELECT symbol, ts, ret FROM week_rets QUALIFY count(*) OVER (PARTITION BY symbol) >= 30 AND row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 252"""
 PARTS["barriers"] = """
   SELECT symbol, i, CASE WHEN js IS NOT NULL AND (jw IS NULL OR js <= jw) THEN 'stop' WHEN jw IS NOT NULL THEN 'target' ELSE 'timeout' END AS outcome FROM (
     SELECT e.symbol, e.i, min(CASE WHEN b.low <= e.close - 1.5::DOUBLE * e.atr THEN b.i END) AS js, min(CASE WHEN b.high >= e.close + 2 * (1.5::DOUBLE * e.atr) THEN b.i END) AS jw
@@ -218,6 +223,71 @@ PARTS["positions"] = """
   SELECT b.symbol, strftime(b.ts, '%Y-%m-%d') AS entry_date, b.close AS entry_price, CASE WHEN ends_with(b.symbol, '3') THEN b.close * 0.9::DOUBLE END AS stop
   FROM bars b JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) l ON l.symbol = b.symbol WHERE b.i = l.n - 60"""
 
+PARTS["tracked"] = """
+  SELECT *, CASE WHEN atr > 0 THEN greatest(f, peak - 5 * atr) ELSE f END AS s FROM (SELECT *, coalesce(stop, entry_price - 5 * atr) AS f FROM (
+    SELECT p.symbol, p.entry_price, p.stop, max(b.high) AS peak, arg_max(b.close, b.ts) AS last, arg_max(b.atr, b.ts) AS atr, count(*) AS n_bars
+    FROM positions p JOIN ind b ON b.symbol = p.symbol AND b.ts >= CAST(p.entry_date AS TIMESTAMP) GROUP BY p.symbol, p.entry_price, p.stop))"""
+PARTS["net"] = f"SELECT *, ret - {_COST} AS net FROM trades WHERE threshold = 30"
+PARTS["curve"] = """
+  SELECT symbol, side, row_number() OVER w AS step, product(1 + net) OVER w AS equity FROM net WINDOW w AS (PARTITION BY symbol, side ORDER BY i)
+  UNION ALL SELECT DISTINCT symbol, side, 0, 1 FROM net"""
+PARTS["held"] = """
+  SELECT symbol, count(*) AS n, arg_max(close, i) / arg_min(close, i) - 1 AS total, max(d) AS down FROM (
+    SELECT *, 1 - close / max(close) OVER (PARTITION BY symbol ORDER BY i) AS d FROM bars WHERE i >= 250) GROUP BY symbol"""
+PARTS["summary"] = """
+  SELECT *, CASE WHEN bh_return IS NOT NULL AND max_drawdown > 0 THEN cagr / max_drawdown END AS calmar, CASE WHEN bh_drawdown > 0 THEN bh_cagr / bh_drawdown END AS bh_calmar FROM (
+    SELECT c.symbol, c.side, n_trades, y AS years, n_trades / y AS trades_per_year, c.total AS total_return, pow(1 + c.total, 1 / y) - 1 AS cagr, max_drawdown, hold / n_bars AS time_in_market,
+           h.total AS bh_return, pow(1 + h.total, 1 / y) - 1 AS bh_cagr, h.down AS bh_drawdown, c.total > h.total AS beats_bh, c.total - h.total AS excess_vs_bh
+    FROM (SELECT symbol, side, count(*) - 1 AS n_trades, arg_max(equity, step) - 1 AS total, max(d) AS max_drawdown
+          FROM (SELECT *, 1 - equity / max(equity) OVER (PARTITION BY symbol, side ORDER BY step) AS d FROM curve) GROUP BY symbol, side) c
+    JOIN (SELECT symbol, side, sum(bars) AS hold FROM net GROUP BY symbol, side) t ON t.symbol = c.symbol AND t.side = c.side
+    JOIN (SELECT symbol, count(*) AS n_bars, count(*) / 252::DOUBLE AS y FROM wf GROUP BY symbol) e ON e.symbol = c.symbol
+    LEFT JOIN held h ON h.symbol = c.symbol AND c.side = 'bull')"""
+PARTS["trail_path"] = """
+  SELECT s.symbol, s.i, s.entry_px, s.long_stop AS stop, s.atr, b.i - s.i - s.entry_off - 1 AS j, b.low, b.close, greatest(s.entry_px, max(b.high) OVER w) AS best
+  FROM planned s JOIN bars b ON b.symbol = s.symbol AND b.i BETWEEN s.i + s.entry_off + 2 AND s.i + s.entry_off + 251 WHERE s.long_stop IS NOT NULL
+  WINDOW w AS (PARTITION BY s.symbol, s.i ORDER BY b.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+for _name, _line in (("trailed", "greatest(stop, best - 3 * atr)"), ("trailed_even", "CASE WHEN best - entry_px >= entry_px - stop THEN greatest(stop, best - 3 * atr, entry_px) ELSE greatest(stop, best - 3 * atr) END")):
+    PARTS[_name] = f"""
+      SELECT symbol, i, CASE WHEN js IS NULL THEN 'timeout' ELSE 'stop' END AS outcome, coalesce(js, je) AS bars_held, (coalesce(px, ce) - entry_px) / entry_px AS ret FROM (
+        SELECT symbol, i, entry_px, min(j) FILTER (low <= line) AS js, arg_min(line, j) FILTER (low <= line) AS px, max(j) AS je, arg_max(close, j) AS ce
+        FROM (SELECT *, CASE WHEN j = 1 THEN stop ELSE {_line} END AS line FROM trail_path) GROUP BY symbol, i, entry_px)"""
+PARTS["long_trades"] = """
+  SELECT n.symbol, n.i AS trade, n.i + n.entry_off + 1 AS entry_i, n.i + n.bars AS exit_i, w.entry_px, n.ret, n.outcome, w.long_ret / nullif(w.long_r, 0) AS risk_share
+  FROM net n JOIN wf w ON w.symbol = n.symbol AND w.i = n.i WHERE n.side = 'bull' AND n.bars > n.entry_off + 1"""
+PARTS["excursions"] = """
+  SELECT symbol, trade, entry_i, exit_i, any_value(ma) AS mae, any_value(mf) AS mfe, max(a) FILTER (j <= 3) AS entry_heat, min(j) FILTER (a = ma) AS bars_to_mae, min(j) FILTER (f = mf) AS bars_to_mfe
+  FROM (SELECT *, max(a) OVER w AS ma, max(f) OVER w AS mf FROM (
+      SELECT t.*, b.i - t.entry_i AS j, greatest((entry_px - low) / entry_px, 0) AS a, greatest((high - entry_px) / entry_px, 0) AS f
+      FROM long_trades t JOIN bars b ON b.symbol = t.symbol AND b.i > t.entry_i AND b.i <= t.exit_i) WINDOW w AS (PARTITION BY symbol, trade)) GROUP BY symbol, trade, entry_i, exit_i"""
+PARTS["reviewed"] = """
+  SELECT count(*) AS n_trades, avg(CAST(ret > 0 AS INTEGER)) AS win_rate, avg(ret) AS avg_ret, avg(CAST(outcome = 'stop' AS INTEGER)) AS share_stop, avg(CAST(outcome = 'target' AS INTEGER)) AS share_target,
+         avg(CAST(outcome = 'timeout' AS INTEGER)) AS share_timeout, quantile_cont(mae, 0.5) FILTER (ret > 0) AS winner_mae_median, quantile_cont(mae, 0.9) FILTER (ret > 0) AS winner_mae_p90,
+         quantile_cont(mae / nullif(risk_share, 0), 0.5) FILTER (ret > 0) AS winner_mae_r_median, quantile_cont(mfe, 0.5) FILTER (ret <= 0) AS loser_mfe_median,
+         avg(CAST(mfe > 0.01 AS INTEGER)) FILTER (ret <= 0) AS loser_ever_profitable, sum(ret) / nullif(sum(mfe), 0) AS mfe_capture, quantile_cont(ret / nullif(mfe, 0), 0.5) AS mfe_capture_median_ratio,
+         quantile_cont(mfe, 0.5) AS median_mfe, quantile_cont(ret, 0.5) AS median_realized, quantile_cont(entry_heat, 0.5) AS entry_heat_median, avg(CAST(entry_heat > 0.01 AS INTEGER)) AS immediately_underwater
+  FROM (SELECT t.ret, t.outcome, t.risk_share, x.* FROM long_trades t JOIN excursions x ON x.symbol = t.symbol AND x.trade = t.trade)"""
+#: The same plans for an entry at the signal's close.
+PARTS["at_close"] = "SELECT *, close AS entry_px, -1 AS entry_off FROM ind"
+PARTS["planned_close"] = PARTS["planned"].replace("FROM filled f", "FROM at_close f")
+PARTS["exits_close"] = PARTS["exits_long"].replace("FROM planned s", "FROM planned_close s")
+_COMPONENTS = ("zone", "order_block", "fvg", "choch", "bos", "sweep", "rsi", "macd", "ema_stack", "adx_di")
+PARTS["matrix"] = f"""
+  SELECT c.symbol, c.i, CAST(1 AS DOUBLE) AS one, {", ".join(f"CAST(bull_{n} AS DOUBLE) AS c_{n}" for n in _COMPONENTS)}, e.ret
+  FROM components c JOIN exits_close e ON e.symbol = c.symbol AND e.i = c.i JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) l ON l.symbol = c.symbol
+  WHERE c.i >= 250 AND c.i <= l.n - 5"""
+_GRAM = ["one", *(f"c_{n}" for n in _COMPONENTS), "ret"]
+
+
+def _reasons(side: str) -> str:
+    return f"concat_ws(',', {', '.join(f"CASE WHEN {side}_{n} > 0 THEN '{n}' END" for n in _COMPONENTS)}) AS {side}_reasons"
+
+
+_REVIEW = ("win_rate", "avg_ret", "share_stop", "share_target", "share_timeout", "winner_mae_median", "winner_mae_p90", "winner_mae_r_median", "loser_mfe_median", "loser_ever_profitable", "mfe_capture", "mfe_capture_median_ratio", "median_mfe", "median_realized", "entry_heat_median", "immediately_underwater")
+_FINDINGS = """CASE WHEN winner_mae_r_median < 0.35 THEN 'stop_can_tighten' WHEN winner_mae_r_median > 0.7 THEN 'stop_too_tight' END,
+    CASE WHEN mfe_capture < 0.35 THEN 'exit_gives_back' WHEN mfe_capture > 0.6 THEN 'exit_efficient' END, CASE WHEN loser_ever_profitable > 0.5 THEN 'exit_too_late' END,
+    CASE WHEN immediately_underwater IS NOT NULL THEN 'entry_without_baseline' END, CASE WHEN share_timeout > 0.6 THEN 'target_too_far' END, CASE WHEN share_stop > 0.45 THEN 'stopped_often' END"""
+
 #: The queries proper.
 FINAL: dict[str, str] = {
     "bars_daily": "SELECT * FROM bars",
@@ -261,16 +331,33 @@ FINAL: dict[str, str] = {
     "non_overlap": "SELECT symbol, side, threshold, i, bars FROM taken",
     "non_overlap_fold": "SELECT symbol, side, i FROM taken WHERE threshold = 30",
     "threshold_sweep": """SELECT s.symbol, s.side, s.threshold, s.n, s.wins, round(s.win_rate, 6) AS win_rate, round(s.win_rate_lb, 6) AS win_rate_lb, round(s.expectancy, 6) AS expectancy, round(s.avg_win, 6) AS avg_win, round(s.avg_loss, 6) AS avg_loss,
-        round(s.avg_bars_held, 6) AS avg_bars_held, round(s.avg_r, 6) AS avg_r, round(s.expectancy_lb, 6) AS expectancy_lb, round(s.expectancy - b.expectancy, 6) AS excess_expectancy
+        round(s.avg_bars_held, 6) AS avg_bars_held, round(s.avg_r, 6) AS avg_r, round(s.expectancy_lb, 6) AS expectancy_lb, round(s.expectancy - b.expectancy, 6) AS excess_expectancy,
+        round(abs(s.avg_win / nullif(s.avg_loss, 0)), 6) AS payoff, round(s.gain / nullif(s.loss, 0), 6) AS profit_factor
         FROM sweep s LEFT JOIN (SELECT * FROM sweep WHERE threshold = -1) b ON s.symbol = b.symbol AND s.side = b.side WHERE s.threshold >= 0""",
     "base_rate": f"""SELECT symbol, side, n, wins, round(win_rate, 5) AS win_rate, round({_wilson(1.6449, 'win_rate', 'n')}, 5) AS win_rate_lb, round(expectancy, 5) AS expectancy, round(avg_win, 5) AS avg_win, round(avg_loss, 5) AS avg_loss,
         round(abs(avg_win / nullif(avg_loss, 0)), 5) AS payoff, round(gain / nullif(loss, 0), 5) AS profit_factor
-        FROM (SELECT *, avg_win * wins AS gain, abs(avg_loss * (n - wins)) AS loss FROM sweep WHERE threshold = -1)""",
-    "recommend": "SELECT symbol, side, threshold, confidence, n, round(expectancy, 6) AS expectancy, round(expectancy_lb, 6) AS expectancy_lb FROM picks",
+        FROM sweep WHERE threshold = -1""",
+    "recommend": "SELECT symbol, side, threshold, confidence, n, round(expectancy, 6) AS expectancy, round(expectancy_lb, 6) AS expectancy_lb, round(excess_expectancy, 6) AS excess_expectancy FROM picks",
     "selected_trades": f"""SELECT t.symbol, t.side, t.i, t.threshold, t.score, least(t.i + t.entry_off + 1, l.n) AS entry_i, least(t.i + t.bars, l.n) AS exit_i, round(t.ret - {_COST}, 6) AS ret, t.bars, t.outcome
         FROM trades t JOIN picks p ON p.symbol = t.symbol AND p.side = t.side AND p.threshold = t.threshold JOIN (SELECT symbol, max(i) AS n FROM wf GROUP BY symbol) l ON l.symbol = t.symbol WHERE t.side = 'bull'""",
-    "cross_section": """SELECT side, count(*) AS n_symbols, count(*) FILTER (confidence = 'ok') AS n_proven, round(quantile_cont(expectancy, 0.5), 6) AS median_expectancy, round(avg(expectancy), 6) AS mean_expectancy,
-        round(avg(CAST(expectancy > 0 AS INTEGER)), 6) AS share_positive, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (confidence = 'ok'), '') AS proven FROM picks GROUP BY side""",
+    "cross_section": """SELECT side, count(*) AS n_evaluated, count(*) FILTER (confidence = 'ok') AS n_proven, round(avg(CAST(confidence = 'ok' AS INTEGER)), 6) AS share_proven, round(quantile_cont(expectancy, 0.5), 6) AS median_expectancy,
+        round(avg(expectancy), 6) AS mean_expectancy, round(avg(CAST(expectancy > 0 AS INTEGER)), 6) AS share_positive, round(quantile_cont(excess_expectancy, 0.5), 6) AS median_excess,
+        coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (confidence = 'ok'), '') AS proven FROM picks WHERE expectancy IS NOT NULL GROUP BY side""",
+    "equity_curve": "SELECT symbol, side, step, round(sign(equity) * ln(1 + abs(equity)), 6) AS log_equity FROM curve",
+    "performance_summary": """SELECT symbol, side, n_trades, round(years, 2) AS years, round(trades_per_year, 5) AS trades_per_year, round(sign(total_return) * ln(1 + abs(total_return)), 5) AS total_return, round(sign(cagr) * ln(1 + abs(cagr)), 5) AS cagr, round(max_drawdown, 5) AS max_drawdown,
+        round(time_in_market, 5) AS time_in_market, round(bh_return, 5) AS bh_return, round(bh_cagr, 5) AS bh_cagr, round(bh_drawdown, 5) AS bh_drawdown, beats_bh, round(sign(excess_vs_bh) * ln(1 + abs(excess_vs_bh)), 5) AS excess_vs_bh,
+        round(sign(calmar) * ln(1 + abs(calmar)), 5) AS calmar, round(bh_calmar, 5) AS bh_calmar, calmar > bh_calmar AS beats_bh_by_calmar FROM summary""",
+    "exit_trailing": "SELECT symbol, i, outcome, CAST(bars_held AS INTEGER) AS bars_held, round(ret, 6) AS ret FROM trailed",
+    "exit_breakeven": "SELECT symbol, i, outcome, CAST(bars_held AS INTEGER) AS bars_held, round(ret, 6) AS ret FROM trailed_even",
+    "score_reasons": f"SELECT symbol, i, {_reasons('bull')}, {_reasons('bear')} FROM components",
+    "trade_excursions": "SELECT symbol, trade, entry_i, exit_i, round(mae, 6) AS mae, round(mfe, 6) AS mfe, round(entry_heat, 6) AS entry_heat, bars_to_mae, bars_to_mfe FROM excursions",
+    "review_summary": f"SELECT n_trades, {', '.join(f'round({c}, 5) AS {c}' for c in _REVIEW)}, concat_ws(',', {_FINDINGS}) AS findings FROM reviewed",
+    "ridge_gram": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 4) AS value FROM matrix" for k, a in enumerate(_GRAM) for b in _GRAM[k:]),
+    "chart_layers": """SELECT s.symbol, layer, a AS from_i, coalesce(b, n) AS to_i, bottom, top, side FROM (
+          SELECT symbol, 'order_block' AS layer, start_i AS a, NULL AS b, bottom, top, side FROM obs WHERE mitigated_i IS NULL
+          UNION ALL SELECT symbol, 'gap', start_i, NULL, bottom, top, side FROM gaps WHERE filled_i IS NULL
+          UNION ALL SELECT symbol, lower(type), broken_i, i, broken_level, broken_level, side FROM breaks) s
+        JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) l ON l.symbol = s.symbol WHERE a > n - 180""",
     "buy_hold": """SELECT b.symbol, count(*) AS n, round(arg_max(close, i) / arg_min(close, i) - 1, 6) AS total_return, round(max(d), 6) AS max_drawdown, round(pow(arg_max(close, i) / arg_min(close, i), 252 / CAST(count(*) AS DOUBLE)) - 1, 6) AS cagr
         FROM (SELECT *, 1 - close / max(close) OVER (PARTITION BY symbol ORDER BY i) AS d FROM bars WHERE i >= 250) b GROUP BY b.symbol""",
     "equal_weight_bh": """SELECT bar, ts, round(avg(x), 6) AS curve FROM (
@@ -278,31 +365,42 @@ FINAL: dict[str, str] = {
         FROM (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar FROM (SELECT DISTINCT ts FROM bars)) c CROSS JOIN (SELECT symbol, arg_min(close, ts) AS c0 FROM bars GROUP BY symbol) f
         LEFT JOIN bars b ON b.symbol = f.symbol AND b.ts = c.ts) GROUP BY bar, ts""",
     "corr_pairs": "SELECT a, b, round(rho, 6) AS rho FROM pairs",
-    "n_eff": "SELECT n AS n_symbols, round(mean_rho, 6) AS mean_rho, round(n * n / (n + 2 * s), 6) AS n_eff, round(n / (n * n / (n + 2 * s)), 6) AS ratio FROM (SELECT (SELECT count(DISTINCT symbol) FROM common) AS n, sum(rho) AS s, avg(rho) AS mean_rho FROM pairs)",
-    "high_corr_pairs": "SELECT a, b, round(rho, 6) AS rho FROM pairs ORDER BY pairs.rho DESC, a, b LIMIT 5",
+    "n_eff": "SELECT n AS n_symbols, round(mean_rho, 6) AS mean_rho, round(n * n / (n + 2 * s), 6) AS n_eff, round(n / (n * n / (n + 2 * s)), 6) AS ratio FROM (SELECT (SELECT count(DISTINCT symbol) FROM week_bars) AS n, sum(rho) AS s, avg(rho) AS mean_rho FROM pairs)",
+    "high_corr_pairs": "SELECT a, b, round(rho, 6) AS rho FROM pairs WHERE pairs.rho >= 0.1",
+    "signal_concentration": """WITH on_ AS (SELECT symbol FROM scores GROUP BY symbol HAVING arg_max(bull_score, i) >= 15),
+        r AS (SELECT (SELECT count(*) FROM on_) AS n, coalesce(sum(rho), 0) AS s, avg(rho) AS mean_rho FROM pairs WHERE a IN (SELECT symbol FROM on_) AND b IN (SELECT symbol FROM on_)),
+        e AS (SELECT *, CASE WHEN n < 2 THEN CAST(n AS DOUBLE) WHEN n + 2 * s > 0 THEN n * n / (n + 2 * s) END AS eff FROM r)
+        SELECT n AS n_measured, round(mean_rho, 6) AS mean_rho, round(eff, 6) AS n_eff, round(CASE WHEN n >= 2 THEN n / eff END, 6) AS ratio, n + 1 AS n_signals,
+          CASE WHEN n >= 2 AND eff IS NOT NULL THEN CASE WHEN n / eff >= 2.5 THEN 'high' WHEN n / eff >= 1.6 THEN 'medium' ELSE 'low' END END AS band FROM e""",
     "cost_model": """SELECT symbol, etf, round(CASE WHEN regexp_matches(symbol, '\\.TWO?$') THEN 0.001425::DOUBLE * 0.6::DOUBLE * 2 + CASE WHEN etf THEN 0.001::DOUBLE ELSE 0.003::DOUBLE END ELSE 0.00023::DOUBLE END, 9) AS cost
         FROM (SELECT DISTINCT p_brand || CASE WHEN ends_with(p_brand, '1') THEN '.TW' WHEN ends_with(p_brand, '2') THEN '.TWO' ELSE '' END AS symbol, ends_with(p_brand, '11') AS etf FROM part)""",
     "exit_policy_lookup": """SELECT c_custkey, budget, coalesce((SELECT arg_max(w, b) FROM (VALUES (0.20, 1.0::DOUBLE), (0.25, 1.0), (0.30, 2.0), (0.35, 2.5), (0.40, 5.0), (0.45, 5.0), (0.50, 5.0), (0.60, 5.0)) t(b, w) WHERE b <= budget + 1e-9), 1.0::DOUBLE) AS trail_atr_mult
         FROM (SELECT c_custkey, (c_custkey % 70 + 10) / 100::DOUBLE AS budget FROM customer)""",
+    "exit_policy_terms": """SELECT c_custkey, budget, t.b AS matched_budget, t.w AS trail_atr_mult, t.g AS expected_cagr, t.dd AS expected_drawdown, t.od AS oos_drawdown, t.x AS oos_breach, t.w <= 1.0 AS floor_reached
+        FROM (SELECT c_custkey, (c_custkey % 70 + 10) / 100::DOUBLE AS budget FROM customer) c JOIN (VALUES (0.20::DOUBLE, 1.0::DOUBLE, 0.035::DOUBLE, -0.180::DOUBLE, -0.311::DOUBLE, '18/22'), (0.25, 1.0, 0.035, -0.180, -0.340, '18/22'),
+          (0.30, 2.0, 0.049, -0.277, -0.340, '15/22'), (0.35, 2.5, 0.083, -0.329, -0.340, '10/22'), (0.40, 5.0, 0.153, -0.387, -0.340, '9/22'), (0.45, 5.0, 0.153, -0.387, -0.340, '5/22'),
+          (0.50, 5.0, 0.153, -0.387, -0.340, '4/22'), (0.60, 5.0, 0.153, -0.387, -0.340, '0/22')) t(b, w, g, dd, od, x)
+        ON t.b = CASE WHEN budget < 0.25 - 1e-9 THEN 0.20 WHEN budget < 0.30 - 1e-9 THEN 0.25 WHEN budget < 0.35 - 1e-9 THEN 0.30 WHEN budget < 0.40 - 1e-9 THEN 0.35 WHEN budget < 0.45 - 1e-9 THEN 0.40
+          WHEN budget < 0.50 - 1e-9 THEN 0.45 WHEN budget < 0.60 - 1e-9 THEN 0.50 ELSE 0.60 END""",
     "wilson": f"SELECT o_custkey, n, wins, round({_wilson(1.96, '(wins / n)', 'n')}, 9) AS lower FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS wins FROM orders GROUP BY o_custkey)",
     "barrier_exhaustive": "SELECT symbol, wins, n, round(timeout_rate, 6) AS timeout_rate FROM barrier_stats",
     "kelly_sizing": f"""SELECT symbol, wins, n, round(timeout_rate, 6) AS timeout_rate, round(p, 6) AS p_lower, round(CASE WHEN n >= 100 THEN k END, 6) AS kelly_full,
         round(CASE WHEN n < 100 OR p <= 1 / 3::DOUBLE OR p IS NULL THEN 0 ELSE least(k / 4, 0.2::DOUBLE) END, 6) AS fraction,
         CASE WHEN n < 100 THEN 'few_samples' WHEN p <= 1 / 3::DOUBLE THEN 'below_break_even' WHEN k / 4 > 0.2 THEN 'capped' ELSE 'kelly' END AS reason
         FROM (SELECT *, greatest((p * 2 - (1 - p)) / 2, 0) AS k FROM (SELECT *, CASE WHEN n > 0 THEN {_wilson(1.96, '(wins / n)', 'n')} END AS p FROM barrier_stats))""",
-    "positions_track": """SELECT symbol, n_bars, s > entry_price AS locked_in, last <= s AS breached, round(peak / entry_price, 5) AS peak_rel, round(last / entry_price, 5) AS last_rel, round(s / entry_price, 5) AS stop_rel,
-        round(last / entry_price - 1, 6) AS unrealized, CASE WHEN entry_price > f THEN round((last - entry_price) / (entry_price - f), 4) END AS unrealized_r
-        FROM (SELECT *, CASE WHEN atr > 0 THEN greatest(f, peak - 5 * atr) ELSE f END AS s FROM (SELECT *, coalesce(stop, entry_price - 5 * atr) AS f FROM (
-          SELECT p.symbol, p.entry_price, p.stop, max(b.high) AS peak, arg_max(b.close, b.ts) AS last, arg_max(b.atr, b.ts) AS atr, count(*) AS n_bars
-          FROM positions p JOIN ind b ON b.symbol = p.symbol AND b.ts >= CAST(p.entry_date AS TIMESTAMP) GROUP BY p.symbol, p.entry_price, p.stop)))""",
+    "positions_track": """SELECT symbol, n_bars, s >= entry_price AS locked_in, last <= s AS breached, round(peak / entry_price, 5) AS peak_rel, round(last / entry_price, 5) AS last_rel, round(f / entry_price, 5) AS initial_stop_rel,
+        round(s / entry_price, 5) AS stop_rel, round(last / entry_price - 1, 6) AS unrealized, round(CASE WHEN entry_price > f THEN (last - entry_price) / (entry_price - f) END, 4) AS unrealized_r,
+        round(CASE WHEN last > 0 THEN (last - s) / last END, 5) AS stop_distance FROM tracked""",
+    "position_kpis": """SELECT count(*) AS n_positions, count(*) FILTER (s >= entry_price) AS n_locked_in, count(*) FILTER (last <= s) AS n_breached, round(avg(last / entry_price - 1), 5) AS mean_unrealized,
+        round(avg(CASE WHEN entry_price > f THEN (last - entry_price) / (entry_price - f) END), 5) AS mean_unrealized_r, round(min((last - s) / last), 5) AS nearest_stop FROM tracked""",
     "positions_untracked": "SELECT min(symbol) || '-gone' AS symbol FROM positions",
     "mtm_lookup": """SELECT p.symbol, round(p.entry_price, 6) AS entry_price, round(l.c, 6) AS mark, true AS priced FROM positions p JOIN (SELECT symbol, arg_max(close, i) AS c FROM bars GROUP BY symbol) l ON l.symbol = p.symbol
         UNION ALL SELECT symbol || '-gone', round(entry_price, 6), round(entry_price, 6), false FROM (SELECT * FROM positions ORDER BY symbol LIMIT 1)""",
     "alert_dedup": """WITH g AS (SELECT 'C' || o_custkey AS symbol, o_orderstatus AS side, max({'ts': o_orderdate, 'k': o_orderkey, 'score': CAST(floor(o_totalprice / 1000) AS DOUBLE)}) AS a,
           min({'ts': o_orderdate, 'k': o_orderkey, 'score': CAST(floor(o_totalprice / 1000) AS DOUBLE)}) AS s FROM orders GROUP BY ALL)
         SELECT symbol, side, a.score AS score FROM g WHERE NOT (right(symbol, 1) IN ('1', '2') AND epoch(TIMESTAMP '1995-06-17' - s.ts) / 86400 < 600 AND abs(a.score - s.score) < 40)""",
-    "ml_features": """SELECT symbol, i, round(rsi, 4) AS rsi, round(macd_hist / close, 4) AS macd_hist_rel, round(adx, 4) AS adx, round(plus_di - minus_di, 4) AS di_diff, round(close / ema20 - 1, 4) AS ema20_gap, round(close / ema50 - 1, 4) AS ema50_gap,
-        CAST(sign(ema20 - ema50) + sign(ema50 - ema200) AS DOUBLE) AS trend_align, round(atr / close, 4) AS atr_pct,
+    "ml_features": """SELECT symbol, i, round(rsi, 4) AS rsi, round(macd_hist, 2) AS macd_hist, round(adx, 4) AS adx, round(plus_di - minus_di, 4) AS di_diff, round((close - ema20) / close, 4) AS ema20_gap, round((close - ema50) / close, 4) AS ema50_gap,
+        CAST(CASE WHEN ema20 > ema50 THEN 1 ELSE -1 END + CASE WHEN ema50 > ema200 THEN 1 ELSE -1 END AS DOUBLE) AS trend_align, round(atr / close, 4) AS atr_pct,
         CASE WHEN count(*) OVER v = 20 THEN round((volume - avg(volume) OVER v) / nullif(stddev_samp(volume) OVER v, 0), 4) END AS volume_z,
         CASE WHEN count(*) OVER w = 50 THEN round((close - (max(high) OVER w + min(low) OVER w) / 2) / nullif(max(high) OVER w - min(low) OVER w, 0), 4) END AS dist_to_discount
         FROM ind WINDOW v AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",

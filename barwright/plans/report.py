@@ -36,11 +36,12 @@ def trade_markers(trades: DataFrame, bars: DataFrame, n: int = 180) -> DataFrame
 
 
 def cross_section(picks: DataFrame) -> DataFrame:
-    """By side: how many symbols have a proven edge, and the middle of their expectancies."""
+    """By side, over the symbols with a result: how many have a proven edge, the middle of their expectancies and of their excess over every bar."""
     ok = F.col("confidence") == "ok"
-    return picks.groupBy("side").agg(
-        F.count("*").alias("n_symbols"), F.count_if(ok).alias("n_proven"), F.percentile("expectancy", 0.5).alias("median_expectancy"),
-        F.avg("expectancy").alias("mean_expectancy"), F.avg((F.col("expectancy") > 0).cast("double")).alias("share_positive"),
+    return picks.where("expectancy IS NOT NULL").groupBy("side").agg(
+        F.count("*").alias("n_evaluated"), F.count_if(ok).alias("n_proven"), F.avg(ok.cast("double")).alias("share_proven"),
+        F.percentile("expectancy", 0.5).alias("median_expectancy"), F.avg("expectancy").alias("mean_expectancy"),
+        F.avg((F.col("expectancy") > 0).cast("double")).alias("share_positive"), F.percentile("excess_expectancy", 0.5).alias("median_excess"),
         F.array_join(F.array_sort(F.collect_list(F.when(ok, F.col("symbol")))), ",").alias("proven"),
     )
 

@@ -63,12 +63,15 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 
 def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON rows with a symbol; a missing file or broken rows give none."""
+    """The objects with a symbol in a JSON list; a missing or broken file gives none, a broken element only loses itself."""
     try:
-        df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true").json(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return df.where(F.col("symbol").isNotNull())
+    # Elements are taken as text first, so that one of another kind doesn't spoil the list.
+    each = text.select(F.explode(F.from_json("value", "array<string>")).alias("e"))
+    rows = each.select(F.from_json("e", schema).alias("r")).select("r.*")
+    return rows.where(F.length("symbol") > 0)
 
 
 __all__ = ["ALERTS", "POSITIONS", "brand_bars", "brand_ticks", "event_bars", "read_bars", "read_state", "resample", "table"]
