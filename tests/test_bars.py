@@ -62,10 +62,10 @@ def test_rsi_without_losses_is_50(spark):
 def test_structure_equals_walk(b, market):
     pdf, sw, ev = by_symbol(b), by_symbol(market.swings), by_symbol(market.events)
     for s, g in pdf.items():
-        kept = walk.kept_swings(g, 3)
+        kept = walk.alternating(walk.extremes(g, 3))
         found = sw[s].sort_values("seq")
         assert list(zip(found.i, found.kind, found.price, strict=True)) == kept
-        want = walk.break_events(g, kept, 3)
+        want = walk.breaks(g, kept, 3)
         assert list(zip(ev[s].i, ev[s].side, ev[s].type, ev[s].broken_i, strict=True)) == want and want
 
 
@@ -80,6 +80,21 @@ def test_order_blocks_lie_in_their_leg_and_touch_later(market):
     assert o.where("start_i < broken_i OR start_i >= event_i OR mitigated_i <= event_i OR bottom > top").count() == 0 < o.count()
 
 
+def test_first_touches_equal_walk(b, market):
+    pdf = by_symbol(b)
+    none = lambda v: None if pd.isna(v) else int(v)
+    o, g, p = (df.toPandas() for df in (market.order_blocks, market.gaps, market.pools))
+    assert len(o) > 20 and len(g) > 3
+    for r in o.itertuples():
+        assert none(r.mitigated_i) == walk.first_touch(pdf[r.symbol], r.event_i, r.top, r.bottom)
+    for r in g.itertuples():
+        up = r.side == "bullish"
+        assert none(r.filled_i) == walk.first_touch(pdf[r.symbol], r.end_i, r.top if up else None, None if up else r.bottom)
+    for r in p.itertuples():
+        high = r.kind == "EQH"
+        assert none(r.swept_i) == walk.first_touch(pdf[r.symbol], r.conf_i, None if high else r.price, r.price if high else None, strict=True)
+
+
 def test_gap_component_is_a_fresh_gap(market):
     c = market.scores
     fresh = market.gaps.select("symbol", "end_i", F.coalesce("filled_i", F.lit(10**9)).alias("f"), "side")
@@ -124,16 +139,19 @@ def test_entry_fill_cases(spark):
     assert got == {0: (97.0, 0), 1: (96.0, 0), 2: (99.0, -1), 3: (103.0, -1)}
 
 
-def test_non_overlap_fold_and_walk(spark):
-    rows = [("A", i, h) for i, h in enumerate([3, 1, 1, 2, 5, 1, 1, 1, 1, 1])]
-    df = spark.createDataFrame(rows, "symbol string, i int, bars int")
-    busy, picks = -1, []
-    for _, i, h in rows:
-        if i > busy:
-            picks.append(i)
-            busy = i + h - 1
-    assert sorted(r.i for r in replay.select_non_overlapping(df, ["symbol"]).collect()) == picks
-    assert sorted(r.i for r in replay.folded_non_overlapping(df, ["symbol"]).collect()) == picks
+def test_one_trade_at_a_time(spark):
+    rng = np.random.default_rng(4)
+    rows = [("A", int(i), int(rng.integers(1, 9)), int(rng.integers(0, 60))) for i in np.flatnonzero(rng.random(300) < 0.4)]
+    df = spark.createDataFrame(rows, "symbol string, i int, bars int, score int")
+    got = replay.one_at_a_time(df, ["symbol"], (-1, 30)).toPandas()
+    for t in (-1, 30):
+        took = sorted(got[got.threshold == t].i)
+        able = [(i, h) for _, i, h, score in rows if score >= t]
+        # Whatever wasn't taken lies under a trade, and trades don't overlap.
+        hold = dict(able)
+        assert all(took[k] + hold[took[k]] <= took[k + 1] for k in range(len(took) - 1)) and took[0] == able[0][0]
+        assert all(i in took or any(x < i < x + hold[x] for x in took) for i, _ in able)
+    assert sorted(r.i for r in replay.one_at_a_time(df, ["symbol"]).collect()) == sorted(got[got.threshold == -1].i)
 
 
 def test_replay_rows_and_summary(market):
@@ -151,6 +169,11 @@ def test_wilson_known_values(spark, wins, n, want):
     assert abs(spark.range(1).select(stats.wilson_lower(F.lit(wins), F.lit(n))).first()[0] - want) < 1e-4
 
 
+def test_budget_terms(spark):
+    got = {r.b: r.t for r in spark.createDataFrame([(0.1,), (0.3,), (0.9,)], "b double").select("b", stats.budget_terms(F.col("b")).alias("t")).collect()}
+    assert got[0.1].floor_reached and got[0.1].matched_budget == 0.2 and got[0.3].oos_breach == "15/22" and got[0.9].trail_atr_mult == 5.0 and not got[0.9].floor_reached
+
+
 @pytest.mark.parametrize("p,rr,want", [(0.5, 2.0, 0.25), (0.6, 2.0, 0.4), (1 / 3, 2.0, 0.0), (0.9, 0.0, 0.0)])
 def test_kelly(spark, p, rr, want):
     assert abs(spark.range(1).select(stats.kelly(F.lit(p), F.lit(rr))).first()[0] - want) < 1e-12
@@ -163,16 +186,40 @@ def test_drawdown_growth_and_empty_curve(spark):
     assert r[0] is None and abs(r[1] - 0.1) < 1e-12
 
 
-def test_effective_number(spark):
-    pairs = spark.createDataFrame([("A", "B", 0.5)], "a string, b string, rho double")
-    assert abs(performance.effective_number(pairs).first().n_eff - 4 / 3) < 1e-12
-
-
-def test_portfolio_conserves_capital(spark, market):
-    w = market.replay()
-    s = w.where("bull_score >= 20").select("symbol", "ts", F.col("bull_score").alias("score"), F.lit(0.0).alias("ret"), F.lit(3).alias("bars"))
-    e = performance.simulate_portfolio(s, market.bars.select("symbol", "ts", F.lit(10.0).alias("close")), (1, 2)).toPandas()
-    assert (abs(e.equity - 1) < 1e-9).all() and (e.n_open <= e.slots).all() and e.n_open.max() > 0
+def test_concentration(spark):
+    pairs = spark.createDataFrame([("A", "B", 0.5), ("A", "C", 0.7), ("B", "C", 0.0)], "a string, b string, rho double")
+    of = lambda *xs: spark.createDataFrame([(x,) for x in xs], "symbol string")
+    assert abs(performance.effective_number(of("A", "B"), pairs).first().n_eff - 4 / 3) < 1e-12
+    assert [performance.effective_number(df, pairs).first().n_eff for df in (of("A"), of("A").limit(0))] == [1.0, 0.0]
+    r = performance.signal_concentration(of("A", "C", "Z"), of("A", "B", "C"), pairs).first()
+    assert (r.n_signals, r.n_measured, r.band) == (3, 2, "medium") and abs(r.n_eff - 4 / 3.4) < 1e-12 and abs(r.mean_rho - 0.7) < 1e-12
+    assert performance.signal_concentration(of("Z"), of("A"), pairs).first().band is None
+    assert [(r.a, r.b) for r in performance.high_pairs(pairs).collect()] == [("A", "C")]
+
+
+@pytest.mark.parametrize("side", ["bull", "bear"])
+def test_portfolio_equals_walk(spark, side):
+    rng = np.random.default_rng(9)
+    day = [pd.Timestamp("2021-01-01") + pd.Timedelta(days=int(d)) for d in range(60)]
+    closes = {(s, d): float(50 + 10 * rng.random()) for s in "ABCDEF" for d in range(60) if rng.random() < 0.9}
+    signals = [(d, int(rng.integers(0, 5)), s, float(rng.normal(0, 0.05)), int(rng.integers(0, 12))) for d in range(60) for s in "ABCDEF" if rng.random() < 0.3]
+    s = spark.createDataFrame([(x, day[d].to_pydatetime(), score, r, h) for d, score, x, r, h in signals], "symbol string, ts timestamp_ntz, score int, ret double, bars int")
+    px = spark.createDataFrame([(x, day[d].to_pydatetime(), c) for (x, d), c in closes.items()], "symbol string, ts timestamp_ntz, close double")
+    got = performance.simulate_portfolio(s, px, (1, 3), side=side).toPandas()
+    for slots in (1, 3):
+        g = got[got.slots == slots].sort_values("bar")
+        np.testing.assert_allclose(g.equity, walk.portfolio(signals, closes, 60, slots, 1 if side == "bull" else -1), rtol=1e-9)
+        assert g.n_open.max() == slots
+    capital = performance.simulate_portfolio(s.withColumn("ret", F.lit(0.0)), px.withColumn("close", F.lit(1.0)), (2,), equal_slots=True).toPandas()
+    assert (abs(capital.equity - 1) < 1e-9).all()
+
+
+def test_summary_sets_longs_beside_holding(spark):
+    t = spark.createDataFrame([("A", "bull", 0, 0.1, 2), ("A", "bull", 5, -0.05, 3), ("A", "bear", 1, 0.02, 1)], "symbol string, side string, i int, ret double, bars int")
+    n, bench = spark.createDataFrame([("A", 252)], "symbol string, n_bars int"), spark.createDataFrame([("A", 0.02, 0.3)], "symbol string, total_return double, max_drawdown double")
+    r = {x.side: x for x in performance.summarize(t, n, bench).collect()}
+    assert abs(r["bull"].total_return - 0.045) < 1e-12 and r["bull"].beats_bh and abs(r["bull"].excess_vs_bh - 0.025) < 1e-12 and r["bull"].beats_bh_by_calmar
+    assert abs(r["bull"].max_drawdown - 0.05) < 1e-12 and r["bear"].bh_return is None and r["bear"].calmar is None and r["bear"].beats_bh is None
 
 
 def test_alert_dedup_and_state(spark):
@@ -188,14 +235,20 @@ def test_positions_trail_and_missing(spark, b):
     ind = indicators.compute(b)
     p = spark.createDataFrame([("A", "2021-03-01", 100.0, 90.0), ("Z", "2021-03-01", 1.0, None)], tables.POSITIONS)
     r = tracking.track_positions(p, ind).collect()
-    assert len(r) == 1 and r[0].stop >= 90.0 and r[0].breached == (r[0].last <= r[0].stop)
+    assert len(r) == 1 and r[0].stop >= r[0].initial_stop == 90.0 and r[0].breached == (r[0].last <= r[0].stop)
+    at_entry = tracking.track_positions(spark.createDataFrame([("A", "2021-03-01", 100.0, 100.0)], tables.POSITIONS), ind.withColumn("atr", F.lit(0.0))).first()
+    assert at_entry.locked_in and abs(at_entry.stop_distance - (at_entry.last - 100) / at_entry.last) < 1e-12
+    k = tracking.position_kpis(tracking.track_positions(p, ind)).first()
+    assert k.n_positions == 1 and k.n_breached == int(r[0].breached)
     assert [x.symbol for x in tracking.untracked(p, b).collect()] == ["Z"]
 
 
 def test_state_files(spark, tmp_path):
     assert tables.read_state(spark, str(tmp_path / "none.json"), tables.POSITIONS).count() == 0
     (tmp_path / "p.json").write_text('[{"symbol": "A", "entry_price": 1.5}, {"entry_price": 2}, 7]')
-    assert [r.symbol for r in tables.read_state(spark, str(tmp_path / "p.json"), tables.POSITIONS).collect()] == ["A"]
+    assert [(r.symbol, r.entry_price) for r in tables.read_state(spark, str(tmp_path / "p.json"), tables.POSITIONS).collect()] == [("A", 1.5)]
+    (tmp_path / "q.json").write_text('[{"symbol": "A"')
+    assert tables.read_state(spark, str(tmp_path / "q.json"), tables.POSITIONS).count() == 0
 
 
 def test_cache_round_trip(spark, tmp_path):
