@@ -26,7 +26,6 @@ column expression, other columns can't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 _BLANK = "▁"
 _STEP = 3  # characters of 21 bits in a search key
 #: Characters of the chunks that a task keeps encoded (some 25 bytes each), the longest such chunk, and characters indexed at once.
-KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 22, 64, 1 << 17
+KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 21, 64, 1 << 16
 
 
 def _codes(text: str) -> np.ndarray:
@@ -92,7 +91,7 @@ class Pieces:
     def starts(self, codes: np.ndarray) -> np.ndarray:
         """Whether no piece can reach across the border before each character."""
         k = self.kind[codes].astype(np.int32)
-        return np.append(True, ~self.meet[k[:-1] * self.kinds + k[1:]])
+        return np.append(True, ~self.meet[k[:-1] * self.kinds + k[1:]]) if len(k) else np.zeros(0, bool)
 
     def _merges(self, text: list[str], score: list[float], usable: list[int], n: int) -> None:
         """rank: order of merging (0: single characters); parts: the two pieces last merged; joined: all pairs that may merge."""
@@ -347,7 +346,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             to, chars = at, 0
-            while to < len(texts) and (to == at or chars + len(texts[to] or "") <= 16 * BATCH_CHARS):
+            while to < len(texts) and (to == at or chars + len(texts[to] or "") <= 8 * BATCH_CHARS):
                 chars += len(texts[to] or "")
                 to += 1
             out += self._some(texts[at:to])
@@ -358,7 +357,7 @@ class Encoder:
         whole = [_BLANK + t.replace(" ", _BLANK) if t else "" for t in texts]
         text = "".join(whole)
         starts = np.cumsum([0] + [len(t) for t in whole])
-        begins = np.append(self.pieces.starts(_codes(text)), True) if text else np.ones(1, bool)
+        begins = np.append(self.pieces.starts(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)), True)
         begins[starts] = True
         bounds = np.flatnonzero(begins)
         ends = bounds.tolist()
@@ -378,12 +377,11 @@ class Encoder:
         return [None if t is None else np.concatenate([none, *found[a:b]]) for t, a, b in zip(texts, borders, borders[1:], strict=False)]
 
 
-@cache
 def load(model: str) -> Pieces:
+    """Made anew for each task (a second), so that idle workers don't hold it."""
     return Pieces(model)
 
 
-@cache
 def outputs(model: str) -> list[bytes]:
     """What each piece decodes to."""
     import sentencepiece
