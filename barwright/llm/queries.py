@@ -108,6 +108,37 @@ FROM parts p LEFT JOIN fits f USING (page_id)
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) > 1 THEN w[s] || ' ' || w[s + 1] ELSE w[1] END AS sh
+  FROM doc_words, unnest(range(1, greatest(len(w), 2))) t(s) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS met FROM shingles a JOIN shingles b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id)
+  JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * met >= 80 * (x.n + y.n - met)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.v FROM reach r JOIN links l ON l.u = r.other),
+low AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN low l ON l.doc_id = d.doc_id
+"""
+
+OP3_SQL = """
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, p, hex(b[p + 1 : p + 50]) AS string FROM bytes, unnest(range(0, greatest(n - 49, 0))) t(p)),
+firsts AS (SELECT string, min(doc_id) AS low FROM places GROUP BY string HAVING count(DISTINCT doc_id) > 1),
+starts AS (SELECT doc_id, p FROM places JOIN firsts USING (string) WHERE low < doc_id),
+marked AS (SELECT doc_id, p, sum(begins) OVER (PARTITION BY doc_id ORDER BY p) AS run
+           FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS begins FROM starts)),
+runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS z FROM marked GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, z AS a, lead(a, 1, NULL) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, -1, 0 FROM bytes)),
+kept AS (SELECT p.doc_id, string_agg(hex(b[p.a + 1 : coalesce(p.z, n)]), '' ORDER BY p.a) AS h FROM pieces p JOIN bytes USING (doc_id) GROUP BY p.doc_id)
+SELECT b.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM bytes b LEFT JOIN (SELECT doc_id, sum(z - a) AS gone, count(*) AS k FROM runs GROUP BY doc_id) r ON r.doc_id = b.doc_id LEFT JOIN kept ON kept.doc_id = b.doc_id
+"""
+
 OP2_SQL = """
 WITH doc_words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -158,4 +189,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_repeated_passages": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}

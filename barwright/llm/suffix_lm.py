@@ -156,25 +156,38 @@ class SuffixTree:
             out = np.where(kept >= 0, level.gain[np.maximum(kept, 0)] if len(level.gain) else 0.0, out + level.log_other[c])
         return out
 
-    def grow(self, child: np.ndarray, size: np.ndarray, context: np.ndarray, word: np.ndarray, many: np.ndarray, base: np.ndarray, discount: float, divergence: float, evidence: float) -> None:
-        """Adds a level.  child, size: candidates and their counts; context, word, many: pairs; base: the words' log10 probability at the root."""
-        depth = len(self.levels)
-        before = base + self._suffix_gain(depth, child[context] // self.n_words, word)
-        q = 10.0**before
-        total = lambda x: np.bincount(context, x, len(child))
-        share = many / size[context]
-        own = np.maximum(many - discount, 0) / size[context]
+    def grow(self, child: np.ndarray, size: np.ndarray, key: np.ndarray, many: np.ndarray, log_p_of, p: "Plan", some: int = 1 << 17) -> None:
+        """Adds a level.  child, size: candidates and their counts; key, many: pairs in order and their counts; log_p_of(words) at the root.
+
+        A context's test needs nothing of others, so ``some`` pairs are in work at once.
+        """
+        log_other, pairs, gains = np.zeros(len(child)), [key[:0]], [np.zeros(0)]
+        context = key // self.n_words
+        cuts = np.unique(np.searchsorted(context, context[::some])) if len(key) else key[:0]
+        for a, z in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+            own = slice(a, z)
+            kept, gain, node, other = self._tested(child, size, context[own], key[own] % self.n_words, many[own], log_p_of, p)
+            log_other[node] = other
+            pairs.append(key[own][kept])
+            gains.append(gain)
+        self.levels.append(Level(child, log_other, np.concatenate(pairs), np.concatenate(gains)))
+
+    def _tested(self, child, size, context, word, many, log_p_of, p):
+        """Of whole contexts' pairs: which belong to nodes and what they gain, the nodes and their factors for other words."""
+        base = log_p_of(word)
+        q = 10.0 ** (base + self._suffix_gain(len(self.levels), child[context] // self.n_words, word))
+        listed, at = np.unique(context, return_inverse=True)
+        n = size[listed]
+        total = lambda x: np.bincount(at, x, len(listed))
+        share, own = many / n[at], np.maximum(many - p.discount, 0) / n[at]
         q_sum = np.minimum(total(q), 1 - 1e-12)
-        other = np.maximum(1 - total(own), 1e-12) / (1 - q_sum)
         # Divergence over the kept words and, as one class, all others.
         gone = np.maximum(1 - total(share), 0)
         kl = total(share * np.log(share / q)) + np.where(gone > 0, gone * np.log(np.maximum(gone, 1e-300) / (1 - q_sum)), 0)
-        kept = np.bincount(context, minlength=len(child))
-        node = (kl >= divergence) & (size * kl >= evidence * np.maximum(kept, 1)) & (kept > 0)
-        inside = node[context]
-        key = context[inside] * self.n_words + word[inside]
-        order = np.argsort(key)
-        self.levels.append(Level(child, np.where(node, np.log10(other), 0.0), key[order], (np.log10(own[inside]) - base[inside])[order]))
+        node = (kl >= p.divergence) & (n * kl >= p.evidence * np.bincount(at, minlength=len(listed)))
+        kept = node[at]
+        other = np.log10(np.maximum(1 - total(own), 1e-12) / (1 - q_sum))
+        return kept, np.log10(own[kept]) - base[kept], listed[node], other[node]
 
 
 @dataclass(frozen=True)
@@ -288,29 +301,37 @@ def first_pairs(texts: DataFrame, n_words: int, n_contexts: int, least_pair: int
     return _counted(texts, keys_of).where(F.col("n") >= least_pair)
 
 
+def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two whole-number columns, by the first."""
+    held = df.toPandas()
+    a, b = (held[c].to_numpy(np.int64) for c in held.columns)
+    order = np.argsort(a)
+    return a[order], b[order]
+
+
 def grow_class(texts: DataFrame, pairs: DataFrame, words: DataFrame, n_words: int, own: int, classes: int, log_count, p: Plan) -> SuffixTree:
     """The subtrees of the contexts whose last word is of class ``own`` of ``classes``; each depth is one pass over the numbers."""
     of = lambda c: F.pmod(c, F.lit(classes)) == own
     before, word = F.floor(F.col("key") / n_words).cast("long"), F.pmod("key", F.lit(n_words)).cast("long")
-    split = pairs.select(before.alias("before"), word.alias("word"), F.col("n").alias("many"))
-    sized = split.where(of(F.col("before"))).join(words.select(F.col("id").cast("long").alias("before"), F.col("n").alias("size")), "before")
-    held = sized.join(words.select(F.col("id").cast("long").alias("word"), F.col("n").alias("n_word")), "word").toPandas()
+    mine = pairs.where(of(before))
     tree = SuffixTree(n_words)
-    if not len(held):
+    key, many = _columns(mine.select("key", "n"))
+    if not len(key):
         return tree
-    listed = held.drop_duplicates("word").sort_values("word")
-    known, log_p = listed["word"].to_numpy(np.int64), log_count(listed["n_word"].to_numpy(np.float64))
-    contexts = held.drop_duplicates("before").sort_values("before")
-    child, size = contexts["before"].to_numpy(np.int64), contexts["size"].to_numpy(np.float64)
-    context, word, many = np.searchsorted(child, held["before"].to_numpy(np.int64)), held["word"].to_numpy(np.int64), held["many"].to_numpy(np.float64)
+    used = mine.select(before.alias("id")).unionByName(mine.select(word.alias("id"))).distinct()
+    ids, counts = _columns(words.select(F.col("id").cast("long").alias("id"), "n").join(used, "id"))
+    log_p_of = lambda w: log_count(counts[np.searchsorted(ids, w)].astype(np.float64))
+    first = np.unique(key // n_words)  # the contexts of one word
+    child, size = first, counts[np.searchsorted(ids, first)].astype(np.float64)
     # Contexts of two words: pairs whose second word is of this class.
-    longer = split.where(of(F.col("word")) & (F.col("many") >= p.least_context)).toPandas()
-    at = _at(child, longer["word"].to_numpy(np.int64))
-    longer = pd.DataFrame({"key": at * n_words + longer["before"].to_numpy(np.int64), "n": longer["many"]})[at >= 0].sort_values("key")
-    grow = lambda: tree.grow(child, size, context, word, many, log_p[np.searchsorted(known, word)], p.discount, p.divergence, p.evidence)
-    grow()
+    long_key, long_n = _columns(pairs.where(of(word) & (F.col("n") >= p.least_context)).select("key", "n"))
+    at = _at(first, long_key % n_words)
+    long_key, long_n = (at * n_words + long_key // n_words)[at >= 0], long_n[at >= 0]
+    key = np.searchsorted(first, key // n_words) * n_words + key % n_words
+    tree.grow(child, size, key, many, log_p_of, p)
     for depth in range(2, p.depth + 1):
-        child, size = longer["key"].to_numpy(np.int64), longer["n"].to_numpy(np.float64)
+        order = np.argsort(long_key)
+        child, size = long_key[order], long_n[order].astype(np.float64)
         if not len(child):
             break
         trial = SuffixTree(n_words, [*tree.levels, Level(child, np.zeros(len(child)), child[:0], size[:0])])
@@ -327,11 +348,9 @@ def grow_class(texts: DataFrame, pairs: DataFrame, words: DataFrame, n_words: in
             return np.concatenate([pair, (-1 - (context[far] * n_words + first))[first >= 0]])
 
         enough = F.when(F.col("key") < 0, F.lit(p.least_context)).otherwise(F.lit(p.least_pair))
-        found = _counted(texts, keys_of).where(F.col("n") >= enough).toPandas()
-        key, n = found["key"].to_numpy(np.int64), found["n"].to_numpy(np.float64)
-        context, word, many = key[key >= 0] // n_words, key[key >= 0] % n_words, n[key >= 0]
-        grow()
-        longer = pd.DataFrame({"key": -1 - key[key < 0], "n": n[key < 0]}).sort_values("key")
+        key, many = _columns(_counted(texts, keys_of).where(F.col("n") >= enough))
+        long_key, long_n = -1 - key[key < 0], many[key < 0]
+        tree.grow(child, size, key[key >= 0], many[key >= 0], log_p_of, p)
     return tree
 
 
