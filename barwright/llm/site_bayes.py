@@ -104,22 +104,30 @@ class _Finder(dict):
         return sorted({i for w in words for i in self[w]}.union(i for x in levels for i in self[x]))
 
 
-def _logistic(row: np.ndarray, col: np.ndarray, shape: tuple[int, int], y: np.ndarray, ridge: float, steps: int = 60, memory: int = 8) -> tuple[np.ndarray, float]:
-    """Weights and offset of a ridge-penalised logistic regression on 0/1 features given as (row, col), by limited-memory quasi-Newton steps."""
-    n, k = shape
+def _logistic(col: np.ndarray, first: np.ndarray, k: int, y: np.ndarray, ridge: float, steps: int = 60, memory: int = 8, some: int = 1 << 19) -> tuple[np.ndarray, float]:
+    """Weights and offset of a ridge-penalised logistic regression on k 0/1 features, by limited-memory quasi-Newton steps.
+
+    col: the features of one row after the other; first: where each row
+    begins, and the end.  Some entries are in work at once.
+    """
+    n = len(y)
     penalty = np.append(np.full(k, ridge), 1e-6)
-    order = np.argsort(col, kind="stable")
-    by_col, starts = row[order], np.searchsorted(col[order], np.arange(k))  # every column has a row
-    first = np.searchsorted(row, np.arange(n))
-    full = np.flatnonzero(np.append(first[1:], len(row)) > first)
+    blocks = np.unique(np.append(np.searchsorted(first, np.arange(0, len(col) + 1, some)), n))
+    blocks = np.unique(np.append(0, blocks))
 
     def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.full(n, w[-1])
-        if len(full):
-            z[full] += np.add.reduceat(w[col], first[full])
-        off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        slope = np.append(np.add.reduceat(off[by_col], starts), off.sum()) + penalty * w
-        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum()), slope
+        loss, slope = 0.5 * float((penalty * w * w).sum()), penalty * w
+        for a, b in zip(blocks[:-1].tolist(), blocks[1:].tolist(), strict=True):
+            at, size = col[first[a] : first[b]], np.diff(first[a : b + 1])
+            z = np.full(b - a, w[-1])
+            some_rows = size > 0
+            if some_rows.any():
+                z[some_rows] += np.add.reduceat(w[at], (first[a:b] - first[a])[some_rows])
+            off = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b]
+            slope[:-1] += np.bincount(at, np.repeat(off, size), k)
+            slope[-1] += off.sum()
+            loss += float((np.logaddexp(0, z) - y[a:b] * z).sum())
+        return loss, slope
 
     w = np.append(np.zeros(k), np.log((y.sum() + 1) / (n - y.sum() + 1)))
     scale = 1 / (np.append(np.bincount(col, minlength=k), n) * y.mean() * (1 - y.mean()) + penalty)  # the curvature's diagonal at the start
@@ -166,7 +174,8 @@ def learn_evidence(
     )
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
     # Repeated rows of a labelled document count towards the bound, too.
-    rows = cut(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_labelled).select("text", *names), "labelled")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_labelled).select("text", *names)
+    rows = cut(rows.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism), "labelled")
     k = len(names)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,13 +208,15 @@ def learn_evidence(
     keys = np.array([r["key"] for r in chosen.select("key").collect()], np.int64)
     found = Evidence(keys, np.zeros((len(keys), k)), np.zeros(k), np.log((positives + 1) / (total - positives + 1)))
     held = rows.select(*names, _present(F.col("text"), found).alias("_at")).toPandas()
-    col = np.concatenate([np.zeros(0, np.int64), *held["_at"]]).astype(np.int64)
-    row = np.repeat(np.arange(len(held)), [len(x) for x in held["_at"]])
+    ys = {t: held[t].to_numpy(float) for t in names}
+    first = np.cumsum([0] + [len(x) for x in held["_at"]])
+    col = np.concatenate([np.zeros(0, np.int32), *held["_at"]]).astype(np.int32)
+    del held
     weights, offset = np.zeros((len(keys), k)), found.prior.copy()
     for j, t in enumerate(names):
-        y = held[t].to_numpy(float)
+        y = ys[t]
         if len(keys) and 0 < y.sum() < len(y):
-            weights[:, j], offset[j] = _logistic(row, col, (len(held), len(keys)), y, ridge)
+            weights[:, j], offset[j] = _logistic(col, first, len(keys), y, ridge)
     return Evidence(keys, weights, offset, found.prior)
 
 
