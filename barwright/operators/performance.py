@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,18 +197,3 @@ def portfolio_stats(equity: DataFrame, bars_per_year: int = 252) -> DataFrame:
     s = equity.groupBy("slots").agg((F.max_by("equity", "bar") - 1).alias("total_return"), years.alias("years"), F.avg((F.col("n_open") > 0).cast("double")).alias("time_in_market"))
     s = s.join(down, "slots").withColumn("cagr", cagr(F.col("total_return"), F.col("years")))
     return s.withColumn("calmar", F.when(F.col("max_drawdown") > 0, F.col("cagr") / F.col("max_drawdown")))
-
-
-def random_entries(bars: DataFrame, draws: int, seed: int, warmup: int, holding: int) -> DataFrame:
-    """symbol, draw, i: entries drawn with replacement, a symbol at a time."""
-    n = bars.groupBy("symbol").agg(F.max("i").alias("_n"))
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        symbol, end = b["symbol"].iloc[0], int(b["_n"].iloc[0]) + 1 - holding - 2
-        k = draws if end > warmup else 0
-        drawn = np.random.default_rng([seed, *symbol.encode()]).integers(warmup, max(end, warmup + 1), k)
-        return pd.DataFrame({"symbol": np.full(k, symbol, object), "draw": np.arange(k), "i": drawn})
-
-    return n.groupBy("symbol").applyInPandas(run, "symbol string, draw int, i int")
-
-

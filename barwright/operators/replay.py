@@ -117,8 +117,16 @@ def one_at_a_time(signals: DataFrame, keys: list[str], thresholds: tuple[int, ..
     return signals.groupBy(*keys).applyInPandas(run, ", ".join(types))
 
 
-def sides(wf: DataFrame) -> DataFrame:
-    """wf in long form: symbol, side, i, ts, score, ret, bars, r, future_return."""
+def sides(wf: DataFrame, hold: int = 5) -> DataFrame:
+    """wf in long form: symbol, side, i, ts, entry_off, score, ret, bars, r, outcome.
+
+    A table without simulated trades is read as entries at the close that are
+    held for ``hold`` bars.
+    """
+    if "long_ret" not in wf.columns:
+        none = {"entry_off": F.lit(-1), "outcome": F.lit("none"), "r": F.lit(None).cast("double"), "bars": F.lit(hold)}
+        wf = wf.withColumns({f"{s}_{c}" if c != "entry_off" else c: v for s in ("long", "short") for c, v in none.items()})
+        wf = wf.withColumns({"long_ret": F.col("future_return"), "short_ret": -F.col("future_return")})
     long = wf.select("symbol", F.lit("bull").alias("side"), "i", "ts", "entry_off", F.col("bull_score").alias("score"), F.col("long_ret").alias("ret"), F.col("long_bars").alias("bars"), F.col("long_r").alias("r"), F.col("long_outcome").alias("outcome"))
     short = wf.select("symbol", F.lit("bear").alias("side"), "i", "ts", "entry_off", F.col("bear_score").alias("score"), F.col("short_ret").alias("ret"), F.col("short_bars").alias("bars"), F.col("short_r").alias("r"), F.col("short_outcome").alias("outcome"))
     return long.unionByName(short)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import kelly, wilson_lower
 from .bars import by_symbol
+from .structure import first_touch
 
 
 def track_positions(positions: DataFrame, ind: DataFrame, mult: float = 5.0) -> DataFrame:
@@ -55,17 +58,60 @@ def merge_state(state: DataFrame, sent: DataFrame, now: str) -> DataFrame:
     return state.join(new.select("symbol", "side"), ["symbol", "side"], "left_anti").select(*new.columns).unionByName(new)
 
 
+def described(tracked: DataFrame) -> DataFrame:
+    """symbol, text: a tracked position in one line."""
+    text = F.concat(
+        F.format_string("%s: stop %.2f", "symbol", "stop"), F.when(F.col("locked_in"), " (can't lose)").otherwise(""),
+        F.format_string(", last %.2f (%+.1f%%)", "last", 100 * F.col("unrealized")),
+        F.when(F.col("stop_distance").isNotNull(), F.format_string(", %.1f%% above the stop", 100 * F.col("stop_distance"))).otherwise(""),
+        F.when(F.col("breached"), ", through its stop").otherwise(""),
+    )
+    return tracked.select("symbol", text.alias("text"))
+
+
+def described_sizes(sizes: DataFrame) -> DataFrame:
+    """symbol, text: a suggested size in one line."""
+    why = F.create_map(*(F.lit(x) for kv in {"few_samples": "too few samples", "below_break_even": "no better than chance at this reward", "capped": "at the limit", "kelly": "a part of the Kelly fraction"}.items() for x in kv))
+    return sizes.select("symbol", F.format_string("%s: %.1f%% of capital, %s (%d of %d)", "symbol", 100 * F.col("fraction"), why[F.col("reason")], "wins", "n").alias("text"))
+
+
 def barrier_outcomes(ind: DataFrame, rr: float = 2.0, risk_atr: float = 1.5, holding: int = 20, warmup: int = 250) -> DataFrame:
     """Every eligible bar as a long entry: which of stop and target comes first, the stop first on one bar."""
     n = F.max("i").over(by_symbol().rowsBetween(-(2**31 - 1), 2**31 - 1))
     e = ind.withColumn("_n", n).where((F.col("i") >= warmup) & (F.col("i") < F.col("_n") - 1 - holding) & (F.col("atr") > 0))
-    e = e.select("symbol", F.col("i").alias("s_i"), F.col("close").alias("entry"), (risk_atr * F.col("atr")).alias("risk"), F.explode(F.sequence(F.lit(1), F.lit(holding))).alias("j"))
-    path = e.withColumn("i", F.col("s_i") + F.col("j")).join(ind.select("symbol", "i", "high", "low"), ["symbol", "i"])
-    stop = F.min(F.when(F.col("low") <= F.col("entry") - F.col("risk"), F.col("j")))
-    won = F.min(F.when(F.col("high") >= F.col("entry") + rr * F.col("risk"), F.col("j")))
-    r = path.groupBy("symbol", "s_i").agg(stop.alias("_s"), won.alias("_w"))
-    out = F.when(F.col("_s").isNotNull() & (F.col("_w").isNull() | (F.col("_s") <= F.col("_w"))), "stop").when(F.col("_w").isNotNull(), "target").otherwise("timeout")
-    return r.select("symbol", F.col("s_i").alias("i"), out.alias("outcome"))
+    risk = risk_atr * F.col("atr")
+    return _barriers(e.select("symbol", "i", (F.col("close") - risk).alias("stop"), (F.col("close") + rr * risk).alias("target")), ind, holding)
+
+
+def _barriers(entries: DataFrame, bars: DataFrame, holding: int) -> DataFrame:
+    """symbol, i, outcome of entries with stop and target, which are looked up, not walked to."""
+    none = F.lit(None).cast("double")
+    met = first_touch(first_touch(entries, bars, "i", F.col("stop"), none, "stop_i"), bars, "i", none, F.col("target"), "target_i")
+    end = F.col("i") + holding
+    stopped, won = F.col("stop_i") <= end, F.col("target_i") <= end
+    out = F.when(stopped & (~F.coalesce(won, F.lit(False)) | (F.col("stop_i") <= F.col("target_i"))), "stop").when(won, "target").otherwise("timeout")
+    return met.select("symbol", "i", out.alias("outcome"))
+
+
+def random_barriers(bars: DataFrame, risks: DataFrame, draws: int = 400, seed: int = 42, rr: float = 2.0, holding: int = 250, warmup: int = 250) -> DataFrame:
+    """symbol, i, outcome of entries at random bars, with risk shares drawn from those of real trades (risks: symbol, risk).
+
+    Draws are seeded by symbol and taken with replacement; a symbol without
+    room or risks has none.
+    """
+    n = bars.groupBy("symbol").agg(F.max("i").alias("_n"))
+    held = risks.where("risk > 0").groupBy("symbol").agg(F.sort_array(F.collect_list("risk")).alias("risks"))  # a symbol's trades
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        symbol, end, risk = b["symbol"].iloc[0], int(b["_n"].iloc[0]) + 1 - holding - 2, np.asarray(b["risks"].iloc[0], float)
+        k = draws if end > warmup else 0
+        rng = np.random.default_rng([seed, *symbol.encode()])
+        return pd.DataFrame({"symbol": np.full(k, symbol, object), "draw": np.arange(k), "i": rng.integers(warmup, max(end, warmup + 1), k), "risk": rng.choice(risk, k)})
+
+    drawn = n.join(held, "symbol").groupBy("symbol").applyInPandas(run, "symbol string, draw int, i int, risk double")
+    e = drawn.join(bars.select("symbol", "i", "close"), ["symbol", "i"]).where("close > 0")
+    e = e.select("symbol", "draw", "i", (F.col("close") * (1 - F.col("risk"))).alias("stop"), (F.col("close") * (1 + rr * F.col("risk"))).alias("target"))
+    return _barriers(e, bars, holding)
 
 
 def barrier_stats(outcomes: DataFrame) -> DataFrame:

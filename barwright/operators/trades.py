@@ -192,6 +192,21 @@ def first_stop(limit: Column, stop: Column, atr: Column, mult: float) -> Column:
     return F.when(atr > 0, F.greatest(stop, limit - mult * atr)).otherwise(stop)
 
 
+def entry_ticket(planned: DataFrame, mult: float) -> DataFrame:
+    """What to show with a long order: symbol, i, limit_price, stop, its source (order block or average range) and the risk as a share of the limit."""
+    stop = first_stop(F.col("limit_price"), F.col("long_stop"), F.col("atr"), mult)
+    df = planned.where("limit_price IS NOT NULL AND long_stop IS NOT NULL").withColumn("stop", stop)
+    source = F.when(F.abs(F.col("stop") - F.col("long_stop")) < 1e-9, "plan").otherwise(f"{mult:g} x ATR")
+    return df.select("symbol", "i", "limit_price", "stop", source.alias("stop_source"), ((F.col("limit_price") - F.col("stop")) / F.col("limit_price")).alias("risk_share"))
+
+
+def described(planned: DataFrame, side: str = "long") -> DataFrame:
+    """symbol, i, text: the plan in one line, null without one."""
+    e, s, t = F.col("entry_px"), F.col(f"{side}_stop"), F.col(f"{side}_target")
+    text = F.format_string(f"{side} at %.2f, stop %.2f, target %.2f, reward to risk %.2f", e, s, t, F.abs(F.try_divide(t - e, e - s)))
+    return planned.select("symbol", "i", F.when(s.isNotNull(), text).alias("text"))
+
+
 def excursions(trades: DataFrame, bars: DataFrame, early: int = 3) -> DataFrame:
     """Worst and best course of each long trade between entry and exit: mae, mfe, bars to them, entry_heat.
 

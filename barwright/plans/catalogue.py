@@ -491,9 +491,10 @@ def barrier_exhaustive(spark, d):
 
 @query
 def barrier_random(spark, d):
-    ind = indicators.compute(tables.brand_bars(spark, d)).persist()
-    drawn = performance.random_entries(ind, 600, 42, 250, 20)
-    return tracking.barrier_stats(drawn.join(tracking.barrier_outcomes(ind), ["symbol", "i"]))
+    """Risk shares are those of the taken trades, so that chance runs the same risks."""
+    m, w = replayed(spark, d)
+    t = replay.taken_trades(w, (30,)).where("threshold = 30 AND side = 'bull'").select("symbol", F.try_divide("ret", "r").alias("risk"))
+    return tracking.barrier_stats(tracking.random_barriers(m.bars, t, 600, 42))
 
 
 @query
@@ -578,6 +579,22 @@ def ridge_weights(spark, d):
     return models.ridge_weights(models.component_matrix(market(spark, d).keep()))
 
 
+def _weight_trial(spark, d) -> DataFrame:
+    m = market(spark, d, REPLAY).keep()
+    matrix = models.component_matrix(m).join(cost_table(m.bars), "symbol")
+    return models.weight_trial(matrix.withColumn("ret", F.col("ret") - F.col("cost")).drop("cost"), REPLAY)
+
+
+@query
+def weight_trial(spark, d):
+    return rounded(_weight_trial(spark, d), 6, "expectancy", "excess")
+
+
+@query
+def weight_verdict(spark, d):
+    return rounded(models.weight_verdict(_weight_trial(spark, d)), 6, "median_excess", "share_positive")
+
+
 @query
 def embargo_split(spark, d):
     b = tables.brand_bars(spark, d).where("i >= 250")
@@ -592,6 +609,18 @@ def chart_layers(spark, d):
     return report.chart_shapes(market(spark, d).keep())
 
 
+@query
+def chart_panels(spark, d):
+    p = report.chart_panels(market(spark, d).keep())
+    return p.where("series IN ('high', 'close', 'top', 'mid', 'rsi')").withColumn("value", rnd("value", 4))
+
+
+@query
+def entry_ticket(spark, d):
+    t = trades.entry_ticket(market(spark, d).keep().planned, 5.0)
+    return t.select("symbol", "i", "stop_source", rnd("risk_share", 5).alias("risk_share"))
+
+
 @query
 def mtm_lookup(spark, d):
     b = tables.brand_bars(spark, d)

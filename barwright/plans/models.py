@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import indicators, trades
+from ..operators import indicators, replay, trades
 from ..operators.bars import by_symbol
 
 FEATURES = ("rsi", "macd_hist", "adx", "di_diff", "ema20_gap", "ema50_gap", "trend_align", "atr_pct", "volume_z", "dist_to_discount")
@@ -93,47 +93,107 @@ def embargo_split(rows: DataFrame, train_share: float = 0.6, embargo: int = 20)
     return rows.withColumn("part", F.when(k < cut, "train").when(k < cut + embargo, "skipped").otherwise("test"))
 
 
-def gram(matrix: DataFrame) -> DataFrame:
-    """a, b, value: sums of products of components, the constant and the return, over all rows; one small table at any size."""
+def _sums() -> tuple[list[str], list[tuple[str, str]], dict]:
     cols = [f"c_{n}" for n in COMPONENTS]
     named = {"one": F.lit(1.0), **{c: F.col(c) for c in cols}, "ret": F.col("ret")}
     names = list(named)
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k:]]
+    return names, [(a, b) for k, a in enumerate(names) for b in names[k:]], named
+
+
+def gram(matrix: DataFrame) -> DataFrame:
+    """a, b, value: sums of products of components, the constant and the return, over all rows; one small table at any size."""
+    _, pairs, named = _sums()
     sums = matrix.agg(*(F.sum(named[a] * named[b]).alias(f"{a}|{b}") for a, b in pairs))
     out = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("value")) for a, b in pairs)))
     return sums.select(out.alias("s")).select("s.*")
 
 
+def _solved(g: np.ndarray, ridge: float) -> np.ndarray:
+    """Ridge coefficients of the components, the constant left free, from the sums of products."""
+    penalty = np.diag([0.0] + [ridge] * len(COMPONENTS))
+    return np.linalg.lstsq(g[:-1, :-1] + penalty, g[:-1, -1], rcond=None)[0][1:]
+
+
+def _scaled(w: np.ndarray) -> np.ndarray:
+    """Without negative ones, to a sum of 100; all 0 if none is positive."""
+    kept = np.maximum(w, 0)
+    return kept / kept.sum() * 100 if kept.sum() > 0 else np.zeros_like(kept)
+
+
 def ridge_weights(matrix: DataFrame, ridge: float = 10.0) -> DataFrame:
     """Component weights by ridge regression of the return, negative ones cut off, scaled to 100; all 0 if none is positive."""
-    names = ["one", *(f"c_{n}" for n in COMPONENTS), "ret"]
+    names, _, _ = _sums()
     g = np.zeros((len(names), len(names)))
     for r in gram(matrix).collect():  # 78 sums
         i, j = names.index(r["a"]), names.index(r["b"])
         g[i, j] = g[j, i] = r["value"] or 0.0
-    penalty = np.diag([0.0] + [ridge] * len(COMPONENTS))
-    w = np.linalg.lstsq(g[:-1, :-1] + penalty, g[:-1, -1], rcond=None)[0][1:]
-    kept = np.maximum(w, 0)
-    scaled = kept / kept.sum() * 100 if kept.sum() > 0 else np.zeros_like(kept)
-    rows = pd.DataFrame({"component": COMPONENTS, "coefficient": w, "weight": scaled})
-    return matrix.sparkSession.createDataFrame(rows)
-
-
-def random_weights(symbols: DataFrame, seed: int = 42) -> DataFrame:
-    """Control: weights by a hash of symbol, component and seed, scaled to 100 for each symbol."""
-    df = symbols.select("symbol", F.explode(F.array(*(F.lit(c) for c in COMPONENTS))).alias("component"))
-    u = F.pmod(F.xxhash64("symbol", "component", F.lit(seed)), F.lit(1_000_003)) / 1_000_003
-    df = df.withColumn("_u", u)
-    return df.select("symbol", "component", (F.col("_u") / F.sum("_u").over(Window.partitionBy("symbol")) * 100).alias("weight"))
-
-
-def evaluate_weights(matrix: DataFrame, weights: dict[str, float], thresholds: tuple[int, ...], least: int = 30) -> DataFrame:
-    """Threshold of the best training expectancy by symbol, and what it brings in the test part over taking every bar."""
-    scored = embargo_split(matrix, 0.6, 20).withColumn("score", sum((F.col(f"c_{n}") * float(weights.get(n, 0.0)) for n in COMPONENTS), F.lit(0.0)))
-    at = scored.withColumn("threshold", F.explode(F.filter(F.array(F.lit(-1), *(F.lit(t) for t in thresholds)), lambda t: F.col("score") >= t)))
-    s = at.groupBy("symbol", "part", "threshold").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))
-    best = s.where((F.col("part") == "train") & (F.col("threshold") >= 0) & (F.col("n") >= least)).groupBy("symbol").agg(F.max_by("threshold", "mean").alias("threshold"))
-    test = s.where(F.col("part") == "test")
-    base = test.where("threshold = -1").select("symbol", F.col("mean").alias("base"))
-    got = best.join(test, ["symbol", "threshold"], "left").join(base, "symbol", "left")
-    return got.where(F.col("n") >= max(least // 2, 8)).select("symbol", "threshold", "n", "mean", (F.col("mean") - F.col("base")).alias("excess"))
+    w = _solved(g, ridge)
+    return matrix.sparkSession.createDataFrame(pd.DataFrame({"component": COMPONENTS, "coefficient": w, "weight": _scaled(w)}))
+
+
+def fitted_by_symbol(train: DataFrame, ridge: float = 1.0) -> DataFrame:
+    """symbol, weights: an array in the order of COMPONENTS, from each symbol's own sums of products."""
+    names, pairs, named = _sums()
+    sums = train.groupBy("symbol").agg(F.array(*(F.sum(named[a] * named[b]) for a, b in pairs)).alias("sums"))
+
+    @F.pandas_udf("array<double>")
+    def solve(sums: pd.Series) -> pd.Series:
+        at = np.array([(names.index(a), names.index(b)) for a, b in pairs]).T
+        out = []
+        for x in sums:
+            g = np.zeros((len(names), len(names)))
+            g[at[0], at[1]] = g[at[1], at[0]] = x
+            out.append(_scaled(_solved(g, ridge)))
+        return pd.Series(out, dtype=object)
+
+    return sums.select("symbol", solve("sums").alias("weights"))
+
+
+def random_by_symbol(symbols: DataFrame, seed: int = 42) -> DataFrame:
+    """Control: weights by hashes of symbol, component and seed, to a sum of 100."""
+    u = F.array(*(F.pmod(F.xxhash64("symbol", F.lit(c), F.lit(seed)), F.lit(1_000_003)) / 1_000_003 for c in COMPONENTS))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+    return symbols.select("symbol", u.alias("u")).select("symbol", F.transform("u", lambda x: x / total(F.col("u")) * 100).alias("weights"))
+
+
+def weight_trial(matrix: DataFrame, cfg, ridge: float = 1.0, least_rows: int = 400, least_part: int = 200) -> DataFrame:
+    """symbol, kind (manual, fitted, random), threshold, n, expectancy, excess.
+
+    Weights are fitted and thresholds chosen on the first part of a symbol's
+    rows and tried on the last, which begins as many rows on as a trade may
+    last.  matrix: components, ret after cost and bars, by symbol and i.
+    Symbols with too few rows, and kinds of weights without enough trades,
+    have no row.
+    """
+    rows = embargo_split(matrix, 0.6, cfg.trailing_max_holding if cfg.exit_mode == "trailing" else cfg.max_holding)
+    size = rows.groupBy("symbol").agg(F.count("*").alias("_n"), *(F.count_if(F.col("part") == p).alias(f"_{p}") for p in ("train", "test")))
+    able = size.where((F.col("_n") >= least_rows) & (F.col("_train") >= least_part) & (F.col("_test") >= least_part)).select("symbol")
+    rows = rows.join(F.broadcast(able), "symbol").where("part <> 'skipped'")
+    manual = F.array(*(F.lit(float(cfg.weights[c])) for c in COMPONENTS))
+    weights = fitted_by_symbol(rows.where("part = 'train'"), ridge).withColumn("kind", F.lit("fitted")).unionByName(
+        random_by_symbol(able).withColumn("kind", F.lit("random"))
+    ).unionByName(able.select("symbol", manual.alias("weights"), F.lit("manual").alias("kind")))
+    score = F.aggregate(F.zip_with(F.array(*(F.col(f"c_{n}") for n in COMPONENTS)), "weights", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    # Trades are counted in rows of the matrix, as a bar without a plan has none.
+    at = (F.row_number().over(Window.partitionBy("symbol", "part").orderBy("i")) - 1).cast("int")
+    numbered = rows.withColumn("at", at).join(weights, "symbol").select("symbol", "kind", "part", F.col("at").alias("i"), F.col("bars").cast("int").alias("bars"), "ret", score.alias("score"))
+    taken = replay.one_at_a_time(numbered, ["symbol", "kind", "part"], cfg.thresholds)
+    stats = taken.groupBy("symbol", "kind", "part", "threshold").agg(F.count("*").alias("n"), F.avg("ret").alias("expectancy"))
+    least = max(cfg.min_trades // 2, 15)
+    best = stats.where((F.col("part") == "train") & (F.col("n") >= least)).groupBy("symbol", "kind").agg(
+        F.max_by("threshold", F.struct("expectancy", (-F.col("threshold")).alias("low"))).alias("threshold")
+    )
+    base = rows.where("part = 'test'").groupBy("symbol").agg(F.avg("ret").alias("_base"))
+    tried = stats.where((F.col("part") == "test") & (F.col("n") >= max(least // 2, 8)))
+    out = best.join(tried, ["symbol", "kind", "threshold"]).join(base, "symbol")
+    return out.select("symbol", "kind", "threshold", "n", "expectancy", (F.col("expectancy") - F.col("_base")).alias("excess"))
+
+
+def weight_verdict(trial: DataFrame) -> DataFrame:
+    """By kind of weights, over the symbols where all three were tried: how often it was best, and the middle of its excess."""
+    w = Window.partitionBy("symbol")
+    full = trial.withColumns({"_k": F.count("*").over(w), "_best": F.max(F.struct("excess", "kind")).over(w)}).where("_k = 3")
+    return full.groupBy("kind").agg(
+        F.count("*").alias("n_symbols"), F.count_if(F.col("kind") == F.col("_best.kind")).alias("wins"),
+        F.percentile("excess", 0.5).alias("median_excess"), F.avg((F.col("excess") > 0).cast("double")).alias("share_positive"),
+    )

@@ -353,6 +353,12 @@ FINAL: dict[str, str] = {
     "trade_excursions": "SELECT symbol, trade, entry_i, exit_i, round(mae, 6) AS mae, round(mfe, 6) AS mfe, round(entry_heat, 6) AS entry_heat, bars_to_mae, bars_to_mfe FROM excursions",
     "review_summary": f"SELECT n_trades, {', '.join(f'round({c}, 5) AS {c}' for c in _REVIEW)}, concat_ws(',', {_FINDINGS}) AS findings FROM reviewed",
     "ridge_gram": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 4) AS value FROM matrix" for k, a in enumerate(_GRAM) for b in _GRAM[k:]),
+    "entry_ticket": """SELECT symbol, i, CASE WHEN abs(s - long_stop) < 1e-9 THEN 'plan' ELSE '5 x ATR' END AS stop_source, round((limit_price - s) / limit_price, 5) AS risk_share
+        FROM (SELECT *, CASE WHEN atr > 0 THEN greatest(long_stop, limit_price - 5 * atr) ELSE long_stop END AS s FROM planned WHERE limit_price IS NOT NULL AND long_stop IS NOT NULL)""",
+    "chart_panels": """SELECT symbol, i, panel, series, (round(value, 4) + 0) AS value FROM (
+          SELECT symbol, i, 'price' AS panel, 'high' AS series, high AS value FROM ind UNION ALL SELECT symbol, i, 'price', 'close', close FROM ind UNION ALL SELECT symbol, i, 'rsi', 'rsi', rsi FROM ind
+          UNION ALL SELECT symbol, i, 'zone', 'top', top FROM zones UNION ALL SELECT symbol, i, 'zone', 'mid', mid FROM zones) x
+        JOIN (SELECT symbol AS s, max(i) AS n FROM bars GROUP BY symbol) l ON l.s = x.symbol WHERE i > n - 180""",
     "chart_layers": """SELECT s.symbol, layer, a AS from_i, coalesce(b, n) AS to_i, bottom, top, side FROM (
           SELECT symbol, 'order_block' AS layer, start_i AS a, NULL AS b, bottom, top, side FROM obs WHERE mitigated_i IS NULL
           UNION ALL SELECT symbol, 'gap', start_i, NULL, bottom, top, side FROM gaps WHERE filled_i IS NULL

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bars import by_symbol
@@ -26,6 +27,16 @@ def chart_shapes(m, n: int = 180) -> DataFrame:
     return shapes.select("symbol", "layer", F.col("a").alias("from_i"), F.coalesce("b", "_to").alias("to_i"), "bottom", "top", "side")
 
 
+def chart_panels(m, n: int = 180) -> DataFrame:
+    """Values to draw bar by bar over the last n bars, in long form: symbol, i, panel (price, zone, rsi, macd), series, value."""
+    shown = visible(m.ind, n)
+    price = {("price", c): F.col(c) for c in ("open", "high", "low", "close", "ema20", "ema50", "ema200")}
+    more = {("rsi", "rsi"): F.col("rsi")} | {("macd", c): F.col(f"macd_{c}") for c in ("line", "signal", "hist")}
+    long = lambda df, cols: df.select("symbol", "i", F.explode(F.array(*(F.struct(F.lit(p).alias("panel"), F.lit(s).alias("series"), c.cast("double").alias("value")) for (p, s), c in cols.items()))).alias("x")).select("symbol", "i", "x.*")
+    zone = m.zones.join(shown.select("symbol", "i"), ["symbol", "i"], "left_semi")
+    return long(shown, price | more).unionByName(long(zone, {("zone", c): F.col(c) for c in ("top", "mid", "bottom")}))
+
+
 def trade_markers(trades: DataFrame, bars: DataFrame, n: int = 180) -> DataFrame:
     """Entry and exit points of trades whose entry is visible; exits are kept within the chart."""
     shown = visible(bars, n)
@@ -58,8 +69,52 @@ def daily_change(bars: DataFrame) -> DataFrame:
     return before.groupBy("symbol").agg(F.max_by("close", "i").alias("last"), F.max_by("_p", "i").alias("_p")).select("symbol", "last", ((F.col("last") - F.col("_p")) / F.col("_p") * 100).alias("change_pct"))
 
 
+#: What is shown for a status, a zone and a confidence, and the class it is drawn in.
+LABELS = {
+    "ok": ("proven", "good"), "no_edge": ("no edge", "poor"), "insufficient_data": ("too few trades", "plain"),
+    "premium": ("premium", "dear"), "discount": ("discount", "cheap"), "equilibrium": ("middle", "plain"),
+    "high": ("high", "poor"), "medium": ("medium", "plain"), "low": ("low", "good"),
+}
+
+
 def label(status: str) -> str:
-    return {"ok": "proven", "no_edge": "no edge", "insufficient_data": "too few trades"}.get(status, status)
+    return LABELS.get(status, (status, ""))[0]
+
+
+def labelled(c: Column) -> Column:
+    """Struct of label and class of a status column; what isn't listed is shown as it is."""
+    out = F.struct(c.alias("label"), F.lit("").alias("class"))
+    for k, (name, kind) in LABELS.items():
+        out = F.when(c == k, F.struct(F.lit(name).alias("label"), F.lit(kind).alias("class"))).otherwise(out)
+    return out
+
+
+def badge(status: str) -> str:
+    name, kind = LABELS.get(status, (status, ""))
+    return f'<span class="{html.escape(kind)}">{html.escape(name)}</span>'
+
+
+def score_bar(score: float, threshold: float) -> str:
+    """A bar as long as the score, of 100 at most; over the threshold it stands out."""
+    width = min(max(float(score), 0.0), 100.0)
+    return f'<div class="bar{" on" if score >= threshold else ""}" style="width:{width:g}%">{score:g}</div>'
+
+
+def fragment(title: str, row: dict | None, shown: dict[str, str]) -> str:
+    """A list of what ``shown`` names of a row: performance, an order, a policy, concentration; empty without a row.  Shares are shown in per cent."""
+    if not row:
+        return ""
+    cell = lambda k: "-" if row.get(k) is None else f"{100 * row[k]:.1f} %" if shown[k].endswith("%") else f"{row[k]:.4g}" if isinstance(row[k], float) else str(row[k])
+    items = "".join(f"<dt>{html.escape(name.rstrip(' %'))}</dt><dd>{html.escape(cell(k))}</dd>" for k, name in shown.items())
+    return f"<section><h3>{html.escape(title)}</h3><dl>{items}</dl></section>"
+
+
+def console(title: str, df: DataFrame, limit: int = 60) -> str:
+    """A table as text, in the table's order; reports show at most ``limit`` rows."""
+    rows = [[("-" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(limit).collect()]
+    wide = [max(len(c), *(len(r[k]) for r in rows)) if rows else len(c) for k, c in enumerate(df.columns)]
+    line = lambda r: "  ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip()
+    return "\n".join([title, line(df.columns), *map(line, rows)])
 
 
 def html_table(title: str, df: DataFrame, limit: int = 200) -> str:
@@ -85,6 +140,16 @@ def alert_message(alerts: list[dict], breaches: list[dict]) -> tuple[str, str] |
     return subject, "\n".join(lines)
 
 
+#: Environment variables with the address and password to send from and the address to send to.
+MAIL_SETTINGS = ("BARWRIGHT_MAIL_FROM", "BARWRIGHT_MAIL_PASSWORD", "BARWRIGHT_MAIL_TO")
+
+
+def mail_settings(env: Mapping[str, str]) -> tuple[str, str, str] | None:
+    """The three settings; None if one is missing, when no mail is sent."""
+    found = tuple(env.get(k, "").strip() for k in MAIL_SETTINGS)
+    return found if all(found) else None  # type: ignore[return-value]
+
+
 def send_alerts(alerts: list[dict], breaches: list[dict], send) -> bool:
     """Hands the message to ``send(subject, body)``; True if it was sent, after which state may be saved."""
     message = alert_message(alerts, breaches)

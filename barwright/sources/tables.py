@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.stats import round_trip_cost
 from ..operators.bars import bars_from_ticks, index_bars, resample
 
 POSITIONS = T.StructType([
@@ -62,6 +66,57 @@ def read_bars(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     )
 
 
+def flat_names(df: DataFrame) -> DataFrame:
+    """Columns called like ``Open.AAA`` or ``('Open', 'AAA')`` get the first part, in lower case."""
+    first = lambda c: c.strip("()").split(",")[0].split(".")[0].strip("' \"").lower()
+    names = [first(c) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns would be equal: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    return df.toDF(*names)
+
+
+def read_symbol_files(spark: SparkSession, folder: str, fmt: str = "parquet", limit: int | None = None) -> DataFrame:
+    """Bars of a folder with a file for each symbol, named by it: ``2330_TW.parquet`` holds 2330.TW.  limit: so many symbols, in order."""
+    df = spark.read.format(fmt).options(header="true", inferSchema="true" if fmt == "csv" else "false").load(f"{folder}/*")
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    named = df.withColumn("barwright_symbol", F.replace(stem, F.lit("_"), F.lit("."))).drop("symbol").withColumnRenamed("barwright_symbol", "symbol")
+    bars = flat_names(named)
+    if limit is not None:
+        bars = bars.join(F.broadcast(bars.select("symbol").distinct().orderBy("symbol").limit(limit)), "symbol")
+    return bars
+
+
+def patiently(read: Callable[[], DataFrame], retries: int = 3, backoff: float = 2.0, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """What ``read`` gives, tried again after 1, ``backoff``, ``backoff`` ** 2 ... seconds while it fails or is empty."""
+    last: Exception | None = None
+    for k in range(retries):
+        try:
+            df = read()
+            if not df.isEmpty():
+                return df
+            last = None
+        except Exception as e:  # whatever the source raises
+            last = e
+        if k + 1 < retries:
+            wait(backoff**k)
+    raise RuntimeError(f"no rows after {retries} tries") from last
+
+
+def universe(spark: SparkSession, entries: list[dict], limit: int | None = None) -> DataFrame:
+    """symbol, name, etf and round-trip cost of the listed symbols, by symbol; a name is the symbol's own if none is given."""
+    rows = sorted((str(e["symbol"]), str(e.get("name") or e["symbol"]), bool(e.get("etf", False))) for e in entries)
+    df = spark.createDataFrame(rows[:limit], "symbol string, name string, etf boolean")
+    return df.withColumn("cost", round_trip_cost(F.col("symbol"), F.col("etf")))
+
+
+def column_or_null(df: DataFrame, name: str, kind: str = "double") -> Column:
+    """The column, null where it is NaN or the table lacks it."""
+    if name not in df.columns:
+        return F.lit(None).cast(kind)
+    c = F.col(name).cast(kind)
+    return F.when(~F.isnan(c), c) if kind in ("double", "float") else c
+
+
 def read_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The objects with a symbol in a JSON list; a missing or broken file gives none, a broken element only loses itself."""
     try:

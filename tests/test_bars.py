@@ -275,6 +275,114 @@ def test_markers_stay_in_chart(b):
     assert {r.entry_i for r in m} == {250} and {r.exit_i for r in m} == {299} and all(r.entry_px is not None for r in m)
 
 
+def test_files_by_symbol_and_patience(spark, tmp_path):
+    for name in ("2330_TW", "AAA"):
+        (tmp_path / f"{name}.csv").write_text("ts,Open,High,Low,Close\n2024-01-02,1,2,0.5,1.5\n")
+    got = tables.read_symbol_files(spark, str(tmp_path), "csv")
+    assert {r.symbol for r in got.collect()} == {"2330.TW", "AAA"} and "open" in got.columns
+    assert {r.symbol for r in tables.read_symbol_files(spark, str(tmp_path), "csv", limit=1).collect()} == {"2330.TW"}
+    assert tables.flat_names(spark.createDataFrame([(1, 2)], ["('Open', 'AAA')", "Close.AAA"])).columns == ["open", "close"]
+    waits, tries = [], iter([ValueError("down"), spark.range(0), spark.range(3)])
+
+    def read():
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert tables.patiently(read, wait=waits.append).count() == 3 and waits == [1.0, 2.0]
+    with pytest.raises(RuntimeError):
+        tables.patiently(lambda: spark.range(0), 2, wait=waits.append)
+
+
+def test_universe_and_columns(spark):
+    u = tables.universe(spark, [{"symbol": "B"}, {"symbol": "A.TW", "name": "a", "etf": True}])
+    assert [(r.symbol, r.name, r.etf) for r in u.collect()] == [("A.TW", "a", True), ("B", "B", False)]
+    assert abs(u.first().cost - (0.001425 * 0.6 * 2 + 0.001)) < 1e-12 and tables.universe(spark, [{"symbol": "B"}, {"symbol": "A"}], 1).first().symbol == "A"
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "x double")
+    assert [r[0] for r in df.select(tables.column_or_null(df, "x")).collect()] == [1.0, None] and df.select(tables.column_or_null(df, "y")).first()[0] is None
+
+
+def test_texts_and_fragments(spark, b, market):
+    ind = indicators.compute(b)
+    p = spark.createDataFrame([("A", "2021-03-01", 100.0, 1.0)], tables.POSITIONS)
+    assert tracking.described(tracking.track_positions(p, ind)).first().text.startswith("A: stop ")
+    sizes = tracking.suggest_size(spark.createDataFrame([("A", 10, 20, 0.1)], "symbol string, wins long, n long, timeout_rate double"))
+    assert tracking.described_sizes(sizes).first().text == "A: 0.0% of capital, too few samples (10 of 20)"
+    assert trades.described(market.planned).where("text IS NOT NULL").first().text.startswith("long at ")
+    t = trades.entry_ticket(market.planned, 5.0)
+    assert t.where("stop_source = 'plan'").count() > 0 == t.where("stop > limit_price AND stop_source <> 'plan'").count()
+    assert report.badge("ok") == '<span class="good">proven</span>' and "on" in report.score_bar(60, 50) and "width:100%" in report.score_bar(120, 200)
+    assert spark.createDataFrame([("premium",), ("x",)], "z string").select(report.labelled(F.col("z")).alias("l")).collect()[1].l.label == "x"
+    assert report.fragment("t", {"a": 0.25, "b": None}, {"a": "gain %", "b": "loss"}) == "<section><h3>t</h3><dl><dt>gain</dt><dd>25.0 %</dd><dt>loss</dt><dd>-</dd></dl></section>" and report.fragment("t", None, {}) == ""
+    assert report.console("t", spark.createDataFrame([("a", None)], "x string, y double")) == "t\nx  y\na  -"
+    assert report.mail_settings({}) is None and report.mail_settings({k: "x" for k in report.MAIL_SETTINGS}) == ("x", "x", "x")
+    from barwright.__main__ import arguments
+
+    assert arguments(["ema20", "--data", "d", "--dry-run"]).dry_run
+
+
+def test_documents_and_saving(spark, tmp_path):
+    import json
+
+    picks = spark.createDataFrame([("A", "bull", 40), ("A", "bear", 50)], "symbol string, side string, threshold int")
+    summary = spark.createDataFrame([("A", "bull", 0.1)], "symbol string, side string, cagr double")
+    assert json.loads(sinks.backtest_documents(picks, summary).first().document) == {"bear": {"threshold": 50, "cagr": None}, "bull": {"threshold": 40, "cagr": 0.1}}
+    assert sinks.save_state(picks, str(tmp_path / "s")) and spark.read.json(str(tmp_path / "s")).count() == 2
+    with pytest.warns(UserWarning):
+        assert not sinks.save_state(picks, "nowhere://x/y")
+
+
+def test_sides_without_trades(spark):
+    wf = spark.createDataFrame([("A", 3, None, 10, 20, 0.1)], "symbol string, i int, ts timestamp_ntz, bull_score int, bear_score int, future_return double")
+    got = {r.side: r for r in replay.sides(wf, 7).collect()}
+    assert (got["bull"].ret, got["bear"].ret, got["bull"].bars, got["bear"].score) == (0.1, -0.1, 7, 20)
+
+
+def test_random_barriers_run_the_given_risks(spark):
+    bars = spark.createDataFrame([("A", i, 100.0 + i, 99.0 + i, 100.0 + i) for i in range(400)] + [("B", i, 1.0, 1.0, 1.0) for i in range(400)], "symbol string, i int, high double, low double, close double")
+    risks = spark.createDataFrame([("A", 0.02), ("A", 0.01), ("B", 0.5), ("B", None)], "symbol string, risk double")
+    out = tracking.random_barriers(bars, risks, 50, 1, 2.0, 100, 100)
+    assert {(r.symbol, r.outcome, r.n) for r in out.groupBy("symbol", "outcome").agg(F.count("*").alias("n")).collect()} == {("A", "target", 50), ("B", "timeout", 50)}
+    assert tracking.random_barriers(bars, risks, 50, 1, 2.0, 400, 100).count() == 0
+
+
+def test_weight_trial_equals_walk(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in ("A", "B", "short"):
+        for i in range(700 if s != "short" else 100):
+            c = [float(x) for x in rng.integers(0, 2, len(models.COMPONENTS))]
+            rows.append((s, i * 2, *c, float(0.02 * c[0] - 0.01 * c[3] + rng.normal(0, 0.02)), int(rng.integers(1, 6))))
+    cfg = Config(thresholds=(20, 40, 60))
+    m = spark.createDataFrame(rows, "symbol string, i int, " + ", ".join(f"c_{c} double" for c in models.COMPONENTS) + ", ret double, bars int")
+    got = {(r.symbol, r.kind): r for r in models.weight_trial(m, cfg).collect()}
+    assert {k for _, k in got} == {"manual", "fitted", "random"} and {s for s, _ in got} == {"A", "B"}
+    for s in "AB":
+        own = [r for r in rows if r[0] == s]
+        parts = {"train": own[:420], "test": own[440:]}
+        x, y = np.array([r[2:12] for r in parts["train"]]), np.array([r[12] for r in parts["train"]])
+        one = np.column_stack([np.ones(len(x)), x])
+        w = np.linalg.solve(one.T @ one + np.diag([0.0] + [1.0] * 10), one.T @ y)[1:].clip(0)
+        for kind, weights in (("fitted", w / w.sum() * 100), ("manual", np.array([cfg.weights[c] for c in models.COMPONENTS]))):
+            mean = {}
+            for part, held in parts.items():
+                for t in cfg.thresholds:
+                    free, took = 0, []
+                    for k, r in enumerate(held):
+                        if k >= free and np.dot(r[2:12], weights) >= t:
+                            took.append(r[12])
+                            free = k + r[13]
+                    if len(took) >= (15 if part == "train" else 8):
+                        mean[part, t] = np.mean(took)
+            best = max((v, -t) for (part, t), v in mean.items() if part == "train")
+            r = got[s, kind]
+            assert r.threshold == -best[1] and abs(r.expectancy - mean["test", r.threshold]) < 1e-9
+            assert abs(r.excess - (r.expectancy - np.mean([x[12] for x in parts["test"]]))) < 1e-9
+    v = {r.kind: r for r in models.weight_verdict(models.weight_trial(m, cfg)).collect()}
+    assert sum(r.wins for r in v.values()) == 2 and all(r.n_symbols == 2 for r in v.values()) and v["fitted"].median_excess > v["random"].median_excess
+
+
 def test_gate_takes_every_symbol(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(models, "gated_probability", lambda ind, **_: seen.append(ind.select("symbol").distinct().count()))
