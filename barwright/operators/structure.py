@@ -124,11 +124,11 @@ def first_touch(objects: DataFrame, bars: DataFrame, known: str, top: Column, bo
     asked = objects.select("*", top.alias("_top"), bottom.alias("_bottom"))
 
     def run(o: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("i")
-        i, n = b["i"].to_numpy(np.int64), len(b)
+        b = b.sort_values("b_i")
+        i, n = b["b_i"].to_numpy(np.int64), len(b)
         found = np.full(len(o), -1, np.int64)
         if n and len(o):
-            low, high = _Firsts(b["low"].to_numpy(float)), _Firsts(-b["high"].to_numpy(float))
+            low, high = _Firsts(b["b_low"].to_numpy(float)), _Firsts(-b["b_high"].to_numpy(float))
             t = o["_top"].to_numpy(float)
             t, m = np.where(np.isnan(t), np.inf, t), o["_bottom"].to_numpy(float)
             m = np.where(np.isnan(m), np.inf, -m)
@@ -146,8 +146,8 @@ def first_touch(objects: DataFrame, bars: DataFrame, known: str, top: Column, bo
         return o.assign(**{out: o[out].where(o[out] >= 0)})
 
     types = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + [f"{out} int"])
-    b = bars.select(F.col("symbol").alias("of"), "i", "high", "low")  # a name of its own, as objects derive from the same bars
-    return asked.groupBy("symbol").cogroup(b.groupBy("of")).applyInPandas(run, types)
+    b = bars.select(*(F.col(c).alias(f"b_{c}") for c in ("symbol", "i", "high", "low")))  # names of their own, as objects derive from the same bars
+    return asked.groupBy("symbol").cogroup(b.groupBy("b_symbol")).applyInPandas(run, types)
 
 
 def price_gaps(ind: DataFrame, min_share: float = 0.0, min_atr: float = 0.5) -> DataFrame:

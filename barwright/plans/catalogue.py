@@ -612,7 +612,7 @@ def chart_layers(spark, d):
 @query
 def chart_panels(spark, d):
     p = report.chart_panels(market(spark, d).keep())
-    return p.where("series IN ('high', 'close', 'top', 'mid', 'rsi')").withColumn("value", rnd("value", 4))
+    return p.where("series IN ('high', 'close', 'top', 'mid', 'rsi')").withColumn("value", F.when(F.col("panel") == "rsi", rnd("value", 4)).otherwise(F.col("value")))
 
 
 @query
