@@ -128,7 +128,7 @@ def _by_join(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Every (host suffix, leading segments) of each distinct host and path meets the rules by equality."""
     rows = [(r.text, r.verdict, r.host, "/".join(r.path.split("/")[:-1]), r.path) for r in rules]
     listed = df.sparkSession.createDataFrame(rows, "rule string, verdict string, _h string, _lead string, _p string")
-    urls = df.select("host", "path").distinct()
+    urls = df.where("host <> ''").select("host", "path").distinct()
     labels, segments = F.split("host", r"\."), F.split("path", "/")
     keys = urls.select(
         "host", "path",
@@ -144,7 +144,9 @@ def _by_join(df: DataFrame, rules: list[Rule]) -> DataFrame:
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", "verdict"), rank).alias("_barwright_rule"))
     )
-    return df.join(found, ["host", "path"], "left")
+    # Urls without a host have no rule to meet, and may be very many.
+    none = df.where("host = ''").withColumn("_barwright_rule", F.lit(None).cast("struct<rule: string, verdict: string>"))
+    return df.where("host <> ''").join(found, ["host", "path"], "left").select(*none.columns).unionByName(none)
 
 
 def filter_urls(
