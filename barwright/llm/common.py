@@ -16,7 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
-    """Bounds what one Arrow batch holds, since single texts may be very long."""
+    """Bounds what one Arrow batch holds, since single texts may be very long.
+
+    The bound is the session's and stays for its later queries, whose results
+    don't depend on it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
@@ -35,7 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.barwright.scratch", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators wrote; for the end of a run, as results may still be read from them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "x")).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from barwright.llm import (
     decision_list, decontaminate, line_spread, near_dup, queries, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules,
 )
-from barwright.llm.common import cut
+from barwright.llm.common import clear, cut, scratch
 from barwright.llm.components import components, join_components
 
 MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
@@ -60,6 +60,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_written_tables_are_cleared(spark):
+    from pathlib import Path
+
+    folder = Path(scratch(spark, "x").removeprefix("file:")).parent
+    assert cut(spark.range(3), "own").count() == 3 and list(folder.glob("own-*"))
+    clear(spark)
+    assert not folder.exists()
+
+
 # --- 1 ------------------------------------------------------------------------
 
 
