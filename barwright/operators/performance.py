@@ -186,14 +186,18 @@ def simulate_portfolio(signals: DataFrame, prices: DataFrame, max_positions: tup
     worth = F.when(F.col("bar") < F.col("_last"), F.col("capital") * (1 + F.coalesce(moved, F.lit(0.0)))).otherwise(0.0)
     values = held.join(px, ["symbol", "bar"], "left").groupBy("slots", "bar").agg(F.sum(worth).alias("_v"), F.count("*").alias("n_open"))
     scenarios = signals.sparkSession.createDataFrame([(int(n),) for n in max_positions], "slots int")
-    path = days.join(F.broadcast(scenarios)).join(moves, ["slots", "bar"], "left").join(values, ["slots", "bar"], "left")
+    entered = fills.groupBy("slots", "bar").agg(F.count("*").alias("_e"))
+    path = days.join(F.broadcast(scenarios))
+    for part in (moves, values, entered):
+        path = path.join(part, ["slots", "bar"], "left")
     cash = 1 + F.sum(F.coalesce("_m", F.lit(0.0))).over(Window.partitionBy("slots").orderBy("bar").rowsBetween(Window.unboundedPreceding, 0))
-    return path.select("slots", "bar", "ts", (cash + F.coalesce("_v", F.lit(0.0))).alias("equity"), F.coalesce("n_open", F.lit(0)).cast("int").alias("n_open"))
+    return path.select("slots", "bar", "ts", (cash + F.coalesce("_v", F.lit(0.0))).alias("equity"), *(F.coalesce(c, F.lit(0)).cast("int").alias(n) for c, n in (("n_open", "n_open"), ("_e", "n_entered"))))
 
 
 def portfolio_stats(equity: DataFrame, bars_per_year: int = 252) -> DataFrame:
     down = max_drawdown(equity, ["slots"], "bar", "equity")
     years = F.count("*") / bars_per_year
-    s = equity.groupBy("slots").agg((F.max_by("equity", "bar") - 1).alias("total_return"), years.alias("years"), F.avg((F.col("n_open") > 0).cast("double")).alias("time_in_market"))
+    trades = F.sum("n_entered")
+    s = equity.groupBy("slots").agg((F.max_by("equity", "bar") - 1).alias("total_return"), years.alias("years"), trades.alias("n_trades"), (trades / years).alias("trades_per_year"), F.avg((F.col("n_open") > 0).cast("double")).alias("time_in_market"))
     s = s.join(down, "slots").withColumn("cagr", cagr(F.col("total_return"), F.col("years")))
     return s.withColumn("calmar", F.when(F.col("max_drawdown") > 0, F.col("cagr") / F.col("max_drawdown")))

@@ -53,7 +53,7 @@ def gated_probability(ind: DataFrame, horizon: int = 5, folds: int = 5, least_ro
     rows = _assembled(rows.withColumn("fold", F.floor(block * (folds + 1) / n).cast("int"))).persist()
     total, ones = rows.agg(F.count("*"), F.sum("label")).first()
     last = ind.groupBy("symbol").agg(F.max("i").alias("i"))
-    none = last.select("symbol", "i", F.lit(None).cast("double").alias("prob_up"), F.lit(None).cast("double").alias("auc"), F.lit(total).alias("trained_rows"))
+    none = last.select("symbol", "i", F.lit(None).cast("double").alias("prob_up"), F.lit(None).cast("double").alias("auc"), F.lit(total).alias("trained_rows"), F.lit(horizon).alias("horizon"))
     if not total or total < least_rows or min(ones, total - ones) / total < least_share:
         return none
     model = lambda: GBTClassifier(featuresCol="x", labelCol="label", maxIter=120, maxDepth=2, stepSize=0.05, seed=42)
@@ -72,7 +72,7 @@ def gated_probability(ind: DataFrame, horizon: int = 5, folds: int = 5, least_ro
         return none.withColumn("auc", F.lit(auc).cast("double"))
     p = model().fit(rows).transform(rows.join(last, ["symbol", "i"], "left_semi")).select("symbol", "i", vector_to_array("probability")[1].alias("prob_up"))
     p = last.select("symbol", "i").join(p, ["symbol", "i"], "left")  # a symbol whose last bar lacks a feature has no probability
-    return p.withColumns({"auc": F.lit(auc), "trained_rows": F.lit(total)})
+    return p.withColumns({"auc": F.lit(auc), "trained_rows": F.lit(total), "horizon": F.lit(horizon)})
 
 
 def component_matrix(m) -> DataFrame:

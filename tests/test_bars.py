@@ -209,7 +209,9 @@ def test_portfolio_equals_walk(spark, side):
     for slots in (1, 3):
         g = got[got.slots == slots].sort_values("bar")
         np.testing.assert_allclose(g.equity, walk.portfolio(signals, closes, 60, slots, 1 if side == "bull" else -1), rtol=1e-9)
-        assert g.n_open.max() == slots
+        assert g.n_open.max() == slots and g.n_entered.sum() > 10
+    stats_ = performance.portfolio_stats(performance.simulate_portfolio(s, px, (3,), side=side)).first()
+    assert stats_.n_trades == got[got.slots == 3].n_entered.sum() and abs(stats_.trades_per_year - stats_.n_trades * 252 / 60) < 1e-9
     capital = performance.simulate_portfolio(s.withColumn("ret", F.lit(0.0)), px.withColumn("close", F.lit(1.0)), (2,), equal_slots=True).toPandas()
     assert (abs(capital.equity - 1) < 1e-9).all()
 
