@@ -4,8 +4,9 @@ Every whole text is encoded once; documents are counted by length, and
 sums from the longest length downwards answer totals, quantiles and
 truncated totals for every context limit without going back to the texts.
 
-Null and empty texts have length 0.  Repeated rows count each time.  An
-empty table gives an empty histogram.  Only the text column is read, so
+Null and empty texts have length 0.  Repeated rows count each time, documents
+of equal length in one row.  Very long texts are encoded whole, one at a time.
+An empty table gives an empty histogram.  Only the text column is read, so
 other columns can't clash.  The histogram has at most as many rows as there
 are different lengths; its sums run over blocks of lengths, then over the
 blocks' totals, so that no task holds all of it.
