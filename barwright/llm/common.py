@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrays(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a small table as arrays.  They come as Arrow batches whatever the session's settings, not as Python objects."""
+    t = df.toArrow()
+    return [t.column(k).to_numpy() for k in range(t.num_columns)]
+
+
 def bounded(df: DataFrame, limit: int) -> DataFrame:
     """Marks a table for broadcast if counting shows that it is small; otherwise its join shuffles."""
     return F.broadcast(df) if df.count() <= limit else df

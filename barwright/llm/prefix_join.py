@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrays, cut
 
 #: Counts are kept for 2 ** BITS classes of hashes (4 bytes each, broadcast).
 BITS = 20
@@ -49,9 +49,9 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(many)
         yield pd.DataFrame({"at": at, "n": many[at]})
 
-    found = sets.select("set").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    at, n = arrays(sets.select("set").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")))
     out = np.zeros(1 << BITS, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[at] = n
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 

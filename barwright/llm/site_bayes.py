@@ -27,11 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import arrays, cut, small_batches
 
 _PUNCT = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 _CLEAN = bytes.maketrans(bytes(range(65, 91)) + _PUNCT, bytes(range(97, 123)) + b" " * len(_PUNCT))
@@ -205,12 +206,12 @@ def learn_evidence(
             often = n >= max(least, least_share * min(pos, total - pos))
             test = F.greatest(test, F.when(often & (n < total), F.abs(F.col(t) - n * p) / F.sqrt(n * (p * (1 - p)))).otherwise(0.0))
     chosen = counts.where("key != 0").withColumn("_z", test).where(F.col("_z") >= z).orderBy("key")
-    keys = np.array([r["key"] for r in chosen.select("key").collect()], np.int64)
+    keys = arrays(chosen.select("key"))[0]
     found = Evidence(keys, np.zeros((len(keys), k)), np.zeros(k), np.log((positives + 1) / (total - positives + 1)))
-    held = rows.select(*names, _present(F.col("text"), found).alias("_at")).toPandas()
-    ys = {t: held[t].to_numpy(float) for t in names}
-    first = np.cumsum([0] + [len(x) for x in held["_at"]])
-    col = np.concatenate([np.zeros(0, np.int32), *held["_at"]]).astype(np.int32)
+    held = rows.select(*names, _present(F.col("text"), found).alias("_at")).toArrow()
+    ys = {t: held.column(t).to_numpy().astype(float) for t in names}
+    first = np.append(0, np.cumsum(pc.list_value_length(held.column("_at")).to_numpy())).astype(np.int64)
+    col = pc.list_flatten(held.column("_at")).to_numpy()
     del held
     weights, offset = np.zeros((len(keys), k)), found.prior.copy()
     for j, t in enumerate(names):

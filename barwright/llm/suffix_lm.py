@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import arrays, cut, small_batches
 
 #: No word holds a blank, so this is no word's hash.
 END = int(np.array(xxhash.xxh3_64_intdigest(b" end"), np.uint64).view(np.int64))
@@ -218,8 +218,9 @@ NUMBERED = "n_tokens long, n_frequent long, base double, ids array<int>, rare ar
 
 
 def _numbered_by_broadcast(docs: DataFrame, words: DataFrame, log_count, low: float) -> DataFrame:
-    held = words.orderBy("key").toPandas()  # max_words at most
-    given = docs.sparkSession.sparkContext.broadcast((held["key"].to_numpy(np.int64), held["id"].to_numpy(np.int32), log_count(held["n"].to_numpy(np.float64))))
+    key, ident, n = arrays(words.select("key", "id", "n"))  # max_words at most
+    order = np.argsort(key)
+    given = docs.sparkSession.sparkContext.broadcast((key[order], ident[order], log_count(n[order].astype(np.float64))))
 
     class Numbers(dict):
         def __missing__(self, word: bytes) -> int:
@@ -303,8 +304,7 @@ def first_pairs(texts: DataFrame, n_words: int, n_contexts: int, least_pair: int
 
 def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Two whole-number columns, by the first."""
-    held = df.toPandas()
-    a, b = (held[c].to_numpy(np.int64) for c in held.columns)
+    a, b = arrays(df)
     order = np.argsort(a)
     return a[order], b[order]
 
