@@ -155,8 +155,15 @@ def _scan(b: dict[str, np.ndarray], at: np.ndarray, sign: int, stop: np.ndarray,
     return code, px, held
 
 
+PLAN_COLUMNS = ("symbol", "i", "ts", "high", "low", "close", "atr", "entry_px", "entry_off", "long_stop", "long_target", "short_stop", "short_target")
+
+
 def outcomes(planned: DataFrame, cfg: Config) -> DataFrame:
-    """planned with, for long and short: ret, bars, r, outcome, rr, exit_px.  Bars without a plan: outcome none, held for the horizon."""
+    """A row for each of planned, for long and short: ret, bars, r, outcome, rr, exit_px.  Bars without a plan: outcome none, held for the horizon.
+
+    Of planned's columns only those that this needs are kept, as all go to Python and back.
+    """
+    planned = planned.select(*(c for c in PLAN_COLUMNS if c in planned.columns))
     keep = [f for f in planned.schema.fields]
     names = [f.name for f in keep]
     trailing = cfg.exit_mode == "trailing"
