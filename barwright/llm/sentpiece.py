@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 _BLANK = "▁"
 _STEP = 3  # characters of 21 bits in a search key
 #: Characters of the chunks that a task keeps encoded (some 25 bytes each), the longest such chunk, and characters indexed at once.
-KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 21, 64, 1 << 16
+KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 21, 64, 1 << 17
 
 
 def _codes(text: str) -> np.ndarray:
@@ -346,7 +346,7 @@ class Encoder:
         at = 0
         while at < len(texts):
             to, chars = at, 0
-            while to < len(texts) and (to == at or chars + len(texts[to] or "") <= 8 * BATCH_CHARS):
+            while to < len(texts) and (to == at or chars + len(texts[to] or "") <= 4 * BATCH_CHARS):
                 chars += len(texts[to] or "")
                 to += 1
             out += self._some(texts[at:to])
