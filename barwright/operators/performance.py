@@ -171,7 +171,8 @@ def simulate_portfolio(signals: DataFrame, prices: DataFrame, max_positions: tup
     are settled.  Only the fills are sequential; cash and values are sums by
     bar over them.
     """
-    days = calendar(signals.select("ts").unionByName(prices.select("ts")).distinct())
+    signals = signals.persist()  # the calendar and the fills both read them
+    days = calendar(signals.select("ts").unionByName(prices.select("ts")).distinct()).persist()
     fills = slot_fills(signals, days, max_positions, equal_slots).persist()
     end = days.agg(F.max("bar").alias("_last"))
     px = prices.join(days, "ts").select("symbol", "bar", "close")

@@ -365,10 +365,10 @@ def cross_section(spark, d):
 
 
 def _portfolio(spark, d, side: str) -> DataFrame:
-    """Every symbol's signals of its recommended threshold, after cost."""
-    m, w, _, picks = _recommended(spark, d)
-    s = replay.sides(w).where(F.col("side") == side).join(picks.select("symbol", "side", "threshold"), ["symbol", "side"]).where("score >= threshold")
-    s = s.join(cost_table(m.bars), "symbol").select("symbol", "ts", "score", (F.col("ret") - F.col("cost")).alias("ret"), "bars")
+    """Every symbol's signals of one threshold, after cost."""
+    m, w = replayed(spark, d)
+    s = replay.sides(w).where((F.col("side") == side) & (F.col("score") >= 35)).join(cost_table(m.bars), "symbol")
+    s = s.select("symbol", "ts", "score", (F.col("ret") - F.col("cost")).alias("ret"), "bars")
     return performance.portfolio_stats(performance.simulate_portfolio(s, m.bars.select("symbol", "ts", "close"), side=side))
 
 
