@@ -22,8 +22,9 @@ exactly 0.8).  Shingles are compared as 64-bit hashes of their words' hashes.
 Null and empty texts have empty sets and are linked with nothing.  Rows with
 a null doc_id are returned with a null component, kept.  Rows that share a
 doc_id are told apart by their texts: each gets its own text's component, and
-``row_key`` names it.  Repeated rows are equal in all of this.  Ties between
-neighbours go to the lower doc_id.  Very long texts have long sets, which are
+``row_key`` names it, so a text that copies nothing stays even if another of
+its id goes.  Repeated rows are equal in all of this.  Ties between
+neighbours go to the lower number of a set.  Very long texts have long sets, which are
 held one at a time.  Empty tables give empty tables.  Only doc_id and text
 are read; other columns can't clash.
 """
@@ -41,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import prefix_join
-from .common import cut, row_key, small_batches, without
+from .common import bounded, cut, row_key, small_batches, without
 from .components import components, join_components
 
 MINIMA = 64
@@ -190,16 +191,21 @@ def link_documents(
     made = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), sketches(F.col("text"), width).alias("s")).select("doc_id", "row_key", "s.*")
     meta = cut(made, "sketches")
     usable = meta.where("n > 0 AND doc_id IS NOT NULL")
-    sets = usable.groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    nodes = cut(sets, "nodes")
+    # A node is a different set of shingles, numbered; ids only name its component in the end, as an id may have several texts.
+    sets = usable.groupBy("fingerprint").agg(
+        F.min(F.struct("doc_id", "row_key")).alias("first"), F.first("n").alias("n"), F.first("signature").alias("signature")
+    )
+    nodes = cut(sets.sortWithinPartitions("fingerprint").withColumn("node", F.monotonically_increasing_id()), "nodes")
     forest = Forest(nodes, trees, region=region)
 
     dense = forest.rows.select("node").distinct()
-    texts = docs.select("doc_id", "text")
-    wanted = cut(dense, "dense")
-    few = wanted.count() <= MAX_BROADCAST
-    texts = texts.join((F.broadcast if few else lambda x: x)(wanted), F.col("doc_id") == F.col("node"), "left_semi")
-    full = cut(texts.select(F.col("doc_id").alias("node"), full_sets(F.col("text"), width).alias("set")).where(F.length("set") > 0), "sets")
+    wanted = cut(nodes.join(dense, "node", "left_semi").select("node", F.col("first.row_key").alias("row_key")), "dense")
+    many = wanted.count()
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+    texts = texts.join(F.broadcast(wanted) if many <= MAX_BROADCAST else wanted, "row_key")
+    full = cut(texts.select("node", full_sets(F.col("text"), width).alias("set")), "sets")
+    if full.count() > many:  # repeated rows
+        full = cut(full.dropDuplicates(["node"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         fit = pairs.where(F.lit(100) * F.least("n1", "n2") >= F.lit(percent) * F.greatest("n1", "n2")).select("u", "v").distinct()
@@ -229,7 +235,9 @@ def link_documents(
     if not left.isEmpty():
         members = full.join(left, "node", "left_semi").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         found = join_components(found, confirmed(prefix_join.pairs_apart(cut(members, "members"), percent)))
-    labels = cut(nodes.select("fingerprint", "node").join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component")), "by-text")
+    linked = cut(nodes.select("fingerprint", "node", F.col("first.doc_id").alias("low")).join(found, "node", "left"), "linked")
+    lowest = cut(linked.where("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("lowest")), "lowest")
+    labels = cut(linked.join(bounded(lowest, MAX_BROADCAST), "component", "left").select("fingerprint", F.coalesce("lowest", "low").alias("component")), "by-text")
     # A join of two written tables, so that Spark can split a fingerprint that very many documents share.
     out = meta.select("doc_id", F.col("n").alias("n_shingles"), "fingerprint", "row_key").join(labels, "fingerprint", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))

@@ -26,7 +26,8 @@ Null texts are empty; texts shorter than a string are unchanged.  Ids that
 are equal aren't lower than each other, and a null id counts as higher than
 all others.  Repeated rows are treated alike.  A very long text is one row of
 its chunk and hashed a slab at a time.  Empty tables give empty tables.  Only
-doc_id and text are read; other columns can't clash.
+doc_id and text are read; other columns can't clash.  Ids must be integers;
+strings may have any length from 16 bytes up, also longer than all texts.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 from .run_index import RunIndex
@@ -126,9 +128,11 @@ def _chunk(b: pd.DataFrame) -> tuple[pd.DataFrame, list[bytes]]:
 
 
 def _by_bucket(bucket: np.ndarray, *columns: np.ndarray):
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     bucket = bucket[order]
-    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, z in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
         yield int(bucket[a]), order[a:z], [c[order[a:z]] for c in columns]
 
@@ -198,6 +202,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
     """doc_id, n_bytes, spans (start and end of each removed run) and kept (the other bytes) for each row of docs."""
     if length < 16:
         raise ValueError("strings have 16 bytes or more")
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be an integer column")
     small_batches(docs.sparkSession)
     k = gram or length // 2 + 1
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -268,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
         to = np.cumsum(number)
         for n, a, z in zip(bucket.tolist(), (to - number).tolist(), to.tolist(), strict=True):
             r = one[a:z]
-            meta = low[a:z].astype("<i8").tobytes() + size[r].astype("<u2").tobytes() + key[r].astype(u4).tobytes()
+            meta = low[a:z].astype("<i8").tobytes() + size[r].astype("<u4").tobytes() + key[r].astype(u4).tobytes()
             out.append((n, chunk, zlib.compress(meta, 1), zlib.compress(_stretches(whole, at[a:z], size[r]), 1)))
         return pd.DataFrame(out, columns=["bucket", "chunk", "meta", "data"])
 
@@ -277,9 +283,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int | None = None) -
         if b["bucket"].iloc[0] < 0:
             return b.rename(columns={"meta": "runs"})[["chunk", "bucket", "runs"]]
         metas = [zlib.decompress(m) for m in b["meta"]]
-        many = np.array([len(m) // 14 for m in metas])
+        many = np.array([len(m) // 16 for m in metas])
         part = lambda kind, a, z: np.concatenate([np.frombuffer(m[a * n : z * n], kind) for m, n in zip(metas, many, strict=True)]).astype(np.int64)
-        ids, size, key = part("<i8", 0, 8), part("<u2", 8, 10), part(u4, 10, 14)
+        ids, size, key = part("<i8", 0, 8), part("<u4", 8, 12), part(u4, 12, 16)
         data = np.frombuffer(b"".join(zlib.decompress(x) for x in b["data"]), np.uint8)
         to = np.cumsum(size)
         with np.errstate(over="ignore"):

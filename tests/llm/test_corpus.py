@@ -149,6 +149,22 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert decontaminate.drop_contaminated(d, items).count() == 5
 
 
+def test_near_copies_under_one_id(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(120)) for c in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (3, a + " more"), (7, b + " less"), (7, b + " less"), (9, "alone here")], "doc_id long, text string")
+    found = {(r.doc_id, r.component_id, r.kept) for r in near_dup.link_documents(docs).collect()}
+    assert found == {(5, 3, False), (5, 5, True), (3, 3, True), (7, 5, False), (9, 9, True)}
+    left = sorted((r.doc_id, r.text) for r in near_dup.drop_copies(docs).collect())
+    assert left == sorted([(3, a + " more"), (5, b), (9, "alone here")])
+
+
+def test_string_ids_name_components(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    docs = spark.createDataFrame([("b", text), ("a", text + " x"), ("c", "other words")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.link_documents(docs).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 300), (None, 4)], "u long, v long")
     got = {r.node: r.component for r in components(links).collect()}
@@ -227,6 +243,31 @@ def test_repeats_equal_brute_force(spark, texts, length, monkeypatch):
 # --- 4 ------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("bucket_bytes", [8 << 20, 64])
+@pytest.mark.parametrize("shared", [26, 30, 45, 49, 50, 51])
+def test_repeats_at_the_border(spark, shared, bucket_bytes, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket_bytes)
+    rng = random.Random(shared)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    both = word(shared)
+    texts = [f"{word(80)}1{both}2{word(80)}", f"{word(80)}3{both}4{word(80)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: bytes(r.kept).decode() for r in repeats.remove_repeats(docs, 50).collect()}
+    assert found == {0: texts[0], 1: texts[1] if shared < 50 else texts[1].replace(both, "")}
+
+
+def test_repeats_of_long_strings(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    both = word(90_000)
+    docs = spark.createDataFrame([(1, word(20_000) + "1" + both + "2"), (2, "3" + both + "4" + word(9_000)), (3, both[:39_000])], "doc_id long, text string")
+    found = {r.doc_id: r for r in repeats.remove_repeats(docs, 40_000).collect()}
+    assert [len(found[k].spans) for k in (1, 2, 3)] == [0, 1, 0]
+    assert found[2].spans[0].asDict() == {"start": 1, "end": 90_001}
+    with pytest.raises(TypeError):
+        repeats.remove_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_length_sums(spark, texts):
     import base64
 
