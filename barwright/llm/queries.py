@@ -1,4 +1,4 @@
-"""The corpus queries, op1 to op10 and the pipeline, with SQL where SQL can express them."""
+"""The corpus queries, op1 to op13 and the pipeline, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, line_spread, near_dup, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules
+from . import decision_list, decontaminate, id_shards, line_spread, near_dup, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules
 from .common import cut, small_batches, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -184,8 +184,14 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = id_shards.write_shards(docs, f"{TOKENIZERS}/word_bpe_49k.json", end=2)
+    return id_shards.lookup(shards, docs.select("doc_id"), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_repeated_passages, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_repeated_passages, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score, op13_id_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
