@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, id_shards, line_spread, near_dup, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules
+from . import decision_list, decontaminate, id_shards, line_spread, near_dup, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules, vector_codes
 from .common import cut, small_batches, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -184,6 +184,49 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", vector_codes.hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")
+    )
+
+
+def _op11_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Codebooks as lists; a round is a pair of steps: codes of all parts by their nearest entries, then floored means."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+n{r} AS MATERIALIZED (
+  SELECT row, part, min_by({{'e': entry, 'd': d}}, {{'d': d, 'e': entry}}) AS best
+  FROM (SELECT x.row, x.part, b.entry, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM parts x JOIN b{r} b ON x.part = b.part)
+  GROUP BY row, part)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (
+  SELECT part, entry, list(m ORDER BY pos) AS v FROM (
+    SELECT x.part, n.best.e AS entry, pos, (sum(x.v[pos]) - ((sum(x.v[pos]) % count(*)) + count(*)) % count(*)) // count(*) AS m
+    FROM parts x JOIN n{r} n ON n.row = x.row AND n.part = x.part, unnest(range(1, len(x.v) + 1)) t(pos) GROUP BY ALL) GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, CAST(coalesce(m.v, b.v) AS BIGINT[]) AS v FROM b{r} b LEFT JOIN m{r} m ON m.part = b.part AND m.entry = b.entry)""")
+    return f"""
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT row, p AS part, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS v FROM whole, unnest(range({parts})) t(p)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM parts WHERE row <= {entries}),{",".join(steps)},
+coded AS (
+  SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM n{rounds} GROUP BY row),
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM whole JOIN coded USING (row), books
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op13_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shards = id_shards.write_shards(docs, f"{TOKENIZERS}/word_bpe_49k.json", end=2)
@@ -191,8 +234,8 @@ def op13_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_repeated_passages, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score, op13_id_shards)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_repeated_passages, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score, op11_vector_codes, op13_id_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_repeated_passages": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_repeated_passages": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_vector_codes": OP11_SQL}
