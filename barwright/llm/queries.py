@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decision_list, decontaminate, id_shards, line_spread, near_dup, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules, vector_codes
+from . import decision_list, decontaminate, filter_audit, id_shards, line_spread, near_dup, repeats, sentpiece, site_bayes, suffix_lm, token_lengths, url_rules, vector_codes
 from .common import cut, small_batches, table
 
 #: Folder of the public vocabularies; a parameter, as the files stay outside the repository.
@@ -227,6 +227,44 @@ FROM whole JOIN coded USING (row), books
 OP11_SQL = _op11_sql()
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+OP12_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+low AS (SELECT text, min(doc_id) AS first FROM texts GROUP BY text),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > first, false) AS e
+  FROM (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM texts) JOIN low USING (text) LEFT JOIN marks USING (doc_id)),
+masks AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM flags GROUP BY ALL),
+letters(l, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits
+  FROM letters v, letters w, letters x, letters y, letters z WHERE v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, bits[s] AS bit, CAST(coalesce(list_sum(bits[1 : s - 1]), 0) AS INTEGER) AS before FROM orders, unnest(range(1, 6)) t(s)),
+counts AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counts
+"""
+
+
 def op13_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     shards = id_shards.write_shards(docs, f"{TOKENIZERS}/word_bpe_49k.json", end=2)
@@ -234,8 +272,8 @@ def op13_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_repeated_passages, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score, op11_vector_codes, op13_id_shards)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_repeated_passages, op4_token_counts, op5_quality_rules, op6_quality_classifier, op7_line_dedup, op8_sentencepiece, op9_url_filter, op10_lm_score, op11_vector_codes, op12_filter_audit, op13_id_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_repeated_passages": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_vector_codes": OP11_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_repeated_passages": OP3_SQL, "op7_line_dedup": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_filter_audit": OP12_SQL}
