@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .bars import by_symbol, calendar, returns
 
 
@@ -171,9 +172,8 @@ def simulate_portfolio(signals: DataFrame, prices: DataFrame, max_positions: tup
     are settled.  Only the fills are sequential; cash and values are sums by
     bar over them.
     """
-    signals = signals.persist()  # the calendar and the fills both read them
-    days = calendar(signals.select("ts").unionByName(prices.select("ts")).distinct()).persist()
-    fills = slot_fills(signals, days, max_positions, equal_slots).persist()
+    days = written(calendar(signals.select("ts").unionByName(prices.select("ts")).distinct()), "days")
+    fills = written(slot_fills(signals, days, max_positions, equal_slots), "fills")
     end = days.agg(F.max("bar").alias("_last"))
     px = prices.join(days, "ts").select("symbol", "bar", "close")
     own = fills.join(px.select("symbol", "bar", F.col("close").alias("_entry")), ["symbol", "bar"], "left").join(F.broadcast(end))

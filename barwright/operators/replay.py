@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.resample import mean_bounds
 from ..functions.stats import sidak, wilson_lower, z_of
 from ..plans.config import Config
+from ..sources.scratch import written
 from . import asof, indicators, structure, trades
 from .bars import horizon_returns
 
@@ -65,9 +67,9 @@ class Market:
         return self._once("planned", lambda: trades.plans(trades.entry_fill(self.ind, self.cfg), self.order_blocks, self.pools, self.cfg))
 
     def keep(self) -> "Market":
-        """Holds the shared tables, which a score reads several times each."""
-        for name in ("ind", "swings", "events", "order_blocks", "gaps", "pools"):
-            getattr(self, name).persist()
+        """Writes the shared tables, which a score reads several times each."""
+        for name, key in (("ind", "ind"), ("swings", "swings"), ("events", "events"), ("order_blocks", "obs"), ("gaps", "gaps"), ("pools", "pools")):
+            self._made[key] = written(getattr(self, name), name)
         return self
 
     def replay(self) -> DataFrame:
@@ -153,29 +155,31 @@ def summary_columns(ret: Column, cost: Column, z: float) -> list[Column]:
 
 
 def threshold_sweep(taken: DataFrame, costs: DataFrame, cfg: Config) -> DataFrame:
-    """Statistics by symbol, side and threshold, the excess over taking every bar, and a lower bound of the mean.
+    """Statistics by symbol, side and threshold, the excess over taking every bar, and the bootstrap lower bound of the mean.
 
-    costs: symbol, cost.  The bound is for all thresholds together.
+    costs: symbol, cost.  Both bounds are for all thresholds together.
     """
-    z = z_of(sidak(cfg.alpha, len(cfg.thresholds)))
+    level = sidak(cfg.alpha, len(cfg.thresholds))
     t = taken.join(costs, "symbol")
     stats = t.groupBy("symbol", "side", "threshold").agg(
-        *summary_columns(F.col("ret"), F.col("cost"), z), F.avg("bars").alias("avg_bars_held"), F.avg("r").alias("avg_r"),
-        F.stddev_samp(F.col("ret") - F.col("cost")).alias("_sd"),
+        *summary_columns(F.col("ret"), F.col("cost"), z_of(level)), F.avg("bars").alias("avg_bars_held"), F.avg("r").alias("avg_r")
     )
-    stats = stats.withColumn("expectancy_lb", F.when(F.col("n") > 1, F.col("expectancy") - z * F.col("_sd") / F.sqrt("n"))).drop("_sd")
+    bounds = bootstrap_bounds(taken.where("threshold >= 0"), costs, level).select("symbol", "side", "threshold", F.col("mean_lb").alias("expectancy_lb"))
+    stats = stats.join(bounds, ["symbol", "side", "threshold"], "left")
     base = stats.where("threshold = -1").select("symbol", "side", F.col("expectancy").alias("_base"))
     return stats.where("threshold >= 0").join(base, ["symbol", "side"], "left").withColumn("excess_expectancy", F.col("expectancy") - F.col("_base")).drop("_base")
 
 
 def base_rate(taken: DataFrame, costs: DataFrame, cfg: Config) -> DataFrame:
     """Statistics of taking every bar, without the correction for many thresholds."""
-    t = taken.where("threshold = -1").join(costs, "symbol")
-    return t.groupBy("symbol", "side").agg(*summary_columns(F.col("ret"), F.col("cost"), z_of(cfg.alpha)))
+    every = taken.where("threshold = -1")
+    stats = every.join(costs, "symbol").groupBy("symbol", "side").agg(*summary_columns(F.col("ret"), F.col("cost"), z_of(cfg.alpha)))
+    bounds = bootstrap_bounds(every, costs, cfg.alpha).select("symbol", "side", F.col("mean_lb").alias("expectancy_lb"))
+    return stats.join(bounds, ["symbol", "side"])
 
 
 def recommend(stats: DataFrame, cfg: Config) -> DataFrame:
-    """By symbol and side: lowest threshold whose bound is over 0, else that of the best bound, else the default."""
+    """By symbol and side: lowest threshold whose bound is over 0, else that of the best bound, else the default with n = 0."""
     able = (F.col("n") >= cfg.min_trades) & F.col("expectancy_lb").isNotNull()
     row = F.struct("threshold", "n", "expectancy", "expectancy_lb", "excess_expectancy")
     r = stats.groupBy("symbol", "side").agg(
@@ -186,23 +190,14 @@ def recommend(stats: DataFrame, cfg: Config) -> DataFrame:
     return r.select(
         "symbol", "side", F.coalesce(pick.getField("threshold"), F.lit(cfg.default_threshold)).alias("threshold"),
         F.when(F.col("_ok").isNotNull(), "ok").when(F.col("_best").isNotNull(), "no_edge").otherwise("insufficient_data").alias("confidence"),
-        *(pick.getField(c).alias(c) for c in ("n", "expectancy", "expectancy_lb", "excess_expectancy")),
+        F.coalesce(pick.getField("n"), F.lit(0)).alias("n"), *(pick.getField(c).alias(c) for c in ("expectancy", "expectancy_lb", "excess_expectancy")),
     )
 
 
-def bootstrap_bounds(taken: DataFrame, costs: DataFrame, alpha: float, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """Lower bound of the mean by resampling each group's net returns; null under two trades."""
-    t = taken.join(costs, "symbol").select("symbol", "side", "threshold", (F.col("ret") - F.col("cost")).alias("net"), "i")
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        x = b.sort_values("i")["net"].to_numpy()
-        low = None
-        if len(x) > 1:
-            rng = np.random.default_rng(seed)
-            low = float(np.percentile([x[rng.integers(0, len(x), len(x))].mean() for _ in range(resamples)], 100 * alpha))
-        return pd.DataFrame([[*key, len(x), low]])
-
-    return t.groupBy("symbol", "side", "threshold").applyInPandas(run, "symbol string, side string, threshold int, n long, mean_lb double")
+def bootstrap_bounds(taken: DataFrame, costs: DataFrame, alpha: float, resamples: int = 2000) -> DataFrame:
+    """symbol, side, threshold, n, mean_lb: lower bound of the mean return after cost by resampling; null under two trades."""
+    t = taken.join(costs, "symbol")
+    return mean_bounds(t, ["symbol", "side", "threshold"], "i", F.col("ret") - F.col("cost"), alpha, resamples)
 
 
 def selected_trades(wf: DataFrame, taken: DataFrame, picks: DataFrame, costs: DataFrame, side: str = "bull") -> DataFrame:

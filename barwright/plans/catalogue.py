@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import asof, bars as B, indicators, performance, replay, structure, tracking, trades
 from ..sources import tables
+from ..sources.scratch import written
 from . import models, report
 from .config import Config
 
@@ -37,7 +38,7 @@ def signed_log(c: str) -> Column:
 
 
 def market(spark: SparkSession, sf_dir: str, cfg: Config | None = None) -> replay.Market:
-    return replay.Market(tables.brand_bars(spark, sf_dir).persist(), cfg)
+    return replay.Market(written(tables.brand_bars(spark, sf_dir), "bars"), cfg)
 
 
 def cost_table(bars: DataFrame) -> DataFrame:
@@ -278,7 +279,7 @@ REPLAY = Config(thresholds=(20, 25, 30, 35, 40, 45, 50))
 
 def replayed(spark, d) -> tuple[replay.Market, DataFrame]:
     m = market(spark, d, REPLAY).keep()
-    return m, m.replay().persist()
+    return m, written(m.replay(), "replay")
 
 
 @query
@@ -302,21 +303,22 @@ def non_overlap_fold(spark, d):
 @query
 def threshold_sweep(spark, d):
     m, w = replayed(spark, d)
-    s = replay.threshold_sweep(replay.taken_trades(w, REPLAY.thresholds), cost_table(m.bars), REPLAY)
+    s = replay.threshold_sweep(written(replay.taken_trades(w, REPLAY.thresholds), "taken"), cost_table(m.bars), REPLAY)
     return rounded(s, 6, "payoff", "profit_factor", "win_rate", "win_rate_lb", "expectancy", "avg_win", "avg_loss", "avg_bars_held", "avg_r", "expectancy_lb", "excess_expectancy")
 
 
 @query
 def base_rate(spark, d):
     m, w = replayed(spark, d)
-    s = replay.base_rate(replay.taken_trades(w, REPLAY.thresholds), cost_table(m.bars), REPLAY)
-    return rounded(s, 5, "win_rate", "win_rate_lb", "expectancy", "avg_win", "avg_loss", "payoff", "profit_factor")
+    s = replay.base_rate(written(replay.taken_trades(w, REPLAY.thresholds), "taken"), cost_table(m.bars), REPLAY)
+    return rounded(s, 5, "win_rate", "win_rate_lb", "expectancy", "expectancy_lb", "avg_win", "avg_loss", "payoff", "profit_factor")
 
 
 def _recommended(spark, d):
     m, w = replayed(spark, d)
-    taken = replay.taken_trades(w, REPLAY.thresholds).persist()
-    return m, w, taken, replay.recommend(replay.threshold_sweep(taken, cost_table(m.bars), REPLAY), REPLAY)
+    taken = written(replay.taken_trades(w, REPLAY.thresholds), "taken")
+    picks = replay.recommend(replay.threshold_sweep(taken, cost_table(m.bars), REPLAY), REPLAY)
+    return m, w, taken, written(picks, "picks")
 
 
 @query
@@ -332,8 +334,9 @@ def selected_trades(spark, d):
 
 @query
 def bootstrap_bounds(spark, d):
+    """Of taking every bar and of two thresholds, each by itself."""
     m, w = replayed(spark, d)
-    return replay.bootstrap_bounds(replay.taken_trades(w, (30, 40)), cost_table(m.bars), 0.05)
+    return rounded(replay.bootstrap_bounds(replay.taken_trades(w, (30, 40)), cost_table(m.bars), 0.05), 6, "mean_lb")
 
 
 def _net_trades(m, w, threshold: int = 30) -> DataFrame:
@@ -365,10 +368,11 @@ def cross_section(spark, d):
 
 
 def _portfolio(spark, d, side: str) -> DataFrame:
-    """Every symbol's signals of one threshold, after cost."""
-    m, w = replayed(spark, d)
-    s = replay.sides(w).where((F.col("side") == side) & (F.col("score") >= 35)).join(cost_table(m.bars), "symbol")
-    s = s.select("symbol", "ts", "score", (F.col("ret") - F.col("cost")).alias("ret"), "bars")
+    """Every symbol's signals of its recommended threshold, after cost."""
+    m, w, _, picks = _recommended(spark, d)
+    own = picks.where(F.col("side") == side).select("symbol", "threshold")
+    s = replay.sides(w).where(F.col("side") == side).join(own, "symbol").where("score >= threshold").join(cost_table(m.bars), "symbol")
+    s = written(s.select("symbol", "ts", "score", (F.col("ret") - F.col("cost")).alias("ret"), "bars"), "signals")
     return performance.portfolio_stats(performance.simulate_portfolio(s, m.bars.select("symbol", "ts", "close"), side=side))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..functions import resample
+
 _TICK_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 
 #: Parts by name, each in terms of tables and other parts.
@@ -186,14 +188,24 @@ def _wilson(z: float, p: str, n: str) -> str:
 
 _COST = "0.00023::DOUBLE"
 PARTS["sweep"] = f"""
-  SELECT *, {_wilson(_Z, 'win_rate', 'n')} AS win_rate_lb, CASE WHEN n > 1 THEN expectancy - {_Z}::DOUBLE * sd / sqrt(n) END AS expectancy_lb FROM (
+  SELECT s.*, {_wilson(_Z, 'win_rate', 'n')} AS win_rate_lb, CASE WHEN n > 1 THEN lb END AS expectancy_lb FROM (
     SELECT symbol, side, threshold, count(*) AS n, count(*) FILTER (net > 0) AS wins, avg(CAST(net > 0 AS INTEGER)) AS win_rate, avg(net) AS expectancy,
            coalesce(avg(net) FILTER (net > 0), 0) AS avg_win, coalesce(avg(net) FILTER (net <= 0), 0) AS avg_loss, coalesce(sum(net) FILTER (net > 0), 0) AS gain,
-           abs(coalesce(sum(net) FILTER (net <= 0), 0)) AS loss, avg(bars) AS avg_bars_held, avg(r) AS avg_r, stddev_samp(net) AS sd
-    FROM (SELECT *, ret - {_COST} AS net FROM trades) GROUP BY symbol, side, threshold)"""
+           abs(coalesce(sum(net) FILTER (net <= 0), 0)) AS loss, avg(bars) AS avg_bars_held, avg(r) AS avg_r
+    FROM (SELECT *, ret - {_COST} AS net FROM trades) GROUP BY symbol, side, threshold) s
+  JOIN (SELECT symbol, side, threshold, CASE WHEN threshold < 0 THEN quantile_cont(m, 0.05) ELSE quantile_cont(m, {1 - 0.95 ** (1 / 7)!r}) END AS lb FROM resampled GROUP BY symbol, side, threshold) q
+    ON q.symbol = s.symbol AND q.side = s.side AND q.threshold = s.threshold"""
+#: 2,000 resamples of each group; the mean over what a resample counts, and how often.
+PARTS["resampled"] = f"""
+  SELECT symbol, side, threshold, b, sum(w * net) / nullif(sum(w), 0) AS m FROM (
+    SELECT symbol, side, threshold, b, net, {" + ".join(f"(d >= {c})::INTEGER" for c in resample.poisson_steps())} AS w FROM (
+      SELECT *, ((x * x + b) % {resample.PRIME}) % {resample.DRAWS} AS d FROM (
+        SELECT *, (y * y + i) % {resample.PRIME} AS x FROM (
+          SELECT symbol, side, threshold, CAST(i AS BIGINT) AS i, ret - {_COST} AS net, b, (i::BIGINT * {resample.ROW} + b * {resample.RESAMPLE} + {resample.OFFSET}) % {resample.PRIME} AS y
+          FROM trades, range(2000) t(b))))) GROUP BY ALL"""
 PARTS["picks"] = """
   SELECT symbol, side, coalesce(ok.excess, best.excess) AS excess_expectancy, coalesce(ok.threshold, best.threshold, 50) AS threshold, CASE WHEN ok IS NOT NULL THEN 'ok' WHEN best IS NOT NULL THEN 'no_edge' ELSE 'insufficient_data' END AS confidence,
-         coalesce(ok.n, best.n) AS n, coalesce(ok.expectancy, best.expectancy) AS expectancy, coalesce(ok.lb, best.lb) AS expectancy_lb
+         coalesce(ok.n, best.n, 0) AS n, coalesce(ok.expectancy, best.expectancy) AS expectancy, coalesce(ok.lb, best.lb) AS expectancy_lb
   FROM (SELECT symbol, side, arg_min(s, threshold) FILTER (n >= 30 AND expectancy_lb > 0) AS ok, arg_max(s, expectancy_lb) FILTER (n >= 30 AND expectancy_lb IS NOT NULL) AS best
     FROM (SELECT s.*, {'threshold': s.threshold, 'n': s.n, 'expectancy': s.expectancy, 'lb': s.expectancy_lb, 'excess': s.expectancy - b.expectancy} AS s
       FROM sweep s LEFT JOIN (SELECT * FROM sweep WHERE threshold = -1) b ON s.symbol = b.symbol AND s.side = b.side WHERE s.threshold >= 0) GROUP BY symbol, side)"""
@@ -334,9 +346,11 @@ FINAL: dict[str, str] = {
         round(s.avg_bars_held, 6) AS avg_bars_held, round(s.avg_r, 6) AS avg_r, round(s.expectancy_lb, 6) AS expectancy_lb, round(s.expectancy - b.expectancy, 6) AS excess_expectancy,
         round(abs(s.avg_win / nullif(s.avg_loss, 0)), 6) AS payoff, round(s.gain / nullif(s.loss, 0), 6) AS profit_factor
         FROM sweep s LEFT JOIN (SELECT * FROM sweep WHERE threshold = -1) b ON s.symbol = b.symbol AND s.side = b.side WHERE s.threshold >= 0""",
-    "base_rate": f"""SELECT symbol, side, n, wins, round(win_rate, 5) AS win_rate, round({_wilson(1.6449, 'win_rate', 'n')}, 5) AS win_rate_lb, round(expectancy, 5) AS expectancy, round(avg_win, 5) AS avg_win, round(avg_loss, 5) AS avg_loss,
+    "base_rate": f"""SELECT symbol, side, n, wins, round(win_rate, 5) AS win_rate, round({_wilson(1.6449, 'win_rate', 'n')}, 5) AS win_rate_lb, round(expectancy, 5) AS expectancy, round(expectancy_lb, 5) AS expectancy_lb, round(avg_win, 5) AS avg_win, round(avg_loss, 5) AS avg_loss,
         round(abs(avg_win / nullif(avg_loss, 0)), 5) AS payoff, round(gain / nullif(loss, 0), 5) AS profit_factor
         FROM sweep WHERE threshold = -1""",
+    "bootstrap_bounds": """SELECT symbol, side, threshold, n, round(lb, 6) AS mean_lb FROM (SELECT symbol, side, threshold, count(*) AS n FROM trades WHERE threshold IN (-1, 30, 40) GROUP BY ALL)
+        JOIN (SELECT symbol, side, threshold, CASE WHEN count(*) > 0 THEN quantile_cont(m, 0.05) END AS lb FROM resampled GROUP BY ALL) USING (symbol, side, threshold)""",
     "recommend": "SELECT symbol, side, threshold, confidence, n, round(expectancy, 6) AS expectancy, round(expectancy_lb, 6) AS expectancy_lb, round(excess_expectancy, 6) AS excess_expectancy FROM picks",
     "selected_trades": f"""SELECT t.symbol, t.side, t.i, t.threshold, t.score, least(t.i + t.entry_off + 1, l.n) AS entry_i, least(t.i + t.bars, l.n) AS exit_i, round(t.ret - {_COST}, 6) AS ret, t.bars, t.outcome
         FROM trades t JOIN picks p ON p.symbol = t.symbol AND p.side = t.side AND p.threshold = t.threshold JOIN (SELECT symbol, max(i) AS n FROM wf GROUP BY symbol) l ON l.symbol = t.symbol WHERE t.side = 'bull'""",
