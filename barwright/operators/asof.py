@@ -1,20 +1,28 @@
 """What was known at each bar: active objects, score components, scores.
 
-Objects meet the bars they were active on by a range join, which is turned
-into an equality on (symbol, block of bars) so that it neither becomes a
-nested loop nor pairs bars with objects of other times.
+An object is active from the bar it becomes known at to the bar before its
+state flips.  Scores and plans ask only whether an active object meets a
+price range and which edges are nearest to a price.  A sweep answers that: it
+goes along a symbol's bars, keeps the edges of the active objects in order of
+price, and looks each bar's prices up in them, so the cost follows bars and
+objects and no pairs of them are made.  ``active_on`` lists the pairs, for
+those who want them, by equality on (symbol, block of bars).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import by_symbol
 
 BLOCK = 128
+#: Bars of a symbol that one task sweeps.
+SEGMENT = 1 << 16
 
 
 def active_on(bars: DataFrame, objects: DataFrame, known: str, flip: str) -> DataFrame:
@@ -27,6 +35,94 @@ def active_on(bars: DataFrame, objects: DataFrame, known: str, flip: str) -> Dat
     return b.join(o, ["symbol", "_b"]).where((F.col(known) <= F.col("i")) & (F.col(flip).isNull() | (F.col(flip) > F.col("i")))).drop("_b")
 
 
+def active_counts(bars: DataFrame, objects: DataFrame, known: str, flip: str, sides: tuple[str, str] = ("bullish", "bearish")) -> DataFrame:
+    """symbol, i, n_bull, n_bear: how many objects of each side are active, as a running sum of those that begin and end."""
+    begin = objects.select("symbol", F.col(known).alias("i"), "side", F.lit(1).alias("_d"))
+    moves = begin.unionByName(objects.where(F.col(flip).isNotNull()).select("symbol", F.col(flip).alias("i"), "side", F.lit(-1).alias("_d")))
+    moves = moves.groupBy("symbol", "i").agg(*(F.sum(F.when(F.col("side") == s, F.col("_d"))).alias(n) for s, n in zip(sides, ("n_bull", "n_bear"), strict=True)))
+    so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    df = bars.select("symbol", "i").join(moves, ["symbol", "i"], "left")
+    return df.select("symbol", "i", *(F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(n) for n in ("n_bull", "n_bear")))
+
+
+def _dealt(bars: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """bars (symbol, i, ...) and objects (symbol, side, low, high, known, flip) by stretches of bars; an object is in all stretches it is active in."""
+    last = bars.groupBy("symbol").agg(F.max("i").alias("_max"))
+    end = F.least(F.coalesce(F.col("flip") - 1, F.col("_max")), F.col("_max"))
+    o = objects.select("symbol", "side", "low", "high", "known", "flip").join(last, "symbol").where(end >= F.col("known"))
+    o = o.withColumn("_seg", F.explode(F.sequence(F.floor(F.col("known") / SEGMENT), F.floor(end / SEGMENT)))).drop("_max")
+    return bars.withColumn("_seg", F.floor(F.col("i") / SEGMENT)), o.withColumnsRenamed({"symbol": "_symbol", "_seg": "_oseg"})
+
+
+class _Levels:
+    """Edges of one side's active objects, in order."""
+
+    def __init__(self):
+        self.low: list[float] = []
+        self.high: list[float] = []
+
+    def change(self, low: float, high: float, add: bool) -> None:
+        for row, x in ((self.low, low), (self.high, high)):
+            if add:
+                insort(row, x)
+            else:
+                del row[bisect_left(row, x)]
+
+    def meets(self, low: float, high: float) -> bool:
+        """Whether any has its low edge at or under ``high`` and its high edge at or over ``low``: those that begin in time less those that are over."""
+        return bisect_right(self.low, high) > bisect_left(self.high, low)
+
+
+def _sweep(b: pd.DataFrame, o: pd.DataFrame, sides: tuple[str, str], ask) -> list[tuple]:
+    """ask(levels of both sides, bar) at each bar in order."""
+    levels = {s: _Levels() for s in sides}
+    moves: list[tuple] = []
+    for side, low, high, known, flip in zip(o["side"], o["low"], o["high"], o["known"], o["flip"], strict=True):
+        if side in levels:
+            moves.append((known, 1, side, low, high))
+            if flip == flip and flip is not None:
+                moves.append((flip, 0, side, low, high))
+    moves.sort(reverse=True)
+    out = []
+    for bar in b.sort_values("i").itertuples(index=False):
+        while moves and moves[-1][0] <= bar.i:
+            _, add, side, low, high = moves.pop()
+            levels[side].change(low, high, bool(add))
+        out.append((bar.symbol, bar.i, *ask(*levels.values(), bar)))
+    return out
+
+
+def meeting(bars: DataFrame, objects: DataFrame, sides: tuple[str, str] = ("bullish", "bearish")) -> DataFrame:
+    """symbol, i, first, second: whether an active object of each side meets the bar's range.
+
+    bars: symbol, i, rmin, rmax; objects: symbol, side, low, high, known, flip.
+    """
+
+    def run(b: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        rows = _sweep(b, o, sides, lambda p, q, bar: (int(p.meets(bar.rmin, bar.rmax)), int(q.meets(bar.rmin, bar.rmax))))
+        return pd.DataFrame(rows, columns=["symbol", "i", "first", "second"])
+
+    b, o = _dealt(bars.select("symbol", "i", "rmin", "rmax"), objects)
+    return b.groupBy("symbol", "_seg").cogroup(o.groupBy("_symbol", "_oseg")).applyInPandas(run, "symbol string, i int, first int, second int")
+
+
+def nearest(bars: DataFrame, objects: DataFrame, sides: tuple[str, str] = ("bullish", "bearish")) -> DataFrame:
+    """symbol, i, under, over: the highest low edge under x of the first side's active objects, and the lowest high edge over x of the second's.
+
+    bars: symbol, i, x; objects: symbol, side, low, high, known, flip.
+    """
+
+    def look(p: _Levels, q: _Levels, bar) -> tuple[float | None, float | None]:
+        k, m = bisect_left(p.low, bar.x), bisect_right(q.high, bar.x)
+        return p.low[k - 1] if k else None, q.high[m] if m < len(q.high) else None
+
+    def run(b: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_sweep(b, o, sides, look), columns=["symbol", "i", "under", "over"])
+
+    b, o = _dealt(bars.select("symbol", "i", "x"), objects)
+    return b.groupBy("symbol", "_seg").cogroup(o.groupBy("_symbol", "_oseg")).applyInPandas(run, "symbol string, i int, under double, over double")
+
+
 def recent_range(bars: DataFrame, n: int = 3) -> DataFrame:
     """Adds rmin, rmax and first bar of the last n bars."""
     w = by_symbol().rowsBetween(-(n - 1), 0)
@@ -35,9 +131,8 @@ def recent_range(bars: DataFrame, n: int = 3) -> DataFrame:
 
 def _touched(bars: DataFrame, objects: DataFrame, known: str, flip: str, prefix: str) -> DataFrame:
     """Whether any active object of a side overlaps the recent range."""
-    near = (F.col("rmin") <= F.col("top")) & (F.col("rmax") >= F.col("bottom"))
-    hit = active_on(bars.select("symbol", "i", "rmin", "rmax"), objects.select("symbol", "side", "top", "bottom", known, flip), known, flip).where(near)
-    return hit.groupBy("symbol", "i").agg(*(F.max((F.col("side") == s).cast("int")).alias(f"{p}_{prefix}") for p, s in (("bull", "bullish"), ("bear", "bearish"))))
+    o = objects.select("symbol", "side", F.col("bottom").alias("low"), F.col("top").alias("high"), F.col(known).alias("known"), F.col(flip).alias("flip"))
+    return meeting(bars, o).select("symbol", "i", F.col("first").alias(f"bull_{prefix}"), F.col("second").alias(f"bear_{prefix}"))
 
 
 def _last_event(bars: DataFrame, events: DataFrame) -> DataFrame:

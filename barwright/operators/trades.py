@@ -1,20 +1,21 @@
 """Entry plans, stops and targets, and what became of each signal.
 
-The window forms pair each signal with its future bars by equality on
-(symbol, bar number); ``outcomes`` does the same work a symbol at a time
-with numpy, which is an order of magnitude quicker for long holdings.
+Exits are searched a stretch of a symbol's bars at a time, in trees of highs,
+lows and falls, so a signal costs the logarithm of the bars it may be held
+for, and no pairs of signals and bars are made.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import Config
-from .asof import active_on
+from .asof import nearest
 from .bars import by_symbol
+from .extremes import Extremes
 
 
 def entry_plan(ind: DataFrame, offset_atr: float = 0.5) -> DataFrame:
@@ -44,15 +45,11 @@ def entry_fill(ind: DataFrame, cfg: Config) -> DataFrame:
 
 def plans(filled: DataFrame, obs: DataFrame, pools: DataFrame, cfg: Config) -> DataFrame:
     """Stop and target of both sides at each bar, from the objects active then.  Null stop: no plan."""
-    e = filled.select("symbol", "i", "entry_px")
-    o = active_on(e, obs.select("symbol", "side", "top", "bottom", "event_i", "mitigated_i"), "event_i", "mitigated_i").groupBy("symbol", "i").agg(
-        F.max(F.when((F.col("side") == "bullish") & (F.col("bottom") < F.col("entry_px")), F.col("bottom"))).alias("_under"),
-        F.min(F.when((F.col("side") == "bearish") & (F.col("top") > F.col("entry_px")), F.col("top"))).alias("_over"),
-    )
-    p = active_on(e, pools.select("symbol", "kind", "price", "conf_i", "swept_i"), "conf_i", "swept_i").groupBy("symbol", "i").agg(
-        F.min(F.when((F.col("kind") == "EQH") & (F.col("price") > F.col("entry_px")), F.col("price"))).alias("_up"),
-        F.max(F.when((F.col("kind") == "EQL") & (F.col("price") < F.col("entry_px")), F.col("price"))).alias("_down"),
-    )
+    e = filled.select("symbol", "i", F.col("entry_px").alias("x"))
+    o = obs.select("symbol", "side", F.col("bottom").alias("low"), F.col("top").alias("high"), F.col("event_i").alias("known"), F.col("mitigated_i").alias("flip"))
+    o = nearest(e, o, ("bullish", "bearish")).select("symbol", "i", F.col("under").alias("_under"), F.col("over").alias("_over"))
+    p = pools.select("symbol", F.col("kind").alias("side"), F.col("price").alias("low"), F.col("price").alias("high"), F.col("conf_i").alias("known"), F.col("swept_i").alias("flip"))
+    p = nearest(e, p, ("EQL", "EQH")).select("symbol", "i", F.col("under").alias("_down"), F.col("over").alias("_up"))
     df = filled.join(o, ["symbol", "i"], "left").join(p, ["symbol", "i"], "left")
     entry, atr = F.col("entry_px"), F.col("atr")
     able = (atr > 0) & (entry > 0)
@@ -71,88 +68,81 @@ def plans(filled: DataFrame, obs: DataFrame, pools: DataFrame, cfg: Config) -> D
     return df.drop("_under", "_over", "_up", "_down")
 
 
-def _paths(planned: DataFrame, side: str, holding: int) -> DataFrame:
-    """Signals of one side with their future bars, j = 1 the first after the fill."""
-    s = planned.where(F.col(f"{side}_stop").isNotNull()).select(
-        "symbol", F.col("i").alias("s_i"), "entry_px", "entry_off", "atr", F.col(f"{side}_stop").alias("stop"), F.col(f"{side}_target").alias("target"),
-        F.explode(F.sequence(F.lit(1), F.lit(holding))).alias("j"),
-    ).withColumn("i", F.col("s_i") + F.col("entry_off") + 1 + F.col("j"))
-    return s.join(planned.select("symbol", "i", "high", "low", "close"), ["symbol", "i"])
+#: Bars of a symbol that one task takes; the next bars that its last signals look at come along.
+SEGMENT = 1 << 16
 
 
-def _resolve(path: DataFrame, sign: int, stopped: Column, at: Column, won: Column | None) -> DataFrame:
-    end = F.max(F.struct("j", "close")).alias("_end")
-    aggs = [end, F.min(F.when(stopped, F.struct("j", at.alias("px")))).alias("_stop")]
-    aggs.append((F.min(F.when(won, F.col("j"))) if won is not None else F.lit(None).cast("int")).alias("_won"))
-    r = path.groupBy("symbol", F.col("s_i").alias("i"), "entry_px", "stop", "target").agg(*aggs)
-    hit_stop = F.col("_stop").isNotNull() & (F.col("_won").isNull() | (F.col("_stop.j") <= F.col("_won")))
-    hit_target = ~hit_stop & F.col("_won").isNotNull()
-    px = F.when(hit_stop, F.col("_stop.px")).when(hit_target, F.col("target")).otherwise(F.col("_end.close"))
-    risk = (F.col("entry_px") - F.col("stop")) * sign
-    return r.select(
-        "symbol", "i", "entry_px", F.when(hit_stop, "stop").when(hit_target, "target").otherwise("timeout").alias("outcome"),
-        px.alias("exit_px"), F.when(hit_stop, F.col("_stop.j")).when(hit_target, F.col("_won")).otherwise(F.col("_end.j")).alias("bars_held"),
-        ((px - F.col("entry_px")) * sign / F.col("entry_px")).alias("ret"), ((px - F.col("entry_px")) * sign / risk).alias("r"),
-    )
+def _exits(b: dict[str, np.ndarray], at: np.ndarray, sign: int, stop: np.ndarray, target: np.ndarray | None, mult: float, holding: int, breakeven_r: float | None = None):
+    """Outcome code (0 timeout, 1 stop, 2 target), exit price and bars of each signal; ``at`` is the first future bar.
+
+    Without targets the stop trails.  Shorts are longs in negative prices.
+    """
+    n, entry, stop = len(b["close"]), sign * b["entry_px"], sign * stop
+    x = Extremes(*((b["high"], b["low"]) if sign > 0 else (-b["low"], -b["high"])), holding)
+    at, end = np.minimum(at, n), np.minimum(at + holding, n)
+    if target is not None:
+        stopped, won = x.first_low(at, end, stop), x.first_high(at, end, sign * target)
+        line = stop
+    else:
+        won, gap = end, mult * b["atr"]
+        there = np.flatnonzero(at < end)
+        best = entry.copy()
+        best[there] = np.maximum(entry[there], x.high[0][at[there]])
+        at_once = np.zeros(len(at), bool)
+        at_once[there] = x.low[0][at[there]] <= stop[there]  # the first bar meets the plan's stop
+        follow = np.where(at_once, end, np.minimum(at + 1, end))
+        found, peak = x.first_under_trail(follow, end, stop, best, gap)
+        stopped = np.where(at_once, at, found)
+        line = np.where(at_once, stop, np.maximum(stop, peak - gap))
+        if breakeven_r is not None:
+            armed = x.first_high(at, end, entry + breakeven_r * (entry - stop))
+            back = x.first_low(np.minimum(armed + 1, end), end, entry)
+            line = np.where((back <= stopped) & (back < end), np.where(back < stopped, entry, np.maximum(line, entry)), line)
+            stopped = np.minimum(stopped, back)
+    code = np.where((stopped < end) & (stopped <= won), 1, np.where(won < end, 2, 0))
+    last = sign * np.where(end > at, b["close"][np.maximum(end - 1, 0)], b["entry_px"])
+    px = np.where(code == 1, line, np.where(code == 2, sign * target if target is not None else last, last))
+    held = np.where(code == 1, stopped + 1, np.where(code == 2, won + 1, end)) - at
+    return code, sign * px, held
+
+
+def _by_segment(planned: DataFrame, ahead: int) -> DataFrame:
+    """planned with the stretch of bars each row belongs to; rows that the stretch before looks at are there too, not as its own."""
+    seg, place = F.floor(F.col("i") / SEGMENT), F.pmod(F.col("i"), F.lit(SEGMENT))
+    to = F.when((seg > 0) & (place < ahead), F.array(seg, seg - 1)).otherwise(F.array(seg))
+    return planned.withColumn("_seg", F.explode(to)).withColumn("_own", F.col("_seg") == seg)
+
+
+def _one_side(planned: DataFrame, side: str, holding: int, trailing: bool, mult: float = 5.0, breakeven_r: float | None = None) -> DataFrame:
+    cols = ["symbol", "i", "high", "low", "close", "atr", "entry_px", "entry_off", f"{side}_stop", f"{side}_target"]
+    sign = 1 if side == "long" else -1
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("i", ignore_index=True)
+        a = {c: b[c].to_numpy(float) for c in ("high", "low", "close", "entry_px", "atr")}
+        at, stop = np.arange(len(b)) + b["entry_off"].to_numpy(np.int64) + 2, b[f"{side}_stop"].to_numpy(float)
+        s = np.flatnonzero(b["_own"].to_numpy(bool) & ~np.isnan(stop) & (at < len(b)))
+        own = a | {c: a[c][s] for c in ("entry_px", "atr")}
+        target = None if trailing else b[f"{side}_target"].to_numpy(float)[s]
+        code, px, held = _exits(own, at[s], sign, stop[s], target, mult, holding, breakeven_r)
+        entry = own["entry_px"]
+        return pd.DataFrame({
+            "symbol": b["symbol"].to_numpy()[s], "i": b["i"].to_numpy()[s], "entry_px": entry, "outcome": np.array(["timeout", "stop", "target"], object)[code],
+            "exit_px": px, "bars_held": held, "ret": (px - entry) * sign / entry, "r": (px - entry) * sign / ((entry - stop[s]) * sign),
+        })
+
+    rows = _by_segment(planned.select(*cols), holding + 8)
+    return rows.groupBy("symbol", "_seg").applyInPandas(run, "symbol string, i int, entry_px double, outcome string, exit_px double, bars_held int, ret double, r double")
 
 
 def exit_fixed(planned: DataFrame, side: str = "long", holding: int = 20) -> DataFrame:
     """Stop or target, the stop first where one bar reaches both, else the last close."""
-    sign = 1 if side == "long" else -1
-    stopped = F.col("low") <= F.col("stop") if sign > 0 else F.col("high") >= F.col("stop")
-    won = F.col("high") >= F.col("target") if sign > 0 else F.col("low") <= F.col("target")
-    return _resolve(_paths(planned, side, holding), sign, stopped, F.col("stop"), won)
+    return _one_side(planned, side, holding, trailing=False)
 
 
 def exit_trailing(planned: DataFrame, side: str = "long", mult: float = 5.0, holding: int = 250, breakeven_r: float | None = None) -> DataFrame:
     """The stop follows the best price at a distance of ``mult`` average ranges, from the second bar on, and never turns back."""
-    sign = 1 if side == "long" else -1
-    w = Window.partitionBy("symbol", "s_i").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    if sign > 0:
-        best = F.greatest(F.col("entry_px"), F.max("high").over(w))
-        trail = F.greatest(F.col("stop"), best - mult * F.col("atr"))
-    else:
-        best = F.least(F.col("entry_px"), F.min("low").over(w))
-        trail = F.least(F.col("stop"), best + mult * F.col("atr"))
-    if breakeven_r is not None:
-        armed = (best - F.col("entry_px")) * sign >= breakeven_r * (F.col("entry_px") - F.col("stop")) * sign
-        trail = F.when(armed, (F.greatest if sign > 0 else F.least)(trail, F.col("entry_px"))).otherwise(trail)
-    path = _paths(planned, side, holding).withColumn("_t", F.when(F.col("j") == 1, F.col("stop")).otherwise(trail))
-    stopped = F.col("low") <= F.col("_t") if sign > 0 else F.col("high") >= F.col("_t")
-    return _resolve(path, sign, stopped, F.col("_t"), None)
-
-
-# --- the same by symbol, with numpy ------------------------------------------
-
-
-def _scan(b: dict[str, np.ndarray], at: np.ndarray, sign: int, stop: np.ndarray, target: np.ndarray | None, mult: float, holding: int, chunk: int = 2048):
-    """Outcome code (0 timeout, 1 stop, 2 target), exit price and bars of each signal; ``at`` is the first future bar."""
-    n = len(b["close"])
-    code, px, held = np.zeros(len(at), np.int64), b["entry_px"].copy(), np.zeros(len(at), np.int64)
-    high, low = (b["high"], b["low"]) if sign > 0 else (-b["low"], -b["high"])
-    for k in range(0, len(at), chunk):
-        s = slice(k, k + chunk)
-        j = at[s, None] + np.arange(holding)
-        inside = j < n
-        j = np.minimum(j, n - 1)
-        h, lo = np.where(inside, high[j], -np.inf), np.where(inside, low[j], np.inf)
-        first, e = (sign * stop[s])[:, None], (sign * b["entry_px"][s])[:, None]
-        line = np.broadcast_to(first, h.shape)
-        if target is None:
-            best = np.maximum(np.maximum.accumulate(np.hstack([e, h[:, :-1]]), axis=1), e)
-            line = np.maximum(first, best - (mult * b["atr"][s])[:, None])
-            line[:, 0] = first[:, 0]
-        hit = inside & (lo <= line)
-        won = inside & (h >= (sign * target[s])[:, None]) if target is not None else np.zeros_like(hit)
-        fs, fw = (np.where(x.any(axis=1), x.argmax(axis=1), holding) for x in (hit, won))
-        last = inside.sum(axis=1)
-        c = np.where((fs < holding) & (fs <= fw), 1, np.where(fw < holding, 2, 0))
-        rows = np.arange(len(c))
-        end = np.where(last > 0, b["close"][np.minimum(at[s] + last - 1, n - 1)], b["entry_px"][s])
-        code[s] = c
-        px[s] = np.where(c == 1, sign * line[rows, np.minimum(fs, holding - 1)], np.where(c == 2, target[s] if target is not None else 0.0, end))
-        held[s] = np.where(c == 1, fs + 1, np.where(c == 2, fw + 1, last))
-    return code, px, held
+    return _one_side(planned, side, holding, True, mult, breakeven_r)
 
 
 PLAN_COLUMNS = ("symbol", "i", "ts", "high", "low", "close", "atr", "entry_px", "entry_off", "long_stop", "long_target", "short_stop", "short_target")
@@ -175,11 +165,11 @@ def outcomes(planned: DataFrame, cfg: Config) -> DataFrame:
         a = {c: b[c].to_numpy(float) for c in ("high", "low", "close", "entry_px", "atr")}
         off = b["entry_off"].to_numpy(np.int64)
         at = np.arange(len(b)) + off + 2
-        out = b[names].copy()
+        out = b[[*names, "_own"]].copy()
         for side, sign in (("long", 1), ("short", -1)):
             stop, target = b[f"{side}_stop"].to_numpy(float), b[f"{side}_target"].to_numpy(float)
             ok = ~np.isnan(stop)
-            code, px, held = _scan(a, at, sign, np.where(ok, stop, a["entry_px"]), None if trailing else np.where(ok, target, a["entry_px"]), cfg.trail_atr_mult, holding)
+            code, px, held = _exits(a, at, sign, np.where(ok, stop, a["entry_px"]), None if trailing else np.where(ok, target, a["entry_px"]), cfg.trail_atr_mult, holding)
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain, risk = (px - a["entry_px"]) * sign, (a["entry_px"] - stop) * sign
                 out[f"{side}_ret"] = np.where(ok, gain / a["entry_px"], 0.0)
@@ -188,10 +178,11 @@ def outcomes(planned: DataFrame, cfg: Config) -> DataFrame:
                 out[f"{side}_outcome"] = np.where(ok, np.array(["timeout", "stop", "target"], object)[code], "none")
                 out[f"{side}_rr"] = np.where(ok, (target - a["entry_px"]) * sign / risk, 0.0)
                 out[f"{side}_exit_px"] = np.where(ok, px, a["entry_px"])
-        return out
+        return out[out["_own"]].drop(columns="_own")
 
     types = [f"{f.name} {f.dataType.simpleString()}" for f in keep] + new
-    return planned.groupBy("symbol").applyInPandas(run, ", ".join(types))
+    rows = _by_segment(planned, holding + cfg.entry_valid_bars + 8)
+    return rows.groupBy("symbol", "_seg").applyInPandas(run, ", ".join(types))
 
 
 def first_stop(limit: Column, stop: Column, atr: Column, mult: float) -> Column:

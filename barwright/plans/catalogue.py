@@ -187,15 +187,13 @@ def zone_asof(spark, d):
 @query
 def active_obs_asof(spark, d):
     m = market(spark, d)
-    on = asof.active_on(m.bars.select("symbol", "i"), m.order_blocks, "event_i", "mitigated_i")
-    return on.groupBy("symbol", "i").agg(F.count_if(F.col("side") == "bullish").alias("n_bull"), F.count_if(F.col("side") == "bearish").alias("n_bear"))
+    return asof.active_counts(m.bars, m.order_blocks, "event_i", "mitigated_i").where("n_bull + n_bear > 0")
 
 
 @query
 def active_gaps_asof(spark, d):
     m = market(spark, d)
-    on = asof.active_on(m.bars.select("symbol", "i"), m.gaps, "end_i", "filled_i")
-    return on.groupBy("symbol", "i").agg(F.count_if(F.col("side") == "bullish").alias("n_bull"), F.count_if(F.col("side") == "bearish").alias("n_bear"))
+    return asof.active_counts(m.bars, m.gaps, "end_i", "filled_i").where("n_bull + n_bear > 0")
 
 
 # --- scores ---------------------------------------------------------------------
