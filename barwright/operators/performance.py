@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,16 +74,68 @@ def equal_weight(bars: DataFrame) -> DataFrame:
     return df.withColumn("_x", x).groupBy("bar", "ts").agg(F.avg("_x").alias("curve"))
 
 
-def correlations(bars: DataFrame, lookback: int = 252, least: int = 30) -> DataFrame:
-    """a, b, rho over the days that all symbols share, of each symbol's last ``lookback`` returns."""
+def standardised(bars: DataFrame, lookback: int = 252, least: int = 30) -> DataFrame:
+    """symbol, ts, z over the days that all symbols share, of each symbol's last ``lookback`` returns: less their mean, squares summing to 1.
+
+    Symbols with fewer than ``least`` returns are left out; z is null where
+    returns don't vary.
+    """
     r = returns(bars)
     w = Window.partitionBy("symbol")
     r = r.withColumns({"_n": F.count("*").over(w), "_k": F.row_number().over(w.orderBy(F.desc("i")))}).where((F.col("_n") >= least) & (F.col("_k") <= lookback))
     symbols = r.agg(F.count_distinct("symbol").alias("_all"))  # one row
     shared = r.groupBy("ts").agg(F.count("*").alias("_m")).join(F.broadcast(symbols), F.col("_m") == F.col("_all")).select("ts")
-    r = r.join(shared, "ts").select("symbol", "ts", "ret")
-    a, b = r.select(F.col("symbol").alias("a"), "ts", F.col("ret").alias("x")), r.select(F.col("symbol").alias("b"), "ts", F.col("ret").alias("y"))
-    return a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("rho"))
+    d = F.col("ret") - F.avg("ret").over(w)
+    r = r.join(shared, "ts").select("symbol", "ts", d.alias("_d")).withColumn("_s", F.sum(F.col("_d") * F.col("_d")).over(w))
+    return r.select("symbol", "ts", F.when(F.col("_s") > 0, F.col("_d") / F.sqrt("_s")).alias("z"))
+
+
+#: Symbols whose returns meet those of as many others in one task.
+BLOCK = 256
+
+
+def correlations(z: DataFrame, at_least: float | None = None) -> DataFrame:
+    """a, b, rho of all pairs of symbols of ``standardised``, or of those that correlate by ``at_least``; null where returns don't vary.
+
+    Symbols are dealt into blocks, and a pair of blocks is one product of two
+    small matrices, so a symbol's returns are sent once for each block and no
+    rows of days are paired.
+    """
+    spark = z.sparkSession
+    rows = written(z.groupBy("symbol").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", F.coalesce("z", F.lit(float("nan"))).alias("z")))), lambda x: x["z"]).alias("z")), "returns")
+    blocks = max(-(-rows.count() // BLOCK), 1)
+    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = rows.select("symbol", "z", own.alias("own"), other.alias("other")).select("symbol", "z", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def product(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("symbol", ignore_index=True)
+        x, y = int(b["x"].iloc[0]), int(b["y"].iloc[0])
+        first, second = b[b["own"] == x], b[b["own"] == y]
+        if not len(first) or not len(second):
+            return pd.DataFrame({"a": np.array([], object), "b": np.array([], object), "rho": np.zeros(0)})
+        rho = np.stack(first["z"]) @ np.stack(second["z"]).T
+        wanted = np.triu(np.ones(rho.shape, bool), 1) if x == y else np.ones(rho.shape, bool)
+        if at_least is not None:
+            wanted &= rho >= at_least
+        i, j = np.nonzero(wanted)
+        p, q = first["symbol"].to_numpy()[i], second["symbol"].to_numpy()[j]
+        return pd.DataFrame({"a": np.where(p < q, p, q), "b": np.where(p < q, q, p), "rho": rho[i, j]}).astype({"a": object, "b": object})
+
+    return dealt.groupBy("x", "y").applyInPandas(product, "a string, b string, rho double")
+
+
+def effective_number_by_sums(measured: DataFrame, z: DataFrame) -> DataFrame:
+    """effective_number without pairs: the sum of the whole correlation matrix is the sum over days of the squared sum of z."""
+    own = measured.select("symbol").distinct()
+    n = own.agg(F.count("*").alias("n_symbols"))
+    z = z.where("z IS NOT NULL").join(own, "symbol", "left_semi")
+    days = z.groupBy("ts").agg(F.sum("z").alias("_z"), F.count("*").alias("_m"))
+    total = days.agg(F.coalesce(F.sum(F.col("_z") * F.col("_z")), F.lit(0.0)).alias("_q"), F.coalesce(F.max("_m"), F.lit(0)).alias("_m"))
+    out = n.join(F.broadcast(total)).withColumns({
+        "_s": (F.col("_q") - F.col("_m")) / 2, "mean_rho": F.when(F.col("_m") >= 2, (F.col("_q") - F.col("_m")) / (F.col("_m") * (F.col("_m") - 1))),
+    })
+    return _effective(out)
 
 
 def _among(pairs: DataFrame, symbols: DataFrame | None) -> DataFrame:
@@ -100,9 +153,14 @@ def effective_number(measured: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     n = measured.select("symbol").distinct().agg(F.count("*").alias("n_symbols"))
     total = _among(pairs, measured).agg(F.coalesce(F.sum("rho"), F.lit(0.0)).alias("_s"), F.avg("rho").alias("mean_rho"))
+    return _effective(n.join(F.broadcast(total)))  # a row on either side
+
+
+def _effective(df: DataFrame) -> DataFrame:
+    """From n_symbols, mean_rho and _s, the sum over pairs."""
     whole = F.col("n_symbols") + 2 * F.col("_s")
     eff = F.when(F.col("n_symbols") < 2, F.col("n_symbols").cast("double")).when(whole > 0, F.col("n_symbols") * F.col("n_symbols") / whole)
-    out = n.join(F.broadcast(total)).select("n_symbols", "mean_rho", eff.alias("n_eff"))  # a row on either side
+    out = df.select("n_symbols", "mean_rho", eff.alias("n_eff"))
     return out.withColumn("ratio", F.when(F.col("n_symbols") >= 2, F.col("n_symbols") / F.col("n_eff")))
 
 
@@ -113,18 +171,19 @@ def concentration_band(ratio: Column) -> Column:
 def signal_concentration(signals: DataFrame, measured: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row on today's signals (column symbol): how many, how many with a correlation, and how many independent ones they amount to.
 
-    measured: the symbols that ``pairs`` was computed over.  The band is null
-    for fewer than two measured signals.
+    measured: the symbols that ``pairs`` was computed over.  ``pairs`` has
+    a, b and rho, or is a table of ``standardised``.  The band is null for
+    fewer than two measured signals.
     """
     own = signals.select("symbol").distinct()
     seen = own.join(measured.select("symbol").distinct(), "symbol", "left_semi")
-    out = effective_number(seen, pairs).withColumnRenamed("n_symbols", "n_measured")
+    out = (effective_number_by_sums if "z" in pairs.columns else effective_number)(seen, pairs).withColumnRenamed("n_symbols", "n_measured")
     out = out.join(F.broadcast(own.agg(F.count("*").alias("n_signals"))))
     return out.withColumn("band", F.when((F.col("n_measured") >= 2) & F.col("n_eff").isNotNull(), concentration_band(F.col("ratio"))))
 
 
 def high_pairs(pairs: DataFrame, threshold: float = 0.6, symbols: DataFrame | None = None) -> DataFrame:
-    """Pairs that correlate by ``threshold`` or more: two ways to hold much the same."""
+    """Of a table of pairs, those that correlate by ``threshold`` or more: two ways to hold much the same."""
     return _among(pairs, symbols).where(F.col("rho") >= threshold)
 
 

@@ -54,10 +54,19 @@ class Market:
     def zones(self) -> DataFrame:
         return self._once("zones", lambda: structure.zones(self.bars, self.swings))
 
+    @property
+    def ml(self) -> DataFrame | None:
+        """What a model retrained along the way says at each evaluated bar, if the parameters ask for one."""
+        from ..plans import models
+
+        cfg = self.cfg
+        make = lambda: written(models.replayed_probability(self.ind, cfg.horizon, max(cfg.warmup, 30), cfg.ml_retrain_every, least_rows=cfg.ml_min_train_rows), "ml")
+        return self._once("ml", make) if cfg.ml_enabled else None
+
     @property
     def scores(self) -> DataFrame:
         def make():
-            c = asof.components(self.ind, self.zones, self.order_blocks, self.gaps, self.events, self.pools, self.cfg.recent_bars, self.cfg.adx_threshold)
+            c = asof.components(self.ind, self.zones, self.order_blocks, self.gaps, self.events, self.pools, self.cfg.recent_bars, self.cfg.adx_threshold, self.ml)
             return asof.scores(c, self.cfg.weights)
 
         return self._once("scores", make)
@@ -170,6 +179,26 @@ def threshold_sweep(taken: DataFrame, costs: DataFrame, cfg: Config) -> DataFram
     return stats.where("threshold >= 0").join(base, ["symbol", "side"], "left").withColumn("excess_expectancy", F.col("expectancy") - F.col("_base")).drop("_base")
 
 
+def sweep_totals(taken: DataFrame, costs: DataFrame) -> DataFrame:
+    """The sweep's figures for each symbol, side and threshold, for all symbols of a side and threshold, for a threshold, for a symbol and side, and for all.
+
+    level says over what a row is summed (bits: symbol 4, side 2, threshold
+    1), so that totals and keys that are null can be told apart.  All come
+    from the same sums of counts, returns and squares.
+    """
+    t = taken.where("threshold >= 0").join(costs, "symbol").withColumn("_net", F.col("ret") - F.col("cost"))
+    keys = ("symbol", "side", "threshold")
+    s = t.groupingSets([keys, ("side", "threshold"), ("threshold",), ("symbol", "side"), ()], *keys).agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.count_if(F.col("_net") > 0).alias("wins"),
+        F.sum("_net").alias("_s"), F.sum(F.col("_net") * F.col("_net")).alias("_q"),
+    )
+    n = F.col("n")
+    spread = F.greatest(F.col("_q") - F.col("_s") * F.col("_s") / n, F.lit(0.0))
+    return s.where("n > 0").select(
+        *keys, "level", "n", "wins", (F.col("wins") / n).alias("win_rate"), (F.col("_s") / n).alias("expectancy"), F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))).alias("deviation")
+    )
+
+
 def base_rate(taken: DataFrame, costs: DataFrame, cfg: Config) -> DataFrame:
     """Statistics of taking every bar, without the correction for many thresholds."""
     every = taken.where("threshold = -1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -305,6 +306,14 @@ def threshold_sweep(spark, d):
     return rounded(s, 6, "payoff", "profit_factor", "win_rate", "win_rate_lb", "expectancy", "avg_win", "avg_loss", "avg_bars_held", "avg_r", "expectancy_lb", "excess_expectancy")
 
 
+@query
+def sweep_totals(spark, d):
+    """The sweep of each symbol, and over all symbols, sides and thresholds."""
+    m, w = replayed(spark, d)
+    s = replay.sweep_totals(replay.taken_trades(w, REPLAY.thresholds), cost_table(m.bars))
+    return rounded(s, 6, "win_rate", "expectancy", "deviation")
+
+
 @query
 def base_rate(spark, d):
     m, w = replayed(spark, d)
@@ -418,20 +427,19 @@ def equal_weight_bh(spark, d):
 
 
 def _correlated(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Weekly bars of all brands, which share their weeks also where few days are shared, and their pairs."""
-    b = B.index_bars(B.resample(tables.brand_bars(spark, d), "week")).persist()
-    return b, performance.correlations(b, 252, 30)
+    """Weekly bars of all brands, which share their weeks also where few days are shared, and their standardised returns."""
+    b = written(B.index_bars(B.resample(tables.brand_bars(spark, d), "week")), "weeks")
+    return b, performance.standardised(b, 252, 30)
 
 
 @query
 def corr_pairs(spark, d):
-    return rounded(_correlated(spark, d)[1], 6, "rho")
+    return rounded(performance.correlations(_correlated(spark, d)[1]), 6, "rho")
 
 
 @query
 def n_eff(spark, d):
-    b, pairs = _correlated(spark, d)
-    return rounded(performance.effective_number(b, pairs), 6, "mean_rho", "n_eff", "ratio")
+    return rounded(performance.effective_number_by_sums(*_correlated(spark, d)), 6, "mean_rho", "n_eff", "ratio")
 
 
 #: Lower than the default of 0.6, which no two brands of the test tables reach.
@@ -440,7 +448,13 @@ HIGH_RHO = 0.1
 
 @query
 def high_corr_pairs(spark, d):
-    return rounded(performance.high_pairs(_correlated(spark, d)[1], HIGH_RHO), 6, "rho")
+    return rounded(performance.correlations(_correlated(spark, d)[1], HIGH_RHO), 6, "rho")
+
+
+@query
+def top_corr_pairs(spark, d):
+    """The five pairs to name in a report."""
+    return rounded(performance.correlations(_correlated(spark, d)[1], HIGH_RHO), 6, "rho").orderBy(F.desc("rho"), "a", "b").limit(5)
 
 
 @query
@@ -448,9 +462,9 @@ def signal_concentration(spark, d):
     """Of the symbols whose last bar scores 15 or more, and one without bars."""
     m = market(spark, d).keep()
     last = m.scores.groupBy("symbol").agg(F.max_by("bull_score", "i").alias("s")).where("s >= 15").select("symbol")
-    b, pairs = _correlated(spark, d)
+    b, z = _correlated(spark, d)
     signals = last.unionByName(spark.createDataFrame([("no such symbol",)], "symbol string"))
-    return rounded(performance.signal_concentration(signals, b, pairs), 6, "mean_rho", "n_eff", "ratio")
+    return rounded(performance.signal_concentration(signals, b, z), 6, "mean_rho", "n_eff", "ratio")
 
 
 # --- scalar rules ---------------------------------------------------------------
@@ -571,6 +585,21 @@ def ml_gate(spark, d):
     return models.gated_probability(indicators.compute(tables.brand_bars(spark, d)), horizon=5)
 
 
+@query
+def ml_replay(spark, d):
+    """Retrained every 50 bars along the way."""
+    m = market(spark, d, replace(REPLAY, ml_enabled=True, ml_retrain_every=50)).keep()
+    known = m.ml.select("symbol", "i", "trained_i", rnd("prob_up", 6).alias("prob_up"))
+    return known.join(m.scores.select("symbol", "i", "bull_score", "bear_score"), ["symbol", "i"])
+
+
+@query
+def rsi_auc(spark, d):
+    """How well the relative strength alone tells rises, in each later block of a symbol's bars."""
+    rows = models.time_folds(models.labels(indicators.compute(tables.brand_bars(spark, d)), 5, 0.0), 5)
+    return rounded(models.rank_auc(rows.withColumn("score", F.round("rsi", 4)), ["symbol", "fold"], "score"), 6, "auc")
+
+
 @query
 def ridge_gram(spark, d):
     return rounded(models.gram(models.component_matrix(market(spark, d).keep())), 4, "value")

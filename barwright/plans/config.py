@@ -39,6 +39,9 @@ class Config:
     spread: float = 0.0002
     regulatory: float = 0.00003
     commission: float = 0.0
+    ml_enabled: bool = False
+    ml_retrain_every: int = 10
+    ml_min_train_rows: int = 80
     weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
 
     def fingerprint(self) -> str:

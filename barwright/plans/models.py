@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import indicators, replay, trades
 from ..operators.bars import by_symbol
+from ..sources.scratch import written
+from . import boosting
 
 FEATURES = ("rsi", "macd_hist", "adx", "di_diff", "ema20_gap", "ema50_gap", "trend_align", "atr_pct", "volume_z", "dist_to_discount")
 COMPONENTS = ("zone", "order_block", "fvg", "choch", "bos", "sweep", "rsi", "macd", "ema_stack", "adx_di")
@@ -37,42 +33,114 @@ def labels(bars: DataFrame, horizon: int = 5, over: float = 0.0) -> DataFrame:
     return bars.withColumn("label", F.coalesce((ahead > over).cast("int"), F.lit(0)))
 
 
-def _assembled(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows).select("symbol", "i", "x", F.col("label").cast("double").alias("label"), "fold")
+def time_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
+    """Adds fold: 0 for what comes before the last ``folds`` equal blocks of a symbol's rows, then 1, 2 ... for these; all 0 if rows are fewer."""
+    w = Window.partitionBy("symbol")
+    n, k = F.count("*").over(w), F.row_number().over(w.orderBy("i")) - 1
+    size = F.floor(n / (folds + 1))
+    fold = F.when((size > 0) & (k >= n - folds * size), F.floor((k - (n - folds * size)) / size) + 1).otherwise(0)
+    return rows.withColumn("fold", fold.cast("int"))
 
 
-def gated_probability(ind: DataFrame, horizon: int = 5, folds: int = 5, least_rows: int = 80, least_share: float = 0.08, least_auc: float = 0.55) -> DataFrame:
-    """Pooled model of all symbols: probability of a rise at each symbol's last bar, null unless its out-of-sample AUC is good enough.
+def rank_auc(rows: DataFrame, keys: list[str], score: str, label: str = "label") -> DataFrame:
+    """keys, n, auc: how often a row of label 1 scores over one of label 0, ties half, from the sum of ranks; null for one class."""
+    w = Window.partitionBy(*keys)
+    tied = F.count("*").over(Window.partitionBy(*keys, score))
+    ranked = rows.withColumn("_rank", F.rank().over(w.orderBy(score)) + (tied - 1) / 2)
+    ones, zeros = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    above = F.sum(F.when(F.col(label) == 1, F.col("_rank"))) - ones * (ones + 1) / 2
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(above, (ones * zeros).cast("double")).alias("auc"))
+
+
+def _usable(ind: DataFrame, horizon: int) -> DataFrame:
+    return labels(features(ind), horizon).dropna(subset=list(FEATURES)).select("symbol", "i", *FEATURES, "label")
 
-    Folds are blocks of time; each is judged by a model of the blocks before, and
-    the AUC is the mean over the folds that hold both classes.
+
+def gated_probability(ind: DataFrame, horizon: int = 5, folds: int = 5, least_rows: int = 80, least_share: float = 0.08, least_auc: float = 0.55) -> DataFrame:
+    """A model for each symbol: symbol, i, prob_up (of a rise after its last bar), trained_rows, auc, horizon.
+
+    Each of the last ``folds`` blocks of a symbol's rows is judged by a model
+    of all rows before it; auc is the mean over the blocks that hold both
+    classes after both classes.  prob_up is null with too few rows, too few
+    of either class, a mean AUC under ``least_auc``, or a last bar without
+    all features.  Symbols and blocks are fitted side by side: a task holds
+    one symbol's rows up to one block.
     """
-    rows = labels(features(ind), horizon).dropna(subset=list(FEATURES))
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    block = F.row_number().over(Window.partitionBy("symbol").orderBy("i")) - 1
-    rows = _assembled(rows.withColumn("fold", F.floor(block * (folds + 1) / n).cast("int"))).persist()
-    total, ones = rows.agg(F.count("*"), F.sum("label")).first()
-    last = ind.groupBy("symbol").agg(F.max("i").alias("i"))
-    none = last.select("symbol", "i", F.lit(None).cast("double").alias("prob_up"), F.lit(None).cast("double").alias("auc"), F.lit(total).alias("trained_rows"), F.lit(horizon).alias("horizon"))
-    if not total or total < least_rows or min(ones, total - ones) / total < least_share:
-        return none
-    model = lambda: GBTClassifier(featuresCol="x", labelCol="label", maxIter=120, maxDepth=2, stepSize=0.05, seed=42)
-    judge = BinaryClassificationEvaluator(labelCol="label")
-    held = {(r["fold"], r["label"]) for r in rows.select("fold", "label").distinct().collect()}  # two for each fold
-    both = lambda ks: len({y for f, y in held if f in ks}) == 2
-    able = [k for k in range(1, folds + 1) if both((k,)) and both(range(k))]
-
-    def fold_auc(k: int) -> float:
-        return judge.evaluate(model().fit(rows.where(F.col("fold") < k)).transform(rows.where(F.col("fold") == k)))
-
-    with ThreadPoolExecutor(folds) as pool:  # the folds don't depend on each other
-        aucs = list(pool.map(fold_auc, able))
-    auc = float(np.mean(aucs)) if aucs else None
-    if auc is None or auc < least_auc:
-        return none.withColumn("auc", F.lit(auc).cast("double"))
-    p = model().fit(rows).transform(rows.join(last, ["symbol", "i"], "left_semi")).select("symbol", "i", vector_to_array("probability")[1].alias("prob_up"))
-    p = last.select("symbol", "i").join(p, ["symbol", "i"], "left")  # a symbol whose last bar lacks a feature has no probability
-    return p.withColumns({"auc": F.lit(auc), "trained_rows": F.lit(total), "horizon": F.lit(horizon)})
+    rows = time_folds(_usable(ind, horizon), folds)
+    # Block k is judged by what is before it; number folds + 1 is the model of all rows, for the last bar.
+    first = F.greatest(F.col("fold"), F.lit(1))
+    own = rows.withColumn("_model", F.explode(F.sequence(first, F.lit(folds + 1))))
+    last = features(ind).select("symbol", "i", *FEATURES).join(ind.groupBy("symbol").agg(F.max("i").alias("i")), ["symbol", "i"])
+    ask = last.withColumns({"label": F.lit(None).cast("int"), "fold": F.lit(folds + 1), "_model": F.lit(folds + 1)})
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("i", ignore_index=True)
+        k, x, y = int(b["_model"].iloc[0]), b[list(FEATURES)].to_numpy(float), b["label"].to_numpy(float)
+        train, test = b["fold"].to_numpy() < k, b["fold"].to_numpy() == k
+        out = b.loc[test, ["symbol", "i", "label"]].assign(model=k, trained=int(train.sum()), p=np.nan)
+        t, whole = y[train], ~np.isnan(x[test]).any(axis=1)
+        if len(t) and 0 < t.mean() < 1 and whole.any():
+            p = np.full(len(out), np.nan)
+            p[whole] = boosting.Boosted(x[train], t).probability(x[test][whole])
+            out["p"] = p
+        return out
+
+    judged = written(own.unionByName(ask).groupBy("symbol", "_model").applyInPandas(run, "symbol string, i int, label int, model int, trained int, p double"), "judged")
+    tested = judged.where((F.col("model") <= folds) & F.col("p").isNotNull())
+    mean = rank_auc(tested, ["symbol", "model"], "p").groupBy("symbol").agg(F.avg("auc").alias("auc"))
+    size = rows.groupBy("symbol").agg(F.count("*").alias("trained_rows"), F.avg("label").alias("_share"))
+    df = judged.where(F.col("model") == folds + 1).select("symbol", "i", "p").join(size, "symbol", "left").join(mean, "symbol", "left")
+    able = (F.col("trained_rows") >= least_rows) & (F.least("_share", 1 - F.col("_share")) >= least_share) & (F.col("auc") >= least_auc)
+    return df.select("symbol", "i", F.when(able, F.col("p")).alias("prob_up"), F.coalesce("trained_rows", F.lit(0)).alias("trained_rows"), "auc", F.lit(horizon).alias("horizon"))
+
+
+#: Retrainings that one task does, one after the other.
+RETRAININGS = 16
+
+
+def replayed_probability(ind: DataFrame, horizon: int = 5, start: int = 250, every: int = 10, folds: int = 5, least_rows: int = 80, least_share: float = 0.08, least_auc: float = 0.55) -> DataFrame:
+    """symbol, i, trained_i, prob_up at every bar from ``start`` on, as known at it.
+
+    Every ``every`` bars a model is trained and judged on the bars so far,
+    labels included: the last ``horizon`` ones, whose outcome isn't known yet,
+    count as no rise.  What it says of that bar holds until the next training;
+    null where the gate isn't passed.  A task does ``RETRAININGS`` of a symbol
+    and holds its bars up to the last of them, so no later bar can be seen.
+    """
+    w = by_symbol()
+    rows = features(ind).select("symbol", "i", *FEATURES, "close", F.max("i").over(Window.partitionBy("symbol")).alias("_last"))
+    rows = rows.withColumn("_rise", F.coalesce((F.lead("close", horizon).over(w) > F.col("close")).cast("int"), F.lit(0)))
+    span = every * RETRAININGS
+    groups = F.floor((F.col("_last") - start) / span)
+    from_ = F.greatest(F.floor((F.col("i") - start) / span), F.lit(0))
+    dealt = rows.where(F.col("_last") >= start).withColumn("_group", F.explode(F.sequence(from_, groups)))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("i", ignore_index=True)
+        at, x, rise = b["i"].to_numpy(), b[list(FEATURES)].to_numpy(float), b["_rise"].to_numpy(float)
+        whole, first = ~np.isnan(x).any(axis=1), start + int(b["_group"].iloc[0]) * span
+        out = []
+        for t in range(first, min(first + span, int(at[-1]) + 1), every):
+            known = whole & (at <= t)
+            y = np.where(at[known] + horizon <= t, rise[known], 0.0)
+            out.append((b["symbol"].iloc[0], t, _gated(x[known], y, x[at == t], folds, least_rows, least_share, least_auc)))
+        return pd.DataFrame(out, columns=["symbol", "trained_i", "prob_up"]).astype({"trained_i": "int32", "prob_up": float})
+
+    made = dealt.groupBy("symbol", "_group").applyInPandas(run, "symbol string, trained_i int, prob_up double")
+    bars = ind.where(F.col("i") >= start).select("symbol", "i", (F.col("i") - F.pmod(F.col("i") - start, F.lit(every))).alias("trained_i"))
+    return bars.join(made, ["symbol", "trained_i"]).select("symbol", "i", "trained_i", "prob_up")
+
+
+def _gated(x: np.ndarray, y: np.ndarray, now: np.ndarray, folds: int, least_rows: int, least_share: float, least_auc: float) -> float | None:
+    if len(y) < least_rows or min(y.mean(), 1 - y.mean()) < least_share or not len(now) or np.isnan(now).any():
+        return None
+    found = []
+    for a, z in boosting.blocks(len(y), folds):
+        if 0 < y[:a].mean() < 1 and 0 < y[a:z].mean() < 1:
+            found.append(boosting.auc(boosting.Boosted(x[:a], y[:a]).probability(x[a:z]), y[a:z]))
+    if not found or np.mean(found) < least_auc:
+        return None
+    return float(boosting.Boosted(x, y).probability(now)[0])
 
 
 def component_matrix(m) -> DataFrame:

@@ -346,6 +346,9 @@ FINAL: dict[str, str] = {
         round(s.avg_bars_held, 6) AS avg_bars_held, round(s.avg_r, 6) AS avg_r, round(s.expectancy_lb, 6) AS expectancy_lb, round(s.expectancy - b.expectancy, 6) AS excess_expectancy,
         round(abs(s.avg_win / nullif(s.avg_loss, 0)), 6) AS payoff, round(s.gain / nullif(s.loss, 0), 6) AS profit_factor
         FROM sweep s LEFT JOIN (SELECT * FROM sweep WHERE threshold = -1) b ON s.symbol = b.symbol AND s.side = b.side WHERE s.threshold >= 0""",
+    "sweep_totals": f"""SELECT symbol, side, threshold, CAST(grouping(symbol, side, threshold) AS INTEGER) AS level, count(*) AS n, count(*) FILTER (net > 0) AS wins, round(avg(CAST(net > 0 AS INTEGER)), 6) AS win_rate,
+        round(avg(net), 6) AS expectancy, round(stddev_samp(net), 6) AS deviation FROM (SELECT *, ret - {_COST} AS net FROM trades WHERE threshold >= 0)
+        GROUP BY GROUPING SETS ((symbol, side, threshold), (side, threshold), (threshold), (symbol, side), ())""",
     "base_rate": f"""SELECT symbol, side, n, wins, round(win_rate, 5) AS win_rate, round({_wilson(1.6449, 'win_rate', 'n')}, 5) AS win_rate_lb, round(expectancy, 5) AS expectancy, round(expectancy_lb, 5) AS expectancy_lb, round(avg_win, 5) AS avg_win, round(avg_loss, 5) AS avg_loss,
         round(abs(avg_win / nullif(avg_loss, 0)), 5) AS payoff, round(gain / nullif(loss, 0), 5) AS profit_factor
         FROM sweep WHERE threshold = -1""",
@@ -387,6 +390,7 @@ FINAL: dict[str, str] = {
     "corr_pairs": "SELECT a, b, round(rho, 6) AS rho FROM pairs",
     "n_eff": "SELECT n AS n_symbols, round(mean_rho, 6) AS mean_rho, round(n * n / (n + 2 * s), 6) AS n_eff, round(n / (n * n / (n + 2 * s)), 6) AS ratio FROM (SELECT (SELECT count(DISTINCT symbol) FROM week_bars) AS n, sum(rho) AS s, avg(rho) AS mean_rho FROM pairs)",
     "high_corr_pairs": "SELECT a, b, round(rho, 6) AS rho FROM pairs WHERE pairs.rho >= 0.1",
+    "top_corr_pairs": "SELECT a, b, r AS rho FROM (SELECT a, b, round(rho, 6) + 0 AS r FROM pairs) WHERE r >= 0.1 ORDER BY r DESC, a, b LIMIT 5",
     "signal_concentration": """WITH on_ AS (SELECT symbol FROM scores GROUP BY symbol HAVING arg_max(bull_score, i) >= 15),
         r AS (SELECT (SELECT count(*) FROM on_) AS n, coalesce(sum(rho), 0) AS s, avg(rho) AS mean_rho FROM pairs WHERE a IN (SELECT symbol FROM on_) AND b IN (SELECT symbol FROM on_)),
         e AS (SELECT *, CASE WHEN n < 2 THEN CAST(n AS DOUBLE) WHEN n + 2 * s > 0 THEN n * n / (n + 2 * s) END AS eff FROM r)
@@ -425,6 +429,11 @@ FINAL: dict[str, str] = {
         CASE WHEN count(*) OVER w = 50 THEN round((close - (max(high) OVER w + min(low) OVER w) / 2) / nullif(max(high) OVER w - min(low) OVER w, 0), 4) END AS dist_to_discount
         FROM ind WINDOW v AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
     "ml_labels": "SELECT symbol, i, CAST(coalesce(lead(close, 5) OVER (PARTITION BY symbol ORDER BY i) / close - 1 > 0, false) AS INTEGER) AS label FROM bars",
+    "rsi_auc": """SELECT symbol, fold, n, round(auc, 6) AS auc FROM (
+        SELECT symbol, fold, count(*) AS n, (sum(CASE WHEN label = 1 THEN rank END) - sum(label) * (sum(label) + 1) / 2::DOUBLE) / nullif(sum(label) * (count(*) - sum(label)), 0)::DOUBLE AS auc FROM (
+          SELECT *, rank() OVER (PARTITION BY symbol, fold ORDER BY score) + (count(*) OVER (PARTITION BY symbol, fold, score) - 1) / 2::DOUBLE AS rank FROM (
+            SELECT symbol, round(rsi, 4) AS score, CAST(coalesce(later / close - 1 > 0, false) AS INTEGER) AS label, CASE WHEN k >= n - 5 * (n // 6) THEN CAST((k - (n - 5 * (n // 6))) // (n // 6) + 1 AS INTEGER) ELSE 0 END AS fold
+            FROM (SELECT *, lead(close, 5) OVER (PARTITION BY symbol ORDER BY i) AS later, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM ind))) GROUP BY ALL)""",
     "embargo_split": """SELECT symbol, part, count(*) AS n, min(i) AS first_i, max(i) AS last_i FROM (SELECT symbol, i, CASE WHEN k < cut THEN 'train' WHEN k < cut + 20 THEN 'skipped' ELSE 'test' END AS part FROM (
         SELECT symbol, i, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, floor(count(*) OVER (PARTITION BY symbol) * 0.6::DOUBLE) AS cut FROM bars WHERE i >= 250)) GROUP BY ALL""",
 }

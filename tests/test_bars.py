@@ -390,14 +390,3 @@ def test_gate_takes_every_symbol(spark, sf, monkeypatch):
     monkeypatch.setattr(models, "gated_probability", lambda ind, **_: seen.append(ind.select("symbol").distinct().count()))
     catalogue.QUERIES["ml_gate"](spark, sf)
     assert seen == [tables.brand_bars(spark, sf).select("symbol").distinct().count()]
-
-
-def test_gate_averages_all_folds(spark, sf, monkeypatch):
-    from pyspark.ml.classification import LogisticRegression
-
-    made, judged, real = [], [], models.BinaryClassificationEvaluator.evaluate
-    monkeypatch.setattr(models, "GBTClassifier", lambda **how: made.append(how) or LogisticRegression(featuresCol="x", labelCol="label", maxIter=3))
-    monkeypatch.setattr(models.BinaryClassificationEvaluator, "evaluate", lambda self, df: judged.append((df.first().fold, real(self, df))) or judged[-1][1])
-    got = models.gated_probability(indicators.compute(tables.brand_bars(spark, sf)), least_auc=0.0).collect()
-    assert sorted(k for k, _ in judged) == [1, 2, 3, 4, 5] and abs(got[0].auc - sum(a for _, a in judged) / 5) < 1e-9
-    assert all((how["maxIter"], how["stepSize"]) == (120, 0.05) for how in made)

@@ -126,3 +126,29 @@ def test_choice_needs_a_positive_bound(spark):
     assert (picks["s", "bull"].confidence, picks["s", "bull"].threshold) == ("ok", 35) and 0 < picks["s", "bull"].expectancy_lb < picks["s", "bull"].expectancy
     assert picks["s", "bear"].confidence == "no_edge" and picks["s", "bear"].expectancy_lb < 0
     assert (picks["few", "bull"].confidence, picks["few", "bull"].n, picks["few", "bull"].threshold) == ("insufficient_data", 0, 50)
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_correlations_by_blocks_and_by_sums(spark, block, monkeypatch):
+    from barwright.operators import performance
+
+    monkeypatch.setattr(performance, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    common = rng.normal(size=60)
+    rows = [(s, d, 100 * math.exp(x)) for s in "ABCDEFG" for d, x in enumerate(np.cumsum(0.02 * (common * (ord(s) % 3) + rng.normal(size=60))))]
+    rows += [("FLAT", d, 7.0) for d in range(60)] + [("few", d, 1.0 + d) for d in range(20)]
+    bars = spark.createDataFrame([(s, d, c, c, c, c, 1.0) for s, d, c in rows], "symbol string, i int, open double, high double, low double, close double, volume double").withColumn("ts", F.expr("timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, i)"))
+    z = performance.standardised(bars, 40, 30)
+    pairs = performance.correlations(z)
+    got = {(r.a, r.b): r.rho for r in pairs.collect()}
+    closes = {s: np.array([c for k, _, c in rows if k == s]) for s in "ABCDEFG"}
+    rets = {s: (c[1:] / c[:-1] - 1)[-40:] for s, c in closes.items()}
+    want = {(a, b): np.corrcoef(rets[a], rets[b])[0, 1] for a in rets for b in rets if a < b}
+    assert set(got) == set(want) | {(min(s, "FLAT"), max(s, "FLAT")) for s in rets}
+    assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and got["A", "FLAT"] is None
+    high = {(r.a, r.b) for r in performance.correlations(z, 0.3).collect()}
+    assert high == {k for k, v in want.items() if v >= 0.3}
+    for some in (list("ABCDEFG") + ["FLAT"], list("AB"), ["A"], []):
+        measured = bars.where(F.col("symbol").isin(some))
+        a, b = performance.effective_number_by_sums(measured, z).first(), performance.effective_number(measured, pairs).first()
+        assert (a.n_symbols, a.n_eff is None) == (b.n_symbols, b.n_eff is None) and a.n_eff == pytest.approx(b.n_eff) and a.mean_rho == pytest.approx(b.mean_rho)
