@@ -29,13 +29,18 @@ other columns can't clash.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -48,36 +53,95 @@ from .perfect_hash import PerfectHash, key_hashes
 SHARD_BYTES, SHARD_DOCS = 32 << 20, 100_000
 #: Shards whose bounds (some 30 bytes each) readers hold; with the sizes above 64 TB of text.
 MAX_SHARDS = 2_000_000
-_KNOWN, _LONG, _READ = 300_000, 64, 8 << 20
+#: Chunks and parts that a task remembers; chunks of more bytes aren't; what one read takes.
+_KNOWN, _PARTS, _LONG, _READ = 500_000, 300_000, 64, 8 << 20
 _MAGIC = b"bwids\0\0\1"
 
 
 class Coder:
-    """Encodes texts through a vocabulary file of the tokenizers library."""
+    """Encodes texts through a vocabulary file of the tokenizers library.
+
+    A chunk between blanks goes to the library whole when it is new, unless
+    all of it is plain (printable ASCII and Latin letters) and the file's
+    steps are the usual ones: composed form, lower case, splitting by the
+    file's pattern, bytes as characters.  Plain characters are composed
+    already, so such a chunk is lowered and split here, and the library's
+    model gets its different parts.
+    """
 
     def __init__(self, path: str, end: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if max(self.lib.get_vocab_size(), end + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Chunks(self)
+        self.parts: dict[str, bytes] = {}
+        given = json.loads(self.lib.to_str())
+        self.pattern = _plain_pattern(given)
+        self.special = [t["content"] for t in given["added_tokens"]]
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {chr(c): signs.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if c < 0x7F or c >= 0xC0}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        made = array("H" if self.kind.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            made.byteswap()
+        return made.tobytes()
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            given = part if part.isascii() else "".join([self.signs[c] for c in part])
+            found = self.parts[part] = self._bytes([t.id for t in self.lib.model.tokenize(given)])
+        return found
+
+    def chunk(self, w: bytes) -> bytes:
+        """The ids of a text without ASCII blanks."""
+        text = w.decode()
+        if self.pattern and text.isascii() and text.isalpha():  # one part, as most are
+            return self._part(text.lower())
+        if self.pattern and _PLAIN.fullmatch(text) and not ("<" in text and any(x in text for x in self.special)):
+            return b"".join([self._part(p) for p in self.pattern.findall(text.lower())])
+        return self._bytes(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
-        words = [t.split() if t else [] for t in texts]
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*words).difference(known))
-        made = self.lib.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, made, strict=True))
-        out = [b"".join([known[w] for w in ws]) + self.end for ws in words]
-        for w in new:
-            if len(w) > _LONG:
-                del known[w]
-        return out
+        for cache, limit in ((self.known, _KNOWN), (self.parts, _PARTS)):
+            if len(cache) > limit:
+                cache.clear()
+        of = self.known.__getitem__
+        return [b"".join(map(of, t.split())) + self.end if t else self.end for t in texts]
+
+
+class _Chunks(dict):
+    """Chunks met so far, and their ids; new ones are encoded when they are looked up."""
+
+    def __init__(self, coder: Coder):
+        self.coder = coder
+
+    def __missing__(self, w: bytes) -> bytes:
+        ids = self.coder.chunk(w)
+        if len(w) <= _LONG:
+            self[w] = ids
+        return ids
+
+
+#: Printable ASCII, and Latin letters whose lower case is one letter and that composing leaves alone.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
+def _plain_pattern(given: dict):
+    """The splitting pattern of a file whose steps do to plain text what Coder does; else None."""
+    steps = (given.get("normalizer") or {}).get("normalizers", [])
+    split, signs = ((given.get("pre_tokenizer") or {}).get("pretokenizers", []) + [{}, {}])[:2]
+    usual = (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and not steps[1]["content"].strip()
+        and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and "Regex" in split.get("pattern", {})
+        and signs.get("type") == "ByteLevel" and not signs["add_prefix_space"] and not signs["use_regex"]
+    )
+    return regex.compile(split["pattern"]["Regex"]) if usual else None
 
 
 @functools.lru_cache(maxsize=1)
@@ -134,7 +198,7 @@ class Index:
 def write_shards(docs: DataFrame, tokenizer: str, end: int, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encodes docs into shards.  A row for each, in the order of ids: shard, base (ids before it), n_docs, n_tokens, low, high (ids), width, payload, index."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 500, 4)
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(-(-size // shard_bytes), -(-n // shard_docs), 1)
     if shards > MAX_SHARDS:

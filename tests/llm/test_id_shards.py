@@ -45,6 +45,25 @@ def test_ids_equal_the_library(spark, shard_docs):
     assert sum(p.n_docs for p in parts) == len(rows) and parts[0].base == 0 and (len(parts) > 5) == (shard_docs == 4)
 
 
+def test_plain_chunks_equal_the_library():
+    rng = random.Random(9)
+    signs = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA0, 0x250), 0x301, 0x3A3, 0x1E9E, 0x212B, 0xFB01, 0x3042)]
+    usual = "aeiouAEIOUnst'',.#1éÉİıŉǅ" + "<|endoftext|>"
+    chunks = ["".join(rng.choice(usual if rng.random() < 0.7 else signs) for _ in range(rng.randrange(1, 12))) for _ in range(20_000)]
+    chunks += signs + [f"'{x}'" for x in ("S", "ll", "RE", "d", "x")] + ["x<|endoftext|>y", "<|endoftext|", "I'LL'VE", "ÀÖØöøÿ", "a" * 300]
+    coder = id_shards.Coder(PATH, 2)
+    assert coder.pattern
+    lib = Tokenizer.from_file(PATH)
+    for c, made in zip(chunks, coder.encode([c.encode() for c in chunks]), strict=True):
+        assert np.frombuffer(made, coder.kind).tolist() == [*lib.encode(c, add_special_tokens=False).ids, 2], c
+
+
+def test_other_vocabularies_go_through_the_library_whole():
+    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    coder = id_shards.Coder(path, 50256)
+    assert coder.pattern is None
+
+
 def test_null_and_repeated_keys(spark):
     rows = [(None, "no key"), (7, "one"), (7, "one"), (7, "other text"), (7, None), (1, "first")]
     for shard_docs in (100, 2):
