@@ -92,6 +92,13 @@ def order_blocks(bars: DataFrame, events: DataFrame) -> DataFrame:
     return first_touch(zones, bars, "event_i", F.col("top"), F.col("bottom"), "mitigated_i")
 
 
+def current_trend(bars: DataFrame, events: DataFrame) -> DataFrame:
+    """symbol, i, trend: the side of the last break so far, null before the first."""
+    at = events.select("symbol", "i", F.col("side").alias("_side"))
+    w = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    return bars.select("symbol", "i").join(at, ["symbol", "i"], "left").select("symbol", "i", F.last("_side", True).over(w).alias("trend"))
+
+
 class _Firsts:
     """First place from a start on where values are at or under a bound, by minima over stretches of 1, 2, 4 ... values."""
 

@@ -150,21 +150,26 @@ def review(trades: DataFrame) -> DataFrame:
     )
 
 
+#: The medians and shares that findings begin at, and how far from chance an entry is told from it.
+TIGHT, WIDE, GIVES_BACK, KEEPS, TURNED, ALL_STOPS, TOO_FAR, STOPPED, FROM_CHANCE = 0.35, 0.7, 0.35, 0.6, 0.5, 0.9, 0.6, 0.45, 0.08
+
+
 def diagnose(summary: DataFrame, exit_mode: str = "fixed", baseline: Column | None = None) -> DataFrame:
     """Findings as an array of names, from the row that ``review`` gives; baseline: share underwater of random entries."""
     c = F.col
     found = [
-        F.when(c("winner_mae_r_median") < 0.35, "stop_can_tighten").when(c("winner_mae_r_median") > 0.7, "stop_too_tight"),
-        F.when(c("mfe_capture") < 0.35, "exit_gives_back").when(c("mfe_capture") > 0.6, "exit_efficient"),
-        F.when(c("loser_ever_profitable") > 0.5, "exit_too_late"),
+        F.when(c("winner_mae_r_median") < TIGHT, "stop_can_tighten").when(c("winner_mae_r_median") > WIDE, "stop_too_tight"),
+        F.when(c("mfe_capture") < GIVES_BACK, "exit_gives_back").when(c("mfe_capture") > KEEPS, "exit_efficient"),
+        F.when(c("loser_ever_profitable") > TURNED, "exit_too_late"),
     ]
     under = c("immediately_underwater")
     if baseline is None:
         found.append(F.when(under.isNotNull(), "entry_without_baseline"))
     else:
-        found.append(F.when(under - baseline > 0.08, "entry_chases").when(under - baseline < -0.08, "entry_better_than_random").when(under.isNotNull(), "entry_like_random"))
+        found.append(F.when(under.isNotNull() & baseline.isNull(), "entry_without_baseline"))
+        found.append(F.when(under - baseline > FROM_CHANCE, "entry_chases").when(under - baseline < -FROM_CHANCE, "entry_better_than_random").when(under.isNotNull() & baseline.isNotNull(), "entry_like_random"))
     if exit_mode == "trailing":
-        found.append(F.when(c("share_stop") > 0.9, "trailing_stops_normal"))
+        found.append(F.when(c("share_stop") > ALL_STOPS, "trailing_stops_normal"))
     else:
-        found += [F.when(c("share_timeout") > 0.6, "target_too_far"), F.when(c("share_stop") > 0.45, "stopped_often")]
+        found += [F.when(c("share_timeout") > TOO_FAR, "target_too_far"), F.when(c("share_stop") > STOPPED, "stopped_often")]
     return summary.withColumn("findings", F.array_compact(F.array(*found)))

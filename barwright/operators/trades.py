@@ -220,3 +220,10 @@ def excursions(trades: DataFrame, bars: DataFrame, early: int = 3) -> DataFrame:
         F.max(F.struct("_a", (-F.col("j")).alias("n"))).alias("_ma"), F.max(F.struct("_f", (-F.col("j")).alias("n"))).alias("_mf"),
         F.max(F.when(F.col("j") <= early, F.col("_a"))).alias("entry_heat"),
     ).withColumns({"bars_to_mae": -F.col("_ma.n"), "bars_to_mfe": -F.col("_mf.n")}).drop("_ma", "_mf")
+
+
+def early_heat(trades: DataFrame, bars: DataFrame, early: int = 3) -> DataFrame:
+    """symbol, trade, entry_heat: how far below the entry the first bars of a long trade went, as a share of it."""
+    first = F.sequence(F.lit(1), F.lit(early))
+    path = trades.withColumn("i", F.explode(F.transform(first, lambda j: F.col("entry_i") + j))).where("i <= exit_i").join(bars.select("symbol", "i", "low"), ["symbol", "i"])
+    return path.groupBy("symbol", "trade").agg(F.max(F.greatest((F.col("entry_px") - F.col("low")) / F.col("entry_px"), F.lit(0.0))).alias("entry_heat"))

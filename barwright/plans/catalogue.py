@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from ..functions import tables as table_functions
 from ..operators import asof, bars as B, indicators, performance, replay, structure, tracking, trades
-from ..sources import tables
+from ..sources import scratch, sinks, tables
 from ..sources.scratch import written
 from . import models, report
 from .config import Config
@@ -155,6 +156,20 @@ def structure_events(spark, d):
     return market(spark, d).events.select("symbol", "i", "price", "type", "side", "broken_level", "broken_i")
 
 
+@query
+def structure_sql(spark, d):
+    """The same breaks by a table function, called from SQL."""
+    table_functions.register(spark)
+    written(tables.brand_bars(spark, d), "bars").createOrReplaceTempView("barwright_bars")
+    return spark.sql("SELECT * FROM structure_events(TABLE(barwright_bars), lookback => 3)")
+
+
+@query
+def current_trend(spark, d):
+    m = market(spark, d)
+    return structure.current_trend(m.bars, m.events)
+
+
 @query
 def structure_counts(spark, d):
     return market(spark, d).events.groupBy("symbol", "side", "type").agg(F.count("*").alias("n"))
@@ -333,6 +348,19 @@ def recommend(spark, d):
     return rounded(_recommended(spark, d)[3], 6, "expectancy", "expectancy_lb", "excess_expectancy")
 
 
+@query
+def cached_choice(spark, d):
+    """Choices of which some are cached, fresh, stale or under other parameters; only what isn't fresh is computed again."""
+    picks = _recommended(spark, d)[3].select("symbol", "side", "threshold", "confidence")
+    path, fp, now = scratch.folder(spark, "cache"), REPLAY.fingerprint(), "2024-01-10 00:00:00"
+    for end, mark, at in (("1", fp, "2024-01-08 00:00:00"), ("2", fp, "2023-12-31 00:00:00"), ("3", "other", now)):
+        sinks.write_cached(picks.where(F.col("symbol").endswith(end)), path, mark, at)
+    cached = sinks.read_cache(spark, path)
+    fresh = sinks.fresh(cached, fp, now, 7).select("symbol", "side", "threshold", "confidence", F.lit("cached").alias("source"))
+    again = sinks.to_recompute(picks.select("symbol").distinct(), cached, fp, now, 7)
+    return fresh.unionByName(picks.join(again, "symbol", "left_semi").withColumn("source", F.lit("computed")))
+
+
 @query
 def selected_trades(spark, d):
     m, w, taken, picks = _recommended(spark, d)
@@ -409,7 +437,11 @@ def review_summary(spark, d):
     t = t.select("symbol", F.col("i").alias("trade"), "ret", "outcome", "risk_share", (F.col("i") + F.col("entry_off") + 1).alias("entry_i"), (F.col("i") + F.col("bars")).alias("exit_i"), "entry_px").where("exit_i > entry_i")
     x = trades.excursions(t.select("symbol", "trade", "entry_i", "exit_i", "entry_px"), m.bars)
     t = t.select("symbol", "trade", "ret", "outcome", "risk_share").join(x, ["symbol", "trade"]).withColumn("mae_r", F.try_divide(F.col("mae"), F.col("risk_share")))
-    found = tracking.diagnose(tracking.review(t)).withColumn("findings", F.array_join("findings", ","))
+    # Chance: an entry at every evaluated bar.
+    every = w.select("symbol", F.col("i").alias("trade"), (F.col("i") + F.col("entry_off") + 1).alias("entry_i"), (F.col("i") + F.col("long_bars")).alias("exit_i"), "entry_px")
+    chance = trades.early_heat(every, m.bars).agg(F.avg((F.col("entry_heat") > 0.01).cast("double")).alias("baseline_underwater"))
+    summary = tracking.review(t).join(F.broadcast(chance))  # a row on either side
+    found = tracking.diagnose(summary, baseline=F.col("baseline_underwater")).withColumn("findings", F.array_join("findings", ","))
     return rounded(found, 5, *(c for c in found.columns if c not in ("n_trades", "findings")))
 
 

@@ -272,6 +272,11 @@ PARTS["excursions"] = """
   FROM (SELECT *, max(a) OVER w AS ma, max(f) OVER w AS mf FROM (
       SELECT t.*, b.i - t.entry_i AS j, greatest((entry_px - low) / entry_px, 0) AS a, greatest((high - entry_px) / entry_px, 0) AS f
       FROM long_trades t JOIN bars b ON b.symbol = t.symbol AND b.i > t.entry_i AND b.i <= t.exit_i) WINDOW w AS (PARTITION BY symbol, trade)) GROUP BY symbol, trade, entry_i, exit_i"""
+#: An entry at every evaluated bar.
+PARTS["chance"] = """
+  SELECT avg(CAST(heat > 0.01 AS INTEGER)) AS baseline_underwater FROM (
+    SELECT w.symbol, w.i, max(greatest((w.entry_px - b.low) / w.entry_px, 0)) AS heat FROM wf w
+    JOIN bars b ON b.symbol = w.symbol AND b.i > w.i + w.entry_off + 1 AND b.i <= least(w.i + w.entry_off + 4, w.i + w.long_bars) GROUP BY ALL)"""
 PARTS["reviewed"] = """
   SELECT count(*) AS n_trades, avg(CAST(ret > 0 AS INTEGER)) AS win_rate, avg(ret) AS avg_ret, avg(CAST(outcome = 'stop' AS INTEGER)) AS share_stop, avg(CAST(outcome = 'target' AS INTEGER)) AS share_target,
          avg(CAST(outcome = 'timeout' AS INTEGER)) AS share_timeout, quantile_cont(mae, 0.5) FILTER (ret > 0) AS winner_mae_median, quantile_cont(mae, 0.9) FILTER (ret > 0) AS winner_mae_p90,
@@ -298,7 +303,7 @@ def _reasons(side: str) -> str:
 _REVIEW = ("win_rate", "avg_ret", "share_stop", "share_target", "share_timeout", "winner_mae_median", "winner_mae_p90", "winner_mae_r_median", "loser_mfe_median", "loser_ever_profitable", "mfe_capture", "mfe_capture_median_ratio", "median_mfe", "median_realized", "entry_heat_median", "immediately_underwater")
 _FINDINGS = """CASE WHEN winner_mae_r_median < 0.35 THEN 'stop_can_tighten' WHEN winner_mae_r_median > 0.7 THEN 'stop_too_tight' END,
     CASE WHEN mfe_capture < 0.35 THEN 'exit_gives_back' WHEN mfe_capture > 0.6 THEN 'exit_efficient' END, CASE WHEN loser_ever_profitable > 0.5 THEN 'exit_too_late' END,
-    CASE WHEN immediately_underwater IS NOT NULL THEN 'entry_without_baseline' END, CASE WHEN share_timeout > 0.6 THEN 'target_too_far' END, CASE WHEN share_stop > 0.45 THEN 'stopped_often' END"""
+    CASE WHEN immediately_underwater - baseline_underwater > 0.08 THEN 'entry_chases' WHEN immediately_underwater - baseline_underwater < -0.08 THEN 'entry_better_than_random' WHEN immediately_underwater IS NOT NULL THEN 'entry_like_random' END, CASE WHEN share_timeout > 0.6 THEN 'target_too_far' END, CASE WHEN share_stop > 0.45 THEN 'stopped_often' END"""
 
 #: The queries proper.
 FINAL: dict[str, str] = {
@@ -321,7 +326,9 @@ FINAL: dict[str, str] = {
     "dist_to_discount": "SELECT symbol, i, CASE WHEN count(*) OVER w = 50 THEN round((close - (max(high) OVER w + min(low) OVER w) / 2) / nullif(max(high) OVER w - min(low) OVER w, 0), 6) END AS dist_to_discount FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)",
     "swings_raw": "SELECT symbol, i, kind, price, conf_i FROM raw_swings",
     "swing_labels": "SELECT symbol, i, kind, price, conf_i, label FROM swings",
+    "current_trend": "SELECT b.symbol, b.i, e.side AS trend FROM bars b ASOF LEFT JOIN breaks e ON e.symbol = b.symbol AND e.i <= b.i",
     "structure_events": "SELECT symbol, i, price, type, side, broken_level, broken_i FROM breaks",
+    "structure_sql": "SELECT symbol, i, price, type, side, broken_level, broken_i FROM breaks",
     "structure_counts": "SELECT symbol, side, type, count(*) AS n FROM breaks GROUP BY ALL",
     "order_blocks": "SELECT * FROM obs",
     "price_gaps": """SELECT g.symbol, g.start_i, g.end_i, g.side, g.top, g.bottom, min(b.i) AS filled_i FROM (SELECT * FROM gaps0 WHERE (top - bottom) / ref >= 0.5) g
@@ -354,6 +361,7 @@ FINAL: dict[str, str] = {
         FROM sweep WHERE threshold = -1""",
     "bootstrap_bounds": """SELECT symbol, side, threshold, n, round(lb, 6) AS mean_lb FROM (SELECT symbol, side, threshold, count(*) AS n FROM trades WHERE threshold IN (-1, 30, 40) GROUP BY ALL)
         JOIN (SELECT symbol, side, threshold, CASE WHEN count(*) > 0 THEN quantile_cont(m, 0.05) END AS lb FROM resampled GROUP BY ALL) USING (symbol, side, threshold)""",
+    "cached_choice": "SELECT symbol, side, threshold, confidence, CASE WHEN ends_with(symbol, '1') THEN 'cached' ELSE 'computed' END AS source FROM picks",
     "recommend": "SELECT symbol, side, threshold, confidence, n, round(expectancy, 6) AS expectancy, round(expectancy_lb, 6) AS expectancy_lb, round(excess_expectancy, 6) AS excess_expectancy FROM picks",
     "selected_trades": f"""SELECT t.symbol, t.side, t.i, t.threshold, t.score, least(t.i + t.entry_off + 1, l.n) AS entry_i, least(t.i + t.bars, l.n) AS exit_i, round(t.ret - {_COST}, 6) AS ret, t.bars, t.outcome
         FROM trades t JOIN picks p ON p.symbol = t.symbol AND p.side = t.side AND p.threshold = t.threshold JOIN (SELECT symbol, max(i) AS n FROM wf GROUP BY symbol) l ON l.symbol = t.symbol WHERE t.side = 'bull'""",
@@ -368,7 +376,7 @@ FINAL: dict[str, str] = {
     "exit_breakeven": "SELECT symbol, i, outcome, CAST(bars_held AS INTEGER) AS bars_held, round(ret, 6) AS ret FROM trailed_even",
     "score_reasons": f"SELECT symbol, i, {_reasons('bull')}, {_reasons('bear')} FROM components",
     "trade_excursions": "SELECT symbol, trade, entry_i, exit_i, round(mae, 6) AS mae, round(mfe, 6) AS mfe, round(entry_heat, 6) AS entry_heat, bars_to_mae, bars_to_mfe FROM excursions",
-    "review_summary": f"SELECT n_trades, {', '.join(f'round({c}, 5) AS {c}' for c in _REVIEW)}, concat_ws(',', {_FINDINGS}) AS findings FROM reviewed",
+    "review_summary": f"SELECT n_trades, {', '.join(f'round({c}, 5) AS {c}' for c in _REVIEW)}, round(baseline_underwater, 5) AS baseline_underwater, concat_ws(',', {_FINDINGS}) AS findings FROM reviewed JOIN chance ON true",
     "ridge_gram": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 4) AS value FROM matrix" for k, a in enumerate(_GRAM) for b in _GRAM[k:]),
     "entry_ticket": """SELECT symbol, i, CASE WHEN abs(s - long_stop) < 1e-9 THEN 'plan' ELSE '5 x ATR' END AS stop_source, round((limit_price - s) / limit_price, 5) AS risk_share
         FROM (SELECT *, CASE WHEN atr > 0 THEN greatest(long_stop, limit_price - 5 * atr) ELSE long_stop END AS s FROM planned WHERE limit_price IS NOT NULL AND long_stop IS NOT NULL)""",
