@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import kelly, wilson_lower
@@ -96,19 +94,20 @@ def _barriers(entries: DataFrame, bars: DataFrame, holding: int) -> DataFrame:
 def random_barriers(bars: DataFrame, risks: DataFrame, draws: int = 400, seed: int = 42, rr: float = 2.0, holding: int = 250, warmup: int = 250) -> DataFrame:
     """symbol, i, outcome of entries at random bars, with risk shares drawn from those of real trades (risks: symbol, risk).
 
-    Draws are seeded by symbol and taken with replacement; a symbol without
-    room or risks has none.
+    A draw's bar and its place among the symbol's risks, in order, are two
+    numbers of the MD5 of symbol, seed and draw, so any engine can draw the
+    same.  Draws are with replacement; a symbol without room or risks has
+    none.
     """
-    n = bars.groupBy("symbol").agg(F.max("i").alias("_n"))
-    held = risks.where("risk > 0").groupBy("symbol").agg(F.sort_array(F.collect_list("risk")).alias("risks"))  # a symbol's trades
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        symbol, end, risk = b["symbol"].iloc[0], int(b["_n"].iloc[0]) + 1 - holding - 2, np.asarray(b["risks"].iloc[0], float)
-        k = draws if end > warmup else 0
-        rng = np.random.default_rng([seed, *symbol.encode()])
-        return pd.DataFrame({"symbol": np.full(k, symbol, object), "draw": np.arange(k), "i": rng.integers(warmup, max(end, warmup + 1), k), "risk": rng.choice(risk, k)})
-
-    drawn = n.join(held, "symbol").groupBy("symbol").applyInPandas(run, "symbol string, draw int, i int, risk double")
+    room = bars.groupBy("symbol").agg((F.max("i") + 1 - holding - 2 - warmup).alias("_room")).where("_room > 0")
+    place = Window.partitionBy("symbol").orderBy("risk")
+    held = risks.where("risk > 0").select("symbol", "risk", (F.row_number().over(place) - 1).cast("long").alias("_place"))
+    sizes = held.groupBy("symbol").agg(F.count("*").alias("_many"))
+    drawn = room.join(sizes, "symbol").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    mark = F.md5(F.concat_ws(":", "symbol", F.lit(seed), "draw"))
+    number = lambda at: F.conv(F.substring(mark, at, 8), 16, 10).cast("long")
+    drawn = drawn.select("symbol", "draw", (warmup + F.pmod(number(1), F.col("_room"))).cast("int").alias("i"), F.pmod(number(9), F.col("_many")).alias("_place"))
+    drawn = drawn.join(held, ["symbol", "_place"])
     e = drawn.join(bars.select("symbol", "i", "close"), ["symbol", "i"]).where("close > 0")
     e = e.select("symbol", "draw", "i", (F.col("close") * (1 - F.col("risk"))).alias("stop"), (F.col("close") * (1 + rr * F.col("risk"))).alias("target"))
     return _barriers(e, bars, holding)

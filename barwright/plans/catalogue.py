@@ -542,7 +542,7 @@ def barrier_random(spark, d):
     """Risk shares are those of the taken trades, so that chance runs the same risks."""
     m, w = replayed(spark, d)
     t = replay.taken_trades(w, (30,)).where("threshold = 30 AND side = 'bull'").select("symbol", F.try_divide("ret", "r").alias("risk"))
-    return tracking.barrier_stats(tracking.random_barriers(m.bars, t, 600, 42))
+    return rounded(tracking.barrier_stats(tracking.random_barriers(m.bars, t, 600, 42)), 6, "timeout_rate")
 
 
 @query

@@ -416,6 +416,12 @@ FINAL: dict[str, str] = {
           WHEN budget < 0.50 - 1e-9 THEN 0.45 WHEN budget < 0.60 - 1e-9 THEN 0.50 ELSE 0.60 END""",
     "wilson": f"SELECT o_custkey, n, wins, round({_wilson(1.96, '(wins / n)', 'n')}, 9) AS lower FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS wins FROM orders GROUP BY o_custkey)",
     "barrier_exhaustive": "SELECT symbol, wins, n, round(timeout_rate, 6) AS timeout_rate FROM barrier_stats",
+    "barrier_random": """WITH risks AS (SELECT symbol, risk, row_number() OVER (PARTITION BY symbol ORDER BY risk) - 1 AS place FROM (SELECT symbol, ret / nullif(r, 0) AS risk FROM trades WHERE side = 'bull' AND threshold = 30) WHERE risk > 0),
+        drawn AS (SELECT s.symbol, d, 250 + CAST('0x' || substr(md5(s.symbol || ':42:' || d), 1, 8) AS BIGINT) % (n + 1 - 250 - 2 - 250) AS i, CAST('0x' || substr(md5(s.symbol || ':42:' || d), 9, 8) AS BIGINT) % m AS place
+          FROM (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) s JOIN (SELECT symbol, count(*) AS m FROM risks GROUP BY symbol) k ON k.symbol = s.symbol, range(600) t(d) WHERE n + 1 - 250 - 2 > 250),
+        entries AS (SELECT e.symbol, e.d, e.i, b.close * (1 - r.risk) AS stop, b.close * (1 + 2 * r.risk) AS target FROM drawn e JOIN risks r ON r.symbol = e.symbol AND r.place = e.place JOIN bars b ON b.symbol = e.symbol AND b.i = e.i WHERE b.close > 0),
+        ends AS (SELECT e.symbol, e.d, min(CASE WHEN b.low <= e.stop THEN b.i END) AS js, min(CASE WHEN b.high >= e.target THEN b.i END) AS jw FROM entries e JOIN bars b ON b.symbol = e.symbol AND b.i BETWEEN e.i + 1 AND e.i + 250 GROUP BY ALL)
+        SELECT symbol, count(*) FILTER (jw IS NOT NULL AND (js IS NULL OR js > jw)) AS wins, count(*) FILTER (coalesce(js, jw) IS NOT NULL) AS n, round(avg(CAST(coalesce(js, jw) IS NULL AS INTEGER)), 6) AS timeout_rate FROM ends GROUP BY symbol""",
     "kelly_sizing": f"""SELECT symbol, wins, n, round(timeout_rate, 6) AS timeout_rate, round(p, 6) AS p_lower, round(CASE WHEN n >= 100 THEN k END, 6) AS kelly_full,
         round(CASE WHEN n < 100 OR p <= 1 / 3::DOUBLE OR p IS NULL THEN 0 ELSE least(k / 4, 0.2::DOUBLE) END, 6) AS fraction,
         CASE WHEN n < 100 THEN 'few_samples' WHEN p <= 1 / 3::DOUBLE THEN 'below_break_even' WHEN k / 4 > 0.2 THEN 'capped' ELSE 'kelly' END AS reason
