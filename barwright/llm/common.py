@@ -40,7 +40,27 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.barwright.scratch", base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
+
+
+#: Folders that scratch named so far, in order.
+_NAMED: list[str] = []
+
+
+def mark() -> int:
+    """A point in the row of tables written; see drop_since."""
+    return len(_NAMED)
+
+
+def drop_since(spark: SparkSession, point: int, keep: str) -> None:
+    """Deletes the tables written since ``point`` but for the folder ``keep``, when nothing will be read from them any more."""
+    for path in _NAMED[point:]:
+        if path != keep:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _NAMED[point:] = [keep]
 
 
 def clear(spark: SparkSession) -> None:
@@ -55,8 +75,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     The files outlive executors, so later stages restart from them, and
     columns that a later step doesn't use aren't read.
     """
+    return cut_to(df, scratch(df.sparkSession, name))
+
+
+def cut_to(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

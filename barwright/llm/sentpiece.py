@@ -50,6 +50,24 @@ def _merged_run(length: int, sizes: set[int]) -> list[int]:
     return parts
 
 
+def check_model(serialized: bytes) -> None:
+    """Raises ValueError for a model whose ids this module wouldn't give: not BPE with bytes for what no piece covers, texts changed first, or pieces of the user's own."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto.FromString(serialized)
+    kind, norm = m.trainer_spec, m.normalizer_spec
+    wrong = [
+        name for name, bad in (
+            ("model isn't BPE", kind.model_type != proto.TrainerSpec.BPE), ("no byte fallback", not kind.byte_fallback),
+            ("texts are normalised", bool(norm.precompiled_charsmap)), ("blanks are removed", norm.remove_extra_whitespaces),
+            ("no blank is put first", not norm.add_dummy_prefix), ("blanks aren't marked", not norm.escape_whitespaces),
+            ("blanks come last in pieces", kind.treat_whitespace_as_suffix), ("pieces of the user's own", any(p.type == p.USER_DEFINED for p in m.pieces)),
+        ) if bad
+    ]
+    if wrong:
+        raise ValueError(f"this model can't be reproduced: {', '.join(wrong)}")
+
+
 class Pieces:
     """What encoding needs of a model, as arrays."""
 
@@ -57,6 +75,7 @@ class Pieces:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=model)
+        check_model(m.serialized_model_proto())
         n = m.vocab_size()
         text = [m.id_to_piece(i) for i in range(n)]
         self.byte_id = np.zeros(256, np.int32)

@@ -407,6 +407,26 @@ def test_pieces_equal_library_and_come_back(texts, batch, known, monkeypatch):
 # --- 9 ------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("change", ["kind", "bytes", "blanks", "own", "map"])
+def test_other_piece_models_are_refused(tmp_path, change):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    m = proto.ModelProto.FromString(open(MODEL, "rb").read())
+    if change == "kind":
+        m.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
+    elif change == "bytes":
+        m.trainer_spec.byte_fallback = False
+    elif change == "blanks":
+        m.normalizer_spec.remove_extra_whitespaces = True
+    elif change == "own":
+        m.pieces[500].type = proto.ModelProto.SentencePiece.USER_DEFINED
+    else:
+        m.normalizer_spec.precompiled_charsmap = b"x"
+    with pytest.raises(ValueError, match="can't be reproduced"):
+        sentpiece.check_model(m.SerializeToString())
+    sentpiece.check_model(open(MODEL, "rb").read())
+
+
 def test_urls(spark):
     rules = [url_rules.parse_rule(*r) for r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "org"), ("allow", "a.org/x"), ("block", "com/e"), ("allow", "com/e"))]
     urls = ["http://www.example.com/en/77", "https://EXAMPLE.com/en/8?q", "http://com/en", "x://notcom/en/1", "http://b.a.org/xy", "http://a.org", "http://q.org#f", "no scheme", None, "", "http://example.com/en/"]
