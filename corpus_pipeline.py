@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm import decision_list, decontaminate, line_spread, near_dup, sentpiece
-from barwright.llm.common import cut, small_batches, table
+from barwright.llm.common import cut_to, drop_since, mark, scratch, small_batches, table
 from barwright.llm.queries import MIN_SITES, TOKENIZERS
 
 
@@ -61,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  What a stage wrote on its way goes once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        path = scratch(spark, name.replace(" ", "-"))
+        docs = cut_to(made, path)
+        drop_since(spark, before, path)
     return STAGES[-1][1](spark, docs, sf_dir)
