@@ -13,7 +13,7 @@ from ..functions import tables as table_functions
 from ..operators import asof, bars as B, indicators, performance, replay, structure, tracking, trades
 from ..sources import scratch, sinks, tables
 from ..sources.scratch import written
-from . import models, report
+from . import models, page, report
 from .config import Config
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -564,14 +564,14 @@ def _positions(bars: DataFrame) -> DataFrame:
 
 @query
 def positions_track(spark, d):
-    ind = indicators.compute(tables.brand_bars(spark, d)).persist()
+    ind = written(indicators.compute(tables.brand_bars(spark, d)), "ind")
     t = tracking.track_positions(_positions(ind), ind)
     return t.select("symbol", "n_bars", "locked_in", "breached", *(rnd(F.col(c) / F.col("entry_price"), 5).alias(f"{c}_rel") for c in ("peak", "last", "initial_stop", "stop")), *(rnd(c, k).alias(c) for c, k in (("unrealized", 6), ("unrealized_r", 4), ("stop_distance", 5))))
 
 
 @query
 def position_kpis(spark, d):
-    ind = indicators.compute(tables.brand_bars(spark, d)).persist()
+    ind = written(indicators.compute(tables.brand_bars(spark, d)), "ind")
     k = tracking.position_kpis(tracking.track_positions(_positions(ind), ind))
     return rounded(k, 5, "mean_unrealized", "mean_unrealized_r", "nearest_stop")
 
@@ -667,6 +667,13 @@ def embargo_split(spark, d):
 # --- report ---------------------------------------------------------------------
 
 
+@query
+def orders_today(spark, d):
+    """Longs that score over their recommended threshold at a symbol's last bar."""
+    m, _, _, picks = _recommended(spark, d)
+    return rounded(page.orders(m, picks).drop("limit_price", "stop"), 5, "risk_share")
+
+
 @query
 def chart_layers(spark, d):
     return report.chart_shapes(market(spark, d).keep())

@@ -380,6 +380,10 @@ FINAL: dict[str, str] = {
     "ridge_gram": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sum({a} * {b}), 4) AS value FROM matrix" for k, a in enumerate(_GRAM) for b in _GRAM[k:]),
     "entry_ticket": """SELECT symbol, i, CASE WHEN abs(s - long_stop) < 1e-9 THEN 'plan' ELSE '5 x ATR' END AS stop_source, round((limit_price - s) / limit_price, 5) AS risk_share
         FROM (SELECT *, CASE WHEN atr > 0 THEN greatest(long_stop, limit_price - 5 * atr) ELSE long_stop END AS s FROM planned WHERE limit_price IS NOT NULL AND long_stop IS NOT NULL)""",
+    "orders_today": """SELECT s.symbol, s.bull_score AS score, p.threshold, p.confidence, t.stop_source, round(t.risk, 5) AS risk_share
+        FROM scores s JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) l ON l.symbol = s.symbol AND l.n = s.i JOIN picks p ON p.symbol = s.symbol AND p.side = 'bull' AND s.bull_score >= p.threshold
+        LEFT JOIN (SELECT symbol, i, CASE WHEN abs(s - long_stop) < 1e-9 THEN 'plan' ELSE '5 x ATR' END AS stop_source, (limit_price - s) / limit_price AS risk
+          FROM (SELECT *, CASE WHEN atr > 0 THEN greatest(long_stop, limit_price - 5 * atr) ELSE long_stop END AS s FROM planned WHERE limit_price IS NOT NULL AND long_stop IS NOT NULL)) t ON t.symbol = s.symbol AND t.i = s.i""",
     "chart_panels": """SELECT symbol, i, panel, series, CASE WHEN panel = 'rsi' THEN (round(value, 4) + 0) ELSE value END AS value FROM (
           SELECT symbol, i, 'price' AS panel, 'high' AS series, high AS value FROM ind UNION ALL SELECT symbol, i, 'price', 'close', close FROM ind UNION ALL SELECT symbol, i, 'rsi', 'rsi', rsi FROM ind
           UNION ALL SELECT symbol, i, 'zone', 'top', top FROM zones UNION ALL SELECT symbol, i, 'zone', 'mid', mid FROM zones) x
