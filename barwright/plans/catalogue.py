@@ -653,6 +653,12 @@ def weight_trial(spark, d):
     return rounded(_weight_trial(spark, d), 6, "expectancy", "excess")
 
 
+@query
+def weight_trial_manual(spark, d):
+    """The default weights' part of the trial, which nothing is fitted for."""
+    return rounded(_weight_trial(spark, d).where("kind = 'manual'"), 6, "expectancy", "excess")
+
+
 @query
 def weight_verdict(spark, d):
     return rounded(models.weight_verdict(_weight_trial(spark, d)), 6, "median_excess", "share_positive")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import resample
+from .config import WEIGHTS
 
 _TICK_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 
@@ -293,6 +294,23 @@ PARTS["matrix"] = f"""
   SELECT c.symbol, c.i, CAST(1 AS DOUBLE) AS one, {", ".join(f"CAST(bull_{n} AS DOUBLE) AS c_{n}" for n in _COMPONENTS)}, e.ret
   FROM components c JOIN exits_close e ON e.symbol = c.symbol AND e.i = c.i JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) l ON l.symbol = c.symbol
   WHERE c.i >= 250 AND c.i <= l.n - 5"""
+#: The default weights' score on the component rows, the first 60 % to choose a threshold by, the last ones (20 rows on) to try it.
+_MANUAL = " + ".join(f"{WEIGHTS[n]} * bull_{n}" for n in _COMPONENTS)
+PARTS["trial"] = f"""
+  SELECT *, CAST(row_number() OVER (PARTITION BY symbol, part ORDER BY i) - 1 AS INTEGER) AS pos FROM (
+    SELECT *, CASE WHEN k < floor(n * 0.6::DOUBLE) THEN 'train' WHEN k < floor(n * 0.6::DOUBLE) + 20 THEN 'skipped' ELSE 'test' END AS part FROM (
+      SELECT c.symbol, c.i, e.ret - {_COST} AS ret, greatest(e.bars_held, 1) AS bars, {_MANUAL} AS score,
+             row_number() OVER (PARTITION BY c.symbol ORDER BY c.i) - 1 AS k, count(*) OVER (PARTITION BY c.symbol) AS n
+      FROM components c JOIN exits_close e ON e.symbol = c.symbol AND e.i = c.i JOIN (SELECT symbol, max(i) AS n FROM bars GROUP BY symbol) l ON l.symbol = c.symbol
+      WHERE c.i >= 250 AND c.i <= l.n - 5))"""
+PARTS["trial_signals"] = "SELECT symbol, part, threshold, pos, bars, ret FROM trial, (VALUES (20), (25), (30), (35), (40), (45), (50)) t(threshold) WHERE score >= threshold AND part <> 'skipped'"
+PARTS["trial_next"] = """
+  SELECT a.*, row_number() OVER (PARTITION BY a.symbol, a.part, a.threshold ORDER BY a.pos) AS n, b.pos AS next_pos FROM trial_signals a
+  ASOF LEFT JOIN trial_signals b ON a.symbol = b.symbol AND a.part = b.part AND a.threshold = b.threshold AND a.pos + a.bars <= b.pos"""
+PARTS["trial_taken"] = """
+  SELECT symbol, part, threshold, pos, ret, next_pos FROM trial_next WHERE n = 1
+  UNION ALL SELECT f.symbol, f.part, f.threshold, f.pos, f.ret, f.next_pos FROM trial_taken t JOIN trial_next f
+    ON f.symbol = t.symbol AND f.part = t.part AND f.threshold = t.threshold AND f.pos = t.next_pos"""
 _GRAM = ["one", *(f"c_{n}" for n in _COMPONENTS), "ret"]
 
 
@@ -452,6 +470,11 @@ FINAL: dict[str, str] = {
           SELECT *, rank() OVER (PARTITION BY symbol, fold ORDER BY score) + (count(*) OVER (PARTITION BY symbol, fold, score) - 1) / 2::DOUBLE AS rank FROM (
             SELECT symbol, round(rsi, 4) AS score, CAST(coalesce(later / close - 1 > 0, false) AS INTEGER) AS label, CASE WHEN k >= n - 5 * (n // 6) THEN CAST((k - (n - 5 * (n // 6))) // (n // 6) + 1 AS INTEGER) ELSE 0 END AS fold
             FROM (SELECT *, lead(close, 5) OVER (PARTITION BY symbol ORDER BY i) AS later, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM ind))) GROUP BY ALL)""",
+    "weight_trial_manual": """WITH able AS (SELECT symbol, avg(ret) FILTER (part = 'test') AS base FROM trial GROUP BY symbol HAVING count(*) >= 400 AND count(*) FILTER (part = 'train') >= 200 AND count(*) FILTER (part = 'test') >= 200),
+        stats AS (SELECT symbol, part, threshold, count(*) AS n, avg(ret) AS expectancy FROM trial_taken GROUP BY ALL),
+        best AS (SELECT symbol, arg_max(threshold, {'e': expectancy, 'low': -threshold}) AS threshold FROM stats WHERE part = 'train' AND n >= 15 GROUP BY symbol)
+        SELECT s.symbol, 'manual' AS kind, s.threshold, s.n, round(s.expectancy, 6) AS expectancy, round(s.expectancy - a.base, 6) AS excess
+        FROM stats s JOIN best b ON b.symbol = s.symbol AND b.threshold = s.threshold JOIN able a ON a.symbol = s.symbol WHERE s.part = 'test' AND s.n >= 8""",
     "embargo_split": """SELECT symbol, part, count(*) AS n, min(i) AS first_i, max(i) AS last_i FROM (SELECT symbol, i, CASE WHEN k < cut THEN 'train' WHEN k < cut + 20 THEN 'skipped' ELSE 'test' END AS part FROM (
         SELECT symbol, i, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, floor(count(*) OVER (PARTITION BY symbol) * 0.6::DOUBLE) AS cut FROM bars WHERE i >= 250)) GROUP BY ALL""",
 }
