@@ -40,8 +40,8 @@ def counts(rows: np.ndarray, resamples: int) -> np.ndarray:
     return np.searchsorted(np.array(poisson_steps()), x % DRAWS, side="right")
 
 
-def mean_bounds(df: DataFrame, keys: list[str], row: str, value: Column, alpha: float | Column, resamples: int = 2000) -> DataFrame:
-    """keys, n and mean_lb: the alpha quantile (interpolated) of the resampled means; null under two values.
+def mean_bounds(df: DataFrame, keys: list[str], row: str, value: Column, alpha: float | Column, resamples: int = 2000, least: int = 2) -> DataFrame:
+    """keys, n and mean_lb: the alpha quantile (interpolated) of the resampled means; null under ``least`` values.
 
     row: a column of whole numbers from 0 to 10^12 that tells a group's rows
     apart.  Nulls in ``value`` don't count.  A resample that counts nothing
@@ -78,5 +78,5 @@ def mean_bounds(df: DataFrame, keys: list[str], row: str, value: Column, alpha:
     each = parts.select(*keys, F.posexplode(F.arrays_zip("_s", "_t")).alias("_b", "_p")).groupBy(*keys, "_b").agg(F.sum("_p._s").alias("_s"), F.sum("_p._t").alias("_t"))
     low = each.groupBy(*keys).agg(F.percentile(F.col("_t") / F.nullif("_s", F.lit(0)), F.lit(alpha)).alias("mean_lb"))
     on = [size[k].eqNullSafe(low[k]) for k in keys]
-    return size.join(low, on).select(*(size[k] for k in keys), "n", F.when(F.col("n") > 1, F.col("mean_lb")).alias("mean_lb"))
+    return size.join(low, on).select(*(size[k] for k in keys), "n", F.when(F.col("n") >= least, F.col("mean_lb")).alias("mean_lb"))
 

@@ -223,10 +223,10 @@ def recommend(stats: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def bootstrap_bounds(taken: DataFrame, costs: DataFrame, alpha: float, resamples: int = 2000) -> DataFrame:
-    """symbol, side, threshold, n, mean_lb: lower bound of the mean return after cost by resampling; null under two trades."""
+def bootstrap_bounds(taken: DataFrame, costs: DataFrame, alpha: float, resamples: int = 2000, least: int = 2) -> DataFrame:
+    """symbol, side, threshold, n, mean_lb: lower bound of the mean return after cost by resampling; null under ``least`` trades."""
     t = taken.join(costs, "symbol")
-    return mean_bounds(t, ["symbol", "side", "threshold"], "i", F.col("ret") - F.col("cost"), alpha, resamples)
+    return mean_bounds(t, ["symbol", "side", "threshold"], "i", F.col("ret") - F.col("cost"), alpha, resamples, least)
 
 
 def selected_trades(wf: DataFrame, taken: DataFrame, picks: DataFrame, costs: DataFrame, side: str = "bull") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions import resample
 from barwright.operators import asof, replay, trades
 from barwright.operators.extremes import Extremes
-from barwright.plans import catalogue
+from barwright.plans import catalogue, oracle
 from barwright.plans.config import Config
 
 
@@ -106,6 +106,21 @@ def test_bounds_merge_from_any_tasks(spark):
             assert got[g][0] == n and (got[g][1] is None) == (low is None) and (low is None or math.isclose(got[g][1], low, rel_tol=1e-9))
 
 
+def test_bounds_of_lone_trades_are_those_of_the_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{sf}/{t}.parquet'")
+    cur = con.execute(oracle.SQL["bootstrap_bounds"])
+    names = [c[0] for c in cur.description]
+    want = {(r["symbol"], r["side"], r["threshold"]): (r["n"], r["mean_lb"]) for r in (dict(zip(names, row, strict=True)) for row in cur.fetchall())}
+    got = {(r.symbol, r.side, r.threshold): (r.n, r.mean_lb) for r in catalogue.QUERIES["bootstrap_bounds"](spark, sf).collect()}
+    assert got.keys() == want.keys() and any(n == 1 for n, _ in want.values())
+    for k, (n, low) in want.items():
+        assert got[k][0] == n and got[k][1] is not None and math.isclose(got[k][1], low, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_bounds_are_near_those_of_drawing_rows():
     rng = np.random.default_rng(5)
     for n in (30, 200):
