@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,15 @@ def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system, as workers live on into later stages beside the executor's heap."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; other C libraries do without
+    if trim:
+        trim(0)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder name under the shared folder the cluster names in spark.checkpoint.dir.
 

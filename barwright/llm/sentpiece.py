@@ -32,9 +32,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 _BLANK = "▁"
 _STEP = 3  # characters of 21 bits in a search key
-#: Characters of the chunks that a task keeps encoded (some 25 bytes each), the longest such chunk, and characters indexed at once.
+#: Characters of the chunks that a task keeps encoded (some 20 bytes each), the longest such chunk, and characters indexed at once.
 KNOWN_CHARS, KNOWN_LENGTH, BATCH_CHARS = 1 << 21, 64, 1 << 17
 
 
@@ -150,7 +152,7 @@ class Pieces:
                 for b in runs:
                     self.run_ok[a, b] = _merged_run(a + b, set(runs)) == [a, b]
         # Verdicts by pair, in slots that later pairs may take.
-        self.slot_key, self.slot_ok = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
+        self.slot_key, self.slot_ok = np.full(1 << 21, -1, np.int32 if n * n < 1 << 31 else np.int64), np.zeros(1 << 21, bool)
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging in order leaves piece a beside piece b."""
@@ -258,14 +260,17 @@ class Pieces:
         order, key = self._suffixes(codes)
         lo, hi = self._ranges(order, key)
         many = np.maximum(hi - lo, 0)
-        piece = np.repeat(np.arange(len(many)), many)
-        start = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-        size = self.length[piece]
+        # There are several times as many edges as characters, so their columns are narrow.
+        piece = np.repeat(np.arange(len(many), dtype=np.int32), many)
+        spot = np.repeat((lo - np.cumsum(many) + many).astype(np.int32), many)
+        spot += np.arange(len(spot), dtype=np.int32)
+        start = order.astype(np.int32)[spot]
+        size = self.length.astype(np.int32)[piece]
         known = np.zeros(len(codes), bool)
         known[start[size == 1]] = True
-        lone = np.flatnonzero(~known)
+        lone = np.flatnonzero(~known).astype(np.int32)
         return (
-            np.concatenate([start, lone]), np.concatenate([size, np.ones(len(lone), np.int64)]),
+            np.concatenate([start, lone]), np.concatenate([size, np.ones(len(lone), np.int32)]),
             np.concatenate([self.ids[piece], np.full(len(lone), -1, np.int32)]),
         )
 
@@ -273,7 +278,7 @@ class Pieces:
         """Goes through the edges by ``level`` (their ends); first: whether an edge starts its chunk.  Fills last and begun, the piece that ends at a position and its length."""
         by_end = np.lexsort((start, level))
         start, end, ident, level, first = start[by_end], end[by_end], ident[by_end], level[by_end], first[by_end]
-        borders = np.flatnonzero(np.diff(level, prepend=-1))
+        borders = np.flatnonzero(np.diff(level, prepend=level.dtype.type(-1)))
         for a, b in zip(borders.tolist(), [*borders[1:].tolist(), len(level)], strict=True):
             s, e, p, fresh = start[a:b], end[a:b], ident[a:b], first[a:b]
             before = np.where(fresh, -1, last[s])
@@ -292,16 +297,17 @@ class Pieces:
         if len(chunks) == 1 and len(codes) > BATCH_CHARS:
             for w in range(0, len(codes), BATCH_CHARS):
                 start, length, ident = self._edges(codes[w : w + BATCH_CHARS + self.longest])
-                own = (start < BATCH_CHARS) & (w + start + length <= len(codes))
-                start, end = w + start[own], w + (start + length)[own]
+                own = (start < BATCH_CHARS) & (start + length <= len(codes) - w)
+                start, end = w + start[own].astype(np.int64), w + (start + length)[own].astype(np.int64)
                 self._relax(start, end, ident[own], end, start == 0, last, begun)
         else:
             chunk = np.repeat(np.arange(len(chunks), dtype=np.int32), size)
             start, length, ident = self._edges(codes)
+            begin, stop = first.astype(np.int32), (first + size).astype(np.int32)
             end, of = start + length, chunk[start]
-            inside = end <= first[of] + size[of]  # suffixes run on into the next chunk
+            inside = end <= stop[of]  # suffixes run on into the next chunk
             start, end, ident, of = start[inside], end[inside], ident[inside], of[inside]
-            self._relax(start, end, ident, end - first[of], start == first[of], last, begun)
+            self._relax(start, end, ident, end - begin[of], start == begin[of], last, begun)
         return self._paths(codes, first, size, last, begun)
 
     def _paths(self, codes, first, size, last, begun) -> list[np.ndarray]:
@@ -347,17 +353,18 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids as bytes, as an array object is several times as large
         self.chars = 0
 
-    def _add(self, fresh: list[str], into: dict[str, np.ndarray]) -> None:
+    def _add(self, fresh: list[str], into: dict[str, bytes]) -> None:
         at = 0
         while at < len(fresh):
             to, chars = at, 0
             while to < len(fresh) and (to == at or chars + len(fresh[to]) <= BATCH_CHARS):
                 chars += len(fresh[to])
                 to += 1
-            into.update(zip(fresh[at:to], self.pieces.encode_chunks(fresh[at:to]), strict=True))
+            made = self.pieces.encode_chunks(fresh[at:to])
+            into.update(zip(fresh[at:to], (ids.tobytes() for ids in made), strict=True))
             at = to
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -370,6 +377,7 @@ class Encoder:
                 to += 1
             out += self._some(texts[at:to])
             at = to
+            give_back()
         return out
 
     def _some(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -392,8 +400,7 @@ class Encoder:
         if fresh:
             found = [f if f is not None else self.known[c] if c in self.known else long[c] for c, f in zip(cut, found, strict=True)]
         borders = np.searchsorted(bounds, starts).tolist()
-        none = np.zeros(0, np.int32)
-        return [None if t is None else np.concatenate([none, *found[a:b]]) for t, a, b in zip(texts, borders, borders[1:], strict=False)]
+        return [None if t is None else np.frombuffer(b"".join(found[a:b]), np.int32) for t, a, b in zip(texts, borders, borders[1:], strict=False)]
 
 
 def load(model: str) -> Pieces:
@@ -420,8 +427,11 @@ def encode(text: Column, model: str) -> Column:
 
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(load(model))
+        give_back()
         for texts in batches:
             yield pd.Series(encoder.encode(texts.tolist()), dtype=object)
+        del encoder
+        give_back()
 
     return F.pandas_udf(make, "array<int>")(text)
 
@@ -439,10 +449,15 @@ def encode_checked(text: Column, model: str) -> Column:
     """Struct of ids and round_trip: whether they decode to the text, blanks for U+2581.  One Python worker does both."""
 
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder, out = Encoder(load(model)), outputs(model)
+        encoder = Encoder(load(model))
+        out = encoder.pieces.out
+        give_back()
         for texts in batches:
             ids = encoder.encode(texts.tolist())
             same = [t is None if i is None else text_of(i.tolist(), out) == t.replace(_BLANK, " ") for t, i in zip(texts, ids, strict=True)]
             yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "round_trip": pd.Series(same, dtype=bool)})
+            del texts, ids, same
+        del encoder, out
+        give_back()
 
     return F.pandas_udf(make, "ids array<int>, round_trip boolean")(text)

@@ -404,6 +404,23 @@ def test_pieces_equal_library_and_come_back(texts, batch, known, monkeypatch):
         assert ids.tolist() == lib.encode(t) and own.decode(ids.tolist()) == t.replace("▁", " ")
 
 
+def test_known_chunks_take_little_memory():
+    import tracemalloc
+
+    own, rng = sentpiece.load(MODEL).encoder(), random.Random(7)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(400)) for _ in range(100)]
+    own.encode(texts[:1])
+    tracemalloc.start()
+    try:
+        made = own.encode(texts)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    # Bytes a chunk kept, texts' ids included, and while a batch is indexed.
+    assert len(own.known) > 20_000 and sum(map(len, made)) > 40_000
+    assert held < 210 * len(own.known) and peak < 1230 * len(own.known), (held / len(own.known), peak / len(own.known))
+
+
 # --- 9 ------------------------------------------------------------------------
 
 
